@@ -8,6 +8,25 @@ from pyspark.sql import functions as F
 from docloom.llm.common import documents
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark: SparkSession, base: str, path: str | None = None) -> DataFrame:
+    from docloom.llm import packing
+
+    return packing.pack_documents(documents(spark, base), path or tokenizer("word_bpe_49k.json"))
+
+
+def op4_piece_encoding(spark: SparkSession, base: str, path: str | None = None) -> DataFrame:
+    from docloom.llm import piece_encoding
+
+    return piece_encoding.digests(documents(spark, base), path or tokenizer("piece_bpe_32k.model"))
+
+
 def op5_exact_dedup(spark: SparkSession, base: str) -> DataFrame:
     from docloom.llm import exact_dedup
 
@@ -22,6 +41,8 @@ def op9_quality_rules(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_packing": op3_packing,
+    "op4_piece_encoding": op4_piece_encoding,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
