@@ -15,6 +15,16 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language_id(spark: SparkSession, base: str) -> DataFrame:
+    from docloom.llm import language_id
+    from docloom.llm.common import remainder
+
+    docs = documents(spark, base)
+    models = language_id.train(language_id.training_rows(docs))
+    out = language_id.predict(docs, models)
+    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_packing(spark: SparkSession, base: str, path: str | None = None) -> DataFrame:
     from docloom.llm import packing
 
@@ -33,6 +43,13 @@ def op5_exact_dedup(spark: SparkSession, base: str) -> DataFrame:
     return exact_dedup.classes(documents(spark, base))
 
 
+def op7_secret_scan(spark: SparkSession, base: str) -> DataFrame:
+    from docloom.llm import secret_scan
+
+    docs = documents(spark, base)
+    return secret_scan.scan(docs, secret_scan.train(docs))
+
+
 def op9_quality_rules(spark: SparkSession, base: str) -> DataFrame:
     from docloom.llm import quality_rules
 
@@ -41,9 +58,11 @@ def op9_quality_rules(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
     "op4_piece_encoding": op4_piece_encoding,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op9_quality_rules": op9_quality_rules,
 }
 
