@@ -43,6 +43,12 @@ def op5_exact_dedup(spark: SparkSession, base: str) -> DataFrame:
     return exact_dedup.classes(documents(spark, base))
 
 
+def op6_ngram_join(spark: SparkSession, base: str) -> DataFrame:
+    from docloom.llm import ngram_join
+
+    return ngram_join.classes(documents(spark, base))
+
+
 def op7_secret_scan(spark: SparkSession, base: str) -> DataFrame:
     from docloom.llm import secret_scan
 
@@ -62,6 +68,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_piece_encoding": op4_piece_encoding,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_ngram_join": op6_ngram_join,
     "op7_secret_scan": op7_secret_scan,
     "op9_quality_rules": op9_quality_rules,
 }
