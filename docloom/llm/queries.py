@@ -63,6 +63,12 @@ def op9_quality_rules(spark: SparkSession, base: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_html_extraction(spark: SparkSession, base: str) -> DataFrame:
+    from docloom.llm import html_extract
+
+    return html_extract.main_text(spark.read.parquet(f"{base.rstrip('/')}/pages.parquet"))
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
@@ -71,6 +77,7 @@ QUERIES = {
     "op6_ngram_join": op6_ngram_join,
     "op7_secret_scan": op7_secret_scan,
     "op9_quality_rules": op9_quality_rules,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES = {
