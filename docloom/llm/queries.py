@@ -15,6 +15,16 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, base: str) -> DataFrame:
+    from docloom.llm import lm_scoring
+    from docloom.llm.common import remainder
+
+    rows = lm_scoring.folds(documents(spark, base))
+    out = lm_scoring.score(rows, *lm_scoring.train(rows.where("train")))
+    held_out = (remainder("doc_id", 10) == 0).alias("held_out")
+    return out.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_language_id(spark: SparkSession, base: str) -> DataFrame:
     from docloom.llm import language_id
     from docloom.llm.common import remainder
@@ -70,6 +80,7 @@ def op10_html_extraction(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
     "op4_piece_encoding": op4_piece_encoding,
