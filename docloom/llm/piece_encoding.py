@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.packing import CACHE, slices
+from docloom.llm.packing import slices
 
 SPACE = "▁"
 END_ID = 2
 _NONE = np.int64(1) << 40
+#: Chunks that a worker remembers before it starts anew.
+CACHE = 400_000
 
 
 class PieceModel:

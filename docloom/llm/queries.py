@@ -66,6 +66,12 @@ def op7_secret_scan(spark: SparkSession, base: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.train(docs))
 
 
+def op8_token_counts(spark: SparkSession, base: str, path: str | None = None) -> DataFrame:
+    from docloom.llm import token_counts
+
+    return token_counts.token_counts(documents(spark, base), path or tokenizer("piece_bpe_32k.model"))
+
+
 def op9_quality_rules(spark: SparkSession, base: str) -> DataFrame:
     from docloom.llm import quality_rules
 
@@ -87,6 +93,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op7_secret_scan": op7_secret_scan,
+    "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
 }
