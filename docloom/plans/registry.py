@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +25,12 @@ def register(name: str, oracle: str | None = None):
     return put
 
 
+_MODULES = ("retrieval_plans",)
+
+
 def _load() -> None:
-    return None
+    for name in _MODULES:
+        importlib.import_module(f"docloom.plans.{name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
