@@ -25,7 +25,7 @@ def register(name: str, oracle: str | None = None):
     return put
 
 
-_MODULES = ("retrieval_plans", "relational_plans")
+_MODULES = ("retrieval_plans", "relational_plans", "text_plans")
 
 
 def _load() -> None:
