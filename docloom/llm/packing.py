@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ END_ID = 2
 #: Pieces in one packing group, on average.
 GROUP = 4096
 #: Entries a worker's word cache holds before it starts anew, and bytes of text encoded at a time.
-CACHE, SLICE = 400_000, 2 << 20
+CACHE, SLICE = 1_000_000, 2 << 20
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -62,17 +63,22 @@ class WordEncoder:
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and each text's bounds in them."""
+        """Flat ids and each text's bounds in them.
+
+        The vocabulary ignores case, so A-Z are lowered first, but for texts that may spell a special token.
+        """
         words, counts = [], np.zeros(len(texts), np.int64)
         for k, t in enumerate(texts):
-            own = t.split()
+            own = (t if b"<|" in t else t.lower()).split()
             counts[k] = len(own)
             words += own
         if len(self.index) > CACHE:
             self.reset()
-        if unknown := set(words).difference(self.index):
-            self._learn(unknown)
-        place = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        place = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(place < 0)):
+            new = new.tolist()
+            self._learn({words[k] for k in new})
+            place[new] = [self.index[words[k]] for k in new]
         first, size = self.bounds[place], self.bounds[place + 1] - self.bounds[place]
         ends = np.cumsum(size)
         flat = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)]
@@ -90,9 +96,19 @@ def slices(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[list, list[bytes]]]
         at = to
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """This worker's encoder; its word cache outlives a task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def _tokenise(path: str, with_ids: bool):
     def run(batches):
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         for b in batches:
             for doc_ids, texts in slices(b.column(0), b.column(1)):
                 flat, bounds = encoder.encode(texts)
