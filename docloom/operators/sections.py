@@ -169,11 +169,6 @@ def greedy_runs(sizes: Column, heads: Column, max_items: int = MAX_PAGES, target
     return F.aggregate(items, start, step, lambda a: a["out"])
 
 
-def joined_headings(x: Column) -> Column:
-    """Adjacent ``##`` headings, at most two blank lines apart, as one line joined by `` / ``."""
-    return F.regexp_replace(x, r"(?m)(?<=\S)[ \t]*\n(?:[ \t]*\n){0,2}(?=## )(?<=(?:^|\n)## [^\n]{1,400}\n(?:[ \t]{0,20}\n){0,2})## ", " / ")
-
-
 def page_issues(evidence: DataFrame) -> DataFrame:
     """Page checks: fewer table lines than two a table, or images without a figure marker."""
     table_lines = F.size(F.filter(lines(F.col("markdown")), lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"))) >= 2))
