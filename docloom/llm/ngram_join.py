@@ -11,10 +11,13 @@ when 100 * overlap >= 85 * union. The join never lists the pairs of a group:
 3. Linked sets share one of their first n - ceil(0.85 n) + 1 shingles in any common
    order (prefix bound). Owners gather these columns of the document by n-gram
    incidence matrix, split a column's rows where sizes rule links out, and keep each
-   distinct set of rows once, in tiles of at most ``TILE`` sets.
-4. Only sets in some tile fetch their shingles. A tile's overlap counts are a blocked
-   sparse matrix product; a pair is dropped by size, then by the exact count, and a
-   spanning forest of the links found is all that leaves the task.
+   distinct group of rows once. Groups that share rows are clustered, and a cluster -
+   cut in runs of bounded size where it is large - is a block of rows.
+   Before that, parities of the shingles in fixed cells part sets of a group that
+   cannot link: each differing cell is a shingle that only one of two sets has.
+4. Only sets in some block fetch their shingles. A block's overlap counts are a sparse
+   matrix product, a slab of columns at a time; a pair is dropped by size, then by the
+   exact count, and a spanning forest of the links found is all that leaves the task.
 5. Components come from alternating star contractions, each round written to the
    shared folder.
 
@@ -28,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import golomb
@@ -39,7 +42,11 @@ WORDS, PERCENT = 4, 85
 DF_BITS, KEY_BITS = 40, 48
 #: Keys that the order knows as frequent (16 bytes each), and the count from which one may be.
 FREQUENT, LEAST_FREQUENT = 1 << 17, 8
-TILE, SLAB, SLICE, HELD = 256, 8192, 4 << 20, 1 << 22
+#: Sets and shingles that a run of a cut group has; two runs meet in a block.
+TILE, SHINGLES = 1024, 1 << 20
+SLAB, SLICE, HELD = 8192, 4 << 20, 1 << 22
+#: Sets above this size have the finer parity cells; larger groups than SIEVED go on unsieved.
+LARGE, SIEVED = 3000, 8192
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -81,14 +88,25 @@ def set_hash(own: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
+def parity(own: np.ndarray) -> bytes:
+    """Parity of the set's shingles in each of 2048 cells, and in 16384 for sets too large for these.
+
+    Each cell that differs between two sets is at least one shingle that only one has.
+    """
+    cells = lambda bits, shift: np.packbits(np.bincount((own >> np.uint64(shift)).astype(np.int64) & (bits - 1), minlength=bits) & 1).tobytes()
+    return cells(2048, 9) + (cells(16_384, 21) if len(own) > LARGE else b"")
+
+
 def _signatures(batches):
     for b in batches:
         n, s1, s2 = np.zeros((3, b.num_rows), np.int64)
+        bits: list[bytes | None] = [None] * b.num_rows
         for k, own in shingle_sets(b.column(1)):
             n[k] = len(own)
             if len(own):
                 s1[k], s2[k] = set_hash(own)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(s1), pa.array(s2)], ["doc_id", "n", "s1", "s2"])
+                bits[k] = parity(own)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(s1), pa.array(s2), pa.array(bits, pa.binary())], ["doc_id", "n", "s1", "s2", "bits"])
 
 
 def _edges(keys: np.ndarray, bits: int, owners: int) -> np.ndarray:
@@ -212,8 +230,8 @@ def _candidate_blocks(shared_frequent, owners: int):
     return run
 
 
-def _tiles(pdf: pd.DataFrame) -> pd.DataFrame:
-    """An owner's columns: rows that share a prefix key, as tiles of sets of compatible size."""
+def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
+    """An owner's columns: the sets of compatible size that share a prefix key, each distinct group once."""
     tok, sets, size = [], [], []
     for keys, counts, places, s1, n in zip(pdf["keys"], pdf["counts"], pdf["places"], pdf["sets"], pdf["sizes"], strict=True):
         keys = golomb.decode(keys)
@@ -230,32 +248,119 @@ def _tiles(pdf: pd.DataFrame) -> pd.DataFrame:
     tok, sets, size = tok[live], sets[live], size[live]
     order = np.lexsort((sets, size, tok))
     tok, sets, size = tok[order], sets[order], size[order]
-    if len(tok):
-        fresh = np.append(True, (tok[1:] != tok[:-1]) | (sets[1:] != sets[:-1]))
-        tok, sets, size = tok[fresh], sets[fresh], size[fresh]
-    out_block, out_set = [], []
-    if len(tok):
-        start = np.append(True, (tok[1:] != tok[:-1]) | (100 * size[:-1] < PERCENT * size[1:]))
-        start = np.flatnonzero(start)
-        end = np.append(start[1:], len(tok))
-        many = end - start > 1
-        start, end = start[many], end[many]
-        code = np.concatenate([[0], np.cumsum(mix64(sets.view(np.uint64)), dtype=np.uint64)])
-        group = mix64(code[end] - code[start] + (end - start).astype(np.uint64))
-        _, once = np.unique(group, return_index=True)
-        for g in once.tolist():
-            a, b, name = int(start[g]), int(end[g]), group[g]
-            cuts = list(range(a, b, TILE // 2)) + [b] if b - a > TILE else [a, b]
-            for i in range(len(cuts) - 1):
-                for j in range(i if len(cuts) == 2 else i + 1, len(cuts) - 1):
-                    if j > i + 1 and 100 * size[cuts[i + 1] - 1] < PERCENT * size[cuts[j]]:
-                        break
-                    own = sets[cuts[i] : cuts[i + 1]] if i == j else np.concatenate([sets[cuts[i] : cuts[i + 1]], sets[cuts[j] : cuts[j + 1]]])
-                    block = mix64(np.array([int(name) ^ (i << 20 | j)], np.uint64))[0]
-                    out_block.append(np.full(len(own), block, np.uint64))
-                    out_set.append(own)
-    flat = lambda x: np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64)
-    return pd.DataFrame({"block": flat(out_block), "s1": flat(out_set)})
+    fresh = np.append(True, (tok[1:] != tok[:-1]) | (sets[1:] != sets[:-1]))[: len(tok)]
+    tok, sets, size = tok[fresh], sets[fresh], size[fresh]
+    start = np.flatnonzero(np.append(True, (tok[1:] != tok[:-1]) | (100 * size[:-1] < PERCENT * size[1:]))[: len(tok)])
+    end = np.append(start[1:], len(tok))[: len(start)]
+    many = end - start > 1
+    start, end = start[many], end[many]
+    code = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(sets.view(np.uint64)), dtype=np.uint64)])
+    name = mix64(code[end] - code[start] + (end - start).astype(np.uint64))
+    name, once = np.unique(name, return_index=True)
+    start, length = start[once], (end - start)[once]
+    at = np.repeat(start - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum()) if len(once) else np.zeros(0, np.int64)
+    return pd.DataFrame({"block": np.repeat(name, length).view(np.int64), "s1": sets[at], "n": size[at]})
+
+
+def _may_link(n: np.ndarray, small: np.ndarray, large: np.ndarray, has_large: np.ndarray, k: int) -> np.ndarray:
+    """Which sets may link with set ``k``: sizes and differing parities leave room for the overlap."""
+    both = n + n[k]
+    room = both - 2 * -(-PERCENT * both // (100 + PERCENT))
+    ok = 100 * np.minimum(n, n[k]) >= PERCENT * np.maximum(n, n[k])
+    ok &= np.bitwise_count(small ^ small[k]).sum(1) <= room
+    if has_large[k]:
+        ok[has_large] &= np.bitwise_count(large ^ large[np.searchsorted(np.flatnonzero(has_large), k)]).sum(1) <= room[has_large]
+    return ok
+
+
+def _split_group(n: np.ndarray, bits: list[bytes]) -> np.ndarray:
+    """Label of each set's component under ``_may_link``; -1 for sets that may link with none."""
+    small = np.frombuffer(b"".join(b[:256] for b in bits), np.uint64).reshape(-1, 32)
+    has_large = np.array([len(b) > 256 for b in bits])
+    large = np.frombuffer(b"".join(b[256:] for b in bits), np.uint64).reshape(-1, 256)
+    label, m = np.full(len(n), -1), len(n)
+    left = np.ones(m, bool)
+    for seed in range(m):
+        if not left[seed]:
+            continue
+        queue, left[seed] = [seed], False
+        while queue:
+            k = queue.pop()
+            new = np.flatnonzero(_may_link(n, small, large, has_large, k) & left)
+            left[new] = False
+            if len(new) or k != seed:
+                label[k] = label[new] = seed
+            queue += new.tolist()
+    return label
+
+
+def _sieve(batches):
+    """Rows come sorted by block: (block, s1, n, bits); groups lose sets that can link with none in them."""
+
+    def solve(block, s1, n, bits):
+        keys, first = np.unique(np.array(s1, np.int64), return_index=True)
+        n = np.array(n, np.int64)[first]
+        label = _split_group(n, [bits[k] for k in first]) if len(keys) <= SIEVED else np.zeros(len(keys), np.int64)
+        name = mix64(np.array([block], np.int64).view(np.uint64))[0] + label.astype(np.uint64)
+        kept = label >= 0
+        return mix64(name[kept]).view(np.int64), keys[kept], n[kept]
+
+    def rows(found):
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "s1", "n"])
+
+    now, held = None, ([], [], [])
+    for b in batches:
+        blocks, s1, n = (b.column(i).to_numpy() for i in range(3))
+        bits, found = b.column(3), []
+        edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        for a, z in zip(edges[:-1], edges[1:], strict=True):
+            if z > a:
+                if blocks[a] != now:
+                    if len(held[0]) > 1:
+                        found.append(solve(now, *held))
+                    now, held = blocks[a], ([], [], [])
+                held[0].extend(s1[a:z].tolist())
+                held[1].extend(n[a:z].tolist())
+                held[2].extend(bits.slice(a, z - a).to_pylist())
+        yield rows(found)
+    yield rows([solve(now, *held)] if len(held[0]) > 1 else [])
+
+
+def sieved(groups: DataFrame, signed: DataFrame) -> DataFrame:
+    """Groups without the pairs that sizes and parities rule out; no linked pair is ever parted."""
+    live = groups.select("s1").distinct()
+    bits = signed.where("n > 0").select("s1", "bits").join(live, "s1", "left_semi").groupBy("s1").agg(F.first("bits").alias("bits"))
+    rows = groups.join(bits, "s1").select("block", "s1", "n", "bits")
+    return rows.repartition(n_owners(groups.sparkSession), "block").sortWithinPartitions("block").mapInArrow(_sieve, "block long, s1 long, n long").distinct()
+
+
+def placements(groups: DataFrame) -> DataFrame:
+    """(s1, blocks): where each set's shingles must go so that every candidate pair meets.
+
+    Groups that share sets form a cluster. A set goes once to its cluster, or to each of
+    its groups where that is fewer rows; whatever has more than a tile's sets or shingles
+    is cut in runs by size, and each two runs meet in a block of their own.
+    """
+    star = groups.groupBy("block").agg(F.min("s1").alias("a"))
+    near = components(groups.join(star, "block").select("a", F.col("s1").alias("b")))
+    named = near.select(F.col("id").alias("s1"), F.col("component").alias("cluster"))
+    own = groups.join(named, "s1", "left").select("block", "s1", "n", F.coalesce("cluster", "s1").alias("cluster"))
+    half = F.lit(TILE // 2)
+    rows = lambda m: m * F.greatest(F.lit(1), F.ceil(m / half) - 1)
+    in_groups = own.groupBy("block", "cluster").agg(F.count(F.lit(1)).alias("m")).groupBy("cluster").agg(F.sum(rows(F.col("m"))).alias("cost"))
+    members = own.groupBy("cluster", "s1").agg(F.min("n").alias("n"))
+    in_cluster = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    whole = in_cluster.join(in_groups, "cluster").select("cluster", (rows(F.col("m")) <= F.col("cost")).alias("whole"))
+    by_cluster = members.join(whole.where("whole"), "cluster").select(F.col("cluster").alias("block"), "s1", "n")
+    by_group = own.join(whole.where("not whole"), "cluster").select("block", "s1", "n")
+    w = Window.partitionBy("block").orderBy("n", "s1").rowsBetween(Window.unboundedPreceding, 0)
+    run = F.greatest(F.floor((F.count(F.lit(1)).over(w) - 1) / half), F.floor((F.sum("n").over(w) - F.col("n")) / SHINGLES)).cast("int")
+    cut = by_cluster.union(by_group).withColumn("run", run)
+    last = cut.groupBy("block").agg(F.max("run").alias("last"))
+    other = F.filter(F.sequence(F.lit(0), F.col("last")), lambda j: (j != F.col("run")) | (F.col("last") == 0))
+    met = F.transform(other, lambda j: F.xxhash64("block", F.least("run", j), F.greatest("run", j)))
+    return cut.join(last, "block").select("s1", F.explode(met).alias("block")).distinct().groupBy("s1").agg(F.collect_list("block").alias("blocks"))
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -331,20 +436,32 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _tokens(batches):
-    """The sets that were asked for; another text under the same id is left out."""
+    """Each asked-for set's shingles once for each of its blocks; another text under the same id is left out."""
     for b in batches:
-        s1 = b.column(0).to_numpy()
-        found = [(k, own) for k, own in shingle_sets(b.column(2)) if len(own) and set_hash(own)[0] == s1[k]]
-        rows = pa.array([k for k, _ in found], pa.int64())
-        offs = np.concatenate([[0], np.cumsum([len(x) for _, x in found])]).astype(np.int32)
-        flat = np.concatenate([x for _, x in found]).view(np.int64) if found else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], ["s1", "rep", "tokens"])
+        s1, blocks = b.column(0).to_numpy(), b.column(2).to_pylist()
+        reps, out = b.column(1).to_pylist(), []
+        size = 0
+        for k, own in shingle_sets(b.column(3)):
+            if len(own) and set_hash(own)[0] == s1[k]:
+                out += [(x, reps[k], own) for x in blocks[k]]
+                size += len(own) * len(blocks[k])
+                if size > HELD:
+                    yield _rows(out)
+                    out, size = [], 0
+        yield _rows(out)
+
+
+def _rows(out: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    offs = np.concatenate([[0], np.cumsum([len(x) for *_, x in out])]).astype(np.int32)
+    flat = np.concatenate([x for *_, x in out]).view(np.int64) if out else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))
+    return pa.RecordBatch.from_arrays([pa.array([x for x, *_ in out], pa.int64()), pa.array([r for _, r, _ in out], pa.int64()), lists], ["block", "rep", "tokens"])
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, set size and 128-bit set hash of every row."""
+    """doc_id, set size, 128-bit set hash and parity cells of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long")
+    return rows.mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long, bits binary")
 
 
 def links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -353,15 +470,12 @@ def links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_keys(rows))
     blocks = rows.select("text").mapInArrow(_candidate_blocks(frequent, n_owners(spark)), "owner int, keys binary, counts binary, places binary, sets binary, sizes binary")
-    tiles = shared(blocks.groupBy("owner").applyInPandas(_tiles, "block long, s1 long"))
-    live = tiles.select("s1").distinct()
-    reps = signed.where("n > 0").join(live, "s1", "left_semi").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    wanted = reps.select("s1", "rep")
-    fetched = wanted.join(rows, wanted["rep"] == rows["doc_id"]).select("s1", "rep", "text")
-    sets = fetched.mapInArrow(_tokens, "s1 long, rep long, tokens array<bigint>")
-    placed = tiles.join(sets, "s1").select("block", "rep", "tokens")
-    n = n_owners(spark)
-    return placed.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_verify, "a long, b long").distinct()
+    groups = shared(blocks.groupBy("owner").applyInPandas(_groups, "block long, s1 long, n long").distinct())
+    placed = placements(shared(sieved(groups, signed)))
+    reps = signed.where("n > 0").join(placed, "s1").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("blocks").alias("blocks"))
+    fetched = reps.join(rows, reps["rep"] == rows["doc_id"]).select("s1", "rep", "blocks", "text")
+    sets = fetched.mapInArrow(_tokens, "block long, rep long, tokens array<bigint>")
+    return sets.repartition(n_owners(spark), "block").sortWithinPartitions("block").mapInArrow(_verify, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
