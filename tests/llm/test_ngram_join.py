@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from docloom.llm import ngram_join
 from docloom.llm.queries import op6_ngram_join
@@ -48,7 +49,10 @@ def near_copies(n, length, seed, edits):
         yield " ".join(w)
 
 
-def test_hot_groups_and_edges(spark):
+@pytest.mark.parametrize("tile,shingles", [(ngram_join.TILE, ngram_join.SHINGLES), (64, 2000)])
+def test_hot_groups_and_edges(spark, monkeypatch, tile, shingles):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "SHINGLES", shingles)
     texts = dict(enumerate([None, "", " ", "one", "One", "a b", "a b c", "A b\tc", "a b c d", "a b c d e", "z " * 50, "z " * 60]))
     for t in [*near_copies(420, 120, 1, 9), *near_copies(60, 30, 2, 3), *["same text here and there"] * 200, *near_copies(5, 30_000, 3, 900)]:
         texts[len(texts) + 100] = t
@@ -80,3 +84,20 @@ def test_overlap_product():
     want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
     got = ngram_join.overlaps(sets)
     assert all(got[i][j] == want[i][j] for i in range(5) for j in range(5) if i != j)
+
+
+def test_sieve_never_parts_linked_sets():
+    rng = np.random.default_rng(4)
+    sets, base_sets = [], [np.unique(rng.integers(0, 2**63, k).astype(np.uint64)) for k in (10, 200, 5000, 20_000)]
+    for b in base_sets:
+        for share in (0.0, 0.05, 0.08, 0.2):
+            keep = b[rng.random(len(b)) >= share]
+            sets.append(np.unique(np.append(keep, rng.integers(0, 2**63, int(len(b) * share * 0.5)).astype(np.uint64))))
+    n, bits = np.array([len(s) for s in sets]), [ngram_join.parity(s) for s in sets]
+    label = ngram_join._split_group(n, bits)
+    c = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * c[i][j] >= 85 * (n[i] + n[j] - c[i][j]):
+                assert label[i] == label[j] >= 0
+    assert len(set(label)) >= 4
