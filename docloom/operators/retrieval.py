@@ -97,20 +97,33 @@ def branch_norm(hits: DataFrame, raw: str) -> DataFrame:
     return hits.withColumn("score_norm", F.when(high > low, (F.col(raw) - low) / (high - low)).otherwise(F.lit(1.0)))
 
 
-def dense_branch(chunks: DataFrame, queries: DataFrame, k: int, threshold: float, strict: bool = False) -> DataFrame:
-    hits = branch_norm(resilient(chunks, queries, k, threshold, strict), "score")
+def pool_of(chunks: DataFrame, queries: DataFrame, k: int, threshold: float, strict: bool = False) -> DataFrame:
+    """The POOL * k best chunks of each query; both branches come from it, so one scan serves both."""
+    return resilient(chunks, queries, POOL * k, threshold, strict)
+
+
+def dense_of(pool: DataFrame, k: int) -> DataFrame:
+    hits = branch_norm(pool.where(F.col("rank") <= k), "score")
     return hits.select("query_id", "chunk_id", *PAYLOAD, F.lit("dense").alias("branch"), "rank", F.col("score").alias("score_raw"), "score_norm")
 
 
-def lexical_branch(chunks: DataFrame, queries: DataFrame, k: int, threshold: float, strict: bool = False) -> DataFrame:
-    """Overlap of query terms within the dense pool of POOL * k chunks."""
-    pool = resilient(chunks, queries, POOL * k, threshold, strict).drop("rank")
+def lexical_of(pool: DataFrame, k: int) -> DataFrame:
     text = F.concat_ws(" ", F.coalesce("document_title", F.lit("")), F.coalesce("section_heading", F.lit("")), F.coalesce("content", F.lit("")))
-    hits = pool.withColumn("overlap", T.overlap_score(T.tokens(F.col("q_text")), text)).where("overlap > 0")
+    hits = pool.drop("rank").withColumn("overlap", T.overlap_score(T.tokens(F.col("q_text")), text)).where("overlap > 0")
     hits = branch_norm(_top(hits, k, F.desc("overlap"), F.desc("score"), F.col("chunk_id")), "overlap")
     return hits.select("query_id", "chunk_id", *PAYLOAD, F.lit("lexical").alias("branch"), "rank", F.col("overlap").alias("score_raw"), "score_norm")
 
 
+def dense_branch(chunks: DataFrame, queries: DataFrame, k: int, threshold: float, strict: bool = False) -> DataFrame:
+    """The k best chunks by similarity."""
+    return dense_of(pool_of(chunks, queries, k, threshold, strict), k)
+
+
+def lexical_branch(chunks: DataFrame, queries: DataFrame, k: int, threshold: float, strict: bool = False) -> DataFrame:
+    """Overlap of query terms within the dense pool of POOL * k chunks."""
+    return lexical_of(pool_of(chunks, queries, k, threshold, strict), k)
+
+
 def fuse(branches: list[DataFrame], top_n: int, weights: dict[str, float] | None = None, constant: int = RANK_CONSTANT) -> DataFrame:
     """Weighted reciprocal-rank fusion; ties go by best norm, then by chunk id."""
     weights = weights or {"lexical": WEIGHT, "dense": WEIGHT}
@@ -138,8 +151,9 @@ def single_branch(branch: DataFrame, top_n: int) -> DataFrame:
 
 def hybrid(chunks: DataFrame, queries: DataFrame, k: int, threshold: float, strict: bool = False, available=("lexical", "dense")) -> tuple[DataFrame | None, str | None]:
     """The fused result, or one branch, or none; with the reason of a fallback."""
-    make = {"lexical": lexical_branch, "dense": dense_branch}
-    found = {b: make[b](chunks, queries, k, threshold, strict) for b in ("lexical", "dense") if b in available}
+    make = {"lexical": lexical_of, "dense": dense_of}
+    pool = pool_of(chunks, queries, k, threshold, strict) if available else None
+    found = {b: make[b](pool, k) for b in ("lexical", "dense") if b in available}
     if len(found) == 2:
         return fuse([found["lexical"], found["dense"]], k), None
     if not found:

@@ -49,13 +49,13 @@ def jn16_positional_zip(spark, base):
 
 
 @register("jn9_dom8_page_records", f"""WITH {_LINES}, t AS (SELECT doc_id, string_agg(line, ';' ORDER BY i) AS tables FROM lines WHERE starts_with(line, '|') GROUP BY 1), f AS (SELECT doc_id, count(*) AS figures FROM lines WHERE starts_with(line, '![') GROUP BY 1)
-  SELECT d.doc_id, l.quality, coalesce(t.tables, '') AS tables, coalesce(f.figures, 0) AS figures FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN f USING (doc_id)""")
+  SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(t.tables, '') AS tables, coalesce(f.figures, 0) AS figures FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN f USING (doc_id)""")
 def jn9_dom8_page_records(spark, base):
     m = markdown(spark, base)
     lines = m.select("doc_id", F.posexplode(F.split("markdown", "\n")).alias("pos", "item"))
     v = table(spark, base, "labels").select("doc_id", "quality")
     out = C.page_records(m.select("doc_id"), v, lines.where(F.col("item").startswith("|")), lines.where(F.col("item").startswith("![")), ["doc_id"])
-    return out.select("doc_id", "quality", F.array_join("tables", ";").alias("tables"), F.size("figures").cast("long").alias("figures"))
+    return out.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.array_join("tables", ";").alias("tables"), F.size("figures").cast("long").alias("figures"))
 
 
 @register("agg24_ordered_distinct", """
@@ -215,10 +215,10 @@ def dom10_publishable_chunks(spark, base):
 
 
 @register("dom12_versions", """
-  SELECT user_id, event_id AS version, lead(event_id) OVER w AS previous FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id DESC) QUALIFY row_number() OVER w <= 2""")
+  SELECT user_id, event_id AS version, coalesce(lead(event_id) OVER w, -1) AS previous FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id DESC) QUALIFY row_number() OVER w <= 2""")
 def dom12_versions(spark, base):
     m = table(spark, base, "events").select("user_id", F.col("event_id").alias("version"))
-    return C.versions(m, "user_id").select("user_id", "version", "previous")
+    return C.versions(m, "user_id").select("user_id", "version", F.coalesce("previous", F.lit(-1)).alias("previous"))
 
 
 @register("dom12_audit_report", "SELECT conv_id, string_agg('v' || turn || ': ' || role, chr(10) ORDER BY turn) AS report FROM conversations GROUP BY 1")
@@ -277,12 +277,12 @@ def dt2_artifact_recency(spark, base):
     return table(spark, base, "orders").select("o_orderkey", F.coalesce(F.try_to_timestamp(raw, F.lit("yyyy-MM-dd'T'HH:mm:ss")) >= F.lit("1998-01-01").cast("timestamp"), F.lit(False)).alias("newer"))
 
 
-@register("win9_sheet_sections", f"WITH {_LINES} SELECT doc_id, heading AS sheet, start_line, end_line, lead(start_line) OVER (PARTITION BY doc_id ORDER BY section_no) AS next_start FROM secs")
+@register("win9_sheet_sections", f"WITH {_LINES} SELECT doc_id, heading AS sheet, start_line, end_line, coalesce(lead(start_line) OVER (PARTITION BY doc_id ORDER BY section_no), 0) AS next_start FROM secs")
 def win9_sheet_sections(spark, base):
     from pyspark.sql import Window as W
 
     s = S.sections(markdown(spark, base))
-    return s.select("doc_id", F.col("heading").alias("sheet"), "start_line", "end_line", F.lead("start_line").over(W.partitionBy("doc_id").orderBy("section_no")).alias("next_start"))
+    return s.select("doc_id", F.col("heading").alias("sheet"), "start_line", "end_line", F.coalesce(F.lead("start_line").over(W.partitionBy("doc_id").orderBy("section_no")), F.lit(0)).alias("next_start"))
 
 
 @register("win5_cause_batches", None)

@@ -50,12 +50,12 @@ def prj2_jn2_section_summaries(spark, base):
 
 @register("jn3_jn6_agg6_conversation_summaries", f"""WITH {CHATS}, {USERS}
   SELECT c.id, u.username, (SELECT count(*) FROM messages m WHERE m.conversation_id = c.id) AS message_count,
-    (SELECT max(timestamp) FROM messages m WHERE m.conversation_id = c.id) AS last_message_at,
+    coalesce((SELECT max(timestamp) FROM messages m WHERE m.conversation_id = c.id), -1) AS last_message_at,
     (SELECT left(content, 200) FROM messages m WHERE m.conversation_id = c.id ORDER BY timestamp DESC LIMIT 1) AS last_message_preview
   FROM chats c JOIN users u ON c.user_id = u.id""")
 def jn3_jn6_agg6_conversation_summaries(spark, base):
     out = V.conversation_summaries(chats(spark, base), users(spark, base), messages(spark, base))
-    return out.select("id", "username", "message_count", "last_message_at", "last_message_preview")
+    return out.select("id", "username", "message_count", F.coalesce("last_message_at", F.lit(-1)).alias("last_message_at"), "last_message_preview")
 
 
 @register("jn4_bookmark_details", f"""WITH {CHATS}, {USERS}

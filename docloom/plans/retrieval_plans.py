@@ -112,11 +112,11 @@ def _fused(spark, base):
 
 
 @register("ret_hybrid_topk", _with("""
-  SELECT query_id, rank_final, chunk_id, document_id, round(score_fused, 8) AS score_fused, lexical_rank, dense_rank,
+  SELECT query_id, rank_final, chunk_id, document_id, round(score_fused, 8) AS score_fused, coalesce(lexical_rank, 0) AS lexical_rank, coalesce(dense_rank, 0) AS dense_rank,
          round(coalesce(0.5 / (60 + lexical_rank) / score_fused, 0.0), 6) AS lexical_share FROM final"""))
 def ret_hybrid_topk(spark: SparkSession, base: str) -> DataFrame:
     """The flagship: both branches fused, with ranks and shares."""
-    return _fused(spark, base).select("query_id", "rank_final", "chunk_id", "document_id", F.round("score_fused", 8).alias("score_fused"), "lexical_rank", "dense_rank", "lexical_share")
+    return _fused(spark, base).select("query_id", "rank_final", "chunk_id", "document_id", F.round("score_fused", 8).alias("score_fused"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("lexical_rank", "dense_rank")], "lexical_share")
 
 
 @register("ret1_dense_branch", _with("SELECT query_id, chunk_id, rank, round(score, 6) AS score_raw, round(norm, 6) AS score_norm, tier FROM dense"))

@@ -233,10 +233,10 @@ def str31_query_redaction(spark, base):
 
 
 @register("str33_version_from_name", """
-  SELECT p_partkey, CAST(nullif(regexp_extract('doc_v' || p_size || '.md', '_v(\\d+)\\.md$', 1), '') AS INTEGER) AS version, CAST(nullif(regexp_extract(p_name, '_v(\\d+)\\.md$', 1), '') AS INTEGER) AS none FROM part""")
+  SELECT p_partkey, CAST(nullif(regexp_extract('doc_v' || p_size || '.md', '_v(\\d+)\\.md$', 1), '') AS INTEGER) AS version, coalesce(CAST(nullif(regexp_extract(p_name, '_v(\\d+)\\.md$', 1), '') AS INTEGER), -1) AS none FROM part""")
 def str33_version_from_name(spark, base):
     number = lambda x: F.nullif(F.regexp_extract(x, r"_v(\d+)\.md$", 1), F.lit("")).cast("int")
-    return table(spark, base, "part").select("p_partkey", number(F.concat(F.lit("doc_v"), "p_size", F.lit(".md"))).alias("version"), number(F.col("p_name")).alias("none"))
+    return table(spark, base, "part").select("p_partkey", number(F.concat(F.lit("doc_v"), "p_size", F.lit(".md"))).alias("version"), F.coalesce(number(F.col("p_name")), F.lit(-1)).alias("none"))
 
 
 @register("str20_id_substitution", """
