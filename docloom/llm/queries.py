@@ -98,7 +98,33 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
 }
 
+def _quality_oracle() -> str:
+    from docloom.llm.quality_rules import RULES, STOP_WORDS
+
+    tests = [f"{name} {op} {bound}" for name, low, high in RULES for op, bound in ((">=", low), ("<=", high)) if bound is not None]
+    return rf"""
+        WITH w AS (
+          SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 1)) AS i)),
+        twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+        rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(3) r(j) GROUP BY 1),
+        lines AS (SELECT doc_id, x FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM w) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+        by_line AS (SELECT doc_id, count(*) AS n, count(DISTINCT x) AS d, count(*) FILTER (regexp_matches(x, '(\.\.\.|…)\s*$')) AS e, count(*) FILTER (regexp_matches(x, '^\s*[-•*]')) AS b FROM lines GROUP BY 1),
+        m AS (
+          SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+            coalesce(l.n - l.d, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines, coalesce(l.e, 0) AS e, coalesce(l.b, 0) AS b,
+            len(list_intersect(list_transform(ws, lambda x: lower(x)), {list(dict.fromkeys(STOP_WORDS))!r})) AS stop_words, len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_alpha
+          FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN by_line l USING (doc_id)),
+        r AS (
+          SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_length, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbol_ratio,
+            coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_ratio, coalesce(e / nullif(n_lines, 0), 0) AS ellipsis_line_ratio, coalesce(b / nullif(n_lines, 0), 0) AS bullet_line_ratio,
+            coalesce(n_alpha / nullif(n_words, 0), 0) AS alpha_word_ratio, coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_word_ratio FROM m)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+          CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(tests)} AS kept FROM r"""
+
+
 ORACLES = {
+    "op9_quality_rules": _quality_oracle(),
     "op5_exact_dedup": r"""
         WITH t AS (
           SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
