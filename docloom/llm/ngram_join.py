@@ -11,10 +11,12 @@ when 100 * overlap >= 85 * union. The join never lists the pairs of a group:
 3. Linked sets share one of their first n - ceil(0.85 n) + 1 shingles in any common
    order (prefix bound). Owners gather these columns of the document by n-gram
    incidence matrix, split a column's rows where sizes rule links out, and keep each
-   distinct group of rows once. Groups that share rows are clustered, and a cluster -
+   distinct group of rows once; columns of keys in more than ``HOT`` documents reach no
+   owner and stay rows throughout. Groups that share rows are clustered, and a cluster -
    cut in runs of bounded size where it is large - is a block of rows.
    Before that, parities of the shingles in fixed cells part sets of a group that
    cannot link: each differing cell is a shingle that only one of two sets has.
+   Groups above ``SIEVED`` sets skip this, so no task ever holds a larger one.
 4. Only sets in some block fetch their shingles. A block's overlap counts are a sparse
    matrix product, a slab of columns at a time; a pair is dropped by size, then by the
    exact count, and a spanning forest of the links found is all that leaves the task.
@@ -47,6 +49,8 @@ TILE, SHINGLES = 1024, 1 << 20
 SLAB, SLICE, HELD = 8192, 4 << 20, 1 << 22
 #: Sets above this size have the finer parity cells; larger groups than SIEVED go on unsieved.
 LARGE, SIEVED = 3000, 8192
+#: Documents from which a key's column is held as rows; parts in which sets of one size are ranked.
+HOT, CELLS = 1 << 14, 64
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -193,26 +197,33 @@ def prefix(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarr
 
 
 def _candidate_blocks(shared_frequent, owners: int):
-    """Per owner: the coded prefix keys, how many sets each has here, these sets, their hashes and sizes."""
+    """Per owner: the coded prefix keys, how many sets each has here, these sets, their hashes and sizes.
 
-    def flush(tokens, members):
+    Hot keys' entries have owner -1.
+    """
+
+    def row(o, keys, member, s1, n):
+        distinct, counts = np.unique(keys, return_counts=True)
+        used, place = np.unique(member, return_inverse=True)
+        return o, golomb.encode(distinct), _pack_counts(counts), place.astype("<u4").tobytes(), s1[used].tobytes(), n[used].astype("<u4").tobytes()
+
+    def flush(tokens, members, hot):
         sizes = np.array([len(t) for t in tokens])
         keys = np.concatenate(tokens) >> np.uint64(64 - KEY_BITS)
         member = np.repeat(np.arange(len(tokens)), sizes)
         order = np.argsort(keys, kind="stable")
         keys, member = keys[order], member[order]
         s1, n = (np.array(x, np.int64) for x in zip(*members, strict=True))
-        edges, rows = _edges(keys, KEY_BITS, owners), []
-        for o, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            if a < b:
-                distinct, counts = np.unique(keys[a:b], return_counts=True)
-                used, place = np.unique(member[a:b], return_inverse=True)
-                rows.append((o, golomb.encode(distinct), _pack_counts(counts), place.astype("<u4").tobytes(), s1[used].tobytes(), n[used].astype("<u4").tobytes()))
+        often = np.isin(keys >> np.uint64(KEY_BITS - DF_BITS), hot)
+        rows = [row(-1, keys[often], member[often], s1, n)] if often.any() else []
+        keys, member = keys[~often], member[~often]
+        edges = _edges(keys, KEY_BITS, owners)
+        rows += [row(o, keys[a:b], member[a:b], s1, n) for o, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
         names = ["owner", "keys", "counts", "places", "sets", "sizes"]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if not i else pa.binary()) for i in range(6)], names)
 
     def run(batches):
-        frequent = shared_frequent.value
+        frequent, hot = shared_frequent.value
         tokens, members, seen, size = [], [], set(), 0
         for b in batches:
             for _, own in shingle_sets(b.column(0)):
@@ -222,24 +233,32 @@ def _candidate_blocks(shared_frequent, owners: int):
                     members.append((s[0], len(own)))
                     size += len(tokens[-1])
                     if size > HELD:
-                        yield flush(tokens, members)
+                        yield flush(tokens, members, hot)
                         tokens, members, seen, size = [], [], set(), 0
         if tokens:
-            yield flush(tokens, members)
+            yield flush(tokens, members, hot)
 
     return run
 
 
+def _entries(keys: bytes, counts: bytes, places: bytes, s1: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A coded block's entries: key, set and its size."""
+    keys, at = golomb.decode(keys), np.frombuffer(places, "<u4")
+    return np.repeat(keys, _unpack_counts(counts, len(keys))), np.frombuffer(s1, np.int64)[at], np.frombuffer(n, "<u4")[at].astype(np.int64)
+
+
+def _hot_rows(batches):
+    """Entries of hot keys as rows; each key is a group."""
+    for b in batches:
+        for r in b.to_pylist():
+            tok, sets, size = _entries(r["keys"], r["counts"], r["places"], r["sets"], r["sizes"])
+            yield pa.RecordBatch.from_arrays([pa.array(mix64(tok).view(np.int64)), pa.array(sets), pa.array(size)], ["block", "s1", "n"])
+
+
 def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
     """An owner's columns: the sets of compatible size that share a prefix key, each distinct group once."""
-    tok, sets, size = [], [], []
-    for keys, counts, places, s1, n in zip(pdf["keys"], pdf["counts"], pdf["places"], pdf["sets"], pdf["sizes"], strict=True):
-        keys = golomb.decode(keys)
-        at = np.frombuffer(places, "<u4")
-        tok.append(np.repeat(keys, _unpack_counts(counts, len(keys))))
-        sets.append(np.frombuffer(s1, np.int64)[at])
-        size.append(np.frombuffer(n, "<u4")[at].astype(np.int64))
-    tok, sets, size = np.concatenate(tok), np.concatenate(sets), np.concatenate(size)
+    blocks = (_entries(*x) for x in zip(pdf["keys"], pdf["counts"], pdf["places"], pdf["sets"], pdf["sizes"], strict=True))
+    tok, sets, size = map(np.concatenate, zip(*blocks, strict=True))
     # columns with one row hold no pair
     order = np.argsort(tok, kind="stable")
     tok, sets, size = tok[order], sets[order], size[order]
@@ -300,7 +319,7 @@ def _sieve(batches):
     def solve(block, s1, n, bits):
         keys, first = np.unique(np.array(s1, np.int64), return_index=True)
         n = np.array(n, np.int64)[first]
-        label = _split_group(n, [bits[k] for k in first]) if len(keys) <= SIEVED else np.zeros(len(keys), np.int64)
+        label = _split_group(n, [bits[k] for k in first])
         name = mix64(np.array([block], np.int64).view(np.uint64))[0] + label.astype(np.uint64)
         kept = label >= 0
         return mix64(name[kept]).view(np.int64), keys[kept], n[kept]
@@ -329,10 +348,13 @@ def _sieve(batches):
 
 def sieved(groups: DataFrame, signed: DataFrame) -> DataFrame:
     """Groups without the pairs that sizes and parities rule out; no linked pair is ever parted."""
-    live = groups.select("s1").distinct()
+    large = groups.groupBy("block").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SIEVED).select("block")
+    small = groups.join(large, "block", "left_anti")
+    live = small.select("s1").distinct()
     bits = signed.where("n > 0").select("s1", "bits").join(live, "s1", "left_semi").groupBy("s1").agg(F.first("bits").alias("bits"))
-    rows = groups.join(bits, "s1").select("block", "s1", "n", "bits")
-    return rows.repartition(n_owners(groups.sparkSession), "block").sortWithinPartitions("block").mapInArrow(_sieve, "block long, s1 long, n long").distinct()
+    rows = small.join(bits, "s1").select("block", "s1", "n", "bits")
+    rows = rows.repartition(n_owners(groups.sparkSession), "block").sortWithinPartitions("block").mapInArrow(_sieve, "block long, s1 long, n long")
+    return rows.union(groups.join(large, "block", "left_semi").select("block", "s1", "n")).distinct()
 
 
 def placements(groups: DataFrame) -> DataFrame:
@@ -354,13 +376,24 @@ def placements(groups: DataFrame) -> DataFrame:
     whole = in_cluster.join(in_groups, "cluster").select("cluster", (rows(F.col("m")) <= F.col("cost")).alias("whole"))
     by_cluster = members.join(whole.where("whole"), "cluster").select(F.col("cluster").alias("block"), "s1", "n")
     by_group = own.join(whole.where("not whole"), "cluster").select("block", "s1", "n")
-    w = Window.partitionBy("block").orderBy("n", "s1").rowsBetween(Window.unboundedPreceding, 0)
-    run = F.greatest(F.floor((F.count(F.lit(1)).over(w) - 1) / half), F.floor((F.sum("n").over(w) - F.col("n")) / SHINGLES)).cast("int")
-    cut = by_cluster.union(by_group).withColumn("run", run)
-    last = cut.groupBy("block").agg(F.max("run").alias("last"))
+    cut = shared(by_cluster.union(by_group).withColumn("cell", F.pmod(F.xxhash64("s1"), F.lit(CELLS))))
+    # ranks by size without one task for a block: counts of small cells first, then ranks inside each cell
+    cells = cut.groupBy("block", "n", "cell").agg(F.count(F.lit(1)).alias("m"))
+    every = Window.partitionBy("block")
+    before = every.orderBy("n", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    place = lambda sets, shingles: F.greatest(F.floor(sets / half), F.floor(shingles / SHINGLES)).cast("int")
+    cells = cells.select(
+        "block", "n", "cell",
+        F.coalesce(F.sum("m").over(before), F.lit(0)).alias("sets"),
+        F.coalesce(F.sum(F.col("m") * F.col("n")).over(before), F.lit(0)).alias("shingles"),
+        place(F.sum("m").over(every) - 1, F.sum(F.col("m") * F.col("n")).over(every) - F.max("n").over(every)).alias("last"),
+    )
+    k = F.row_number().over(Window.partitionBy("block", "n", "cell").orderBy("s1")) - 1
+    ranked = cut.join(cells, ["block", "n", "cell"]).withColumn("k", k)
+    ranked = ranked.withColumn("run", place(F.col("sets") + F.col("k"), F.col("shingles") + F.col("k") * F.col("n")))
     other = F.filter(F.sequence(F.lit(0), F.col("last")), lambda j: (j != F.col("run")) | (F.col("last") == 0))
     met = F.transform(other, lambda j: F.xxhash64("block", F.least("run", j), F.greatest("run", j)))
-    return cut.join(last, "block").select("s1", F.explode(met).alias("block")).distinct().groupBy("s1").agg(F.collect_list("block").alias("blocks"))
+    return ranked.select("s1", F.explode(met).alias("block")).distinct().groupBy("s1").agg(F.collect_list("block").alias("blocks"))
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -468,9 +501,12 @@ def links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text: str
     """Spanning links (a, b) between the smallest doc_ids of distinct sets; may repeat."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    frequent = spark.sparkContext.broadcast(frequent_keys(rows))
-    blocks = rows.select("text").mapInArrow(_candidate_blocks(frequent, n_owners(spark)), "owner int, keys binary, counts binary, places binary, sets binary, sizes binary")
-    groups = shared(blocks.groupBy("owner").applyInPandas(_groups, "block long, s1 long, n long").distinct())
+    keys, df = frequent_keys(rows)
+    frequent = spark.sparkContext.broadcast(((keys, df), keys[df > HOT]))
+    blocks = shared(rows.select("text").mapInArrow(_candidate_blocks(frequent, n_owners(spark)), "owner int, keys binary, counts binary, places binary, sets binary, sizes binary"))
+    few = blocks.where("owner >= 0").groupBy("owner").applyInPandas(_groups, "block long, s1 long, n long")
+    hot = blocks.where("owner < 0").mapInArrow(_hot_rows, "block long, s1 long, n long")
+    groups = shared(few.union(hot).distinct())
     placed = placements(shared(sieved(groups, signed)))
     reps = signed.where("n > 0").join(placed, "s1").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("blocks").alias("blocks"))
     fetched = reps.join(rows, reps["rep"] == rows["doc_id"]).select("s1", "rep", "blocks", "text")

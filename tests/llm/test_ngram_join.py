@@ -49,9 +49,11 @@ def near_copies(n, length, seed, edits):
         yield " ".join(w)
 
 
-@pytest.mark.parametrize("tile,shingles", [(ngram_join.TILE, ngram_join.SHINGLES), (64, 2000)])
-def test_hot_groups_and_edges(spark, monkeypatch, tile, shingles):
+@pytest.mark.parametrize("tile,shingles,hot", [(ngram_join.TILE, ngram_join.SHINGLES, ngram_join.HOT), (64, 2000, 100)])
+def test_hot_groups_and_edges(spark, monkeypatch, tile, shingles, hot):
     monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "SIEVED", min(ngram_join.SIEVED, 2 * hot))
     monkeypatch.setattr(ngram_join, "SHINGLES", shingles)
     texts = dict(enumerate([None, "", " ", "one", "One", "a b", "a b c", "A b\tc", "a b c d", "a b c d e", "z " * 50, "z " * 60]))
     for t in [*near_copies(420, 120, 1, 9), *near_copies(60, 30, 2, 3), *["same text here and there"] * 200, *near_copies(5, 30_000, 3, 900)]:
