@@ -373,7 +373,8 @@ def placements(groups: DataFrame) -> DataFrame:
     in_groups = own.groupBy("block", "cluster").agg(F.count(F.lit(1)).alias("m")).groupBy("cluster").agg(F.sum(rows(F.col("m"))).alias("cost"))
     members = own.groupBy("cluster", "s1").agg(F.min("n").alias("n"))
     in_cluster = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-    whole = in_cluster.join(in_groups, "cluster").select("cluster", (rows(F.col("m")) <= F.col("cost")).alias("whole"))
+    # written, so that the joins below are plain ones whose hot clusters adaptive execution can split
+    whole = shared(in_cluster.join(in_groups, "cluster").select("cluster", (rows(F.col("m")) <= F.col("cost")).alias("whole")))
     by_cluster = members.join(whole.where("whole"), "cluster").select(F.col("cluster").alias("block"), "s1", "n")
     by_group = own.join(whole.where("not whole"), "cluster").select("block", "s1", "n")
     cut = shared(by_cluster.union(by_group).withColumn("cell", F.pmod(F.xxhash64("s1"), F.lit(CELLS))))
