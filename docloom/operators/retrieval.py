@@ -1,9 +1,10 @@
 """Scoped hybrid retrieval: dense and lexical branches, weighted reciprocal-rank fusion.
 
 Every operator takes a table of queries and keeps ``query_id``, so many queries run in
-one plan. The query table is stated by the caller and small; it is broadcast after its
-size is checked, and chunks are scanned once in place. Top-k cuts are written so that
-Spark limits each task's rows before the shuffle.
+one plan. The query table may be of any size: it is broadcast in blocks of about
+MAX_QUERIES, and chunks are scanned in place once for each block. Top-k cuts are written
+so that Spark limits each task's rows before the shuffle; the three-tier search ranks
+narrow rows and fetches the payload of the hits by ``chunk_id``, which names one chunk.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ POOL, RANK_CONSTANT, WEIGHT = 4, 60, 0.5
 RELAXED_FLOOR, RELAXED_DELTA = 0.45, 0.25
 TYPE_BOOST = 0.08
 SHARED = ("shared", "global", "cross-functional")
-#: Queries that one plan takes at most.
+#: Queries in one broadcast block, on average.
 MAX_QUERIES = 4096
 
 PAYLOAD = ("document_id", "document_title", "content", "system", "workspace", "document_type", "is_shared", "section_heading", "page_number")
@@ -47,11 +48,16 @@ def scope_condition(strict: bool = False, shared: Column | None = None) -> Colum
     return must & (F.col("q_workspace").isNull() | F.coalesce(own, F.lit(False)) | common)
 
 
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """The query table in blocks of about MAX_QUERIES rows, by hash; one block if it fits."""
+    n = -(-queries.count() // MAX_QUERIES)
+    part = F.pmod(F.xxhash64(*queries.columns), F.lit(n))
+    return [queries.where(part == k) for k in range(n)] if n > 1 else [queries]
+
+
 def _per_query(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each chunk with each query; the query table is bounded and broadcast."""
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in one plan")
-    return chunks.crossJoin(F.broadcast(queries))
+    """Each chunk with each query; queries are broadcast a block at a time."""
+    return reduce(DataFrame.unionAll, [chunks.crossJoin(F.broadcast(q)) for q in _blocks(queries)])
 
 
 def scored(chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -76,7 +82,7 @@ def resilient(chunks: DataFrame, queries: DataFrame, k: int, threshold: float, s
     All tiers come from one scan: a hit's tier is the first that admits it, and a query
     keeps its least tier with a hit. The last tier uses the asked shared flag again.
     """
-    base = scored(chunks, queries)
+    base = scored(chunks.select("chunk_id", "vector", "system", "workspace", "is_shared"), queries).drop("vector", "q_vector")
     asked, wide = scope_condition(strict), scope_condition(strict, F.lit(True))
     widens = F.col("q_workspace").isNotNull() & ~F.col("q_shared")
     tier = (
@@ -87,7 +93,8 @@ def resilient(chunks: DataFrame, queries: DataFrame, k: int, threshold: float, s
     hits = base.withColumn("tier", tier).where("tier is not null")
     ranked = _top(hits, k, F.col("tier"), F.desc("score"), F.col("chunk_id"))
     least = F.min("tier").over(W.partitionBy("query_id"))
-    return ranked.withColumn("least", least).where("tier = least").drop("least")
+    hits = ranked.withColumn("least", least).where("tier = least").drop("least", "system", "workspace", "is_shared")
+    return hits.join(chunks.drop("vector"), "chunk_id")
 
 
 def branch_norm(hits: DataFrame, raw: str) -> DataFrame:

@@ -13,8 +13,10 @@ from docloom.operators import retrieval as R
 from docloom.plans.registry import register
 from docloom.sources.tables import table
 
-#: The stated query set: vectors of these ids, with these words and scopes.
+#: The query set that the oracle SQL names: vectors of these ids, with these words and scopes.
 QUERY_IDS = (0, 100, 200, 300, 400)
+#: The whole query set: every vector whose id this divides.
+QUERY_STEP = 20
 WORDS = "the and of de la der"
 K, THRESHOLD = 5, 0.2
 
@@ -37,8 +39,10 @@ def chunks(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def query_set(spark: SparkSession, base: str) -> DataFrame:
-    vectors = table(spark, base, "embeddings").where(F.col("vec_id").isin(*QUERY_IDS))
+def query_set(spark: SparkSession, base: str, whole: bool = False) -> DataFrame:
+    """The queries that the oracle SQL names, or all whose id QUERY_STEP divides."""
+    asked = F.col("vec_id") % QUERY_STEP == 0 if whole else F.col("vec_id").isin(*QUERY_IDS)
+    vectors = table(spark, base, "embeddings").where(asked)
     none = F.lit(None).cast("array<string>")
     return vectors.select(
         F.col("vec_id").alias("query_id"),
@@ -106,17 +110,27 @@ def _with(body: str) -> str:
     return f"WITH {_CTE} {body}"
 
 
-def _fused(spark, base):
-    c, q = chunks(spark, base), query_set(spark, base)
+def _fused(spark, base, whole=False):
+    c, q = chunks(spark, base), query_set(spark, base, whole)
     return R.hybrid(c, q, K, THRESHOLD)[0]
 
 
+def _ranks(fused: DataFrame) -> DataFrame:
+    return fused.select("query_id", "rank_final", "chunk_id", "document_id", F.round("score_fused", 8).alias("score_fused"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("lexical_rank", "dense_rank")], "lexical_share")
+
+
 @register("ret_hybrid_topk", _with("""
   SELECT query_id, rank_final, chunk_id, document_id, round(score_fused, 8) AS score_fused, coalesce(lexical_rank, 0) AS lexical_rank, coalesce(dense_rank, 0) AS dense_rank,
          round(coalesce(0.5 / (60 + lexical_rank) / score_fused, 0.0), 6) AS lexical_share FROM final"""))
 def ret_hybrid_topk(spark: SparkSession, base: str) -> DataFrame:
     """The flagship: both branches fused, with ranks and shares."""
-    return _fused(spark, base).select("query_id", "rank_final", "chunk_id", "document_id", F.round("score_fused", 8).alias("score_fused"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("lexical_rank", "dense_rank")], "lexical_share")
+    return _ranks(_fused(spark, base))
+
+
+@register("ret_hybrid_topk_all", None)
+def ret_hybrid_topk_all(spark: SparkSession, base: str) -> DataFrame:
+    """The flagship over the whole query set: every id that QUERY_STEP divides."""
+    return _ranks(_fused(spark, base, whole=True))
 
 
 @register("ret1_dense_branch", _with("SELECT query_id, chunk_id, rank, round(score, 6) AS score_raw, round(norm, 6) AS score_norm, tier FROM dense"))

@@ -66,3 +66,20 @@ def test_case_of_system_filters(spark):
 
 def test_no_branch(spark):
     assert R.hybrid(chunks(spark), query(spark, None, True), 3, 0.1, available=()) == (None, "both_unavailable")
+
+
+def test_queries_beyond_one_block(spark, monkeypatch):
+    monkeypatch.setattr(R, "MAX_QUERIES", 3)
+    rows = [(i, "word", [1.0, i / 10], None, None, True) for i in range(11)]
+    q = spark.createDataFrame(rows, "query_id int, q_text string, q_vector array<double>, q_systems array<string>, q_workspace string, q_shared boolean")
+    got = lambda hits: sorted((r.query_id, r.rank, r.chunk_id) for r in hits.collect())
+    blocks, top = got(R.dense(chunks(spark), q, 2, 0.1)), got(R.resilient(chunks(spark), q, 2, 0.1))
+    monkeypatch.setattr(R, "MAX_QUERIES", 4096)
+    assert blocks == top == got(R.dense(chunks(spark), q, 2, 0.1)) and len(blocks) == 22
+
+
+def test_whole_query_set(spark, base):
+    from docloom.plans import registry
+
+    ids = {r.vec_id for r in spark.read.parquet(f"{base}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
+    assert len(ids) > 5 and {r.query_id for r in registry.queries()["ret_hybrid_topk_all"](spark, base).collect()} == ids
