@@ -1,11 +1,14 @@
-"""Markdown: sections, headings, pages, packing. Texts stay in their row; nothing is shuffled."""
+"""Markdown: sections, headings, pages, packing. Texts stay in their row; only greedy_segments shuffles, and no texts."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from docloom.functions import text as T
+from docloom.llm.common import n_owners, shared
 
 HEADING = r"^##\s+\S"
 # Section headings that announce no data table.
@@ -169,6 +172,78 @@ def greedy_runs(sizes: Column, heads: Column, max_items: int = MAX_PAGES, target
     return F.aggregate(items, start, step, lambda a: a["out"])
 
 
+def greedy_segments(rows: DataFrame, key: str, order: str, size: str, head: str, max_items: int = MAX_PAGES, target: int = TARGET_CHARS, least: int = LEAST_CHARS) -> DataFrame:
+    """``greedy_runs`` over groups of any size: ``key``, ``order`` and the number of the row's ``segment``.
+
+    Rows are range-partitioned by key and order, so a large group spans many tasks. A run
+    has at most ``max_items`` rows, so one of a part's first rows starts a run; each task
+    folds its part once for each such start, the driver carries the state from part to
+    part - a few numbers each - and a second fold numbers the rows.
+    """
+    def step(state, size, head):
+        run, n, chars = state
+        size = max(size or 0, 1)
+        if n == 0 or n >= max_items or chars + size > target or (head and chars >= least):
+            return run + 1, 1, size
+        return run, n + 1, chars + size
+
+    def parts(batches):
+        part = first = last = None
+        opening, states, at = [], {}, 0
+        for b in batches:
+            for p, k, s, h in zip(*(b.column(c).to_pylist() for c in ("_part", "_key", "_size", "_head")), strict=True):
+                if part is None:
+                    part, first, last = p, k, k
+                if k != last:
+                    last, states, at = k, {-1: (0, 0, 0)}, max_items
+                elif at < max_items:
+                    opening.append((s, bool(h)))
+                    states[at] = (0, 0, 0)
+                    at += 1
+                states = {e: step(x, s, h) for e, x in states.items()}
+        if part is not None:
+            ends = [(e, *x) for e, x in states.items()]
+            yield pa.RecordBatch.from_pylist([{"part": part, "first": first, "last": last, "opening": opening, "ends": ends}], ends_schema)
+
+    pair = pa.struct([("size", pa.int64()), ("head", pa.bool_())])
+    end = pa.struct([(c, pa.int64()) for c in ("e", "run", "n", "chars")])
+    ends_schema = pa.schema([("part", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("opening", pa.list_(pair)), ("ends", pa.list_(end))])
+    narrow = rows.select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.col(size).cast("long").alias("_size"), F.col(head).alias("_head"))
+    dealt = narrow.repartitionByRange(n_owners(rows.sparkSession), "_key", "_order").sortWithinPartitions("_key", "_order")
+    dealt = shared(dealt.withColumn("_part", F.spark_partition_id()))
+    found = dealt.mapInArrow(parts, "part int, first string, last string, opening array<struct<size: long, head: boolean>>, ends array<struct<e: long, run: long, n: long, chars: long>>")
+    entries, key_now, state = {}, None, (0, 0, 0)
+    for p in sorted(found.collect(), key=lambda r: r.part):
+        state = state if p.first == key_now else (0, 0, 0)
+        entries[p.part] = state
+        ends = {x.e: (x.run, x.n, x.chars) for x in p.ends}
+        if -1 in ends:
+            state = ends[-1]
+        else:
+            for e, x in enumerate(p.opening):
+                run, state = state[0], step(state, x.size, x.head)
+                if state[0] > run:
+                    state = (run + ends[e][0], *ends[e][1:])
+                    break
+        key_now = p.last
+
+    def number(batches):
+        last, state = None, None
+        for b in batches:
+            segments = []
+            for p, k, s, h in zip(*(b.column(c).to_pylist() for c in ("_part", "_key", "_size", "_head")), strict=True):
+                if state is None:
+                    last, state = k, entries[p]
+                elif k != last:
+                    last, state = k, (0, 0, 0)
+                state = step(state, s, h)
+                segments.append(state[0])
+            yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("_order"), pa.array(segments, pa.int32())], [key, order, "segment"])
+
+    kind = rows.schema[order].dataType
+    return dealt.mapInArrow(number, t.StructType([t.StructField(key, t.StringType()), t.StructField(order, kind), t.StructField("segment", t.IntegerType())]))
+
+
 def page_issues(evidence: DataFrame) -> DataFrame:
     """Page checks: fewer table lines than two a table, or images without a figure marker."""
     table_lines = F.size(F.filter(lines(F.col("markdown")), lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"))) >= 2))

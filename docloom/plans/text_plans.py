@@ -114,12 +114,9 @@ def agg18_section_metadata(spark, base):
 
 @register("win4_greedy_segments", None)
 def win4_greedy_segments(spark, base):
-    """Pages of a source, in id order, packed greedily into segments: a fold over each source's ordered sizes."""
+    """Pages of a source and language, in id order, packed greedily into segments: a fold over each one's ordered sizes."""
     d = table(spark, base, "documents").select("lang", "source", "doc_id", F.length("text").alias("size"), (F.col("doc_id") % 5 == 0).alias("head"))
-    key = F.concat_ws("/", "source", "lang", (F.col("doc_id") / 200).cast("int"))
-    g = d.withColumn("bundle", key).groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("doc_id", "size", "head"))).alias("p"))
-    runs = g.withColumn("r", S.greedy_runs(F.col("p.size"), F.col("p.head")))
-    return runs.select("bundle", F.explode(F.arrays_zip(F.col("p.doc_id").alias("doc_id"), F.col("r").alias("segment"))).alias("x")).select("bundle", "x.doc_id", "x.segment")
+    return S.greedy_segments(d.withColumn("bundle", F.concat_ws("/", "source", "lang")), "bundle", "doc_id", "size", "head")
 
 
 @register("agg25_segment_rollup", None)

@@ -93,6 +93,30 @@ def test_greedy_runs(spark):
         assert list(r.r) == model(docs[r.i])
 
 
+def test_greedy_segments_of_large_groups(spark):
+    rng = random.Random(3)
+    rows = [(k, i, rng.randrange(0, 9000), rng.random() < 0.3) for k, n in (("a", 900), ("b", 3), ("c", 1), ("d", 250)) for i in range(n)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "k string, i long, s int, h boolean")
+    got = {(r.k, r.i): r.segment for r in S.greedy_segments(df, "k", "i", "s", "h").collect()}
+    for key in "abcd":
+        run, n, chars = 0, 0, 0
+        for _, i, size, head in (r for r in rows if r[0] == key):
+            size = max(size, 1)
+            if n == 0 or n >= 4 or chars + size > 18_000 or (head and chars >= 6_000):
+                run, n, chars = run + 1, 0, 0
+            n, chars = n + 1, chars + size
+            assert got.pop((key, i)) == run
+    assert not got
+
+
+def test_segments_run_past_id_200(spark, base):
+    from docloom.plans import registry
+
+    rows = registry.queries()["win4_greedy_segments"](spark, base).collect()
+    docs = spark.read.parquet(f"{base}/documents.parquet").select("source", "lang").distinct().count()
+    assert len({r.bundle for r in rows}) == docs and len(rows) == spark.read.parquet(f"{base}/documents.parquet").count()
+
+
 def test_matrix_with_legend_row(spark):
     head = ["", "", "", "", "", "", "ACTION", "Close valve 1", "Open valve 2", "7", "", ""]
     data = ["1", "T1", "High level", "", "", "", "", "X", "p", "X", "", ""]
