@@ -90,9 +90,9 @@ def zipped(chunks: DataFrame, vectors: DataFrame, key: list[str]) -> DataFrame:
 
 
 def outline(pages: DataFrame, key: str, limit: int = 500) -> DataFrame:
-    """Prompt context of a segment: its pages in order with bounded previews."""
-    entry = F.struct("page_number", F.substring("heading", 1, 60).alias("heading"), T.truncate(T.collapse_spaces(F.col("markdown")), limit, "…").alias("preview"))
-    return pages.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("pages"))
+    """Prompt context of segments: a row for each page (key, page_number, heading, preview), previews bounded."""
+    preview = T.truncate(T.collapse_spaces(F.col("markdown")), limit, "…").alias("preview")
+    return pages.select(key, "page_number", F.substring("heading", 1, 60).alias("heading"), preview)
 
 
 # Log line patterns with their short forms; the first that matches wins.

@@ -239,7 +239,7 @@ def dom16_placeholders(spark, base):
 def dom18_segment_outline(spark, base):
     d = table(spark, base, "documents").select("source", F.col("doc_id").alias("page_number"), F.substring("text", 1, 80).alias("heading"), F.col("text").alias("markdown"))
     o = C.outline(d, "source")
-    return o.select("source", F.size("pages").cast("long").alias("n"), F.aggregate("pages", F.lit(0).cast("long"), lambda a, p: a + F.length(p["preview"])).alias("chars"))
+    return o.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("preview")), F.lit(0)).cast("long").alias("chars"))
 
 
 @register("dom7_dom11_dom14_review_units", f"""WITH {_LINES}

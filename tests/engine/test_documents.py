@@ -117,6 +117,16 @@ def test_segments_run_past_id_200(spark, base):
     assert len({r.bundle for r in rows}) == docs and len(rows) == spark.read.parquet(f"{base}/documents.parquet").count()
 
 
+def test_outline_gives_rows(spark):
+    from docloom.operators import chunks as C
+
+    df = spark.createDataFrame([("a", i, "h" * 80, "x  " * 400) for i in range(5)], "source string, page_number long, heading string, markdown string")
+    out = C.outline(df, "source")
+    assert out.columns == ["source", "page_number", "heading", "preview"] and out.count() == 5
+    assert {(len(r.heading), len(r.preview)) for r in out.collect()} == {(60, 500)}
+    assert "Collect" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_matrix_with_legend_row(spark):
     head = ["", "", "", "", "", "", "ACTION", "Close valve 1", "Open valve 2", "7", "", ""]
     data = ["1", "T1", "High level", "", "", "", "", "X", "p", "X", "", ""]
