@@ -2,7 +2,8 @@
 
 Each stage reads all rows its predecessor kept and acts on them: language ID drops
 what it rejects, exact dedup and the n-gram join keep the smallest doc_id of each
-group, the secret scan replaces every span in the text, packing lays out the tokens.
+group, the secret scan replaces every span in the text, packing lays out
+the tokens and returns each piece with its ids and its place.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"))
+    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [
@@ -46,9 +47,14 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``, each one's result written to the shared folder."""
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over ``documents``, each one's result written to the shared folder: pieces with ids and places."""
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs if not k else shared(docs), sf_dir)
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of ``sequences``, without the ids."""
+    return sequences(spark, sf_dir).drop("ids")

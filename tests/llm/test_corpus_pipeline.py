@@ -40,3 +40,14 @@ def test_run_equals_the_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset", "sequence_id"]
     assert out.count() > 100
+
+
+def test_sequences_carry_their_ids(spark):
+    import zlib
+
+    import numpy as np
+
+    rows = corpus_pipeline.sequences(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) > 100
+    for r in rows:
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
