@@ -192,7 +192,14 @@ def flt21_effect_labels(spark, base):
 
 @register("flt24_resume_skip", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id < 900")
 def flt24_resume_skip(spark, base):
-    return table(spark, base, "documents").select("doc_id").where("doc_id < 900").join(table(spark, base, "labels").select("doc_id"), "doc_id", "left_anti")
+    """The rows of ``flt24_resume_skip_all`` that the oracle SQL names."""
+    return flt24_resume_skip_all(spark, base).where("doc_id < 900")
+
+
+@register("flt24_resume_skip_all", None)
+def flt24_resume_skip_all(spark, base):
+    """Every document that is not done yet: an anti-join with the labels."""
+    return table(spark, base, "documents").select("doc_id").join(table(spark, base, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
 @register("jn18_cleanup_match", "SELECT DISTINCT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') OR p_name IN (SELECT p_name FROM part WHERE p_size = 7)")

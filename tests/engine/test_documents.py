@@ -127,6 +127,14 @@ def test_outline_gives_rows(spark):
     assert "Collect" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_resume_skips_only_what_is_done(spark, base):
+    from docloom.plans import registry
+
+    ids = lambda name: {r.doc_id for r in spark.read.parquet(f"{base}/{name}.parquet").select("doc_id").collect()}
+    got = {r.doc_id for r in registry.queries()["flt24_resume_skip_all"](spark, base).collect()}
+    assert got == ids("documents") - ids("labels") and max(got) >= 900
+
+
 def test_matrix_with_legend_row(spark):
     head = ["", "", "", "", "", "", "ACTION", "Close valve 1", "Open valve 2", "7", "", ""]
     data = ["1", "T1", "High level", "", "", "", "", "X", "p", "X", "", ""]
