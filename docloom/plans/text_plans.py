@@ -271,13 +271,19 @@ def mth4_window_sizes(spark, base):
   SELECT l.doc_id, l.i + 1 AS line_no, coalesce(s.heading, f.heading) AS heading FROM lines l LEFT JOIN secs s ON l.doc_id = s.doc_id AND l.i + 1 BETWEEN s.start_line AND s.end_line
   LEFT JOIN secs f ON l.doc_id = f.doc_id AND f.section_no = 1 WHERE l.i % 10 = 7""")
 def jn8_range_join_sheets(spark, base):
-    """A line's section: the last heading at or before it, else the document's first."""
+    """The lines of ``jn8_range_join_sheets_all`` that the oracle SQL names."""
+    return jn8_range_join_sheets_all(spark, base).where("line_no % 10 = 8")
+
+
+@register("jn8_range_join_sheets_all", None)
+def jn8_range_join_sheets_all(spark, base):
+    """Each line's section: the last heading at or before it, else the document's first."""
     m = markdown(spark, base).select("doc_id", F.posexplode(F.split("markdown", "\n")).alias("i", "line"))
     head = F.when(F.col("line").rlike(S.HEADING), T.strip(F.regexp_replace("line", "^##+", "")))
     w = W.partitionBy("doc_id").orderBy("i")
     before = F.last(head, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
     first = F.first(head, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return m.withColumn("heading", F.coalesce(before, first)).where("i % 10 = 7").select("doc_id", (F.col("i") + 1).alias("line_no"), "heading")
+    return m.withColumn("heading", F.coalesce(before, first)).select("doc_id", (F.col("i") + 1).alias("line_no"), "heading")
 
 
 @register("win12_adjacent_duplicates", """

@@ -127,6 +127,24 @@ def test_outline_gives_rows(spark):
     assert "Collect" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_every_line_has_its_section(spark, base):
+    import re
+
+    from docloom.plans import registry
+    from docloom.plans.text_plans import markdown
+
+    got = {(r.doc_id, r.line_no): r.heading for r in registry.queries()["jn8_range_join_sheets_all"](spark, base).collect()}
+    n = 0
+    for d in markdown(spark, base).collect():
+        lines = d.markdown.split("\n")
+        n += len(lines)
+        heads = [re.match(r"##[ \t]+[^ \t\r\n]", x) is not None for x in lines]
+        for i in range(len(lines)):
+            at = max((k for k in range(i + 1) if heads[k]), default=next((k for k, h in enumerate(heads) if h), None))
+            assert got[d.doc_id, i + 1] == (None if at is None else lines[at].lstrip("#").strip())
+    assert n == len(got)
+
+
 def test_resume_skips_only_what_is_done(spark, base):
     from docloom.plans import registry
 
