@@ -4,7 +4,8 @@ Pages of one host are merged into a style tree. Spark holds the tree as rows, no
 an object: one row for each (host, element path, style) with its page count, where a
 style is the sequence of an element's child tags, and one for each (host, path, text).
 A path's presentation importance is the entropy of its styles over the host's pages,
-a text's content importance falls with the logarithm of the pages that repeat it; the
+a text's content importance falls with the logarithm of the pages that repeat it (pages
+of a host with the same blocks count once, so copies do not make a text common); the
 composite importance of a branch is the mean of both. A page then loses its branches
 of low importance. What HTML itself declares - navigation, footers, forms, scripts,
 class names of adverts, notices and reader comments - is noise whatever its entropy,
@@ -54,7 +55,7 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)")
-#: A branch goes below this composite importance, where the host has this many pages.
+#: A branch goes below this composite importance; on small hosts it is smoothed as if by so many pages more.
 IMPORTANCE, PAGES = 0.3, 8
 
 
@@ -161,38 +162,43 @@ def _key(*parts: str) -> int:
 
 
 def _features(batches):
-    """Rows of the style tree from each page: (host, path, style or content, key), once a page."""
+    """Rows of the style tree from each page: (host, page, path, style or content, key), once a page."""
     for b in batches:
-        hosts, paths, kinds, keys = [], [], [], []
+        hosts, same, paths, kinds, keys = [], [], [], [], []
         for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             blocks, styles = parse(page or "")
             own = {("", 0, 0)}  # the page itself
             own.update((p, 1, _key(s)) for p, s in styles.items())
             own.update((x.path, 2, _key(x.text)) for x in blocks if not x.noise)
             h = host(url)
+            page_key = _key(*(part for x in blocks if not x.noise for part in (x.path, x.text)))
             for p, kind, key in own:
                 hosts.append(h)
+                same.append(page_key)
                 paths.append(_key(p))
                 kinds.append(kind)
                 keys.append(key)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(kinds, pa.int8()), pa.array(keys, pa.int64())], ["host", "path", "kind", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(same, pa.int64()), pa.array(paths, pa.int64()), pa.array(kinds, pa.int8()), pa.array(keys, pa.int64())], ["host", "page", "path", "kind", "key"])
 
 
 def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path, kind, key, n): pages of a host with a style (1) or text (2) at a path; kind 0 counts the pages."""
+    """(host, path, kind, key, n): distinct pages of a host with a style (1) or text (2) at a path; kind 0 counts the pages."""
     rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html"))
-    return rows.mapInArrow(_features, "host string, path long, kind byte, key long").groupBy("host", "path", "kind", "key").agg(F.count(F.lit(1)).alias("n"))
+    found = rows.mapInArrow(_features, "host string, page long, path long, kind byte, key long")
+    text = F.when(F.col("kind") == 2, F.col("key")).alias("text")
+    once = found.groupBy("host", "page", "path", "kind", text).agg(F.min("key").alias("key"))
+    return once.groupBy("host", "path", "kind", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def low_importance(tree: DataFrame) -> DataFrame:
     """(host, path, key) of the texts whose branch has low composite importance on its host."""
     size = tree.where("kind = 0").select("host", F.col("n").alias("m"))
     p = F.col("n") / F.col("m")
-    entropy = F.sum(-p * F.log(p)) / F.log(F.first("m").cast("double"))
-    shown = tree.where("kind = 1").join(size, "host").where(F.col("m") >= PAGES)
+    entropy = F.sum(-p * F.log(p)) / F.log(F.first("m").cast("double") + PAGES)
+    shown = tree.where("kind = 1").join(size, "host")
     style = shown.groupBy("host", "path").agg(F.least(F.lit(1.0), entropy).alias("presentation"))
-    repeated = tree.where("kind = 2 and n > 1").join(size, "host").where(F.col("m") >= PAGES)
-    content = 1 - F.log(F.col("n").cast("double")) / F.log(F.col("m").cast("double"))
+    repeated = tree.where("kind = 2 and n > 1").join(size, "host")
+    content = 1 - F.log(F.col("n").cast("double")) / F.log(F.col("m").cast("double") + PAGES)
     scored = repeated.join(style, ["host", "path"], "left")
     composite = (content + F.coalesce("presentation", content)) / 2
     return scored.where(composite < IMPORTANCE).select("host", "path", "key")

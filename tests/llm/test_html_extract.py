@@ -53,3 +53,12 @@ def test_copies_of_an_article_stay_whole(spark):
     page = "<body><nav>n</nav><article><h1>Same</h1><p>text for all</p></article></body>"
     df = spark.createDataFrame([(i, "http://h.example/x", page) for i in range(50)], "page_id long, url string, html string")
     assert {r.text for r in html_extract.main_text(df).collect()} == {"Same text for all"}
+
+
+def test_copies_without_article_stay_whole(spark):
+    words = lambda i: f"<div>opening {i} of a story</div><div><p>Body {i} goes on</p><div>and ends {i}</div></div>"
+    page = lambda i: f"<body>{words(i)}</body>"
+    rows = [(i, f"https://copies.example/{i}", page(0 if i < 200 else i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    assert got[5] == "opening 0 of a story Body 0 goes on and ends 0" and got[299] == "opening 299 of a story Body 299 goes on and ends 299"
