@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from docloom.functions import text as T
-from docloom.llm.common import n_owners, shared
+from docloom.sources.shared import shared, shares
 
 HEADING = r"^##\s+\S"
 # Section headings that announce no data table.
@@ -209,7 +209,7 @@ def greedy_segments(rows: DataFrame, key: str, order: str, size: str, head: str,
     end = pa.struct([(c, pa.int64()) for c in ("e", "run", "n", "chars")])
     ends_schema = pa.schema([("part", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("opening", pa.list_(pair)), ("ends", pa.list_(end))])
     narrow = rows.select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.col(size).cast("long").alias("_size"), F.col(head).alias("_head"))
-    dealt = narrow.repartitionByRange(n_owners(rows.sparkSession), "_key", "_order").sortWithinPartitions("_key", "_order")
+    dealt = narrow.repartitionByRange(shares(rows), "_key", "_order").sortWithinPartitions("_key", "_order")
     dealt = shared(dealt.withColumn("_part", F.spark_partition_id()))
     found = dealt.mapInArrow(parts, "part int, first string, last string, opening array<struct<size: long, head: boolean>>, ends array<struct<e: long, run: long, n: long, chars: long>>")
     entries, key_now, state = {}, None, (0, 0, 0)
