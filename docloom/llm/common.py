@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.sources.shared import shared, shares  # noqa: F401
+
 #: ASCII white space; a word is a maximal run of other characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
@@ -18,22 +19,81 @@ def documents(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.parquet(f"{base.rstrip('/')}/documents.parquet")
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from those files.
+def frequent(rows: DataFrame, most: int, key: str, n: str) -> pd.DataFrame:
+    """The keys of the highest counts, at most ``most``: all of each count level or none.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; where it is unset (as
-    in tests) a local one is used. A lost executor costs a reread, not a rerun.
+    A histogram of fewer than 1,100 levels - each count below 64, then sixteenths of a
+    doubling - gives the least count to take, so the driver receives no row too many.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "docloom-checkpoints")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    level = F.when(F.col(n) < 64, F.col(n)).otherwise((F.log2(F.col(n).cast("double")) * 16).cast("long"))
+    above, least = 0, None
+    for r in sorted(rows.groupBy(level.alias("level")).count().collect(), reverse=True):
+        above += r["count"]
+        if above > most:
+            break
+        least = r["level"]
+    if least is None:
+        return pd.DataFrame({key: np.zeros(0, np.int64), n: np.zeros(0, np.int64)})
+    return rows.where(level >= least).select(key, n).toPandas()
+
+
+#: Bits of a filter for each key, and the most that a filter has (32 MB).
+BLOOM_BITS, BLOOM_MOST, _RANGES = 8, 1 << 28, 64
+
 
+def _probes(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Two places of each key among ``bits``, a power of two."""
+    mixed = mix64(keys.view(np.uint64))
+    return np.concatenate([mixed & np.uint64(bits - 1), (mixed >> np.uint64(32)) & np.uint64(bits - 1)]).astype(np.int64)
+
+
+def bloom(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of a column of longs, as packed bits; ``keys`` is read twice.
+
+    It has BLOOM_BITS a key up to BLOOM_MOST bits in all, so the broadcast is bounded;
+    beyond, it lets more rows through and nothing is lost.
+    """
+    n = keys.count()
+    bits = min(max(1 << 16, 1 << (BLOOM_BITS * n).bit_length()), BLOOM_MOST)
+    width = bits // _RANGES
 
-def n_owners(spark: SparkSession) -> int:
-    """How many owners a keyed exchange has: the session's shuffle partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def places(batches):
+        for b in batches:
+            at = np.unique(_probes(b.column(0).to_numpy(zero_copy_only=False), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32))], ["range", "at"])
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(width, bool)
+        flags[pdf["at"].to_numpy()] = True
+        return pd.DataFrame({"range": pdf["range"].iloc[:1], "bits": [np.packbits(flags).tobytes()]})
+
+    out = np.zeros(bits // 8, np.uint8)
+    for r in keys.mapInArrow(places, "range int, at int").groupBy("range").applyInPandas(fill, "range int, bits binary").collect():
+        out[r["range"] * width // 8 : (r["range"] + 1) * width // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def split_by(df: DataFrame, key: Column, bits: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose key may be in the filter, and rows whose key is not. No shuffle."""
+    held = df.sparkSession.sparkContext.broadcast(bits)
+    name = "_key"
+    while name in df.columns:
+        name += "_"
+
+    def run(inside: bool):
+        def pick(batches):
+            flags, places = held.value, len(df_names)
+            for b in batches:
+                probes = _probes(b.column(places).to_numpy(zero_copy_only=False), len(flags) * 8)
+                hit = (flags[probes >> 3] >> (7 - (probes & 7)).astype(np.uint8)) & 1
+                maybe = hit[: b.num_rows] & hit[b.num_rows :] == 1
+                yield pa.RecordBatch.from_arrays(b.columns[:places], schema=pa.schema(list(b.schema)[:places])).filter(pa.array(maybe == inside))
+
+        return pick
+
+    df_names = df.columns
+    keyed = df.withColumn(name, key)
+    return keyed.mapInArrow(run(True), df.schema), keyed.mapInArrow(run(False), df.schema)
 
 
 def remainder(column: str, modulus: int):
@@ -43,8 +103,6 @@ def remainder(column: str, modulus: int):
 
 def text_buffer(array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of an Arrow string array, without copying; null counts as empty."""
-    import pyarrow as pa
-
     array = array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array
     if array.null_count:
         array = array.fill_null("")

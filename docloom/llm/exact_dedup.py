@@ -6,15 +6,18 @@
    range of the fingerprint space) one Golomb-coded block.
 3. An owner answers each sender with a bitmap over that sender's block: seen from
    another sender too, or not. Senders add what they hold twice themselves.
-4. Only suspects' texts are shuffled. Grouping by the whole normalised text
-   compares bytes; map-side combining leaves one row per text and task, so a group
-   with a third of all rows stays small.
+4. Only suspects' texts are shuffled: the scan is narrowed by a Bloom filter of the
+   suspect fingerprints, of bounded size. Grouping by the whole normalised text compares
+   bytes; map-side combining leaves one row per text and task, so a group with a third
+   of all rows stays small.
 5. Rows find their group by digest in a plain join, which adaptive execution splits
    where one digest is hot.
 
-Defined results: null text counts as empty; ties go to the smallest doc_id; several
-rows with one doc_id are members like any other; an empty table gives no rows; extra
-columns are ignored by ``classes`` and kept by ``deduplicate``.
+Defined results: null text counts as empty; ties go to the smallest doc_id, a null id
+comes last. ``classes`` has a row for each row, and all rows of a group that bear its
+keep_id are ``kept``, as the id names them; ``deduplicate`` leaves exactly one row of
+each text, whatever ids repeat or are null, and all its columns. An empty table gives no
+rows; extra columns are ignored by ``classes`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import golomb
-from docloom.llm.common import SPACE_CLASS, n_owners, shared
+from docloom.llm.common import SPACE_CLASS, bloom, shared, shares, split_by
 
 
 def normalised(text: str = "text") -> Column:
@@ -89,37 +92,47 @@ def _decode(batches):
 
 def suspects(prints: DataFrame) -> DataFrame:
     """Fingerprints that occur more than once, one row each."""
-    owners = n_owners(prints.sparkSession)
+    owners = shares(prints)
     blocks = shared(prints.select("sender", "fp").mapInArrow(_blocks(owners), "owner int, sender int, block binary, own binary"))
     answers = blocks.groupBy("owner").applyInPandas(_answers, "owner int, sender int, twice binary")
     flagged = blocks.join(answers, ["owner", "sender"]).select("block", "own", "twice")
     return flagged.mapInArrow(_decode, "fp long").distinct()
 
 
+def _fingerprint(text: str) -> Column:
+    return F.xxhash64(normalised(text))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     prints = shared(fingerprints(docs, id_col, text))
-    doubtful = prints.join(suspects(prints), "fp").select(F.col("doc_id").alias("_id")).distinct()
-    texts = docs.select(F.col(id_col).alias("_id"), normalised(text).alias("norm"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    doubtful, _ = split_by(texts, _fingerprint("_text"), bloom(shared(suspects(prints))))
     groups = (
-        texts.join(doubtful, texts["_id"].eqNullSafe(doubtful["_id"]), "left_semi")
-        .groupBy("norm")
+        doubtful.groupBy(normalised("_text").alias("norm"))
         .agg(F.min("_id").alias("keep"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .select(F.sha2("norm", 256).alias("sha"), "keep", "n")
     )
     out = prints.join(groups, "sha", "left")
-    keep = F.coalesce("keep", "doc_id")
+    alone = F.col("n").isNull()
     return out.select(
         "doc_id",
-        keep.alias("keep_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(keep == F.col("doc_id"), F.lit(True)).alias("kept"),
+        (alone | F.col("keep").eqNullSafe(F.col("doc_id"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text an earlier doc_id has."""
-    drop = classes(docs, id_col, text).where(~F.col("kept")).select(F.col("doc_id").alias("_drop"))
-    return docs.join(drop, docs[id_col] == drop["_drop"], "left_anti")
+    """``docs`` with one row of each text, that of the smallest doc_id.
+
+    Rows whose fingerprint no other row has pass unshuffled; of the others each task
+    sends one row a text.
+    """
+    prints = docs.select(_fingerprint(text).alias("fp"), F.spark_partition_id().alias("sender"))
+    doubtful, clear = split_by(docs, _fingerprint(text), bloom(shared(suspects(shared(prints)))))
+    least = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col(id_col).isNull(), F.col(id_col)))
+    picked = doubtful.groupBy(normalised(text).alias("norm")).agg(least.alias("row")).select("row.*")
+    return clear.unionByName(picked)

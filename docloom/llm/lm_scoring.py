@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import golomb
-from docloom.llm.common import mix64, n_owners, remainder, shared, text_buffer, word_hashes
+from docloom.llm.common import frequent, mix64, remainder, shared, shares, text_buffer, word_hashes
 from docloom.llm.ngram_join import _pack_counts as pack_counts
 from docloom.llm.ngram_join import _unpack_counts as unpack_counts
 
@@ -131,7 +131,7 @@ class Vocabulary:
 
 
 def vocabulary(texts: DataFrame) -> Vocabulary:
-    owners = n_owners(texts.sparkSession)
+    owners = shares(texts.sparkSession)
     blocks = texts.select("text").mapInArrow(_count_blocks(owners), "owner int, keys binary, counts binary")
     most = 4 * VOCABULARY // owners + 256
     found = blocks.groupBy("owner").applyInPandas(_count_owner(most), "key long, n long, distinct long").toPandas()
@@ -432,7 +432,7 @@ def score(docs: DataFrame, v: Vocabulary, model: Model) -> DataFrame:
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((v, model))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("train", F.lit(False)).alias("train"), "text")
-    blocks = shared(rows.mapInArrow(_score_blocks(held, n_owners(spark)), _BLOCK))
+    blocks = shared(rows.mapInArrow(_score_blocks(held, shares(spark)), _BLOCK))
     answers = blocks.where("owner >= 0").groupBy("owner").applyInPandas(_answer, _BLOCK)
     denominator = v.total + ADD * (v.distinct + 1)
     joined = blocks.where("owner < 0").union(answers)

@@ -25,7 +25,8 @@ when 100 * overlap >= 85 * union. The join never lists the pairs of a group:
 
 Defined results: null text and text without words have n_shingles 0 and are their own
 component; texts of one to three words have one shingle; repeated rows count as equal
-sets; an empty table gives no rows; extra columns are ignored.
+sets, rows of one id with different texts as different ones; a component without any id
+has a null component_id; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import golomb
-from docloom.llm.common import mix64, n_owners, shared, text_buffer, word_hashes
+from docloom.llm.common import bloom, frequent, mix64, shared, shares, split_by, text_buffer, word_hashes
 
 WORDS, PERCENT = 4, 85
 #: Bits of a shingle key in the frequency count and in the candidate search; cut keys only add candidates.
@@ -46,7 +47,7 @@ DF_BITS, KEY_BITS = 40, 48
 FREQUENT, LEAST_FREQUENT = 1 << 17, 8
 #: Sets and shingles that a run of a cut group has; two runs meet in a block.
 TILE, SHINGLES = 1024, 1 << 20
-SLAB, SLICE, HELD = 8192, 4 << 20, 1 << 22
+SLAB, SLICE, HELD = 8192, 2 << 20, 1 << 21
 #: Sets above this size have the finer parity cells; larger groups than SIEVED go on unsieved.
 LARGE, SIEVED = 3000, 8192
 #: Documents from which a key's column is held as rows; parts in which sets of one size are ranked.
@@ -110,7 +111,7 @@ def _signatures(batches):
             if len(own):
                 s1[k], s2[k] = set_hash(own)
                 bits[k] = parity(own)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(s1), pa.array(s2), pa.array(bits, pa.binary())], ["doc_id", "n", "s1", "s2", "bits"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), pa.array(s1), pa.array(s2), pa.array(bits, pa.binary())], ["doc_id", "row", "n", "s1", "s2", "bits"])
 
 
 def _edges(keys: np.ndarray, bits: int, owners: int) -> np.ndarray:
@@ -163,16 +164,15 @@ def _frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
     keys, counts = keys[order], counts[order]
     start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     total, keys = np.add.reduceat(counts, start), keys[start]
-    top = np.flatnonzero(total >= LEAST_FREQUENT)
-    top = top[np.argsort(-total[top], kind="stable")[:FREQUENT]]
-    return pd.DataFrame({"key": keys[top].view(np.int64), "df": total[top]})
+    often = total >= LEAST_FREQUENT
+    return pd.DataFrame({"key": keys[often].view(np.int64), "df": total[often]})
 
 
 def frequent_keys(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of the most frequent shingles and their document frequencies; at most FREQUENT."""
-    blocks = texts.select("text").mapInArrow(_frequency_blocks(n_owners(texts.sparkSession)), "owner int, keys binary, counts binary")
-    found = blocks.groupBy("owner").applyInPandas(_frequencies, "key long, df long").orderBy(F.desc("df"), "key").limit(FREQUENT).toPandas()
-    found = found.sort_values("key")
+    blocks = texts.select("text").mapInArrow(_frequency_blocks(shares(texts)), "owner int, keys binary, counts binary")
+    counted = shared(blocks.groupBy("owner").applyInPandas(_frequencies, "key long, df long"))
+    found = frequent(counted, FREQUENT, "key", "df").sort_values("key")
     return found["key"].to_numpy(np.int64).astype(np.uint64), found["df"].to_numpy(np.int64)
 
 
@@ -223,13 +223,13 @@ def _candidate_blocks(shared_frequent, owners: int):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if not i else pa.binary()) for i in range(6)], names)
 
     def run(batches):
-        frequent, hot = shared_frequent.value
+        often, hot = shared_frequent.value
         tokens, members, seen, size = [], [], set(), 0
         for b in batches:
             for _, own in shingle_sets(b.column(0)):
                 if len(own) and (s := set_hash(own)) not in seen:
                     seen.add(s)
-                    tokens.append(prefix(own, frequent))
+                    tokens.append(prefix(own, often))
                     members.append((s[0], len(own)))
                     size += len(tokens[-1])
                     if size > HELD:
@@ -353,7 +353,7 @@ def sieved(groups: DataFrame, signed: DataFrame) -> DataFrame:
     live = small.select("s1").distinct()
     bits = signed.where("n > 0").select("s1", "bits").join(live, "s1", "left_semi").groupBy("s1").agg(F.first("bits").alias("bits"))
     rows = small.join(bits, "s1").select("block", "s1", "n", "bits")
-    rows = rows.repartition(n_owners(groups.sparkSession), "block").sortWithinPartitions("block").mapInArrow(_sieve, "block long, s1 long, n long")
+    rows = rows.repartition(shares(groups), "block").sortWithinPartitions("block").mapInArrow(_sieve, "block long, s1 long, n long")
     return rows.union(groups.join(large, "block", "left_semi").select("block", "s1", "n")).distinct()
 
 
@@ -440,7 +440,7 @@ def forest(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _verify(batches):
-    """Rows come sorted by block: (block, rep, tokens)."""
+    """Rows come sorted by block: (block, node, tokens)."""
 
     def solve(ids, sets):
         ids, first = np.unique(np.array(ids, np.int64), return_index=True)
@@ -470,18 +470,16 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _tokens(batches):
-    """Each asked-for set's shingles once for each of its blocks; another text under the same id is left out."""
+    """Each asked-for set's shingles once for each of its blocks; another text with its row key is left out."""
     for b in batches:
-        s1, blocks = b.column(0).to_numpy(), b.column(2).to_pylist()
-        reps, out = b.column(1).to_pylist(), []
-        size = 0
+        s1, nodes, blocks, out, size = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_pylist(), [], 0
         for k, own in shingle_sets(b.column(3)):
             if len(own) and set_hash(own)[0] == s1[k]:
-                out += [(x, reps[k], own) for x in blocks[k]]
+                out += [(x, nodes[k], own) for x in blocks[k]]
                 size += len(own) * len(blocks[k])
-                if size > HELD:
-                    yield _rows(out)
-                    out, size = [], 0
+            if size > HELD:
+                yield _rows(out)
+                out, size = [], 0
         yield _rows(out)
 
 
@@ -489,40 +487,55 @@ def _rows(out: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
     offs = np.concatenate([[0], np.cumsum([len(x) for *_, x in out])]).astype(np.int32)
     flat = np.concatenate([x for *_, x in out]).view(np.int64) if out else np.zeros(0, np.int64)
     lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))
-    return pa.RecordBatch.from_arrays([pa.array([x for x, *_ in out], pa.int64()), pa.array([r for _, r, _ in out], pa.int64()), lists], ["block", "rep", "tokens"])
+    return pa.RecordBatch.from_arrays([pa.array([x for x, *_ in out], pa.int64()), pa.array([r for _, r, _ in out], pa.int64()), lists], ["block", "node", "tokens"])
+
+
+_ROW = "struct<none: boolean, id: long, text: long>"
+
+
+def _row_key(id_col: str, text: str) -> Column:
+    """Names a row by its id and its text's hash; null ids are one id."""
+    own = F.col(id_col).cast("long")
+    return F.struct(own.isNull().alias("none"), F.coalesce(own, F.lit(0).cast("long")).alias("id"), F.xxhash64(text).alias("text"))
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, set size, 128-bit set hash and parity cells of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long, bits binary")
+    """doc_id, row key, set size, 128-bit set hash and parity cells of every row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), _row_key(id_col, text).alias("row"))
+    return rows.mapInArrow(_signatures, f"doc_id long, row {_ROW}, n long, s1 long, s2 long, bits binary")
+
 
+def distinct_sets(signed: DataFrame) -> DataFrame:
+    """The distinct sets with words, each with a node number, its least doc_id and a row that has it."""
+    sets = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"))
+    return shared(sets.withColumn("node", F.monotonically_increasing_id()))
 
-def links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Spanning links (a, b) between the smallest doc_ids of distinct sets; may repeat."""
+
+def links(docs: DataFrame, signed: DataFrame, sets: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Spanning links (a, b) between the nodes of distinct sets; may repeat."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(_row_key(id_col, text).alias("row"), F.col(text).alias("text"))
     keys, df = frequent_keys(rows)
-    frequent = spark.sparkContext.broadcast(((keys, df), keys[df > HOT]))
-    blocks = shared(rows.select("text").mapInArrow(_candidate_blocks(frequent, n_owners(spark)), "owner int, keys binary, counts binary, places binary, sets binary, sizes binary"))
+    held = spark.sparkContext.broadcast(((keys, df), keys[df > HOT]))
+    blocks = shared(rows.select("text").mapInArrow(_candidate_blocks(held, shares(rows)), "owner int, keys binary, counts binary, places binary, sets binary, sizes binary"))
     few = blocks.where("owner >= 0").groupBy("owner").applyInPandas(_groups, "block long, s1 long, n long")
     hot = blocks.where("owner < 0").mapInArrow(_hot_rows, "block long, s1 long, n long")
     groups = shared(few.union(hot).distinct())
     placed = placements(shared(sieved(groups, signed)))
-    reps = signed.where("n > 0").join(placed, "s1").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("blocks").alias("blocks"))
-    fetched = reps.join(rows, reps["rep"] == rows["doc_id"]).select("s1", "rep", "blocks", "text")
-    sets = fetched.mapInArrow(_tokens, "block long, rep long, tokens array<bigint>")
-    return sets.repartition(n_owners(spark), "block").sortWithinPartitions("block").mapInArrow(_verify, "a long, b long").distinct()
+    # equal rows share a key, so a set's blocks may come twice; they are made distinct where they meet
+    asked = shared(sets.join(placed, "s1").select("s1", "node", "row", "blocks"))
+    wanted, _ = split_by(rows, F.xxhash64("row"), bloom(asked.select(F.xxhash64("row"))))
+    fetched = asked.join(wanted, "row").select("s1", "node", "blocks", "text")
+    tokens = fetched.mapInArrow(_tokens, "block long, node long, tokens array<bigint>")
+    return tokens.repartition(shares(rows), "block").sortWithinPartitions("block").mapInArrow(_verify, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id with a link: alternating large and small stars until nothing changes."""
     edges = shared(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     print_of = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = print_of(edges)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    before, after = None, print_of(edges)
+    while after[0] and after != before:
         # large star: larger neighbours of u point to the least of u and its neighbours
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -531,25 +544,41 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b")))).alias("e"))
         edges = shared(small.select("e.a", "e.b").where("a <> b").distinct())
-        after = print_of(edges)
-        if after == before:
-            break
-        before = after
+        before, after = after, print_of(edges)
     return edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
 
 
+def members(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, row key, n, and the least doc_id of its component, null where none has an id."""
+    signed = shared(signatures(docs, id_col, text))
+    sets = distinct_sets(signed)
+    found = components(links(docs, signed, sets, id_col, text))
+    named = shared(sets.join(found, sets["node"] == found["id"], "left").select("s1", "s2", "rep", F.coalesce("component", "node").alias("component")))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, "component").select("s1", "s2", "component", "component_id")
+    return signed.drop("bits").join(named, ["s1", "s2"], "left")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    signed = shared(signatures(docs, id_col, text))
-    found = components(links(docs, signed, id_col, text))
-    reps = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    named = reps.join(found, reps["rep"] == found["id"], "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = signed.join(named, ["s1", "s2"], "left")
-    own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return members(docs, id_col, text).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the smallest doc_id."""
-    drop = classes(docs, id_col, text).where("component_id <> doc_id").select(F.col("doc_id").alias("_drop"))
-    return docs.join(drop, docs[id_col] == drop["_drop"], "left_anti")
+    """``docs`` with one row of each component, that of the smallest doc_id; rows without words stay.
+
+    Of several rows with that id (or, where no row of a component has an id, of all its
+    rows) the one of least row key stays, and one of rows equal in id and text. Rows whose
+    key is surely not among the dropped ones pass unshuffled.
+    """
+    rows = shared(members(docs, id_col, text).where("n > 0").select("component", "row"))
+    kept = rows.groupBy("component").agg(F.min("row").alias("kept"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    many = shared(rows.join(kept, "component").groupBy("row").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
+    drop, twice = many.where("row <> kept").select("row"), many.where("row = kept and n > 1").select("row")
+    doubtful, clear = split_by(docs, F.xxhash64(_row_key(id_col, text)), bloom(drop.union(twice).select(F.xxhash64("row"))))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = doubtful.select(_row_key(id_col, text).alias("row"), F.struct(*columns).alias("all"))
+    single = keyed.join(drop.union(twice), "row", "left_anti").select("all.*")
+    one = keyed.join(twice, "row").groupBy("row").agg(F.first("all").alias("all")).select("all.*")
+    return clear.unionByName(single).unionByName(one)

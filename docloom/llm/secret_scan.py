@@ -3,13 +3,15 @@
 The base patterns are matched as stated in ``BASE``. Their matches in the corpus, with
 a few public credential formats, are the labelled credentials: for each format a
 prefix tree is built and its statistically compatible states are merged (ALERGIA, with
-Hoeffding's bound) into a probabilistic automaton. Every long run of token characters
-that no base span touches is then scored by its likelihood under each automaton
-against a background of ordinary text, and becomes a ``format`` span above a threshold.
+Hoeffding's bound) into a probabilistic automaton. Every run of at
+least ``LEAST`` token characters is then scored by its likelihood under each automaton
+against a background of ordinary text, and becomes a ``format`` span above a threshold,
+unless a base span holds it whole.
 
-Scanning is one pass in Arrow batches: numpy and RE2 find the texts that can hold a
-match at all, and only those are searched. Fitting uses at most ``SAMPLE`` distinct
-labelled values a kind (those of least hash); scanning covers every whole text.
+Scanning is one pass in Arrow batches: RE2 finds the texts that can hold a match at
+all, and only those are searched, one at a time; a batch of long texts needs no memory
+beyond one text's. Fitting uses at most ``SAMPLE`` distinct labelled values a kind, whole
+ones (those of least hash); scanning covers every whole text.
 
 Defined results: null text is empty and has no spans; rows are independent, so
 repeated rows, ties and extra columns do not matter; an empty table gives no rows and
@@ -31,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import shared, text_buffer
+from docloom.llm.common import shared
 
 KINDS = ("assign", "access", "hex", "format")
 _ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -41,11 +43,14 @@ BASE = (
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     ("hex", re.compile(r"[0-9a-f]+"), 0, 24),
 )
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}+")
 #: Bound on the labelled values a kind from which automata are fitted.
 SAMPLE = 500
 ALPHA, THRESHOLD = 0.02, 1.0
 LEAST = 16
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}+")
+#: What a text with a base match, and one with a candidate, holds (RE2).
+_ANY_BASE = r"(?i:(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6})|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
+_ANY_CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST}}}"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -70,7 +75,9 @@ def symbols(value: str) -> list[str]:
 
 
 def background(value: str) -> float:
-    """log2 probability of ``value`` as ordinary text."""
+    """log2 probability of ``value`` as ordinary text: a number, or letters and signs as prose has them."""
+    if value.isdigit() and value.isascii():
+        return -math.log2(10) * len(value)
     return sum(math.log2(_PLAIN[x[0]] / x[1]) if (x := _CLASS.get(c)) else math.log2(0.01) for c in value)
 
 
@@ -178,18 +185,16 @@ def fit(labelled: dict[str, list[str]], alpha: float = ALPHA) -> dict[str, Autom
 
 def likely(automata: dict[str, Automaton], value: str) -> bool:
     """Whether some format explains ``value`` better than ordinary text, by THRESHOLD bits a character."""
-    if len(value) < LEAST or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
-        return False
     best = max((a.score(value) for a in automata.values()), default=-math.inf)
     return best - background(value) > THRESHOLD * len(value)
 
 
-def spans(text: str, automata: dict[str, Automaton]) -> tuple[list, list]:
-    """Base spans, and all spans."""
-    base = base_spans(text)
+def spans(text: str, automata: dict[str, Automaton], with_base: bool = True) -> tuple[list, list]:
+    """Base spans, and all spans; ``with_base`` false where the text is known to have none."""
+    base = base_spans(text) if with_base else []
     more = []
     for m in _CANDIDATE.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in base) and likely(automata, m.group()):
+        if not any(s <= m.start() and m.end() <= e for s, _, e in base) and likely(automata, m.group()):
             more.append((m.start(), KINDS.index("format"), m.end()))
     return base, sorted(base + more)
 
@@ -197,46 +202,15 @@ def spans(text: str, automata: dict[str, Automaton]) -> tuple[list, list]:
 # --- scanning --------------------------------------------------------------------
 
 
-def _set(chars: str) -> np.ndarray:
-    out = np.zeros(256, bool)
-    out[[ord(c) for c in chars]] = True
-    return out
-
-
-_HEX = _set("0123456789abcdef")
-_DIGIT = _set(string.digits)
-_TOKEN = _set(string.ascii_letters + string.digits + "+/_=-")
-
-
-def _runs(mask: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of maximal runs, cut at the texts' bounds."""
-    edge = np.diff(mask.astype(np.int8), prepend=0, append=0)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    cut = offs[1:-1]
-    cut = cut[(cut > 0) & (cut < len(mask))]
-    inner = np.unique(cut[mask[cut] & mask[cut - 1]]) if len(cut) else cut
-    return np.sort(np.concatenate([start, inner])), np.sort(np.concatenate([end, inner]))
-
-
-def suspicious(texts: pa.Array) -> np.ndarray:
-    """Which texts can hold a base match or a candidate; a superset, in vectorised passes."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    texts = texts.fill_null("")
-    found = pc.match_substring_regex(texts, pattern=_ASSIGN, ignore_case=True).to_numpy(zero_copy_only=False)
-    found = found | pc.match_substring(texts, "AKIA").to_numpy(zero_copy_only=False)
-    data, offs = text_buffer(texts)
-    if len(data):
-        start, end = _runs(_HEX[data], offs)
-        hits = [start[end - start >= 24]]
-        start, end = _runs(_TOKEN[data], offs)
-        long = end - start >= LEAST
-        start, end = start[long], end[long]
-        digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-        hits.append(start[digits[end] > digits[start]])
-        at = np.searchsorted(offs, np.concatenate(hits), "right") - 1
-        found[at] = True
-    return found
+def _matching(texts: pa.Array, pattern: str) -> np.ndarray:
+    found = pc.match_substring_regex(texts, pattern=pattern)
+    return pc.fill_null(found, False).to_numpy(zero_copy_only=False)
+
+
+def suspicious(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts hold a base match, and which hold one or a candidate; nulls hold none."""
+    base = _matching(texts, _ANY_BASE)
+    return base, base | _matching(texts, _ANY_CANDIDATE)
 
 
 def _labelled(batches):
@@ -244,14 +218,14 @@ def _labelled(batches):
     for b in batches:
         seen = set()
         texts = b.column(0)
-        for k in np.flatnonzero(suspicious(texts)):
+        for k in np.flatnonzero(_matching(texts, _ANY_BASE)):
             text = texts[int(k)].as_py()
             for start, kind, end in base_spans(text):
                 value = text[start:end]
                 if KINDS[kind] == "assign":
                     value = BASE[0][1].match(value).group(2)
                 if len(value) >= LEAST:
-                    seen.add((KINDS[kind], value[:200]))
+                    seen.add((KINDS[kind], value))
         kinds, values = zip(*sorted(seen), strict=True) if seen else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["kind", "value"])
 
@@ -267,26 +241,42 @@ def train(docs: DataFrame, text: str = "text") -> dict[str, Automaton]:
     return fit(labelled)
 
 
+def _found(texts: pa.Array, automata: dict[str, Automaton]):
+    """Yields (row, text, base spans, all spans) of the texts that have a span."""
+    base, any_ = suspicious(texts)
+    for k in np.flatnonzero(any_).tolist():
+        text = texts[k].as_py()
+        own, every = spans(text, automata, bool(base[k]))
+        if every:
+            yield k, text, own, every
+
+
+def _replaced(array: pa.Array, changed: dict[int, object]) -> pa.Array:
+    """``array`` with some values replaced, without taking the others apart."""
+    mask = np.zeros(len(array), bool)
+    mask[list(changed)] = True
+    return pc.replace_with_mask(array, pa.array(mask), pa.array([changed[k] for k in sorted(changed)], array.type))
+
+
 def _scan(shared_automata, keep_text: bool):
     def run(batches):
         automata = shared_automata.value
         empty = hashlib.sha256(b"").hexdigest()
+        label = lambda s: ",".join(f"{KINDS[k]}:{a}:{e}" for a, k, e in s)
         for b in batches:
             texts, n = b.column(1), b.num_rows
             counts = np.zeros((3, n), np.int64)
-            digest, joined = [empty] * n, [""] * n
-            found: list[list] = [[] for _ in range(n)]
-            for k in np.flatnonzero(suspicious(texts)).tolist():
-                base, every = spans(texts[k].as_py(), automata)
+            digest, joined, redacted = [empty] * n, [""] * n, {}
+            for k, text, base, every in _found(texts, automata):
                 for _, kind, _ in base:
                     counts[kind, k] += 1
-                label = lambda s: ",".join(f"{KINDS[k]}:{a}:{e}" for a, k, e in s)
                 digest[k], joined[k] = hashlib.sha256(label(base).encode()).hexdigest(), label(every)
-                found[k] = every
+                if keep_text:
+                    redacted[k] = redact(text, every)
             columns = [b.column(0), *(pa.array(c) for c in counts), pa.array(digest), pa.array(joined)]
             names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
             if keep_text:
-                columns.append(pa.array([redact(texts[k].as_py(), s) if (s := found[k]) else texts[k].as_py() for k in range(n)], pa.string()))
+                columns.append(_replaced(texts, redacted))
                 names.append("redacted")
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -312,21 +302,12 @@ def redact_documents(docs: DataFrame, automata: dict[str, Automaton], text: str
     def run(batches):
         for b in batches:
             texts = b.column(at)
-            changed = {}
-            for k in np.flatnonzero(suspicious(texts)).tolist():
-                value = texts[k].as_py()
-                if every := spans(value, held.value)[1]:
-                    changed[k] = redact(value, every)
+            changed = {k: redact(value, every) for k, value, _, every in _found(texts, held.value)}
             if changed:
-                new = texts.to_pylist()
-                for k, value in changed.items():
-                    new[k] = value
-                b = b.set_column(at, text, pa.array(new, texts.type))
+                b = b.set_column(at, text, _replaced(texts, changed))
                 if length in names:
-                    sizes = b.column(names.index(length)).to_pylist()
-                    for k, value in changed.items():
-                        sizes[k] = len(value)
-                    b = b.set_column(names.index(length), length, pa.array(sizes, b.column(names.index(length)).type))
+                    k = names.index(length)
+                    b = b.set_column(k, length, _replaced(b.column(k), {row: len(value) for row, value in changed.items()}))
             yield b
 
     return docs.mapInArrow(run, docs.schema)

@@ -46,3 +46,19 @@ def test_nulls_and_repeats(spark, name):
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty(spark, name):
     assert OPERATORS[name](spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+ROWS_OF_IDS = [
+    (3, "A b c d e f", "x"), (5, "A b c d e f", "y"), (5, "B c d e f g h", "z"), (7, "C", "q"), (7, "C", "q"), (None, "A b c d e f", "n"),
+    (None, "only without id", "o"), (None, "only without id", "p"), (9, None, "w"), (10, "", "v"),
+]
+
+
+@pytest.mark.parametrize("operator,empties", [(exact_dedup.deduplicate, 1), (ngram_join.representatives, 2)])
+def test_rows_not_ids_decide(spark, operator, empties):
+    """Repeated and null ids: one row of each text stays, with its columns, and no other text is lost."""
+    df = spark.createDataFrame(ROWS_OF_IDS, "doc_id long, text string, row string").repartition(3)
+    got = [tuple(r) for r in operator(df).collect()]
+    texts = [t for _, t, _ in got if t]
+    assert sorted(texts) == ["A b c d e f", "B c d e f g h", "C", "only without id"]
+    assert (3, "A b c d e f", "x") in got and (5, "B c d e f g h", "z") in got and len(got) - len(texts) == empties

@@ -66,3 +66,20 @@ def test_merging_generalises():
 @pytest.mark.parametrize("text,found,want", [("abcdef", [(1, 0, 3), (2, 2, 5)], "a#f"), ("abc", [], "abc"), ("abab", [(0, 0, 1), (2, 0, 3)], "#b#b")])
 def test_redact(text, found, want):
     assert secret_scan.redact(text, found, "#") == want
+
+
+def test_a_batch_of_long_texts_takes_little_memory():
+    """10,000 rows of 4 KB: the scan may not hold more than a few texts beyond the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["word and more " * 300 + ("token = abcdef123456" if k % 100 == 0 else "") for k in range(10_000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), texts], ["doc_id", "text"])
+    held = type("Held", (), {"value": secret_scan.fit(secret_scan.public_formats())})
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    (out,) = secret_scan._scan(held, False)([batch])
+    assert tracemalloc.get_traced_memory()[1] < 10 << 20 and pa.total_allocated_bytes() - before < 10 << 20
+    tracemalloc.stop()
+    assert sum(out.column("n_assign").to_pylist()) == 100
