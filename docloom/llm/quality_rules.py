@@ -4,6 +4,10 @@ Everything runs in the JVM: the text is split once, the measures are array
 expressions over its words and lines, and the verdict is one boolean built from
 ``RULES``. Nothing is shuffled, so skewed keys cannot matter.
 
+Repeated windows are found by hashes: a text whose window hashes are all distinct has
+none, else they are sorted and the words behind equal hashes compared, so the count is
+exact at any length.
+
 Defined results: null or empty text has zero words and fails; repeated rows are
 judged one by one; extra columns are kept unless they clash with a measure's
 name, in which case the measure wins; an empty table gives an empty result.
@@ -16,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SPACE_CLASS
+from docloom.llm.common import SPACE_CLASS, WORD_CLASS
 
 #: Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -26,6 +30,11 @@ STOP_WORDS = (
     "el", "los", "las", "y", "del", "se", "por", "con", "una", "su", "al", "lo", "como", "no",
 )
 
+#: A word with a letter; possessive, so that no place of a text is tried twice.
+_ALPHA_WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]*+\p{L}[^\x20\x09-\x0D]*+"
+#: Longer than any array.
+MOST = 1 << 30
+
 #: measure, lowest, highest value that passes (None: open).
 RULES = (
     ("n_words", 50, None),
@@ -48,72 +57,84 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def _windows(words: Column, n: Column, bits: Column) -> Column:
-    """Sorted longs: the upper bits hash a 3-word window, the lower ``bits`` hold its place."""
-    at = F.sequence(F.lit(0), n - 3)
-    pack = lambda i: F.call_function(
-        "shiftleft", F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)), bits
-    ).bitwiseOR(i.cast("long"))
-    return F.when(n >= 3, F.sort_array(F.transform(at, pack))).otherwise(F.array().cast("array<bigint>"))
+def _windows(words: Column) -> Column:
+    """A hash of each 3-word window."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    pairs = F.zip_with(hashes, F.slice(hashes, 2, MOST), lambda x, y: F.xxhash64(x, y))
+    return F.slice(F.zip_with(pairs, F.slice(hashes, 3, MOST), lambda x, y: F.xxhash64(x, y)), F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))
 
 
-def _repeated(sorted_windows: Column, words: Column, bits: Column) -> Column:
-    """Places of windows that occur twice or more; words are compared, not hashes alone."""
-    place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("int")
+def _repeated(windows: Column, words: Column) -> Column:
+    """Sorted places of the windows that occur twice or more.
 
-    def same(x: Column, y: Column) -> Column:
-        near = F.call_function("shiftright", x, bits) == F.call_function("shiftright", y, bits)
-        alike = F.slice(words, place(x) + 1, 3) == F.slice(words, place(y) + 1, 3)
-        return F.coalesce(near & alike, F.lit(False))
+    Windows are sorted by hash, so equal hashes stand side by side; where two such windows
+    differ, the others of that hash are asked too.
+    """
+    near = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+    alike = lambda x, y: F.slice(words, x["i"] + 1, 3) == F.slice(words, y["i"] + 1, 3)
 
-    n = F.size(sorted_windows)
-    kept = F.filter(
-        sorted_windows,
-        lambda x, i: same(x, F.get(sorted_windows, i + 1)) | same(x, F.get(sorted_windows, F.when(i > 0, i - 1).otherwise(n))),
-    )
-    return F.sort_array(F.transform(kept, place))
+    def twice(s: Column) -> Column:
+        def of(x: Column, i: Column) -> Column:
+            beside = F.slice(s, F.greatest(i, F.lit(1)), F.when(i > 0, 3).otherwise(2))
+            near_by = F.exists(beside, lambda y: (x["i"] != y["i"]) & near(x, y))
+            alike_by = F.exists(beside, lambda y: (x["i"] != y["i"]) & near(x, y) & alike(x, y))
+            return F.when(~near_by, False).when(alike_by, True).otherwise(F.exists(s, lambda y: (x["i"] != y["i"]) & near(x, y) & alike(x, y)))
+
+        return F.sort_array(F.transform(F.filter(s, of), lambda x: x["i"]))
+
+    ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    # an array of one gives the sorted windows a name, so that they are not sorted for each use
+    return F.get(F.transform(F.array(ordered), twice), F.lit(0))
+
+
+def _count(text: Column, pattern: str, into: str) -> Column:
+    """How often ``pattern`` occurs, counted as characters ``into`` that stand for it in a text without others."""
+    found = F.regexp_replace(text, pattern, into)
+    return (F.length(found) - F.length(F.replace(found, F.lit(into), F.lit("")))).cast("long")
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with one column for each measure; ``text`` itself is not changed."""
+    own = "_"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    words, lines, windows, places = (own + x for x in ("words", "lines", "windows", "places"))
     raw = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(raw, "\n"), lambda x: F.length(F.regexp_replace(x, f"{SPACE_CLASS}+", "")) > 0)
-    out = docs.withColumns({"_w": _words(raw), "_l": lines})
-    out = out.withColumns({"n_words": F.size("_w").cast("long"), "_n": F.size("_w")})
-    # 17 bits hold the place of every window of texts below 131,072 words; longer texts take 31
-    out = out.withColumn("_b", F.when(F.col("_n") < 131_072, F.lit(17)).otherwise(F.lit(31)))
-    out = out.withColumn("_s", _windows(F.col("_w"), F.col("_n"), F.col("_b")))
-    out = out.withColumn("_r", _repeated(F.col("_s"), F.col("_w"), F.col("_b")))
-    r, size = F.col("_r"), F.size("_r")
+    out = docs.withColumns({words: _words(raw), lines: F.filter(F.split(raw, "\n"), lambda x: x.rlike(WORD_CLASS))})
+    w, n_lines = F.col(words), F.size(lines)
+    out = out.withColumn(windows, _windows(w))
+    some = F.size(F.array_distinct(windows)) < F.size(windows)
+    out = out.withColumn(places, F.when(some, _repeated(F.col(windows), w)).otherwise(F.array().cast("array<int>")))
+    r, size = F.col(places), F.size(places)
     covered = F.aggregate(
         F.transform(r, lambda x, i: F.when(i + 1 < size, F.least(F.lit(3), F.get(r, i + 1) - x)).otherwise(F.lit(3))),
         F.lit(0).cast("long"),
         lambda a, x: a + x,
     )
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    n, n_lines = F.col("n_words"), F.size("_l")
-    share = lambda pattern: _ratio(F.size(F.filter("_l", lambda x: x.rlike(pattern))), n_lines)
-    out = out.withColumns(
-        {
-            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
-            "n_symbols": (F.length(raw) - F.length(F.regexp_replace(raw, r"[#*$%&|<>]", ""))).cast("long"),
-            "n_dup_lines": (n_lines - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_repeat_words": covered,
-            "stop_words": F.size(F.array_intersect(F.transform("_w", F.lower), stop)).cast("long"),
-            "alpha_word_ratio": _ratio(F.size(F.filter("_w", lambda w: w.rlike(r"\p{L}"))), n),
-            "ellipsis_line_ratio": share(r"(\.\.\.|…)\s*$"),
-            "bullet_line_ratio": share(r"^\s*[-•*]"),
-        }
-    )
-    out = out.withColumns(
-        {
-            "mean_word_length": _ratio(F.col("word_chars"), n),
-            "symbol_ratio": _ratio(F.col("n_symbols"), n),
-            "dup_line_ratio": _ratio(F.col("n_dup_lines"), n_lines),
-            "repeat_word_ratio": _ratio(F.col("n_repeat_words"), n),
-        }
-    )
-    return out.drop("_w", "_l", "_n", "_b", "_s", "_r")
+    share = lambda pattern: _ratio(F.size(F.filter(lines, lambda x: x.rlike(pattern))), n_lines)
+    n = F.size(w).cast("long")
+    counts = {
+        "n_words": n,
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
+        "n_symbols": (F.length(raw) - F.length(F.regexp_replace(raw, r"[#*$%&|<>]", ""))).cast("long"),
+        "n_dup_lines": (n_lines - F.size(F.array_distinct(lines))).cast("long"),
+        "n_repeat_words": covered,
+        "stop_words": F.size(F.array_intersect(F.split(F.lower(raw), f"{SPACE_CLASS}+"), stop)).cast("long"),
+        "alpha_word_ratio": _ratio(_count(raw, _ALPHA_WORD, "a"), n),
+        "ellipsis_line_ratio": share(r"(\.\.\.|…)\s*$"),
+        "bullet_line_ratio": share(r"^\s*[-•*]"),
+    }
+    out = out.withColumns({own + k: v for k, v in counts.items()} | {f"{own}n_lines": n_lines})
+    of = lambda name: F.col(own + name)
+    ratios = {
+        "mean_word_length": _ratio(of("word_chars"), of("n_words")),
+        "symbol_ratio": _ratio(of("n_symbols"), of("n_words")),
+        "dup_line_ratio": _ratio(of("n_dup_lines"), of("n_lines")),
+        "repeat_word_ratio": _ratio(of("n_repeat_words"), of("n_words")),
+    }
+    out = out.withColumns({k: of(k) for k in counts} | ratios)
+    return out.drop(*[c for c in out.columns if c.startswith(own)])
 
 
 def verdict(rules=RULES) -> Column:

@@ -38,6 +38,27 @@ def test_edge_cases(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute(t), t
 
 
+def test_extra_columns_stay(spark):
+    """Columns of any name are kept, but for those named as a measure."""
+    df = spark.createDataFrame([(1, "a b", 7, 8, 9, 10)], "doc_id long, text string, _words int, __n int, _l int, _w int")
+    r = quality_rules.apply_rules(df).first()
+    assert (r._words, r.__getattr__("__n"), r._l, r._w) == (7, 8, 9, 10) and r.n_words == 2
+    assert set(df.columns) <= set(quality_rules.apply_rules(df).columns)
+
+
+def test_long_texts(spark):
+    """150,000 words, some windows repeated far apart, and one word over and over."""
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{rng.randint(0, 60_000)}" for _ in range(150_000)]
+    words[140_000:140_040] = words[20:60]
+    texts = {1: " ".join(words), 2: "again " * 20_000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in quality_rules.apply_rules(df).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute(texts[r.doc_id])
+
+
 @pytest.mark.parametrize("text", ["", None])
 def test_empty_table(spark, text):
     df = spark.createDataFrame([], "doc_id long, text string")
