@@ -2,11 +2,15 @@
 
 A text is cut before each run of spaces (and line ends) - no piece of the model spans
 such a place - and each distinct chunk is merged once per worker, many chunks at a
-time in flat numpy arrays: in every round each chunk's best-ranked pair is found by a
-segmented minimum, its leftmost non-overlapping occurrences are merged together, and
-the arrays are compacted, until no pair remains. Where merging could make a pair that
-ranks as high as the current one, only the leftmost occurrence is merged. Characters
-without a piece become byte pieces.
+time in flat numpy arrays. Chunks are cut further between two characters that stand
+together in no piece, as no merge can cross there. In every round each part's
+best-ranked pair is found by a segmented minimum, its leftmost non-overlapping
+occurrences are merged together, and the arrays are compacted, until no pair remains.
+Where merging could make a pair that ranks as high as the current one, only the leftmost
+occurrence is merged. A part of more than ``PART`` characters - a long run of one
+character, say - would need a round for each rank and takes a queue of its pairs
+instead, so rounds are bounded and time is near linear in the text. Characters without a
+piece become byte pieces.
 
 Defined results: null or empty text is the end id alone and decodes to the empty
 text; rows are independent, so repeated rows and clashing extra columns do not
@@ -17,6 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import cached_property
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +36,8 @@ END_ID = 2
 _NONE = np.int64(1) << 40
 #: Chunks that a worker remembers before it starts anew.
 CACHE = 400_000
+#: Characters of a part that is merged in rounds; longer ones take a queue.
+PART = 64
 
 
 class PieceModel:
@@ -69,6 +77,8 @@ class PieceModel:
         self.unsafe = np.zeros(self.nothing + 1, bool)
         self.unsafe[list(unsafe)] = True
         self.chars = {ord(c): s for c, s in symbols.items() if len(c) == 1}
+        #: Pairs of characters that stand together in some piece.
+        self.joined = np.unique(np.array([ord(x) << 21 | ord(y) for p in ids for x, y in zip(p, p[1:], strict=False)], np.int64))
         self.cuts_lines = not any("\n" in p for p in ids)
         if any(SPACE in p.lstrip(SPACE) for p in ids):
             raise ValueError("a piece of this model spans words")
@@ -89,13 +99,57 @@ class PieceModel:
             out[k] = self.chars.get(int(code[k]), self.nothing)
         return out
 
+    @cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        return dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
+
+    def _parts(self, code: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Number of the part of each character: parts end with their word, and where no merge can cross."""
+        pair = code[:-1] << 21 | code[1:]
+        at = np.minimum(np.searchsorted(self.joined, pair), len(self.joined) - 1)
+        return np.append(0, np.cumsum((word[1:] != word[:-1]) | (self.joined[at] != pair)))
+
+    def queued(self, sym: list[int]) -> list[int]:
+        """Places of the symbols that remain of one part, merged in ``sym``: best rank first, then leftmost."""
+        n, width, get = len(sym), int(self.width), self.pairs.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        now = [get(a * width + b) for a, b in zip(sym, sym[1:], strict=False)] + [None]
+        heap = [x[0] << 40 | k for k, x in enumerate(now) if x]
+        heapify(heap)
+        gone = bytearray(n)
+        while heap:
+            top = heappop(heap)
+            k = top & (1 << 40) - 1
+            if gone[k] or now[k] is None or now[k][0] != top >> 40:
+                continue
+            other = after[k]
+            sym[k], gone[other], after[k] = now[k][1], 1, after[other]
+            if after[k] < n:
+                before[after[k]] = k
+            for left in (before[k], k):
+                if left >= 0:
+                    x = get(sym[left] * width + sym[after[left]]) if after[left] < n else None
+                    now[left] = x
+                    if x:
+                        heappush(heap, x[0] << 40 | left)
+        return [k for k in range(n) if not gone[k]]
+
     def merge(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all chunks and each chunk's bounds."""
         code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        word = np.repeat(np.arange(len(chunks)), sizes)
+        owner = np.repeat(np.arange(len(chunks)), np.fromiter(map(len, chunks), np.int64, len(chunks)))
+        word = self._parts(code, owner) if len(code) else owner
         sym, cp = self.symbols(code), code
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))[: len(word)]
+        sizes, of_part = np.diff(np.append(starts, len(word))), owner[starts]
+        for k in np.flatnonzero(sizes > PART).tolist():
+            own = sym[starts[k] : starts[k] + sizes[k]].tolist()
+            at = np.array(self.queued(own), np.int64)
+            done.append((np.full(len(at), k), np.array(own, np.int64)[at], cp[starts[k] + at]))
+        if done:
+            short = np.repeat(sizes <= PART, sizes)
+            sym, cp, word = sym[short], cp[short], word[short]
         while len(sym):
             key = sym[:-1] * self.width + sym[1:]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -111,7 +165,7 @@ class PieceModel:
                 at = at[live[:-1]] if not len(sym) else np.append(at, 0)[live][:-1]
                 if not len(sym):
                     break
-            pick = np.flatnonzero(rank == spread)  # a chunk's last symbol never has a pair
+            pick = np.flatnonzero(rank == spread)  # a part's last symbol never has a pair
             into = self.merged[at[pick]]
             run = np.append(True, np.diff(pick) != 1) | np.append(True, word[pick[1:]] != word[pick[:-1]])
             ordinal = np.arange(len(pick)) - np.maximum.accumulate(np.where(run, np.arange(len(pick)), 0))
@@ -119,7 +173,7 @@ class PieceModel:
             risky = self.unsafe[into]
             if risky.any():
                 leading = np.append(True, word[pick[1:]] != word[pick[:-1]])
-                alone = np.zeros(len(sizes), bool)
+                alone = np.zeros(len(of_part), bool)
                 alone[word[pick[risky]]] = True
                 take = np.where(alone[word[pick]], leading, take)
             pick, into = pick[take], into[take]
@@ -131,7 +185,7 @@ class PieceModel:
             return np.zeros(0, np.int64), np.zeros(len(chunks) + 1, np.int64)
         word, sym, cp = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(word, kind="stable")
-        word, sym, cp = word[order], sym[order], cp[order]
+        word, sym, cp = of_part[word[order]], sym[order], cp[order]
         foreign = np.flatnonzero(sym >= self.n)
         if len(foreign):
             raw = [chr(c).encode("utf-8", "surrogatepass") for c in cp[foreign].tolist()]

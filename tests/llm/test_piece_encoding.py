@@ -1,6 +1,9 @@
 import hashlib
+import random
+import time
 
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from sentencepiece import SentencePieceProcessor
@@ -39,3 +42,20 @@ def test_long_and_empty(spark):
         ids = SP.encode(texts[r.doc_id] or "") + [2]
         assert list(r.ids) == ids and r.decoded == SP.decode(ids)
     assert piece_encoding.digests(df.limit(0), PATH).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(60, 400), st.sampled_from(["a", "ab", "aeinrst", " ", "-=", "0123456789", "ACGTacgt", "aé語 "]), st.randoms())
+def test_queued_parts_equal_library(n, letters, rng):
+    """Parts longer than PART take the queue of pairs."""
+    text = "".join(rng.choice(letters) for _ in range(n))
+    assert ENCODER.encode(text.encode()) == SP.encode(text) + [2]
+
+
+@pytest.mark.parametrize("letters", [" ", "a", "aeinrst", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"])
+def test_a_megabyte_without_words_takes_seconds(letters):
+    rng = random.Random(2)
+    text = "".join(rng.choice(letters) for _ in range(1_000_000))
+    began = time.process_time()
+    ids = ENCODER.encode(text.encode())
+    assert time.process_time() - began < 30 and ids == SP.encode(text) + [2]
