@@ -1,28 +1,41 @@
 """Main text of web pages by site style trees.
 
 Pages of one host are merged into a style tree. Spark holds the tree as rows, not as
-an object: one row for each (host, element path, style) with its page count, where a
-style is the sequence of an element's child tags, and one for each (host, path, text).
-A path's presentation importance is the entropy of its styles over the host's pages,
-a text's content importance falls with the logarithm of the pages that repeat it (pages
-of a host with the same blocks count once, so copies do not make a text common); the
-composite importance of a branch is the mean of both. A page then loses its branches
-of low importance. What HTML itself declares - navigation, footers, forms, scripts,
-class names of adverts, notices and reader comments - is noise whatever its entropy,
-and paragraphs inside ``article`` or ``main`` are never removed for being repeated.
-
-Counts are combined before each shuffle, so a host with a third of all pages costs no
-task more than others; html text is shuffled once, by page.
+an object: (host, branch, style) for the child sequences of each element, and (host,
+branch, text) for the texts, each with its number of pages; pages of a host with the
+same content count once, so copies do not make a text common.
+
+Every branch of every page is scored by the tree of its host:
+
+* content: the informative words it holds, an average over the host's pages. A text's
+  words count by 1 - log(n) / log(m) where n of m pages repeat it, which is 1 less the
+  normalised entropy of its spread over the pages; branches add up to their ancestors.
+* presentation: the normalised entropy of its styles over the host's pages.
+* importance: content * (1 + presentation). A branch is set against the strongest of
+  its siblings by the logarithm of their ratio, within ``REACH``.
+* What HTML declares - article, navigation, forms, class names of adverts and
+  comments - is a prior in the same logarithmic scale (``PRIORS``), added to that.
+
+A branch below zero goes with all below it. Apart from that a text goes that too many
+pages of the host repeat, unless it is a text element of a declared article. Small hosts are smoothed as
+if ``PAGES`` more pages were known and each branch had ``WORDS`` words more.
+
+Html is parsed in one linear pass, twice: once for the tree, once to apply it. A page meets its
+judgements by the hash of its url and html, so repeated ids do not matter; counts are
+combined before each shuffle, so a host with a third of all pages costs no task more.
 
 Defined results: null or empty html gives the empty text; pages without a host form
-the host ''; repeated rows and ids are extracted each; unclosed and stray tags are
-repaired as browsers do; an empty table gives no rows; extra columns are ignored.
+the host ''; repeated rows and ids are extracted each; unclosed and stray tags and
+quotes are repaired much as browsers do; elements nested below ``DEPTH`` count as part
+of the branch at that depth; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as markup
 import re
+from collections import defaultdict
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,115 +51,193 @@ BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements whose content is raw text up to their end tag.
+RAW = frozenset("script style noscript template svg iframe textarea".split())
 #: Elements that a following start tag of the listed kinds ends.
 ENDS_P = BLOCKS - frozenset(("html", "body", "br", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt"))
 SIBLINGS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "option": ("option",)}
-SCOPES = frozenset("ul ol dl table tr tbody thead tfoot article main div section body".split())
+SCOPES = tuple("ul ol dl table tr tbody thead tfoot article main div section body".split())
 #: Words of class and id names that mark noise.
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup share sharing social comment comments respond disqus replies related recommended login search pagination pager toolbar footer masthead skip".split()
 )
+NOISE_ROLES = frozenset("navigation banner contentinfo search complementary dialog".split())
 KEPT_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: How far the tree moves a branch, and the priors it starts from (natural logarithms of odds).
+REACH = 5.5
+PRIORS = {"main": 6.0, "text": 6.0, "open": 3.0, "outside": -3.0, "tag": -4.0, "name": -6.0}
+#: Smoothing of small hosts, and the importance below which a repeated text goes.
+PAGES, WORDS, REPEATED = 8, 5.0, 0.3
+DEPTH, LABEL = 32, 40
+
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)|<[!?]")
+_STOP = re.compile(r"=\s*([\"'])|>")
+_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)")
-#: A branch goes below this composite importance; on small hosts it is smoothed as if by so many pages more.
-IMPORTANCE, PAGES = 0.3, 8
+_PLAIN = re.compile(r"[^a-z]+")
 
 
-class Block:
-    """A run of text with the path of block elements around it."""
-
-    __slots__ = ("path", "leaf", "noise", "main", "text")
-
-    def __init__(self, path, leaf, noise, main, text):
-        self.path, self.leaf, self.noise, self.main, self.text = path, leaf, noise, main, text
-
-
-def _noisy(tag: str, attrs: str, inside_main: bool) -> bool:
-    if tag in NOISE_TAGS or tag == "header" and not inside_main:
-        return True
-    if attrs:
-        for m in _ATTR.finditer(attrs):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            if m[1].lower() == "role":
-                if value in ("navigation", "banner", "contentinfo", "search", "complementary", "dialog"):
-                    return True
-            elif tag not in ("html", "body", "article", "main") and not NOISE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-                return True
-    return False
-
-
-def parse(page: str) -> tuple[list[Block], dict[str, str]]:
-    """Blocks in page order, and each path's child tags."""
-    blocks: list[Block] = []
-    styles: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, noise, main
-    parts: list[str] = []
-    hidden = 0
-
-    def flush():
-        if parts:
-            text = " ".join(markup.unescape("".join(parts)).split())
-            parts.clear()
-            if text and not hidden:
-                k = len(stack) - 1
-                while k and stack[k][0] not in BLOCKS:
-                    k -= 1
-                tag, path, _, _ = stack[k]
-                blocks.append(Block(path, tag, stack[-1][2], stack[-1][3], text))
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        if not m[3]:
+def tokens(page: str):
+    """Yields (text before, closing, tag, attributes) of each tag; tag None for text before a comment or the end.
+
+    Linear: each search starts where the last one ended, and a search that fails is
+    not made again. A quote that nothing closes is an ordinary character.
+    """
+    at, n = 0, len(page)
+    unclosed: set[str] = set()
+    while m := _OPEN.search(page, at):
+        text, end = page[at : m.start()], m.end()
+        if not m[2]:
+            yield text, None, None, ""
+            mark = "-->" if page.startswith("<!--", m.start()) else ">"
+            close = page.find(mark, end)
+            at = n if close < 0 else close + len(mark)
             continue
-        tag = m[3].lower()
-        if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if any(s[0] in BLOCKS or s[0] in DROPPED for s in stack[k:]):
+        while (stop := _STOP.search(page, end)) and (quote := stop[1]):
+            end = stop.end()
+            if quote not in unclosed:
+                close = page.find(quote, end)
+                if close < 0:
+                    unclosed.add(quote)
+                else:
+                    end = close + 1
+        if not stop:  # the page ends inside a tag
+            yield text, None, None, ""
+            return
+        tag, at = m[2].lower(), stop.end()
+        yield text, bool(m[1]), tag, page[m.end() : stop.start()]
+        if tag in RAW and not m[1]:
+            close = _ends(tag).search(page, at)
+            at = close.end() if close else n
+            yield "", True, tag, ""
+    yield page[at:], None, None, ""
+
+
+@cache
+def _ends(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.I)
+
+
+class Block:
+    """A run of text with the branch of elements around it."""
+
+    __slots__ = ("path", "kept", "noise", "text")
+
+    def __init__(self, path, kept, noise, text):
+        self.path, self.kept, self.noise, self.text = path, kept, noise, text
+
+
+class _Element:
+    __slots__ = ("tag", "path", "depth", "noise", "main", "leaf")
+
+    def __init__(self, tag, path, depth, noise, main, leaf):
+        self.tag, self.path, self.depth, self.noise, self.main, self.leaf = tag, path, depth, noise, main, leaf
+
+
+def _named(attrs: str) -> tuple[str, bool]:
+    """The letters of an element's class, id and role, and whether they declare noise."""
+    label, noise = [], False
+    for m in _ATTR.finditer(attrs):
+        value = (m[2] or m[3] or m[4] or "").lower()
+        words = _PLAIN.split(value)
+        noise = noise or (value in NOISE_ROLES if m[1].lower() == "role" else not NOISE_WORDS.isdisjoint(words))
+        label += words
+    return "-".join(filter(None, label))[:LABEL], noise
+
+
+class Page:
+    """Blocks in page order, the styles of the branches, and their priors."""
+
+    def __init__(self, page: str):
+        self.blocks: list[Block] = []
+        self.styles: dict[str, list[str]] = {}
+        self.kinds: dict[str, tuple[str, str, bool]] = {}
+        self._main: set[str] = set()
+        self._parse(page)
+
+    def _parse(self, page: str) -> None:
+        stack = [_Element("", "", 0, "", False, "")]
+        open_at: dict[str, list[int]] = defaultdict(list)
+        parts: list[str] = []
+        hidden = 0
+
+        def flush():
+            if parts:
+                text = " ".join(markup.unescape("".join(parts)).split())
+                parts.clear()
+                if text and not hidden:
+                    top = stack[-1]
+                    self.blocks.append(Block(top.path, top.main and top.leaf in KEPT_LEAVES, bool(top.noise), text))
+
+        def cut(k: int) -> None:
+            nonlocal hidden
+            for e in stack[k:]:
+                open_at[e.tag].pop()
+                hidden -= e.tag in DROPPED
+            del stack[k:]
+
+        def nearest(tags) -> int:
+            return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
+        for text, closing, tag, attrs in tokens(page):
+            if text:
+                parts.append(text)
+            if tag is None:
+                continue
+            if closing:
+                if k := nearest((tag,)):
+                    if any(e.tag in BLOCKS or e.tag in DROPPED for e in stack[k:]):
                         flush()
-                    hidden -= sum(s[0] in DROPPED for s in stack[k:])
-                    del stack[k:]
-                    break
-            continue
-        if tag in BLOCKS or tag in DROPPED:
-            flush()
-        if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPES:
-                    break
-        if tag == "body" and hidden:
-            del stack[[s[0] in DROPPED for s in stack].index(True) :]
-            hidden = 0
-        for k in range(len(stack) - 1, 0, -1) if tag in SIBLINGS else ():
-            if stack[k][0] in SIBLINGS[tag]:
-                del stack[k:]
-                break
-            if stack[k][0] in SCOPES and not (tag == "tr" and stack[k][0] in ("tr",)):
-                break
-        if tag in VOID or m[4].endswith("/") and tag not in BLOCKS:
-            continue
-        _, path, noise, main = stack[-1]
-        if tag in BLOCKS or tag in DROPPED:
-            styles.setdefault(path, []).append(tag)
-            path = f"{path}/{tag}"
-        stack.append((tag, path, noise or _noisy(tag, m[4], main), main or tag in MAIN_TAGS))
-        hidden += tag in DROPPED
-    parts.append(page[at:])
-    flush()
-    return blocks, {p: ",".join(t) for p, t in styles.items()}
+                    cut(k)
+                continue
+            if tag in BLOCKS or tag in DROPPED:
+                flush()
+            if tag in ENDS_P and (k := nearest(("p",))) and k > nearest(SCOPES):
+                cut(k)
+            if tag == "body" and hidden:
+                cut(next(k for k, e in enumerate(stack) if e.tag in DROPPED))
+            if tag in SIBLINGS and (k := nearest(SIBLINGS[tag])):
+                if k > nearest(s for s in SCOPES if s not in SIBLINGS[tag]):
+                    cut(k)
+            if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
+                continue
+            top = stack[-1]
+            path, depth, leaf, noise = top.path, top.depth, top.leaf, top.noise
+            label, named = _named(attrs) if attrs and tag not in ("html", "body") else ("", False)
+            if named and tag not in MAIN_TAGS:
+                noise = "name"
+            elif not noise and (tag in NOISE_TAGS or tag == "header" and not top.main):
+                noise = "tag"
+            if tag in BLOCKS:
+                leaf = tag
+                self.styles.setdefault(path, []).append(tag)
+            if depth < DEPTH and (tag in BLOCKS or noise != top.noise):
+                path, depth = f"{path}/{tag}" + f".{label}" * bool(label) + "!" * named, depth + 1
+                self.kinds.setdefault(path, (tag, "" if noise == top.noise else noise, top.main))
+            main = top.main or tag in MAIN_TAGS and not noise
+            if main and not top.main:
+                self._main.add(path)
+            open_at[tag].append(len(stack))
+            stack.append(_Element(tag, path, depth, noise, main, leaf))
+            hidden += tag in DROPPED
+        flush()
+
+    def priors(self) -> dict[str, float]:
+        """The prior of each branch: what tags and names declare, before the host's tree is asked."""
+        around = {p[:k] for p in self._main for k in range(1, len(p)) if p[k] == "/"} | self._main
+        out = {}
+        for path, (tag, noise, inside) in self.kinds.items():
+            if noise:
+                kind = noise
+            elif path in around:
+                kind = "main"
+            elif self._main and not inside:
+                kind = "outside"
+            else:
+                kind = "text" if inside or tag in KEPT_LEAVES or tag in ("html", "body") else "open"
+            out[path] = PRIORS[kind]
+        return out
 
 
 def host(url: str | None) -> str:
@@ -161,113 +252,112 @@ def _key(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
 
 
+#: One row for each feature of a page. kind 0: the page, 1: a branch with its style and prior, 2: a text with its words.
+_FEATURES = "page long, host string, same long, path string, kind byte, key long, value double, kept boolean"
+
+
 def _features(batches):
-    """Rows of the style tree from each page: (host, page, path, style or content, key), once a page."""
     for b in batches:
-        hosts, same, paths, kinds, keys = [], [], [], [], []
-        for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            blocks, styles = parse(page or "")
-            own = {("", 0, 0)}  # the page itself
-            own.update((p, 1, _key(s)) for p, s in styles.items())
-            own.update((x.path, 2, _key(x.text)) for x in blocks if not x.noise)
-            h = host(url)
-            page_key = _key(*(part for x in blocks if not x.noise for part in (x.path, x.text)))
-            for p, kind, key in own:
-                hosts.append(h)
-                same.append(page_key)
-                paths.append(_key(p))
-                kinds.append(kind)
-                keys.append(key)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(same, pa.int64()), pa.array(paths, pa.int64()), pa.array(kinds, pa.int8()), pa.array(keys, pa.int64())], ["host", "page", "path", "kind", "key"])
-
-
-def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path, kind, key, n): distinct pages of a host with a style (1) or text (2) at a path; kind 0 counts the pages."""
-    rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html"))
-    found = rows.mapInArrow(_features, "host string, page long, path long, kind byte, key long")
-    text = F.when(F.col("kind") == 2, F.col("key")).alias("text")
-    once = found.groupBy("host", "page", "path", "kind", text).agg(F.min("key").alias("key"))
-    return once.groupBy("host", "path", "kind", "key").agg(F.count(F.lit(1)).alias("n"))
-
-
-def low_importance(tree: DataFrame) -> DataFrame:
-    """(host, path, key) of the texts whose branch has low composite importance on its host."""
-    size = tree.where("kind = 0").select("host", F.col("n").alias("m"))
-    p = F.col("n") / F.col("m")
-    entropy = F.sum(-p * F.log(p)) / F.log(F.first("m").cast("double") + PAGES)
-    shown = tree.where("kind = 1").join(size, "host")
-    style = shown.groupBy("host", "path").agg(F.least(F.lit(1.0), entropy).alias("presentation"))
-    repeated = tree.where("kind = 2 and n > 1").join(size, "host")
-    content = 1 - F.log(F.col("n").cast("double")) / F.log(F.col("m").cast("double") + PAGES)
-    scored = repeated.join(style, ["host", "path"], "left")
-    composite = (content + F.coalesce("presentation", content)) / 2
-    return scored.where(composite < IMPORTANCE).select("host", "path", "key")
+        rows = []
+        for page_id, url, html in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            page, h = Page(html or ""), host(url)
+            priors = page.priors()
+            same = _key(*(part for x in page.blocks if not x.noise for part in (x.path, x.text)))
+            rows.append((page_id, h, same, "", 0, 0, 0.0, True))
+            rows += [(page_id, h, same, p, 1, _key(",".join(page.styles.get(p, ()))), v, True) for p, v in priors.items()]
+            texts = {(x.path, _key(x.text)): (float(len(x.text.split())), x.kept) for x in page.blocks}
+            rows += [(page_id, h, same, p, 2, k, *v) for (p, k), v in texts.items()]
+        columns = zip(*rows, strict=True) if rows else ((),) * 8
+        types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int8(), pa.int64(), pa.float64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page", "host", "same", "path", "kind", "key", "value", "kept"])
 
 
-def _judged(block: Block) -> bool:
-    """Whether the style tree decides on a block; else the page alone does."""
-    return not block.noise and not (block.main and block.leaf in KEPT_LEAVES)
+def features(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    rows = pages.select(_page(url, html).alias("page"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
+    return rows.mapInArrow(_features, _FEATURES)
 
 
-def _content(page: str | None) -> list[Block]:
-    """The blocks that may be main text: those of article or main, if there are any."""
-    blocks = parse(page or "")[0]
-    if any(x.main and not x.noise for x in blocks):
-        blocks = [x for x in blocks if x.main]
-    return [x for x in blocks if not x.noise]
+def _page(url: str, html: str):
+    return F.xxhash64(F.col(url).cast("string"), F.col(html), F.length(html))
 
 
-def _settled(batches):
-    """Pages on which the style tree has nothing to decide: their text."""
-    for b in batches:
-        rows = []
-        for page_id, url, page in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            blocks = _content(page)
-            if not any(map(_judged, blocks)):
-                rows.append((page_id, url, " ".join(x.text for x in blocks)))
-        ids, urls, texts = zip(*rows, strict=True) if rows else ((), (), ())
-        yield _result(ids, urls, texts)
+def style_tree(found: DataFrame) -> DataFrame:
+    """(host, path, kind, key, n, value, kept): distinct pages of a host with a style (1) or text (2) at a branch; kind 0 counts the pages."""
+    text = F.when(F.col("kind") == 2, F.col("key")).alias("text")
+    once = found.groupBy("host", "same", "path", "kind", text).agg(F.min("key").alias("key"), F.avg("value").alias("value"), F.bool_and("kept").alias("kept"))
+    return once.groupBy("host", "path", "kind", "key").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("value"), F.bool_and("kept").alias("kept"))
+
+
+def importance(tree: DataFrame) -> DataFrame:
+    """(host, path, prior, evidence, score) of every branch of every host; a branch below zero goes."""
+    size = tree.where("kind = 0").groupBy("host").agg(F.sum("n").alias("m"))
+    of = tree.where("kind > 0").join(size, "host")
+    smooth = F.log(F.col("m").cast("double") + PAGES)
+    # words of a text, less by how evenly it is spread over the pages, in the mean page
+    inform = F.col("n") / F.col("m") * F.col("value") * (1 - F.log(F.col("n").cast("double")) / smooth)
+    steps = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))
+    texts = of.where("kind = 2 and path <> ''").groupBy("host", "path").agg(F.sum(inform).alias("words"))
+    content = texts.select("host", F.explode(above).alias("path"), "words").groupBy("host", "path").agg(F.sum("words").alias("words"))
+    share = F.col("n") / F.col("m")
+    style = of.where("kind = 1").groupBy("host", "path").agg(
+        F.least(F.lit(1.0), F.sum(-share * F.log(share)) / F.first(smooth)).alias("presentation"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("prior")
+    )
+    whole = F.coalesce("words", F.lit(0.0)) * (1 + F.col("presentation")) + WORDS
+    parent = F.array_join(F.slice(steps, F.lit(1), F.size(steps) - 1), "/")
+    branch = style.join(content, ["host", "path"], "left").select("host", "path", parent.alias("parent"), "prior", whole.alias("whole"))
+    # the strongest sibling: the best of the parent's branches, or the second where the branch is the best itself
+    top = branch.groupBy("host", "parent").agg(F.max(F.struct("whole", "path")).alias("best"))
+    among = branch.join(top, ["host", "parent"])
+    second = among.where("path <> best.path").groupBy("host", "parent").agg(F.max("whole").alias("second"))
+    rival = F.when(F.col("path") == F.col("best.path"), F.coalesce("second", F.lit(WORDS))).otherwise(F.col("best.whole"))
+    evidence = F.greatest(F.lit(-REACH), F.least(F.lit(REACH), F.log(F.col("whole") / rival)))
+    out = among.join(second, ["host", "parent"], "left").withColumn("evidence", evidence)
+    return out.select("host", "path", "prior", "evidence", (F.col("prior") + F.col("evidence")).alias("score"))
+
+
+def repeated(tree: DataFrame) -> DataFrame:
+    """(host, path, key) of the texts that too many pages of their host repeat."""
+    size = tree.where("kind = 0").groupBy("host").agg(F.sum("n").alias("m"))
+    often = tree.where("kind = 2 and n > 1 and not kept").join(size, "host")
+    content = 1 - F.log(F.col("n").cast("double")) / F.log(F.col("m").cast("double") + PAGES)
+    return often.where(content < REPEATED).select("host", "path", "key")
 
 
-def _result(ids, urls, texts) -> pa.RecordBatch:
-    sizes = pa.array([len(t) for t in texts], pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
+def _apply(batches):
+    """Rows (page_id, url, html, low): the text without the branches and texts that are low."""
+    for b in batches:
+        texts = []
+        for html, low in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            paths = {x["path"] for x in low or () if x["key"] is None}
+            keys = {(x["path"], x["key"]) for x in low or () if x["key"] is not None}
+            texts.append(extract(html, paths, keys))
+        sizes = pa.array([len(t) for t in texts], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
 
 
-_OPEN = "page_id long, url string, host string, blocks array<struct<path: long, key: long, text: string>>"
+def extract(html: str | None, paths: set[str] = frozenset(), keys: set[tuple[str, int]] = frozenset()) -> str:
+    """The text of one page without the given branches and (branch, text) pairs."""
+    gone: dict[str, bool] = {"": False}
 
+    def low(path: str) -> bool:
+        if path not in gone:
+            gone[path] = path in paths or low(path.rpartition("/")[0])
+        return gone[path]
 
-def _open(batches):
-    """The other pages, as blocks; a block without a key stays."""
-    kind = pa.list_(pa.struct([("path", pa.int64()), ("key", pa.int64()), ("text", pa.string())]))
-    for b in batches:
-        rows = []
-        for page_id, url, page in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            blocks = _content(page)
-            if any(map(_judged, blocks)):
-                rows.append((page_id, url, host(url), [(*((_key(x.path), _key(x.text)) if _judged(x) else (None, None)), x.text) for x in blocks]))
-        columns = zip(*rows, strict=True) if rows else ((), (), (), ())
-        types = (pa.int64(), pa.string(), pa.string(), kind)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page_id", "url", "host", "blocks"])
+    return " ".join(x.text for x in Page(html or "").blocks if not low(x.path) and not (keys and (x.path, _key(x.text)) in keys))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, text and n_chars of every page.
-
-    Where the page alone decides, its text needs no shuffle; the others' blocks - text,
-    not html - meet the judgements of their host by page.
-    """
+    """page_id, url, text and n_chars of every page."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
-    low = low_importance(shared(style_tree(rows)))
-    undecided = rows.mapInArrow(_open, _OPEN)
-    keys = undecided.select("page_id", "host", F.explode("blocks").alias("b")).select("page_id", "host", "b.path", "b.key").where("key is not null").distinct()
-    by_page = keys.join(low, ["host", "path", "key"]).groupBy("page_id").agg(F.collect_set(F.struct("path", "key")).alias("low"))
-    stays = lambda b: b["key"].isNull() | F.col("low").isNull() | ~F.array_contains("low", F.struct(b["path"], b["key"]))
-    text = F.array_join(F.transform(F.filter("blocks", stays), lambda b: b["text"]), " ")
-    decided = undecided.join(by_page, "page_id", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
-    return rows.mapInArrow(_settled, "page_id long, url string, text string, n_chars long").unionByName(decided)
-
-
-def extract(page: str | None, low: set = frozenset()) -> str:
-    """The text of one page without noise and the given (path key, text key) branches."""
-    return " ".join(x.text for x in _content(page) if not (_judged(x) and (_key(x.path), _key(x.text)) in low))
+    found = shared(features(rows))
+    tree = shared(style_tree(found))
+    branches = importance(tree).where("score < 0").select("host", "path", F.lit(None).cast("long").alias("key"))
+    low = branches.unionByName(repeated(tree))
+    # a page has a row for each of its branches (key null) and one for each of its texts
+    own = found.where("kind > 0").select("page", "host", "path", F.when(F.col("kind") == 2, F.col("key")).alias("key")).distinct()
+    same = [own["host"] == low["host"], own["path"] == low["path"], own["key"].eqNullSafe(low["key"])]
+    by_page = own.join(low, same).groupBy(own["page"]).agg(F.collect_set(F.struct(own["path"], own["key"])).alias("low"))
+    keyed = rows.withColumn("page", _page("url", "html"))
+    return keyed.join(by_page, "page", "left").select("page_id", "url", "html", "low").mapInArrow(_apply, "page_id long, url string, text string, n_chars long")

@@ -1,5 +1,12 @@
 import html
+import math
+import random
 import re
+import statistics
+import time
+from collections import Counter, defaultdict
+
+import pytest
 
 from docloom.llm import html_extract
 from docloom.llm.queries import op10_html_extraction
@@ -17,20 +24,112 @@ def test_query_returns_each_article(spark, base):
         assert r.text == want and r.n_chars == len(want) and r.url == pages[r.page_id].url
 
 
-def test_repair_and_noise():
-    e = html_extract.extract
-    assert e(None) == e("") == ""
-    assert e("plain &amp; simple") == "plain & simple"
-    assert e("<p>one<p>two <b>bo</b>ld<br>three") == "one two bold three"
-    assert e("<body><nav>menu</nav><p>a</p><div class='side ads'>buy</div><p>b &lt;i&gt;</p><footer>f</footer>") == "a b <i>"
-    assert e("<article><header><h1>T</h1></header><p>x</p><div id='comments'><p>no</p></div><p>y</article><p>out</p>") == "T x y"
-    assert e("<script>var a='<p>no</p>'</script><style>p{}</style><!-- <p>no</p> --><p>yes</p><script>open") == "yes"
-    assert e("<ul><li>a<li>b</ul>1 < 2 &notanentity; &#233;") == "a b 1 < 2 ¬anentity; é"
-    assert e("<head><title>t</title><body>kept") == "kept"
-    assert e("<table><tr><td>a<td>b<tr><td>c</table>") == "a b c"
-    assert e("</div></p>stray<div>open") == "stray open"
-    assert e("<p>" + "x y " * 50_000 + "</p>").count("x") == 50_000
-    assert e("<form><p>mail</p></form><p>z</p><div role=banner>b</div>") == "z"
+REPAIRED = [
+    (None, ""), ("", ""), ("plain &amp; simple", "plain & simple"),
+    ("<p>one<p>two <b>bo</b>ld<br>three", "one two bold three"),
+    ("<body><nav>menu</nav><p>a</p><div class='side ads'>buy</div><p>b &lt;i&gt;</p><footer>f</footer>", "a b <i>"),
+    ("<article><header><h1>T</h1></header><p>x</p><div id='comments'><p>no</p></div><p>y</article><p>out</p>", "T x y"),
+    ("<script>var a='<p>no</p>'</script><style>p{}</style><!-- <p>no</p> --><p>yes</p><script>open", "yes"),
+    ("<ul><li>a<li>b</ul>1 < 2 &notanentity; &#233;", "a b 1 < 2 ¬anentity; é"),
+    ("<head><title>t</title><body>kept", "kept"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"),
+    ("</div></p>stray<div>open", "stray open"), ("<p>" + "x y " * 50_000 + "</p>", ("x y " * 50_000).strip()),
+    ("<form><p>mail</p></form><p>z</p><div role=banner>b</div>", "z"),
+    ("<form id=page><div>" + "the whole page is one form and its text is long enough " * 30 + "</div></form>", ("the whole page is one form and its text is long enough " * 30).strip()),
+    ("<p title='it is>open</p>here <b>now", "open here now"), ("a<p>b<c", "a b"),
+]
+
+
+def test_repair_and_noise(spark):
+    df = spark.createDataFrame([(k, f"http://h{k}.example/", page) for k, (page, _) in enumerate(REPAIRED)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    for k, (page, want) in enumerate(REPAIRED):
+        assert got[k] == want, page and page[:80]
+
+
+@pytest.mark.parametrize("bad", ["<a '", "<a href='", "<div>", "</x>", "<p><b>x<hr>", "<li><ul>", "<b>x<br>", "<!--", "<table><tr><td>", "<script>", "= \"'<", '<article class="ab">', "&amp;<"])
+def test_malformed_pages_take_linear_time(bad):
+    began = time.process_time()
+    html_extract.Page(bad * (1_000_000 // len(bad))).priors()
+    assert time.process_time() - began < 5
+
+
+def brute(pages):
+    """The style tree of each host by plain loops: {(host, path): score}, and the texts that are repeated."""
+    by_host = defaultdict(dict)
+    for _, url, page in pages:
+        p = html_extract.Page(page or "")
+        same = tuple((x.path, x.text) for x in p.blocks if not x.noise)
+        by_host[html_extract.host(url)].setdefault(same, []).append(p)
+    scores, often = {}, set()
+    for h, groups in by_host.items():
+        m = len(groups)
+        smooth = math.log(m + html_extract.PAGES)
+        styles, prior, texts = defaultdict(Counter), defaultdict(list), defaultdict(set)
+        for g, copies in groups.items():
+            for path in {x for p in copies for x in p.kinds}:
+                own = [p for p in copies if path in p.kinds]
+                styles[path][min(html_extract._key(",".join(p.styles.get(path, ()))) for p in own)] += 1
+                prior[path].append((min(html_extract._key(",".join(p.styles.get(path, ()))) for p in own), statistics.mean(p.priors()[path] for p in own)))
+            for p in copies:
+                for x in p.blocks:
+                    texts[x.path, x.text, x.kept].add(g)
+        words = Counter()
+        for (path, text, _), pages_ in texts.items():
+            n = len(pages_)
+            for k in range(1, path.count("/") + 1):
+                words["/".join(path.split("/")[: k + 1])] += n / m * len(text.split()) * (1 - math.log(n) / smooth)
+        whole = {p: words[p] * (1 + min(1, sum(-c / m * math.log(c / m) for c in styles[p].values()) / smooth)) + html_extract.WORDS for p in styles}
+        for p in whole:
+            rivals = [w for q, w in whole.items() if q != p and q.rpartition("/")[0] == p.rpartition("/")[0]]
+            reach = html_extract.REACH
+            scores[h, p] = statistics.mean(v for _, v in prior[p]) + max(-reach, min(reach, math.log(whole[p] / max(rivals, default=html_extract.WORDS))))
+        for (path, text, kept), pages_ in texts.items():
+            if len(pages_) > 1 and not kept and 1 - math.log(len(pages_)) / smooth < html_extract.REPEATED:
+                often.add((h, path, html_extract._key(text)))
+    return scores, often
+
+
+def test_tree_equals_brute_force(spark):
+    rng, pages = random.Random(5), []
+    sentence = lambda n: " ".join(rng.choice("river stone light paper window garden".split()) for _ in range(n))
+    for k in range(120):
+        parts = [f"<div class=top>{rng.choice(['Home page', 'Start here'])}</div>", f"<div class=story-{k}>" + "".join(f"<p>{sentence(20)}</p>" for _ in range(rng.randint(1, 6))) + "</div>"]
+        parts += [f"<aside><ul>{'<li>' + sentence(2)}</ul></aside>"] * rng.randint(0, 2) + ["<div>Contact us</div>"] * (k % 3 > 0)
+        rng.shuffle(parts)
+        pages.append((k, f"http://h{k % 4}.example/{k}", f"<body>{''.join(parts)}</body>"))
+    pages += [(1, "http://h1.example/copy", pages[1][2])] * 5
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(7)
+    tree = html_extract.shared(html_extract.style_tree(html_extract.features(df)))
+    scores, often = brute(pages)
+    got = {(r.host, r.path): r.score for r in html_extract.importance(tree).collect()}
+    assert got.keys() == scores.keys()
+    assert all(abs(got[k] - v) < 1e-9 for k, v in scores.items())
+    assert {tuple(r) for r in html_extract.repeated(tree).collect()} == often
+    texts = sorted((r.page_id, r.url, r.text) for r in html_extract.main_text(df).collect())
+    want = []
+    for page_id, url, page in pages:
+        h = html_extract.host(url)
+        low = {p for (x, p), v in scores.items() if x == h and v < 0}
+        want.append((page_id, url, html_extract.extract(page, low, {(p, k) for x, p, k in often if x == h})))
+    assert texts == sorted(want)
+    assert any("Contact" in p and "Contact" not in t for (_, _, p), (_, _, t) in zip(sorted(pages), sorted(want), strict=True))
+
+
+def test_most_removals_are_the_trees_own(spark, base):
+    """Most blocks that go would go on the tree's evidence alone, had tags and names no say."""
+    pages = spark.read.parquet(f"{base}/pages.parquet")
+    tree = html_extract.shared(html_extract.style_tree(html_extract.features(pages)))
+    rows = {(r.host, r.path): r for r in html_extract.importance(tree).collect()}
+    gone = alone = 0
+    for r in pages.collect():
+        h = html_extract.host(r.url)
+        for x in html_extract.Page(r.html).blocks:
+            steps = x.path.split("/")
+            above = [rows[h, "/".join(steps[:k])] for k in range(2, len(steps) + 1)]
+            if any(a.score < 0 for a in above):
+                gone += 1
+                alone += any(html_extract.PRIORS["open"] + a.evidence < 0 for a in above if a.score < 0)
+    assert gone > 500 and alone > gone / 2
 
 
 def test_style_tree_removes_repeated_branches(spark):
