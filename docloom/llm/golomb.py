@@ -32,11 +32,10 @@ def encode(values: np.ndarray) -> bytes:
     unary = np.packbits(unary).tobytes()
     low = b""
     if k:
-        shifts = np.arange(k - 1, -1, -1, dtype=np.uint64)
         parts = []
-        for at in range(0, len(gaps), 1 << 18):
-            bits = ((gaps[at : at + (1 << 18), None] >> shifts) & np.uint64(1)).astype(np.uint8)
-            parts.append(np.packbits(bits.ravel()).tobytes())  # 2**18 * k bits fill whole bytes
+        for at in range(0, len(gaps), 1 << 16):
+            octets = gaps[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
+            parts.append(np.packbits(np.unpackbits(octets, axis=1)[:, 64 - k :]).tobytes())  # 2**16 * k bits fill whole bytes
         low = b"".join(parts)
     return head + struct.pack("<I", len(unary)) + unary + low
 
@@ -56,11 +55,13 @@ def decode(blob: bytes) -> np.ndarray:
     at += size
     gaps = high << np.uint64(k)
     if k:
-        bits = np.unpackbits(np.frombuffer(blob, np.uint8, offset=at))[: (n - 1) * k].reshape(n - 1, k)
-        low = np.zeros(n - 1, np.uint64)
-        for j in range(k):
-            low = (low << np.uint64(1)) | bits[:, j]
-        gaps |= low
+        step = 1 << 16  # gaps at a time: bounds the memory of their bits
+        for low in range(0, n - 1, step):
+            m = min(step, n - 1 - low)
+            bits = np.unpackbits(np.frombuffer(blob, np.uint8, (m * k + 7) // 8, at + low * k // 8))[: m * k].reshape(m, k)
+            octets = np.zeros((m, 64), np.uint8)
+            octets[:, 64 - k :] = bits
+            gaps[low : low + m] |= np.packbits(octets, axis=1).view(">u8").ravel().astype(np.uint64)
     out = np.empty(n, np.uint64)
     out[0] = first
     np.cumsum(gaps, dtype=np.uint64, out=out[1:])
