@@ -11,12 +11,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from docloom.functions import text as T
-from docloom.functions.vectors import cosine
 
 POOL, RANK_CONSTANT, WEIGHT = 4, 60, 0.5
 RELAXED_FLOOR, RELAXED_DELTA = 0.45, 0.25
@@ -24,6 +26,8 @@ TYPE_BOOST = 0.08
 SHARED = ("shared", "global", "cross-functional")
 #: Queries in one broadcast block, on average.
 MAX_QUERIES = 4096
+#: Cells of a product that a task holds at once.
+CELLS = 1 << 22
 
 PAYLOAD = ("document_id", "document_title", "content", "system", "workspace", "document_type", "is_shared", "section_heading", "page_number")
 
@@ -32,6 +36,11 @@ def relaxed_threshold(threshold: float) -> float:
     return max(RELAXED_FLOOR, threshold - RELAXED_DELTA)
 
 
+def relaxed(threshold: Column) -> Column:
+    """``relaxed_threshold`` of a column."""
+    return F.greatest(F.lit(RELAXED_FLOOR), threshold - RELAXED_DELTA)
+
+
 def scope_condition(strict: bool = False, shared: Column | None = None) -> Column:
     """Filter of a chunk by its query's scope columns ``q_systems`` and ``q_workspace``.
 
@@ -55,14 +64,47 @@ def _blocks(queries: DataFrame) -> list[DataFrame]:
     return [queries.where(part == k) for k in range(n)] if n > 1 else [queries]
 
 
-def _per_query(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each chunk with each query; queries are broadcast a block at a time."""
-    return reduce(DataFrame.unionAll, [chunks.crossJoin(F.broadcast(q)) for q in _blocks(queries)])
-
-
-def scored(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Chunks with queries and their similarity; nothing is cut yet."""
-    return _per_query(chunks, queries).withColumn("score", cosine(F.col("vector"), F.col("q_vector")))
+def _similar(chunks: DataFrame, queries: DataFrame, floor: float) -> DataFrame:
+    """One block of queries: the products of unit vectors, a slab of chunks at a time."""
+    asked = queries.select("query_id", "q_vector").where("q_vector is not null").collect()
+    ids = np.array([r["query_id"] for r in asked])
+    unit = _units(np.array([r["q_vector"] for r in asked], np.float64).reshape(len(asked), -1))
+    held = chunks.sparkSession.sparkContext.broadcast((ids, unit))
+    at, names = chunks.columns.index("vector"), [c for c in chunks.columns if c != "vector"]
+
+    def run(batches):
+        ids, unit = held.value
+        for b in batches:
+            valid = np.flatnonzero(b.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == unit.shape[1]) if len(ids) else np.zeros(0, np.int64)
+            step = max(1, CELLS // max(1, len(ids)))
+            for low in range(0, len(valid), step):
+                rows = valid[low : low + step]
+                own = b.take(pa.array(rows))
+                vectors = own.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+                score = np.round(_units(vectors) @ unit.T, 12)  # equal vectors tie whatever their place in a product
+                chunk, query = np.nonzero(score >= floor)
+                taken = own.take(pa.array(chunk))
+                columns = [taken.column(k) for k in range(b.num_columns) if k != at]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids[query]), pa.array(score[chunk, query])], [*names, "query_id", "score"])
+
+    fields = [chunks.schema[c] for c in names] + [queries.schema["query_id"], T_.StructField("score", T_.DoubleType())]
+    hits = chunks.mapInArrow(run, T_.StructType(fields))
+    return hits.join(F.broadcast(queries.drop("q_vector")), "query_id")
+
+
+def _units(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero rows become NaN and so match nothing."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return vectors / np.sqrt(np.square(vectors).sum(1, keepdims=True))
+
+
+def scored(chunks: DataFrame, queries: DataFrame, floor: float = -1.0) -> DataFrame:
+    """Chunks with the queries (one row a query_id) to which their similarity is at least ``floor``.
+
+    Blocks of queries are broadcast, chunks are scored in Arrow batches in place; only
+    pairs above the floor leave a task.
+    """
+    return reduce(DataFrame.unionAll, [_similar(chunks, q, floor) for q in _blocks(queries)])
 
 
 def _top(df: DataFrame, k: int, *order: Column, rank: str = "rank") -> DataFrame:
@@ -72,7 +114,7 @@ def _top(df: DataFrame, k: int, *order: Column, rank: str = "rank") -> DataFrame
 
 def dense(chunks: DataFrame, queries: DataFrame, k: int, threshold: float, strict: bool = False) -> DataFrame:
     """Top-k by cosine at or above the threshold, in scope."""
-    hits = scored(chunks, queries).where(scope_condition(strict) & (F.col("score") >= threshold))
+    hits = scored(chunks, queries, threshold).where(scope_condition(strict) & (F.col("score") >= threshold))
     return _top(hits, k, F.desc("score"), F.col("chunk_id"))
 
 
@@ -82,7 +124,7 @@ def resilient(chunks: DataFrame, queries: DataFrame, k: int, threshold: float, s
     All tiers come from one scan: a hit's tier is the first that admits it, and a query
     keeps its least tier with a hit. The last tier uses the asked shared flag again.
     """
-    base = scored(chunks.select("chunk_id", "vector", "system", "workspace", "is_shared"), queries).drop("vector", "q_vector")
+    base = scored(chunks.select("chunk_id", "vector", "system", "workspace", "is_shared"), queries, min(threshold, relaxed_threshold(threshold)))
     asked, wide = scope_condition(strict), scope_condition(strict, F.lit(True))
     widens = F.col("q_workspace").isNotNull() & ~F.col("q_shared")
     tier = (

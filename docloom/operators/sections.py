@@ -257,3 +257,23 @@ def page_issues(evidence: DataFrame) -> DataFrame:
     )
     out = evidence.withColumn("issues", found)
     return out.withColumn("confidence_score", F.greatest(F.lit(0.0), 1 - 0.15 * F.size("issues")))
+
+
+def sharing(a: DataFrame, b: DataFrame, key_a: str, key_b: str, tokens: str, least: int) -> DataFrame:
+    """(key_a, key_b, shared) of the pairs with at least ``least`` common tokens; ``tokens`` are distinct.
+
+    With tokens in order of their frequency in ``b``, two lists that share that many share one
+    of the first n - least + 1 of each. Only those meet in the equi-join, so frequent tokens
+    make no pairs; candidates are then counted on their whole lists.
+    """
+    df = b.select(F.explode(tokens).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+
+    def heads(rows: DataFrame, key: str) -> DataFrame:
+        long = rows.where(F.size(tokens) >= least).select(key, F.explode(tokens).alias("t")).join(df, "t", "left")
+        order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("order")
+        ordered = long.groupBy(key).agg(order)
+        return ordered.select(key, F.explode(F.slice("order", F.lit(1), F.size("order") - least + 1)).alias("o")).select(key, "o.t")
+
+    pairs = heads(a, key_a).join(heads(b, key_b), "t").select(key_a, key_b).distinct()
+    both = pairs.join(a.select(key_a, F.col(tokens).alias("_a")), key_a).join(b.select(key_b, F.col(tokens).alias("_b")), key_b)
+    return both.select(key_a, key_b, F.size(F.array_intersect("_a", "_b")).cast("long").alias("shared")).where(F.col("shared") >= least)

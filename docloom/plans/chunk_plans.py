@@ -141,12 +141,13 @@ def src4_src5_cells_to_markdown(spark, base):
 
 
 @register("jn19_sheet_lookup", """
-  WITH a AS (SELECT lower(n_name) AS k, n_nationkey AS page FROM nation WHERE n_nationkey < 15), b AS (SELECT lower(n_name) AS k, n_nationkey + 100 AS page FROM nation WHERE n_nationkey >= 10)
+  WITH a AS (SELECT lower(k) AS k, min(l_orderkey) AS page FROM (SELECT l_returnflag AS k, l_orderkey FROM lineitem UNION ALL SELECT l_linestatus, l_orderkey FROM lineitem) GROUP BY 1),
+    b AS (SELECT lower(o_orderstatus) AS k, min(o_orderkey) + 100 AS page FROM orders GROUP BY 1)
   SELECT coalesce(a.k, b.k) AS k, coalesce(a.page, b.page) AS page, CASE WHEN a.k IS NULL THEN 'b' WHEN b.k IS NULL THEN 'a,x' ELSE 'a,x,b' END AS heads FROM a FULL JOIN b ON a.k = b.k""")
 def jn19_sheet_lookup(spark, base):
-    n = table(spark, base, "nation")
-    a = n.where("n_nationkey < 15").select(F.upper("n_name").alias("sheet"), F.col("n_nationkey").alias("page"), F.array(F.lit("a"), F.lit("x")).alias("heads"))
-    b = n.where("n_nationkey >= 10").select(F.col("n_name").alias("sheet"), (F.col("n_nationkey") + 100).alias("page"), F.array(F.lit("b")).alias("heads"))
+    flags = table(spark, base, "lineitem").select(F.explode(F.array("l_returnflag", "l_linestatus")).alias("sheet"), "l_orderkey")
+    a = flags.groupBy("sheet").agg(F.min("l_orderkey").alias("page"), F.array(F.lit("a"), F.lit("x")).alias("heads"))
+    b = table(spark, base, "orders").groupBy(F.lower("o_orderstatus").alias("sheet")).agg((F.min("o_orderkey") + 100).alias("page"), F.array(F.lit("b")).alias("heads"))
     return C.sheet_lookup(a, b).select("k", "page", F.array_join("heads", ",").alias("heads"))
 
 
@@ -190,14 +191,8 @@ def flt21_effect_labels(spark, base):
     return table(spark, base, "part").select("p_partkey", M.is_label(label).alias("ok"))
 
 
-@register("flt24_resume_skip", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id < 900")
+@register("flt24_resume_skip", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def flt24_resume_skip(spark, base):
-    """The rows of ``flt24_resume_skip_all`` that the oracle SQL names."""
-    return flt24_resume_skip_all(spark, base).where("doc_id < 900")
-
-
-@register("flt24_resume_skip_all", None)
-def flt24_resume_skip_all(spark, base):
     """Every document that is not done yet: an anti-join with the labels."""
     return table(spark, base, "documents").select("doc_id").join(table(spark, base, "labels").select("doc_id"), "doc_id", "left_anti")
 
@@ -244,7 +239,7 @@ def dom16_placeholders(spark, base):
 @register("dom18_segment_outline", """
   SELECT source, count(*) AS n, CAST(sum(least(500, length(regexp_replace(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g'), '^ | $', '', 'g')))) AS BIGINT) AS chars FROM documents GROUP BY 1""")
 def dom18_segment_outline(spark, base):
-    d = table(spark, base, "documents").select("source", F.col("doc_id").alias("page_number"), F.substring("text", 1, 80).alias("heading"), F.col("text").alias("markdown"))
+    d = table(spark, base, "documents").select("source", F.col("doc_id").alias("page_number"), F.get(F.split("text", "\n"), F.lit(0)).alias("heading"), F.col("text").alias("markdown"))
     o = C.outline(d, "source")
     return o.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("preview")), F.lit(0)).cast("long").alias("chars"))
 
@@ -307,11 +302,20 @@ def src11_artifact_times(spark, base):
     return usable.groupBy("o_custkey").agg(F.min("o_orderdate").alias("started"), F.max("o_orderdate").alias("completed"))
 
 
-@register("mth3_relaxed_threshold", f"SELECT {R.relaxed_threshold(0.7)} AS a, {R.relaxed_threshold(0.5)} AS b")
+@register("mth3_relaxed_threshold", "SELECT event_id, round(greatest(0.45, CAST(value AS DOUBLE) / 100 - 0.25), 6) AS relaxed FROM events")
 def mth3_relaxed_threshold(spark, base):
-    return spark.range(1).select(F.greatest(F.lit(0.45), F.lit(0.7) - 0.25).alias("a"), F.greatest(F.lit(0.45), F.lit(0.5) - 0.25).alias("b"))
+    """The relaxed form of a threshold a row."""
+    return table(spark, base, "events").select("event_id", F.round(R.relaxed(F.col("value") / 100), 6).alias("relaxed"))
+
+
+_STATUS = "CASE event_id % {n} {cases} END".format(n=len(L.STATUSES), cases=" ".join(f"WHEN {k} THEN '{{}}'" for k in range(len(L.STATUSES))))
 
 
-@register("status_dimension", "SELECT count(*) AS n FROM (VALUES " + ", ".join(f"('{s}')" for s, _, _ in L.STATUSES) + ")")
+@register("status_dimension", "WITH s(status, progress, stage) AS (VALUES " + ", ".join("({})".format(", ".join("NULL" if x is None else repr(x) for x in r)) for r in L.STATUSES) + "), e AS (SELECT event_id, "
+  + _STATUS.format(*[s for s, _, _ in L.STATUSES]) + " AS status FROM events) SELECT event_id, status, progress, stage FROM e JOIN s USING (status)")
 def status_dimension(spark, base):
-    return spark.createDataFrame(L.STATUSES, "status string, progress int, stage string").agg(F.count(F.lit(1)).alias("n"))
+    """Progress and stage of each job's status, from the status table."""
+    statuses = spark.createDataFrame(L.STATUSES, "status string, progress int, stage string")
+    names = F.array(*[F.lit(s) for s, _, _ in L.STATUSES])
+    e = table(spark, base, "events").select("event_id", F.element_at(names, (F.col("event_id") % len(L.STATUSES) + 1).cast("int")).alias("status"))
+    return e.join(F.broadcast(statuses), "status").select("event_id", "status", "progress", "stage")

@@ -11,6 +11,7 @@ from docloom.operators import matrix as M
 from docloom.plans.registry import register
 from docloom.plans.text_plans import _LINES, markdown
 from docloom.sources import artifacts as R
+from docloom.sources.shared import shared
 from docloom.sources.tables import table
 
 COLUMNS = 14
@@ -29,7 +30,7 @@ def matrix_rows(spark, base):
     sheets = li.select(F.col("l_suppkey").alias("sheet")).distinct()
     labels = [F.lit("") for _ in range(6)] + [F.concat(F.lit(f"Effect valve {j} of "), "sheet") if j != 3 else F.lit("short") for j in range(8)]
     header = sheets.select("sheet", F.lit(2).alias("line_no"), F.array(*labels).alias("cells"))
-    return header.unionByName(data)
+    return shared(header.unionByName(data))  # the operators read their rows several times
 
 
 _M = f"""base AS (
@@ -110,7 +111,7 @@ def win6_win7_dom5_page_alignment(spark, base):
 
 @register("win13_joined_headings", None)
 def win13_joined_headings(spark, base):
-    d = table(spark, base, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 < 2, F.concat(F.lit("## "), F.substring(x, 1, 20))).when(i % 4 == 2, "").otherwise(x)), "\n").alias("markdown"))
+    d = table(spark, base, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 < 2, F.concat(F.lit("## "), x)).when(i % 4 == 2, "").otherwise(x)), "\n").alias("markdown"))
     return A.with_joined_headings(d, "markdown")
 
 
@@ -159,9 +160,9 @@ def jsn4_schema_validation(spark, base):
 
 
 @register("src9_page_ranges", """
-  SELECT l_orderkey, l_linenumber, l_partkey, f AS first_page, least(f + 3, CAST(l_quantity AS INTEGER)) AS last_page FROM lineitem, LATERAL (SELECT unnest(range(1, greatest(1, CAST(l_quantity AS INTEGER)) + 1, 4)) AS f) WHERE l_quantity > 40""")
+  SELECT l_orderkey, l_linenumber, l_partkey, f AS first_page, least(f + 3, CAST(l_quantity AS INTEGER)) AS last_page FROM lineitem, LATERAL (SELECT unnest(range(1, greatest(1, CAST(l_quantity AS INTEGER)) + 1, 4)) AS f)""")
 def src9_page_ranges(spark, base):
-    li = table(spark, base, "lineitem").where("l_quantity > 40").select("l_orderkey", "l_linenumber", "l_partkey", F.bround("l_quantity").cast("int").alias("n"))
+    li = table(spark, base, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.bround("l_quantity").cast("int").alias("n"))
     return R.page_ranges(li, "n", 4).drop("n")
 
 
@@ -173,11 +174,11 @@ def src7_candidate_priority(spark, base):
 
 
 @register("snk1_upsert", """
-  SELECT p_partkey, p_size + 100 AS p_size FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, p_size FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 2 = 0""")
+  SELECT c_custkey AS p_partkey, c_nationkey + 100 AS p_size FROM customer UNION ALL SELECT p_partkey, p_size FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)""")
 def snk1_upsert(spark, base):
     p = table(spark, base, "part").select("p_partkey", "p_size")
-    new = p.where("p_partkey % 3 = 0").select("p_partkey", (F.col("p_size") + 100).alias("p_size"))
-    return R.upsert(p.where("p_partkey % 2 = 0"), new, "p_partkey")
+    new = table(spark, base, "customer").select(F.col("c_custkey").alias("p_partkey"), (F.col("c_nationkey") + 100).alias("p_size"))
+    return R.upsert(p, new, "p_partkey")
 
 
 @register("snk2_snk14_delete", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")

@@ -303,9 +303,9 @@ def agg4_agg5_win1_snapshots(spark, base):
 
 
 @register("agg2_flagged_answers", f"""WITH {_SNAP}
-  SELECT count(*) AS flagged FROM snaps WHERE (negative_streak >= 3 OR negative_count >= 40) AND last_feedback_at >= TIMESTAMP '{EVENTS_NOW}' - INTERVAL 1 DAY""")
+  SELECT count(*) AS flagged FROM snaps WHERE (negative_streak >= 3 OR negative_count >= 5) AND last_feedback_at >= TIMESTAMP '{EVENTS_NOW}' - INTERVAL 1 DAY""")
 def agg2_flagged_answers(spark, base):
-    s = FB.snapshots(feedback(spark, base)).where((F.col("negative_streak") >= 3) | (F.col("negative_count") >= 40))
+    s = FB.snapshots(feedback(spark, base)).where((F.col("negative_streak") >= 3) | (F.col("negative_count") >= 5))
     return s.where(FB.in_window(events_now(), 1, time="last_feedback_at")).agg(F.count(F.lit(1)).alias("flagged"))
 
 
@@ -383,9 +383,9 @@ def top8_slice(spark, base):
     return table(spark, base, "part").select("p_partkey").orderBy("p_partkey").offset(75).limit(25)
 
 
-@register("top11_latest_config", "SELECT n_regionkey, max_by(n_name, n_nationkey) AS n_name FROM nation WHERE n_nationkey % 2 = 0 GROUP BY 1")
+@register("top11_latest_config", "SELECT n_regionkey, max_by(n_name, n_nationkey) AS n_name FROM nation GROUP BY 1")
 def top11_latest_config(spark, base):
-    return table(spark, base, "nation").where("n_nationkey % 2 = 0").groupBy("n_regionkey").agg(F.max_by("n_name", "n_nationkey").alias("n_name"))
+    return table(spark, base, "nation").groupBy("n_regionkey").agg(F.max_by("n_name", "n_nationkey").alias("n_name"))
 
 
 @register("top12_ordered_children", """

@@ -13,9 +13,7 @@ from docloom.operators import retrieval as R
 from docloom.plans.registry import register
 from docloom.sources.tables import table
 
-#: The query set that the oracle SQL names: vectors of these ids, with these words and scopes.
-QUERY_IDS = (0, 100, 200, 300, 400)
-#: The whole query set: every vector whose id this divides.
+#: The query set: every vector whose id this divides; some have scopes.
 QUERY_STEP = 20
 WORDS = "the and of de la der"
 K, THRESHOLD = 5, 0.2
@@ -39,10 +37,9 @@ def chunks(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def query_set(spark: SparkSession, base: str, whole: bool = False) -> DataFrame:
-    """The queries that the oracle SQL names, or all whose id QUERY_STEP divides."""
-    asked = F.col("vec_id") % QUERY_STEP == 0 if whole else F.col("vec_id").isin(*QUERY_IDS)
-    vectors = table(spark, base, "embeddings").where(asked)
+def query_set(spark: SparkSession, base: str) -> DataFrame:
+    """All queries: the ids that QUERY_STEP divides."""
+    vectors = table(spark, base, "embeddings").where(F.col("vec_id") % QUERY_STEP == 0)
     none = F.lit(None).cast("array<string>")
     return vectors.select(
         F.col("vec_id").alias("query_id"),
@@ -64,7 +61,7 @@ queries AS (
   SELECT vec_id AS query_id, embedding AS q_vector,
          CASE WHEN vec_id = 100 THEN ['src0', 'src1', 'src2'] END AS q_systems,
          CASE WHEN vec_id IN (200, 300, 400) THEN 'src' || (vec_id // 100) END AS q_workspace, vec_id = 300 AS q_shared
-  FROM embeddings WHERE vec_id IN {QUERY_IDS}),
+  FROM embeddings WHERE vec_id % {QUERY_STEP} = 0),
 scored AS (
   SELECT c.*, q.query_id, q.q_workspace, q.q_shared,
          list_cosine_similarity(c.vector::DOUBLE[], q.q_vector::DOUBLE[]) AS score,
@@ -110,8 +107,8 @@ def _with(body: str) -> str:
     return f"WITH {_CTE} {body}"
 
 
-def _fused(spark, base, whole=False):
-    c, q = chunks(spark, base), query_set(spark, base, whole)
+def _fused(spark, base):
+    c, q = chunks(spark, base), query_set(spark, base)
     return R.hybrid(c, q, K, THRESHOLD)[0]
 
 
@@ -127,12 +124,6 @@ def ret_hybrid_topk(spark: SparkSession, base: str) -> DataFrame:
     return _ranks(_fused(spark, base))
 
 
-@register("ret_hybrid_topk_all", None)
-def ret_hybrid_topk_all(spark: SparkSession, base: str) -> DataFrame:
-    """The flagship over the whole query set: every id that QUERY_STEP divides."""
-    return _ranks(_fused(spark, base, whole=True))
-
-
 @register("ret1_dense_branch", _with("SELECT query_id, chunk_id, rank, round(score, 6) AS score_raw, round(norm, 6) AS score_norm, tier FROM dense"))
 def ret1_dense_branch(spark, base):
     hits = R.branch_norm(R.resilient(chunks(spark, base), query_set(spark, base), K, THRESHOLD), "score")
@@ -180,14 +171,14 @@ def top5_type_boost(spark, base):
 
 
 @register("flt6_threshold_topk", f"""
-  WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id IN {QUERY_IDS})
+  WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % {QUERY_STEP} = 0)
   SELECT query_id, vec_id, round(s, 6) AS score, rank FROM (
     SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (
       SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS s FROM embeddings CROSS JOIN q) WHERE s >= 0.3) WHERE rank <= 10""")
 def flt6_threshold_topk(spark, base):
     vectors = table(spark, base, "embeddings")
-    queries = vectors.where(F.col("vec_id").isin(*QUERY_IDS)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vector"))
-    hits = R.scored(vectors.select("vec_id", F.col("embedding").alias("vector")), queries).where("score >= 0.3")
+    queries = vectors.where(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vector"))
+    hits = R.scored(vectors.select("vec_id", F.col("embedding").alias("vector")), queries, 0.3)
     return R._top(hits, 10, F.desc("score"), F.col("vec_id")).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 

@@ -155,12 +155,12 @@ def str9_arr1_page_numbers(spark, base):
 
 
 @register("str10_question_headings", r"""
-  WITH h AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Page 12' WHEN 2 THEN '## ' || substring(text, 1, 20) || '?' ELSE substring(text, 1, 20) END AS raw FROM documents),
+  WITH h AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Page 12' WHEN 2 THEN '## ' || string_split(text, chr(10))[1] || '?' ELSE string_split(text, chr(10))[1] END AS raw FROM documents),
   c AS (SELECT doc_id, regexp_replace(regexp_replace(raw, '[\s\p{Z}]+', ' ', 'g'), '^[ #:\-\t\n]+|[ #:\-\t\n]+$', '', 'g') AS t FROM h)
   SELECT doc_id, CASE WHEN t = '' AND doc_id > 0 THEN 'What is covered on page ' || doc_id || '?' WHEN t = '' THEN 'What should you know from this section?' WHEN suffix(t, '?') THEN t
     WHEN regexp_matches(t, '^(?i)page[\s]+\d+$') THEN 'What is covered on ' || lower(t) || '?' ELSE 'What does this section explain about ' || t || '?' END AS question FROM c""")
 def str10_question_headings(spark, base):
-    k, x = F.col("doc_id"), F.substring("text", 1, 20)
+    k, x = F.col("doc_id"), F.get(F.split("text", "\n"), F.lit(0))
     raw = F.when(k % 4 == 0, "").when(k % 4 == 1, "Page 12").when(k % 4 == 2, F.concat(F.lit("## "), x, F.lit("?"))).otherwise(x)
     return table(spark, base, "documents").select("doc_id", T.heading_question(raw, k).alias("question"))
 
@@ -269,14 +269,8 @@ def mth4_window_sizes(spark, base):
 
 @register("jn8_range_join_sheets", f"""WITH {_LINES}
   SELECT l.doc_id, l.i + 1 AS line_no, coalesce(s.heading, f.heading) AS heading FROM lines l LEFT JOIN secs s ON l.doc_id = s.doc_id AND l.i + 1 BETWEEN s.start_line AND s.end_line
-  LEFT JOIN secs f ON l.doc_id = f.doc_id AND f.section_no = 1 WHERE l.i % 10 = 7""")
+  LEFT JOIN secs f ON l.doc_id = f.doc_id AND f.section_no = 1""")
 def jn8_range_join_sheets(spark, base):
-    """The lines of ``jn8_range_join_sheets_all`` that the oracle SQL names."""
-    return jn8_range_join_sheets_all(spark, base).where("line_no % 10 = 8")
-
-
-@register("jn8_range_join_sheets_all", None)
-def jn8_range_join_sheets_all(spark, base):
     """Each line's section: the last heading at or before it, else the document's first."""
     m = markdown(spark, base).select("doc_id", F.posexplode(F.split("markdown", "\n")).alias("i", "line"))
     head = F.when(F.col("line").rlike(S.HEADING), T.strip(F.regexp_replace("line", "^##+", "")))
@@ -301,10 +295,9 @@ def win12_adjacent_duplicates(spark, base):
   WITH b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS t FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS t FROM documents)
   SELECT item_id, doc_id, count(*) AS shared FROM b JOIN d USING (t) GROUP BY 1, 2 HAVING count(*) >= 30""")
 def jn11_set7_token_overlap(spark, base):
-    """Sections and pages that share tokens: an equi-join on distinct tokens, counted."""
-    own = lambda df, key: df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{3,})"), F.lit(1)))).alias("t"))
-    b, d = own(table(spark, base, "benchmark"), "item_id"), own(table(spark, base, "documents"), "doc_id")
-    return b.join(d, "t").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 30")
+    """Sections and pages that share at least 30 tokens."""
+    own = lambda df, key: df.select(key, F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{3,})"), F.lit(1))).alias("tokens"))
+    return S.sharing(own(table(spark, base, "benchmark"), "item_id"), own(table(spark, base, "documents"), "doc_id"), "item_id", "doc_id", "tokens", 30)
 
 
 @register("flt25_internal_lines", """

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from those files.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. A lost executor costs a
-    reread, not a rerun. Without that setting this is an error: a folder of one machine
-    would lose rows on a cluster.
+    Without that setting this is an error: a folder of one machine would lose rows on a
+    cluster.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from those files; a lost executor costs a reread, not a rerun."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -11,8 +11,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docloom.sources.shared import shared_folder
+
 HISTORY = 20
 TERMINAL = ("complete", "error")
 PREFIX = "PIPELINE_EVENT "
@@ -79,10 +82,22 @@ def latest_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return newest.select("answer_id", "s.*").drop("batch", "version")
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Drive a stream over what is there now into a table of that name."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """Drive a stream over what is there now into Parquet files in the shared folder, and read them.
+
+    A batch is one partition, so a repeated batch replaces itself. Of a complete stream the
+    last batch is the result; of an update stream the caller takes the newest row of each key.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/{name}"
+
+    def body(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/rows/batch=-1")
+    stream.writeStream.outputMode(mode).foreachBatch(body).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+    if mode == "complete":
+        last = rows.agg(F.max("batch")).first()[0]
+        rows = rows.where(F.col("batch") == last) if last is not None else rows
+    return rows.drop("batch")
