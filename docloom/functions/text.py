@@ -30,6 +30,10 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
+def rstrip(x: Column) -> Column:
+    return F.regexp_replace(x, r"[\s\p{Z}]+$", "")
+
+
 def blank_to_null(x: Column) -> Column:
     return F.nullif(strip(x), F.lit(""))
 

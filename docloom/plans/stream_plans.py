@@ -53,11 +53,36 @@ def stm2_progress_lines(spark, base):
 
 
 @register("stm3_log_ring", """
-  SELECT user_id, count(*) AS n FROM (SELECT user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 50) GROUP BY 1""")
+  SELECT user_id, string_agg(event_type || ':' || event_id, ',' ORDER BY event_id) AS lines, max(event_id) AS last FROM (
+    SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 50) GROUP BY 1""")
 def stm3_log_ring(spark, base):
-    """Log lines kept per key by a bounded window over the ordered log."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("user_id").orderBy(F.desc("event_id"))
-    kept = table(spark, base, "events").withColumn("rn", F.row_number().over(w)).where("rn <= 50")
-    return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    """Each key's last 50 log lines in order, kept as a ring in the state of a stream."""
+    line = F.concat("event_type", F.lit(":"), F.col("event_id").cast("string"))
+    out = jobs.run_to_end(jobs.event_history(_stream(spark, base, "events").withColumn("line", line), "user_id", "event_id", "line", 50), _name(), "update")
+    newest = out.groupBy("key").agg(F.max_by(F.struct("events", "last_seq"), "last_seq").alias("s"))
+    return newest.select(F.col("key").alias("user_id"), F.array_join("s.events", ",").alias("lines"), F.col("s.last_seq").alias("last"))
+
+
+@register("stm6_incremental_snapshots", """
+  WITH f AS (SELECT user_id AS answer_id, event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'up' ELSE 'down' END AS sentiment FROM events),
+  stop AS (SELECT answer_id, max(id) AS stop FROM f WHERE sentiment <> 'down' GROUP BY 1)
+  SELECT answer_id, count(*) AS feedback_count, count(*) FILTER (sentiment = 'up') AS positive_count, count(*) FILTER (sentiment = 'down') AS negative_count,
+    count(*) FILTER (sentiment = 'down' AND (stop IS NULL OR id > stop)) AS negative_streak FROM f LEFT JOIN stop USING (answer_id) GROUP BY 1""")
+def stm6_incremental_snapshots(spark, base):
+    """Quality snapshots kept in state: an event costs its key's few counters, never a reread of past events."""
+    e = _stream(spark, base, "events").select(F.col("user_id").alias("answer_id"), F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, "up").otherwise("down").alias("sentiment"))
+    out = jobs.run_to_end(jobs.feedback_snapshots(e), _name(), "update")
+    names = ("feedback_count", "positive_count", "negative_count", "negative_streak")
+    newest = out.groupBy("answer_id").agg(F.max_by(F.struct(*names), "feedback_count").alias("s"))
+    return newest.select("answer_id", "s.*")
+
+
+@register("stm9_subscription", """
+  WITH h AS (SELECT user_id, event_id, event_type, ts, max(event_id) FILTER (ts < TIMESTAMP '2024-01-15') OVER (PARTITION BY user_id) AS seen FROM events),
+  s AS (SELECT user_id, event_id, 'snapshot' AS origin, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM h WHERE ts < TIMESTAMP '2024-01-15')
+  SELECT user_id, event_id, origin FROM s WHERE rn <= 20 UNION ALL
+  SELECT user_id, event_id, 'live' FROM h WHERE ts >= TIMESTAMP '2024-01-15' AND (seen IS NULL OR event_id > seen) AND user_id % 10 <> 0""")
+def stm9_subscription(spark, base):
+    """What a subscriber gets: the snapshot of the history, then the live rows after it; none where the job is finished."""
+    e = table(spark, base, "events").select("user_id", "event_id", (F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")).alias("past"))
+    return jobs.subscription(e.where("past"), e.where("not past"), e.where("user_id % 10 = 0").select("user_id").distinct(), "user_id", "event_id").select("user_id", "event_id", "origin")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.functions import text as T
+
 
 def scan(spark: SparkSession, folder: str, pattern: str, schema: str) -> DataFrame:
     """All JSON files below ``folder`` by name; of equal names the first path wins. Corrupt files give nulls."""
@@ -52,3 +54,16 @@ def append(rows: DataFrame, folder: str) -> None:
 
 def write_json(rows: DataFrame, folder: str) -> None:
     rows.write.mode("overwrite").json(folder)
+
+
+def messages(rows: DataFrame) -> DataFrame:
+    """Messages with their citations as JSON text; none is an empty list."""
+    return rows.withColumn("citations", F.coalesce(F.to_json("citations"), F.lit("[]")))
+
+
+def page_evidence(pages: DataFrame, html: str, limit: int = 500) -> DataFrame:
+    """``text_preview``, ``table_count`` and ``image_count`` of pages that come as html."""
+    text = T.strip(F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]*>", " "))
+    count = lambda mark: F.coalesce(F.size(F.split(html, mark)) - 1, F.lit(0)).cast("long")
+    preview = F.when(text == "", "[No text extracted]").otherwise(F.substring(text, 1, limit))
+    return pages.withColumns({"text_preview": preview, "table_count": count("<table"), "image_count": count("<img")})

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -26,27 +27,58 @@ def read(spark: SparkSession, folder: str, schema: str, files: int = 1) -> DataF
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def _history(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The newest events of a key after each batch; nothing passes a terminal event."""
-    kept, done = ([list(r) for r in state.get[0]], state.get[1]) if state.exists else ([], False)
-    for pdf in batches:
-        for seq, event in pdf.sort_values("seq")[["seq", "event"]].itertuples(index=False):
+def _history(size: int):
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """The newest events of a key after each batch; nothing passes a terminal event."""
+        kept, done = ([list(r) for r in state.get[0]], state.get[1]) if state.exists else ([], False)
+        rows = pd.concat(list(batches)).sort_values("seq")
+        for seq, event in rows[["seq", "event"]].itertuples(index=False):
             if done:
                 break
-            kept = (kept + [[int(seq), event]])[-HISTORY:]
+            kept = (kept + [[int(seq), event]])[-size:]
             done = event in TERMINAL
-    state.update(([tuple(r) for r in kept], done))
-    yield pd.DataFrame({"key": [key[0]], "events": [[e for _, e in kept]], "last_seq": [kept[-1][0] if kept else None], "finished": [done]})
+        state.update(([tuple(r) for r in kept], done))
+        yield pd.DataFrame({"key": [key[0]], "events": [[e for _, e in kept]], "last_seq": [kept[-1][0] if kept else None], "finished": [done]})
 
+    return run
 
-def event_history(events: DataFrame, key: str, seq: str, event: str) -> DataFrame:
-    """Per key its last HISTORY events and whether it is finished, updated by batch."""
+
+def event_history(events: DataFrame, key: str, seq: str, event: str, size: int = HISTORY) -> DataFrame:
+    """Per key its last ``size`` events and whether it is finished, updated by batch."""
     rows = events.select(F.col(key).alias("key"), F.col(seq).alias("seq"), F.col(event).alias("event"))
     return rows.groupBy("key").applyInPandasWithState(
-        _history, "key long, events array<string>, last_seq long, finished boolean", "kept array<struct<seq: long, event: string>>, done boolean", "update", GroupStateTimeout.NoTimeout
+        _history(size), "key long, events array<string>, last_seq long, finished boolean", "kept array<struct<seq: long, event: string>>, done boolean", "update", GroupStateTimeout.NoTimeout
+    )
+
+
+def _snapshot(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Counts and the negative streak of an answer, from its state and the batch's events in order."""
+    n, up, down, streak = state.get if state.exists else (0, 0, 0, 0)
+    rows = pd.concat(list(batches)).sort_values("id")
+    negative = (rows["sentiment"] == "down").to_numpy()
+    others = (~negative).nonzero()[0]
+    n, up, down = n + len(rows), up + int((rows["sentiment"] == "up").sum()), down + int(negative.sum())
+    streak = len(rows) - 1 - int(others[-1]) if len(others) else streak + len(rows)
+    state.update((n, up, down, streak))
+    yield pd.DataFrame({"answer_id": [key[0]], "feedback_count": [n], "positive_count": [up], "negative_count": [down], "negative_streak": [streak]})
+
+
+def feedback_snapshots(events: DataFrame) -> DataFrame:
+    """Snapshots of answers (answer_id, id, sentiment) kept in four counters each; batches come in order of id."""
+    return events.groupBy("answer_id").applyInPandasWithState(
+        _snapshot, "answer_id long, feedback_count long, positive_count long, negative_count long, negative_streak long", "n long, up long, down long, streak long", "update", GroupStateTimeout.NoTimeout
     )
 
 
+def subscription(past: DataFrame, live: DataFrame, finished: DataFrame, key: str, seq: str, size: int = HISTORY) -> DataFrame:
+    """A subscriber's rows: each key's last ``size`` past rows, then its live rows after them unless the key is finished."""
+    newest = W.partitionBy(key).orderBy(F.desc(seq))
+    shown = past.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= size).drop("_n").withColumn("origin", F.lit("snapshot"))
+    seen = past.groupBy(key).agg(F.max(seq).alias("_seen"))
+    after = live.join(finished, key, "left_anti").join(seen, key, "left").where(F.col("_seen").isNull() | (F.col(seq) > F.col("_seen"))).drop("_seen")
+    return shown.unionByName(after.withColumn("origin", F.lit("live")))
+
+
 def progress_events(lines: DataFrame, column: str = "value") -> DataFrame:
     """Typed progress events of prefixed JSON lines; percent is clamped, bad JSON and other lines go."""
     body = F.expr(f"substring({column}, {len(PREFIX) + 1})")
