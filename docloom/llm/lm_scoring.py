@@ -2,17 +2,22 @@
 
 Tokens are words and one end mark a text. The model predicts a token's class from
 hashed features - the word before, the word two before (skip) and both together - by a
-softmax over classes, and the token within its class by a softmax on its own weight.
-Rare words form one class, in which a word's share follows its exact training count,
-so every word that the corpus holds is scored, and an unseen one too.
+softmax over classes, and the token within its class by a softmax whose features are the
+classes of the two words before, hashed to ``CONTEXTS`` values each. Rare words form one
+class, in which a word's share follows its exact training count, so every word that the
+corpus holds is scored, and an unseen one too.
 
 1. Counts: tasks send sorted Golomb-coded word hashes with counts to owners of hash
-   ranges. Owners know every count exactly; the driver gets totals and the
-   ``VOCABULARY`` most frequent words, a fixed number.
+   ranges. Owners know every count exactly; the driver gets totals and the most
+   frequent words, whole levels of count up to ``VOCABULARY`` words, a fixed number.
 2. Classes: vocabulary words are clustered by the frequent words they follow, counted
    over all training text and summed by a tree of groups of ``FAN`` tasks.
-3. Weights: every task descends the gradient over its training text in minibatches
-   (AdaGrad); the tasks' weights are averaged by tokens in the same tree.
+3. Weights: in each of ``ROUNDS`` rounds every task descends the class gradient over its
+   part of the texts (those whose hash falls to the round) in minibatches (AdaGrad),
+   starting from the weights of the round before; the tasks' weights are averaged by
+   tokens in the same tree. The gradient within classes needs only how often each word
+   follows each context: these counts are summed with the weights, and the driver climbs
+   the exact likelihood of all training text, whose size is fixed.
 4. Scores: one pass scores whole texts in sparse numpy batches. Rare words go to their
    owners in blocks - entries of a document by word matrix - and come back as sums per
    document.
@@ -41,6 +46,9 @@ from docloom.llm.ngram_join import _unpack_counts as unpack_counts
 VOCABULARY, SEEDS, CLUSTERS = 16_384, 64, 30
 CLASSES = CLUSTERS + 2  # and one each for rare words and the end
 FEATURES = (4096, 4096, 8192)
+#: Contexts of a word within its class: the classes, and the start of a text.
+CONTEXTS = CLASSES + 1
+ROUNDS, STEPS, RIDGE = 2, 12, 2.0
 FAN, CHUNKS = 64, 16
 BATCH, SLICE, HELD, RATE = 32_768, 4 << 20, 1 << 20, 0.25
 ADD = 0.1
@@ -92,17 +100,15 @@ def _count_blocks(owners: int):
     return run
 
 
-def _count_owner(most: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [golomb.decode(b) for b in pdf["keys"]]
-        counts = np.concatenate([unpack_counts(b, len(k)) for b, k in zip(pdf["counts"], keys, strict=True)])
-        keys, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, counts).astype(np.int64)
-        top = np.argsort(-total, kind="stable")[:most]
-        rows = {"key": np.append(np.int64(0), keys[top].view(np.int64)), "n": np.append(total.sum(), total[top]), "distinct": np.append(len(keys), np.zeros(len(top), np.int64))}
-        return pd.DataFrame(rows)
-
-    return run
+def _count_owner(pdf: pd.DataFrame) -> pd.DataFrame:
+    """An owner's totals (a row with ``distinct``), and its words of the highest counts, as many as the vocabulary can take."""
+    keys = [golomb.decode(b) for b in pdf["keys"]]
+    counts = np.concatenate([unpack_counts(b, len(k)) for b, k in zip(pdf["counts"], keys, strict=True)])
+    keys, back = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(back, counts).astype(np.int64)
+    top = np.argsort(-total, kind="stable")[: VOCABULARY + 1]
+    rows = {"key": np.append(np.int64(0), keys[top].view(np.int64)), "n": np.append(total.sum(), total[top]), "distinct": np.append(len(keys), np.zeros(len(top), np.int64))}
+    return pd.DataFrame(rows)
 
 
 class Vocabulary:
@@ -131,13 +137,12 @@ class Vocabulary:
 
 
 def vocabulary(texts: DataFrame) -> Vocabulary:
-    owners = shares(texts.sparkSession)
+    owners = shares(texts)
     blocks = texts.select("text").mapInArrow(_count_blocks(owners), "owner int, keys binary, counts binary")
-    most = 4 * VOCABULARY // owners + 256
-    found = blocks.groupBy("owner").applyInPandas(_count_owner(most), "key long, n long, distinct long").toPandas()
-    sums = found[found["distinct"] > 0]  # an owner's totals
-    top = found[found["distinct"] == 0].sort_values(["n", "key"], ascending=[False, True]).head(VOCABULARY)
-    return Vocabulary(top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), int(sums["n"].sum()), int(sums["distinct"].sum()))
+    found = shared(blocks.groupBy("owner").applyInPandas(_count_owner, "key long, n long, distinct long"))
+    sums = found.where("distinct > 0").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).first()
+    top = frequent(found.where("distinct = 0"), VOCABULARY, "key", "n")
+    return Vocabulary(top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), int(sums["n"] or 0), int(sums["distinct"] or 0))
 
 
 # --- sums over tasks ---------------------------------------------------------------
@@ -227,9 +232,11 @@ class Model:
         self.label[v.ids(np.array([END], np.uint64))[0]] = CLUSTERS if v.size else CLUSTERS + 1
         if len(counts):
             inside = np.bincount(self.label[:-1], counts, CLASSES)
-            self.within = np.append(np.log(counts / inside[self.label[:-1]]), 0.0)
+            self.share = np.append(np.log(counts / inside[self.label[:-1]]), 0.0)
         else:
-            self.within = np.zeros(1)
+            self.share = np.zeros(1)
+        self.lean = np.zeros((2, CONTEXTS, v.size + 1), np.float32)
+        self.norm = np.zeros((CONTEXTS, CONTEXTS, CLASSES), np.float32)
         rare = v.rare_total if v.size else 1.0
         prior = np.bincount(self.label, np.append(counts, rare), CLASSES) + 1e-3
         self.bias = np.log(prior / prior.sum()).astype(np.float32)
@@ -239,17 +246,64 @@ class Model:
         self.bucket[self.rare], self.bucket[self.start] = FEATURES[0] - 2, FEATURES[0] - 1
         self.weights = np.zeros((sum(FEATURES), CLASSES), np.float32)
 
-    def features(self, ids: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    def before(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The word before each token and the one two before."""
         one, two = np.empty_like(ids), np.empty_like(ids)
         one[1:], two[2:] = ids[:-1], ids[:-2]
         one[bounds[:-1]] = self.start
         two[bounds[:-1]] = self.start
         second = bounds[:-1][np.diff(bounds) > 1] + 1
         two[second] = self.start
+        return one, two
+
+    def features(self, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
         a, b = self.bucket[one], self.bucket[two]
         both = (a * 40_503 + b * 30_011 + (a * b >> 3)) % FEATURES[2]
         return [a, b + FEATURES[0], both + FEATURES[0] + FEATURES[1]]
 
+    def context(self, word: np.ndarray) -> np.ndarray:
+        """The class of a word before, or the start."""
+        return np.append(self.label, CLASSES)[word]
+
+    def count(self, ids: np.ndarray, bounds: np.ndarray, total: np.ndarray) -> None:
+        """Add how often each word follows each context, and each class each pair of contexts."""
+        one, two = map(self.context, self.before(ids, bounds))
+        words, size = self.rare + 1, CONTEXTS * (self.rare + 1)
+        total[:size] += np.bincount(one * words + ids, minlength=size)
+        total[size : 2 * size] += np.bincount(two * words + ids, minlength=size)
+        total[2 * size :] += np.bincount((one * CONTEXTS + two) * CLASSES + self.label[ids], minlength=CONTEXTS**2 * CLASSES)
+
+    def climb(self, total: np.ndarray) -> None:
+        """Fit the softmax within classes to the summed counts: damped steps on the exact gradient."""
+        words = self.rare + 1
+        seen = total[: 2 * CONTEXTS * words].reshape(2, CONTEXTS, words)
+        asked = total[2 * CONTEXTS * words :].reshape(CONTEXTS, CONTEXTS, CLASSES)
+        order = np.argsort(self.label, kind="stable")
+        present, starts = np.unique(self.label[order], return_index=True)
+        back = np.empty(words, np.int64)
+        back[order] = np.arange(words)
+        place = np.searchsorted(present, self.label[order])
+
+        def shares(k: int) -> np.ndarray:
+            """Softmax of the words in each class, in order of class, for all second contexts; sets the norms."""
+            x = (self.share + self.lean[0, k] + self.lean[1])[:, order]
+            np.exp(x, out=x)
+            z = np.add.reduceat(x, starts, axis=1)
+            self.norm[k][:, present] = np.log(z)
+            return x / z[:, place]
+
+        for _ in range(STEPS):
+            first, second = np.zeros((CONTEXTS, words)), np.zeros((CONTEXTS, words))
+            for k in range(CONTEXTS):
+                x = shares(k) * asked[k][:, present][:, place]
+                first[k], second = x.sum(0)[back], second + x
+            for side, expected in ((0, first), (1, second[:, back])):
+                step = (seen[side] - expected - RIDGE * self.lean[side]) / (expected + seen[side] + RIDGE)
+                self.lean[side] += step.astype(np.float32)
+            self.lean[:, :, self.rare] = 0
+        for k in range(CONTEXTS):
+            shares(k)
+
     def logits(self, features: list[np.ndarray]) -> np.ndarray:
         out = self.weights[features[0]]
         out += self.weights[features[1]]
@@ -260,8 +314,10 @@ class Model:
 
     def log_probs(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Natural log probabilities; a rare word's share of its class is left to its owner."""
-        out = self.within[ids]
-        features, label = self.features(ids, bounds), self.label[ids]
+        one, two = self.before(ids, bounds)
+        features, label = self.features(one, two), self.label[ids]
+        one, two = self.context(one), self.context(two)
+        out = self.share[ids] + self.lean[0, one, ids] + self.lean[1, two, ids] - self.norm[one, two, label]
         for at in range(0, len(ids), BATCH):
             part = slice(at, at + BATCH)
             x = self.logits([f[part] for f in features])
@@ -272,7 +328,7 @@ class Model:
 
     def descend(self, ids: np.ndarray, bounds: np.ndarray, past: np.ndarray) -> None:
         """One pass of minibatch gradient steps; ``past`` holds AdaGrad's sums by feature."""
-        features, label = self.features(ids, bounds), self.label[ids]
+        features, label = self.features(*self.before(ids, bounds)), self.label[ids]
         for at in range(0, len(ids), BATCH):
             part = slice(at, at + BATCH)
             own = [f[part] for f in features]
@@ -293,13 +349,16 @@ class Model:
 def _descent(shared_parts):
     def run(batches):
         v, model = shared_parts.value
-        model.weights = np.zeros((sum(FEATURES), CLASSES), np.float32)
+        model.weights = model.weights.copy()
+        total = np.zeros(2 * CONTEXTS * (v.size + 1) + CONTEXTS**2 * CLASSES, np.int64)
         past, seen = np.zeros(sum(FEATURES), np.float32), 0
         for b in batches:
             for _, own, bounds in tokens(b.column(0)):
-                model.descend(v.ids(own), bounds, past)
+                ids = v.ids(own)
+                model.descend(ids, bounds, past)
+                model.count(ids, bounds, total)
                 seen += len(own)
-        yield _vector_rows((model.weights * np.float32(seen)).astype(np.float32), float(seen))
+        yield _vector_rows(np.append(model.weights.ravel() * float(seen), total), float(seen))
 
     return run
 
@@ -313,11 +372,17 @@ def train(docs: DataFrame) -> tuple[Vocabulary, Model]:
     held = spark.sparkContext.broadcast(v)
     follows, _ = tree_sum(texts.mapInArrow(_follows(held), VECTORS), parts, "<i8")
     label = cluster(follows.reshape(v.size, SEEDS), v.ranked()) if v.size else np.zeros(0, np.int64)
-    model = Model(v, label)
-    both = spark.sparkContext.broadcast((v, model))
-    total, seen = tree_sum(texts.mapInArrow(_descent(both), VECTORS), parts, "<f4")
-    if seen:
-        model.weights = (total / seen).astype(np.float32).reshape(model.weights.shape)
+    model, counts = Model(v, label), 0
+    for k in range(ROUNDS):
+        both = spark.sparkContext.broadcast((v, model))
+        own = texts.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k)
+        total, seen = tree_sum(own.mapInArrow(_descent(both), VECTORS), parts, "<f8")
+        if seen:
+            cells = model.weights.size
+            model.weights = (total[:cells] / seen).astype(np.float32).reshape(model.weights.shape)
+            counts = counts + total[cells:]
+    if v.size and np.ndim(counts):
+        model.climb(counts)
     return v, model
 
 
@@ -432,7 +497,7 @@ def score(docs: DataFrame, v: Vocabulary, model: Model) -> DataFrame:
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((v, model))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("train", F.lit(False)).alias("train"), "text")
-    blocks = shared(rows.mapInArrow(_score_blocks(held, shares(spark)), _BLOCK))
+    blocks = shared(rows.mapInArrow(_score_blocks(held, shares(rows)), _BLOCK))
     answers = blocks.where("owner >= 0").groupBy("owner").applyInPandas(_answer, _BLOCK)
     denominator = v.total + ADD * (v.distinct + 1)
     joined = blocks.where("owner < 0").union(answers)

@@ -86,13 +86,14 @@ class WordEncoder:
         return flat, np.concatenate([[0], ends])[word_at]
 
 
-def slices(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[list, list[bytes]]]:
-    """The rows of a batch, some megabytes of text at a time."""
+def slices(ids: pa.Array, texts: pa.Array, size: int = SLICE) -> Iterator[tuple[list, list[bytes]]]:
+    """The rows of a batch, about ``size`` bytes of text at a time."""
     data, offs = text_buffer(texts)
-    raw, doc_ids, at = data.tobytes(), ids.to_pylist(), 0
+    doc_ids, at = ids.to_pylist(), 0
     while at < len(doc_ids):
-        to = max(at + 1, int(np.searchsorted(offs, offs[at] + SLICE, "right")) - 1)
-        yield doc_ids[at:to], [raw[offs[i] : offs[i + 1]] for i in range(at, to)]
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + size, "right")) - 1)
+        raw, low = data[offs[at] : offs[to]].tobytes(), offs[at]
+        yield doc_ids[at:to], [raw[offs[i] - low : offs[i + 1] - low] for i in range(at, to)]
         at = to
 
 

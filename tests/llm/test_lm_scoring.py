@@ -44,6 +44,10 @@ def test_probabilities_sum_to_one():
     v = lm_scoring.Vocabulary(np.append(keys, lm_scoring.END), rng.integers(2, 50, len(keys) + 1), 20_000, 1_000)
     model = lm_scoring.Model(v, rng.integers(0, lm_scoring.CLUSTERS, v.size))
     model.weights += rng.normal(size=model.weights.shape).astype(np.float32)
+    ids = rng.integers(0, v.size + 1, 20_000)
+    counts = np.zeros(2 * lm_scoring.CONTEXTS * (v.size + 1) + lm_scoring.CONTEXTS**2 * lm_scoring.CLASSES, np.int64)
+    model.count(ids, np.array([0, 7_000, 20_000]), counts)
+    model.climb(counts)
     total = 0.0
     for w in range(v.size + 1):  # the rare class as one outcome
         ids = np.array([5, 9, w])
@@ -51,6 +55,59 @@ def test_probabilities_sum_to_one():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_climbing_raises_the_likelihood():
+    """Words that depend on the word before gain; the fit equals what plain loops over the tokens give."""
+    rng = np.random.default_rng(1)
+    v = lm_scoring.Vocabulary(np.append(np.arange(1, 40).astype(np.uint64), lm_scoring.END), np.full(40, 100), 4_000, 40)
+    label = np.arange(40) % 4
+    model = lm_scoring.Model(v, label)
+    ids = [0]
+    for _ in range(4000):  # the next word of a class follows from the class before
+        c = rng.integers(0, 4)
+        ids.append(int(c + 4 * ((label[ids[-1]] * 2 + rng.integers(0, 2)) % 10)))
+    ids, bounds = np.array(ids), np.array([0, 4001])
+    before = model.log_probs(ids, bounds).sum()
+    counts = np.zeros(2 * lm_scoring.CONTEXTS * (v.size + 1) + lm_scoring.CONTEXTS**2 * lm_scoring.CLASSES, np.int64)
+    model.count(ids, bounds, counts)
+    model.climb(counts)
+    assert model.log_probs(ids, bounds).sum() > before + 0.5 * len(ids)
+
+
+def brute_score(v, model, hashes, rare_counts):
+    """log10 probability of a token sequence by plain loops over the model's arrays."""
+    ids = [int(i) for i in v.ids(hashes)]
+    total, bucket, context = 0.0, lambda w: int(model.bucket[w]), lambda w: lm_scoring.CLASSES if w == model.start else int(model.label[w])
+    for k, w in enumerate(ids):
+        one, two = (ids[k - 1] if k else model.start), (ids[k - 2] if k > 1 else model.start)
+        a, b = bucket(one), bucket(two)
+        rows = (a, b + lm_scoring.FEATURES[0], (a * 40_503 + b * 30_011 + (a * b >> 3)) % lm_scoring.FEATURES[2] + lm_scoring.FEATURES[0] + lm_scoring.FEATURES[1])
+        x = [float(model.bias[c]) + sum(float(model.weights[r, c]) for r in rows) for c in range(lm_scoring.CLASSES)]
+        c = int(model.label[w])
+        total += x[c] - math.log(sum(math.exp(y) for y in x))
+        if w == model.rare:
+            total += math.log(rare_counts[k] + 0.1) - math.log(v.rare_total)
+        else:
+            lean = lambda u: float(model.share[u]) + float(model.lean[0, context(one), u]) + float(model.lean[1, context(two), u])  # noqa: E731,B023
+            total += lean(w) - math.log(sum(math.exp(lean(u)) for u in range(v.size) if model.label[u] == c))
+    return total / math.log(10)
+
+
+def test_score_equals_brute_force(spark, base, monkeypatch):
+    """The score of each text against loops over tokens, with a vocabulary so small that most words are rare."""
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", 300)
+    docs = lm_scoring.folds(spark.read.parquet(f"{base}/documents.parquet").where("doc_id < 60"))
+    v, model = lm_scoring.train(docs.where("train"))
+    assert 50 < v.size <= 300 and np.abs(model.lean).max() > 0.1 and np.abs(model.weights).max() > 0.1
+    rows = {r.doc_id: r for r in docs.collect()}
+    counts = Counter(w for r in rows.values() if r.train for w in words(r.text))
+    for r in lm_scoring.score(docs, v, model).collect()[:12]:
+        import pyarrow as pa
+
+        ((_, hashes, _),) = lm_scoring.tokens(pa.array([rows[r.doc_id].text or ""]))
+        want = brute_score(v, model, hashes, [counts[w] for w in words(rows[r.doc_id].text)])
+        assert r.score == pytest.approx(want, rel=1e-4)
+
+
 def test_vocabulary_is_exact(spark):
     text = "a b a c"
     df = spark.createDataFrame([(text,), (text,), ("a",)], "text string")
