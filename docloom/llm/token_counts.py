@@ -4,8 +4,13 @@ Words of a text (with the word mark put before them) are pre-tokens. A worker in
 each distinct one in a trie; a node holds the best forward score of its prefix - over
 all ways to cut it in pieces, the highest sum of piece scores - and the pieces that
 this takes, so a prefix that many words share is scored once. Ends of words keep their
-counts, and a text's count is a sum of look-ups. Piece scores are log shares by rank
-(Zipf), as a vocabulary of merges has ranks but no probabilities.
+counts, and a text's count is a sum of look-ups.
+
+Piece scores are log shares fitted to the corpus, as a vocabulary of merges has ranks but
+no probabilities: Spark counts the distinct words of all texts, and ``ROUNDS`` rounds of
+hard expectation and maximisation follow, from shares by rank (Zipf). A round cuts each
+distinct word once by the same trie, sums the words' counts by piece, and takes the
+smoothed shares of the sums; what the driver gets is no longer than the vocabulary.
 
 Equal scores go to fewer pieces. A character that no piece has becomes its UTF-8 bytes.
 Defined results: null or empty text has no words and no tokens; rows are independent,
@@ -16,6 +21,7 @@ Texts are counted whole.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from itertools import repeat
 
 import numpy as np
@@ -23,11 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import SPACE_CLASS, shared
 from docloom.llm.packing import slices
 
 MARK = "▁"
 #: Nodes a worker's trie may have before it starts anew.
 NODES = 2_000_000
+#: Rounds of the fit, and what is added to each piece's count.
+ROUNDS, ADD = 2, 0.5
 
 
 def unigram_scores(path: str) -> dict[str, float]:
@@ -52,14 +61,14 @@ class ForwardTrie:
 
     def clear(self) -> None:
         self.children: list[dict[str, int]] = [{}]
-        self.best, self.pieces = [0.0], [0]
+        self.best, self.pieces, self.cut = [0.0], [0], [0]
         self.ends: dict[bytes, int] = {}
         self.end_pieces: list[int] = []
         self.end_scores: list[float] = []
 
     def _grow(self, text: str, depth: int, path: list[int]) -> int:
         """A node for ``text[:depth]``; ``path`` holds the nodes of its prefixes."""
-        top, count = -math.inf, 0
+        top, count, cut = -math.inf, 0, depth - 1
         best, pieces, scores = self.best, self.pieces, self.scores
         for start in range(max(0, depth - self.longest), depth):
             s = scores.get(text[start:depth])
@@ -73,14 +82,16 @@ class ForwardTrie:
             s += best[path[start]]
             n += pieces[path[start]]
             if s > top or s == top and n < count:
-                top, count = s, n
+                top, count, cut = s, n, start
         best.append(top)
         pieces.append(count)
+        self.cut.append(cut)
         self.children.append({})
         return len(best) - 1
 
-    def insert(self, word: bytes) -> None:
-        text, node, path = MARK + word.decode("utf-8", "replace"), 0, [0]
+    def _walk(self, text: str) -> list[int]:
+        """The nodes of all prefixes of ``text``, grown where they are new."""
+        node, path = 0, [0]
         for depth, c in enumerate(text, 1):
             below = self.children[node].get(c)
             if below is None:
@@ -88,6 +99,20 @@ class ForwardTrie:
                 self.children[node][c] = below
             node = below
             path.append(node)
+        return path
+
+    def cuts(self, word: str) -> list[str]:
+        """The pieces of the best cut of ``word``, its mark included."""
+        text = MARK + word
+        path, at, out = self._walk(text), len(text), []
+        while at:
+            start = self.cut[path[at]]
+            out.append(text[start:at])
+            at = start
+        return out[::-1]
+
+    def insert(self, word: bytes) -> None:
+        node = self._walk(MARK + word.decode("utf-8", "replace"))[-1]
         self.ends[word] = len(self.end_pieces)
         self.end_pieces.append(self.pieces[node])
         self.end_scores.append(self.best[node])
@@ -112,22 +137,56 @@ class ForwardTrie:
         return sizes, np.diff(tokens[at]).astype(np.int64), np.diff(score[at])
 
 
-_TRIES: dict[str, ForwardTrie] = {}
+def _pieces(shared_scores):
+    """Sums of the words' counts by piece, over a task's distinct words."""
+
+    def run(batches):
+        trie, total = ForwardTrie(shared_scores.value), defaultdict(int)
+        for b in batches:
+            for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for piece in trie.cuts(word):
+                    total[piece] += n
+                if len(trie.best) > NODES:
+                    trie.clear()
+        known = [(p, n) for p, n in total.items() if p in shared_scores.value]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in known], pa.string()), pa.array([n for _, n in known], pa.int64())], ["piece", "n"])
+
+    return run
+
+
+def distinct_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n) over all texts."""
+    words = docs.select(F.explode(F.split(F.col(text), f"{SPACE_CLASS}+")).alias("word")).where("word <> ''")
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fitted_scores(docs: DataFrame, path: str, text: str = "text") -> dict[str, float]:
+    """Log shares of the pieces, fitted to all words of ``docs``; without words, those by rank."""
+    scores, words = unigram_scores(path), shared(distinct_words(docs, text))
+    for _ in range(ROUNDS):
+        held = docs.sparkSession.sparkContext.broadcast(scores)
+        found = words.mapInArrow(_pieces(held), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+        counts = {r["piece"]: r["n"] for r in found.collect()}
+        if not counts:
+            break
+        total = math.log(sum(counts.values()) + ADD * len(scores))
+        scores = {p: math.log(counts.get(p, 0) + ADD) - total for p in scores}
+    return scores
 
 
-def _counts(path: str):
+def _counts(shared_scores):
     def run(batches):
-        if path not in _TRIES:
-            _TRIES[path] = ForwardTrie(unigram_scores(path))
+        trie = ForwardTrie(shared_scores.value)
         for b in batches:
             for doc_ids, texts in slices(b.column(0), b.column(1)):
-                words, tokens, score = _TRIES[path].count(texts)
+                words, tokens, score = trie.count(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(words), pa.array(tokens), pa.array(score)], ["doc_id", "n_words", "n_tokens", "score"])
 
     return run
 
 
-def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_tokens and score (natural log) of every row."""
+def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", scores: dict[str, float] | None = None) -> DataFrame:
+    """doc_id, n_words, n_tokens and score (natural log) of every row, under ``scores`` or those fitted to ``docs``."""
+    held = docs.sparkSession.sparkContext.broadcast(scores or fitted_scores(docs, path, text))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_counts(path), "doc_id long, n_words long, n_tokens long, score double")
+    return rows.mapInArrow(_counts(held), "doc_id long, n_words long, n_tokens long, score double")

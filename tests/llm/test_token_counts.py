@@ -50,12 +50,13 @@ def test_query_equals_brute_force(spark, base):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{base}/documents.parquet").collect()}
     found = {r.doc_id: r for r in op8_token_counts(spark, base).collect()}
     assert sorted(found) == sorted(texts)
+    scores = token_counts.fitted_scores(spark.read.parquet(f"{base}/documents.parquet"), PATH)
     known = {}
     for d in sorted(texts)[::25]:
         own = (texts[d] or "").encode().split()
         for w in own:
             if w not in known:
-                known[w] = brute(w.decode(), SCORES)
+                known[w] = brute(w.decode(), scores)
         assert found[d].n_tokens == sum(known[w][1] for w in own) and found[d].n_words == len(own)
         assert found[d].score == pytest.approx(math.fsum(known[w][0] for w in own))
 
@@ -63,8 +64,28 @@ def test_query_equals_brute_force(spark, base):
 def test_edge_cases(spark):
     texts = {1: None, 2: "", 3: " \n", 4: "a" * 3000, 5: "語\x00", 6: "same word " * 20_000}
     df = spark.createDataFrame([(d, t, 1) for d, t in texts.items()], "doc_id long, text string, n_tokens int")
-    got = {r.doc_id: r for r in token_counts.token_counts(df, PATH).collect()}
+    got = {r.doc_id: r for r in token_counts.token_counts(df, PATH, scores=SCORES).collect()}
     assert [got[k].n_tokens for k in (1, 2, 3)] == [0, 0, 0]
     assert got[6].n_tokens == 20_000 * sum(brute(w, SCORES)[1] for w in ("same", "word"))
     assert got[4].n_words == 1 and got[5].n_tokens > 1
     assert token_counts.token_counts(df.limit(0), PATH).count() == 0
+
+
+def test_fit_equals_brute_force(spark):
+    """Two rounds by plain loops: cut each word by its best score, take smoothed shares."""
+    texts = ["the cat sat on the mat", "the cats sat", None, "on and on and on", "Katze 語🙂"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = SCORES
+    for _ in range(token_counts.ROUNDS):
+        trie, counts = token_counts.ForwardTrie(want), {}
+        for w in " ".join(filter(None, texts)).split():
+            pieces = trie.cuts(w)
+            assert "".join(pieces) == "▁" + w
+            assert sum(1 if p in want else len(p.encode()) for p in pieces) == brute(w, want)[1]
+            for p in pieces:
+                if p in want:
+                    counts[p] = counts.get(p, 0) + 1
+        total = math.log(sum(counts.values()) + token_counts.ADD * len(want))
+        want = {p: math.log(counts.get(p, 0) + token_counts.ADD) - total for p in want}
+    got = token_counts.fitted_scores(df, PATH)
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want)
