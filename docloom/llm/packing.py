@@ -32,7 +32,7 @@ END_ID = 2
 #: Pieces in one packing group, on average.
 GROUP = 4096
 #: Entries a worker's word cache holds before it starts anew, and bytes of text encoded at a time.
-CACHE, SLICE = 1_000_000, 2 << 20
+CACHE, SLICE = 700_000, 2 << 20
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -187,18 +187,17 @@ def best_fit(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
-    where, pdf["offset"] = best_fit(pdf["length"].to_numpy())
-    pdf["sequence_id"] = (pdf["part"].to_numpy(np.int64) << 24) + where
-    return pdf.drop(columns="part")
+    where, offset = best_fit(pdf["length"].to_numpy())
+    return pd.DataFrame({"_piece": pdf["_piece"], "offset": offset, "sequence_id": (pdf["_part"].to_numpy(np.int64) << 24) + where})
 
 
 def pack(cut: DataFrame) -> DataFrame:
-    """Place pieces into windows: adds sequence_id and offset."""
-    cut = shared(cut)
+    """Place pieces into windows: adds sequence_id and offset. Only lengths go through the groups; ids are joined to their places."""
+    cut = shared(cut.withColumn("_piece", F.monotonically_increasing_id()))
     groups = max(1, cut.count() // GROUP)
-    part = F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).alias("part")
-    fields = ", ".join(f"{n} {t}" for n, t in cut.dtypes)
-    return cut.select("*", part).groupBy("part").applyInPandas(_pack, f"{fields}, offset long, sequence_id long")
+    part = F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).alias("_part")
+    placed = cut.select("_piece", "doc_id", "start", "length", part).groupBy("_part").applyInPandas(_pack, "_piece long, offset long, sequence_id long")
+    return cut.join(placed, "_piece").drop("_piece")
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
