@@ -136,7 +136,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n."""
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        m = max(n, 1 << 20)
+        m = max(n, (1 << 20) + 1)
         for name, b in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(m, b, np.uint64)
             steps[0] = 1
@@ -176,7 +176,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
     first = np.searchsorted(s, offs)
     out = np.empty(len(s), np.uint64)
-    step = 1 << 22  # bytes at a time: bounds the memory of the running sums
+    step = 1 << 20  # bytes at a time: bounds the memory of the running sums
     at = 0
     table = _LOWER if lower else _EXACT
     while at < len(s):

@@ -47,7 +47,7 @@ DF_BITS, KEY_BITS = 40, 48
 FREQUENT, LEAST_FREQUENT = 1 << 17, 8
 #: Sets and shingles that a run of a cut group has; two runs meet in a block.
 TILE, SHINGLES = 1024, 1 << 19
-SLAB, SLICE, HELD = 2048, 2 << 20, 1 << 21
+SLAB, SLICE, HELD = 2048, 1 << 20, 1 << 20
 #: Sets above this size have the finer parity cells; larger groups than SIEVED go on unsieved.
 LARGE, SIEVED = 3000, 8192
 #: Documents from which a key's column is held as rows; parts in which sets of one size are ranked.
