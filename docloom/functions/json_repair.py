@@ -1,4 +1,4 @@
-"""JSON that a model wrote: strict parsing in the JVM, repair in an Arrow function for the rest."""
+"""JSON that a model wrote: strict objects stay in the JVM, others are read tolerantly in an Arrow function."""
 
 from __future__ import annotations
 
@@ -9,60 +9,84 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_CLOSE = {"{": "}", "[": "]"}
-
-
-def closed(text: str) -> str:
-    """``text`` with its open string, lists and objects closed and stray commas removed."""
-    stack, quoted, escaped = [], False, False
-    for c in text:
-        if escaped:
-            escaped = False
-        elif quoted and c == "\\":
-            escaped = True
-        elif c == '"':
-            quoted = not quoted
-        elif not quoted and c in _CLOSE:
-            stack.append(_CLOSE[c])
-        elif not quoted and stack and c == stack[-1]:
-            stack.pop()
-    text = text.rstrip() + '"' * quoted
-    return re.sub(r",\s*([}\]])", r"\1", re.sub(r"[,\s]+$", "", text) + "".join(reversed(stack)))
+_GAP = re.compile(r"(?:[\s,;]|//[^\n]*|/\*.*?(?:\*/|\Z))*", re.S)
+_BARE = re.compile(r"[^\s,:;{}\[\]\"']+")
+_QUOTED = {q: re.compile(rf"{q}((?:[^{q}\\]|\\.)*)(?:{q}|\\?\Z)", re.S) for q in "\"'"}
+_WORDS = {"true": True, "false": False, "null": None, "True": True, "False": False, "None": None}
+
+
+def _scalar(word: str):
+    if word in _WORDS:
+        return _WORDS[word]
+    try:
+        return json.loads(word)
+    except ValueError:
+        return word
+
+
+def _string(body: str) -> str:
+    """A quoted string's value; escapes that JSON does not know stand for themselves."""
+    try:
+        return json.loads('"' + re.sub(r'\\\'', "'", body).replace('"', '\\"').replace('\\\\"', '\\"') + '"', strict=False)
+    except ValueError:
+        return body
+
+
+def _read(text: str, at: int) -> tuple[object, int]:
+    """The value at ``at`` and where it ends. Either quote, bare names, stray commas, comments
+    and a missing end are all taken; what is open when the text ends is closed there."""
+    at = _GAP.match(text, at).end()
+    if at >= len(text):
+        return None, at
+    mark = text[at]
+    if mark in _QUOTED:
+        m = _QUOTED[mark].match(text, at)
+        return _string(m[1]), m.end()
+    if mark not in "{[":
+        m = _BARE.match(text, at)
+        return (_scalar(m[0]), m.end()) if m else (None, at + 1)
+    found: dict | list = {} if mark == "{" else []
+    at = _GAP.match(text, at + 1).end()
+    while at < len(text) and text[at] not in "}]":
+        value, at = _read(text, at)
+        if mark == "{":
+            at = _GAP.match(text, at).end()
+            name = value if isinstance(value, str) else json.dumps(value)
+            if at < len(text) and text[at] == ":":
+                value, at = _read(text, at + 1)
+                found[name] = value
+        else:
+            found.append(value)
+        at = _GAP.match(text, at).end()
+    return found, at + 1
 
 
 def recovered(text: str | None) -> str | None:
-    """The first JSON object in ``text``: as it stands, in a code fence, embedded, lax or cut off."""
-    if not text:
-        return None
-    fenced = re.findall(r"```(?:json)?\s*(.*?)```", text, re.S)
-    start = text.find("{")
-    tail = text[start:] if start >= 0 else ""
-    tries = [text, *fenced]
-    if tail:
+    """The first JSON object in ``text``, as it stands, in prose or a code fence, lax or cut off; null if there is none."""
+    for m in re.finditer(r"\{", text or ""):
         try:
-            value, _ = json.JSONDecoder().raw_decode(tail)
-            tries.append(json.dumps(value))
+            value, _ = json.JSONDecoder().raw_decode(text, m.start())
         except ValueError:
-            lax = re.sub(r",\s*([}\]])", r"\1", re.sub(r"(?<!\\)'", '"', re.sub(r"//[^\n]*$", "", tail, flags=re.M)))
-            tries += [lax, closed(tail)]
-    for t in tries:
-        try:
-            value = json.loads(t)
-        except ValueError:
-            continue
-        if isinstance(value, dict):
+            try:
+                value, _ = _read(text, m.start())
+            except RecursionError:
+                return None
+        if isinstance(value, dict) and (value or text[m.start() :].lstrip("{ \n\t").startswith("}")):
             return json.dumps(value, ensure_ascii=False, sort_keys=True)
+        return None
     return None
 
 
 def with_recovered(df: DataFrame, column: str, out: str) -> DataFrame:
-    """``out``: the object of ``column`` as JSON text, or null."""
+    """``out``: the object of ``column`` as JSON text, or null. Strict objects are taken as they are."""
 
     @F.pandas_udf("string")
     def repair(s: pd.Series) -> pd.Series:
-        return s.map(recovered)
+        return s.map(recovered, na_action="ignore")
 
-    return df.withColumn(out, repair(F.col(column)))
+    x = F.col(column)
+    strict = F.trim(x).startswith("{") & F.try_parse_json(x).isNotNull()
+    return df.withColumn(out, F.when(strict, x).otherwise(repair(F.when(~F.coalesce(strict, F.lit(False)), x))))
 
 
 def parent_path(path: Column) -> Column:

@@ -133,7 +133,7 @@ def test_every_line_has_its_section(spark, base):
     from docloom.plans import registry
     from docloom.plans.text_plans import markdown
 
-    got = {(r.doc_id, r.line_no): r.heading for r in registry.queries()["jn8_range_join_sheets_all"](spark, base).collect()}
+    got = {(r.doc_id, r.line_no): r.heading for r in registry.queries()["jn8_range_join_sheets"](spark, base).collect()}
     n = 0
     for d in markdown(spark, base).collect():
         lines = d.markdown.split("\n")
@@ -149,7 +149,7 @@ def test_resume_skips_only_what_is_done(spark, base):
     from docloom.plans import registry
 
     ids = lambda name: {r.doc_id for r in spark.read.parquet(f"{base}/{name}.parquet").select("doc_id").collect()}
-    got = {r.doc_id for r in registry.queries()["flt24_resume_skip_all"](spark, base).collect()}
+    got = {r.doc_id for r in registry.queries()["flt24_resume_skip"](spark, base).collect()}
     assert got == ids("documents") - ids("labels") and max(got) >= 900
 
 

@@ -82,4 +82,4 @@ def test_whole_query_set(spark, base):
     from docloom.plans import registry
 
     ids = {r.vec_id for r in spark.read.parquet(f"{base}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
-    assert len(ids) > 5 and {r.query_id for r in registry.queries()["ret_hybrid_topk_all"](spark, base).collect()} == ids
+    assert len(ids) > 5 and {r.query_id for r in registry.queries()["ret_hybrid_topk"](spark, base).collect()} == ids
