@@ -20,9 +20,11 @@ A branch below zero goes with all below it. Apart from that a text goes that too
 pages of the host repeat, unless it is a text element of a declared article. Small hosts are smoothed as
 if ``PAGES`` more pages were known and each branch had ``WORDS`` words more.
 
-Html is parsed in one linear pass, twice: once for the tree, once to apply it. A page meets its
-judgements by the hash of its url and html, so repeated ids do not matter; counts are
-combined before each shuffle, so a host with a third of all pages costs no task more.
+Html is parsed in one linear pass, twice: once for the tree, once to apply it. Up to
+``KNOWN`` judgements (counted first) are broadcast and html is not shuffled; beyond, a page
+meets its judgements in a join by the hash of its url and html, so repeated ids do not
+matter there either. Counts are combined before each shuffle, so a host with a third of
+all pages costs no task more.
 
 Defined results: null or empty html gives the empty text; pages without a host form
 the host ''; repeated rows and ids are extracted each; unclosed and stray tags and
@@ -70,6 +72,8 @@ PRIORS = {"main": 6.0, "text": 6.0, "open": 3.0, "outside": -3.0, "tag": -4.0, "
 #: Smoothing of small hosts, and the importance below which a repeated text goes.
 PAGES, WORDS, REPEATED = 8, 5.0, 0.3
 DEPTH, LABEL = 32, 40
+#: Judgements that may be broadcast, some ten megabytes.
+KNOWN = 100_000
 
 _OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)|<[!?]")
 _STOP = re.compile(r"=\s*([\"'])|>")
@@ -291,18 +295,20 @@ def style_tree(found: DataFrame) -> DataFrame:
 def importance(tree: DataFrame) -> DataFrame:
     """(host, path, prior, evidence, score) of every branch of every host; a branch below zero goes."""
     size = tree.where("kind = 0").groupBy("host").agg(F.sum("n").alias("m"))
-    of = tree.where("kind > 0").join(size, "host")
-    smooth = F.log(F.col("m").cast("double") + PAGES)
-    # words of a text, less by how evenly it is spread over the pages, in the mean page
-    inform = F.col("n") / F.col("m") * F.col("value") * (1 - F.log(F.col("n").cast("double")) / smooth)
+    # everything is summed by branch before it meets the host's number of pages m, so a large host is no large group
+    n = F.col("n").cast("double")
+    sums = tree.where("kind > 0 and path <> ''").groupBy("host", "path", "kind").agg(
+        F.sum(n).alias("n"), F.sum(n * F.log(n)).alias("nl"), F.sum(n * F.col("value")).alias("nv"), F.sum(n * F.col("value") * F.log(n)).alias("nvl")
+    )
+    m, smooth = F.col("m").cast("double"), F.log(F.col("m").cast("double") + PAGES)
+    sums = sums.join(size, "host")
+    # words of the texts, each less by how evenly it is spread over the pages, in the mean page
+    texts = sums.where("kind = 2").select("host", "path", ((F.col("nv") - F.col("nvl") / smooth) / m).alias("words"))
     steps = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))
-    texts = of.where("kind = 2 and path <> ''").groupBy("host", "path").agg(F.sum(inform).alias("words"))
     content = texts.select("host", F.explode(above).alias("path"), "words").groupBy("host", "path").agg(F.sum("words").alias("words"))
-    share = F.col("n") / F.col("m")
-    style = of.where("kind = 1").groupBy("host", "path").agg(
-        F.least(F.lit(1.0), F.sum(-share * F.log(share)) / F.first(smooth)).alias("presentation"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("prior")
-    )
+    entropy = (F.col("n") * F.log(m) - F.col("nl")) / m
+    style = sums.where("kind = 1").select("host", "path", F.least(F.lit(1.0), entropy / smooth).alias("presentation"), (F.col("nv") / F.col("n")).alias("prior"))
     whole = F.coalesce("words", F.lit(0.0)) * (1 + F.col("presentation")) + WORDS
     parent = F.array_join(F.slice(steps, F.lit(1), F.size(steps) - 1), "/")
     branch = style.join(content, ["host", "path"], "left").select("host", "path", parent.alias("parent"), "prior", whole.alias("whole"))
@@ -324,7 +330,27 @@ def repeated(tree: DataFrame) -> DataFrame:
     return often.where(content < REPEATED).select("host", "path", "key")
 
 
-def _apply(batches):
+_TEXTS = "page_id long, url string, text string, n_chars long"
+
+
+def _texts(ids, urls, texts) -> pa.RecordBatch:
+    sizes = pa.array([len(t) for t in texts], pa.int64())
+    return pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
+
+
+def _apply_known(held):
+    """Rows (page_id, url, html): the text without the host's low branches and texts."""
+
+    def run(batches):
+        none = (frozenset(), frozenset())
+        for b in batches:
+            rows = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
+            yield _texts(b.column(0), b.column(1), [extract(html, *held.value.get(host(url), none)) for url, html in rows])
+
+    return run
+
+
+def _apply_joined(batches):
     """Rows (page_id, url, html, low): the text without the branches and texts that are low."""
     for b in batches:
         texts = []
@@ -332,8 +358,7 @@ def _apply(batches):
             paths = {x["path"] for x in low or () if x["key"] is None}
             keys = {(x["path"], x["key"]) for x in low or () if x["key"] is not None}
             texts.append(extract(html, paths, keys))
-        sizes = pa.array([len(t) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
+        yield _texts(b.column(0), b.column(1), texts)
 
 
 def extract(html: str | None, paths: set[str] = frozenset(), keys: set[tuple[str, int]] = frozenset()) -> str:
@@ -351,13 +376,21 @@ def extract(html: str | None, paths: set[str] = frozenset(), keys: set[tuple[str
 def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
-    found = shared(features(rows))
-    tree = shared(style_tree(found))
+    tree = shared(style_tree(features(rows)))
     branches = importance(tree).where("score < 0").select("host", "path", F.lit(None).cast("long").alias("key"))
-    low = branches.unionByName(repeated(tree))
+    low = shared(branches.unionByName(repeated(tree)))
+    if low.count() <= KNOWN:
+        known: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
+        for r in low.collect():
+            paths, keys = known[r["host"]]
+            if r["key"] is None:
+                paths.add(r["path"])
+            else:
+                keys.add((r["path"], r["key"]))
+        return rows.mapInArrow(_apply_known(rows.sparkSession.sparkContext.broadcast(dict(known))), _TEXTS)
     # a page has a row for each of its branches (key null) and one for each of its texts
-    own = found.where("kind > 0").select("page", "host", "path", F.when(F.col("kind") == 2, F.col("key")).alias("key")).distinct()
+    own = features(rows).where("kind > 0").select("page", "host", "path", F.when(F.col("kind") == 2, F.col("key")).alias("key"))
     same = [own["host"] == low["host"], own["path"] == low["path"], own["key"].eqNullSafe(low["key"])]
     by_page = own.join(low, same).groupBy(own["page"]).agg(F.collect_set(F.struct(own["path"], own["key"])).alias("low"))
     keyed = rows.withColumn("page", _page("url", "html"))
-    return keyed.join(by_page, "page", "left").select("page_id", "url", "html", "low").mapInArrow(_apply, "page_id long, url string, text string, n_chars long")
+    return keyed.join(by_page, "page", "left").select("page_id", "url", "html", "low").mapInArrow(_apply_joined, _TEXTS)

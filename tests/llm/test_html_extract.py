@@ -89,7 +89,7 @@ def brute(pages):
     return scores, often
 
 
-def test_tree_equals_brute_force(spark):
+def test_tree_equals_brute_force(spark, monkeypatch):
     rng, pages = random.Random(5), []
     sentence = lambda n: " ".join(rng.choice("river stone light paper window garden".split()) for _ in range(n))
     for k in range(120):
@@ -112,6 +112,8 @@ def test_tree_equals_brute_force(spark):
         low = {p for (x, p), v in scores.items() if x == h and v < 0}
         want.append((page_id, url, html_extract.extract(page, low, {(p, k) for x, p, k in often if x == h})))
     assert texts == sorted(want)
+    monkeypatch.setattr(html_extract, "KNOWN", 0)  # too many judgements to broadcast
+    assert sorted((r.page_id, r.url, r.text) for r in html_extract.main_text(df).collect()) == sorted(want)
     assert any("Contact" in p and "Contact" not in t for (_, _, p), (_, _, t) in zip(sorted(pages), sorted(want), strict=True))
 
 
