@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.functions import text as T
 
@@ -85,8 +86,9 @@ def _similar(chunks: DataFrame, queries: DataFrame, floor: float) -> DataFrame:
                 chunk, query = np.nonzero(score >= floor)
                 taken = own.take(pa.array(chunk))
                 columns = [taken.column(k) for k in range(b.num_columns) if k != at]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids[query]), pa.array(score[chunk, query])], [*names, "query_id", "score"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids[query]).cast(kind), pa.array(score[chunk, query])], [*names, "query_id", "score"])
 
+    kind = to_arrow_type(queries.schema["query_id"].dataType)
     fields = [chunks.schema[c] for c in names] + [queries.schema["query_id"], T_.StructField("score", T_.DoubleType())]
     hits = chunks.mapInArrow(run, T_.StructType(fields))
     return hits.join(F.broadcast(queries.drop("q_vector")), "query_id")

@@ -219,7 +219,7 @@ def test_late_rows_are_dropped(spark, tmp_path):
     for i, day in enumerate(("2024-01-01", "2024-01-10", "2024-01-02", "2024-01-20")):
         spark.createDataFrame([(f"{day} 12:00:00", "k")], "ts string, kind string").select(F.col("ts").cast("timestamp_ntz").alias("ts"), "kind").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = jobs.read(spark, str(tmp_path / "in"), "ts timestamp_ntz, kind string")
-    out = jobs.run_to_end(jobs.windowed_counts(stream, "ts", "kind", late="1 hour"), "late_rows", "append", str(tmp_path / "ck"))
+    out = jobs.run_to_end(jobs.windowed_counts(stream, "ts", "kind", late="1 hour"), "late_rows", "append")
     assert 1 <= out.count() < 4
 
 
