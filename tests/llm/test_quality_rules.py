@@ -42,7 +42,7 @@ def test_extra_columns_stay(spark):
     """Columns of any name are kept, but for those named as a measure."""
     df = spark.createDataFrame([(1, "a b", 7, 8, 9, 10)], "doc_id long, text string, _words int, __n int, _l int, _w int")
     r = quality_rules.apply_rules(df).first()
-    assert (r._words, r.__getattr__("__n"), r._l, r._w) == (7, 8, 9, 10) and r.n_words == 2
+    assert (r["_words"], r["__n"], r["_l"], r["_w"]) == (7, 8, 9, 10) and r.n_words == 2
     assert set(df.columns) <= set(quality_rules.apply_rules(df).columns)
 
 
