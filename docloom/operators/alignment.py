@@ -22,17 +22,16 @@ def _start(lines, anchors, floor: int, centre: int, radius: int) -> int:
     return best[2]
 
 
-def _align(pdf: pd.DataFrame) -> pd.DataFrame:
+def _align(lines: list, anchors_by_page: list) -> list[tuple[int, int]]:
     """Forward-only anchors of a document's pages, then the lines up to the next anchor."""
-    pdf = pdf.sort_values("page_number")
-    lines, pages = list(pdf["lines"].iloc[0]), len(pdf)
+    pages = len(anchors_by_page)
     n, floor, starts = len(lines), 0, []
     per_page = max(1.0, n / pages)
     radius = max(40, min(n, int(per_page * 2.2)))
     window = max(15, min(160, int(per_page * 1.5)))
     longest = max(20, min(window, int(per_page * 2.0)))
     least = max(8, min(longest, int(per_page * 0.45)))
-    for k, anchors in enumerate(pdf["anchors"], 1):
+    for k, anchors in enumerate(anchors_by_page, 1):
         centre = max(floor, min(int((k - 0.5) * n / pages), n - 1))
         at = min(max(floor, _start(lines, list(anchors), floor, centre, radius)), n - 1)
         if starts and at <= starts[-1]:
@@ -46,19 +45,30 @@ def _align(pdf: pd.DataFrame) -> pd.DataFrame:
             ends.append(min(after, at + longest))
         else:
             ends.append(n)
-    return pd.DataFrame({"doc_id": pdf["doc_id"], "page_number": pdf["page_number"], "start_line": starts, "end_line": ends})
+    return list(zip(starts, ends, strict=True))
+
+
+def _spans(batches):
+    """Rows (doc_id, lines, pages): one row for each page of each document."""
+    for pdf in batches:
+        rows = []
+        for doc_id, lines, pages in pdf.itertuples(index=False):
+            spans = _align(list(lines), [p["anchors"] for p in pages])
+            rows += [(doc_id, p["page_number"], a, b) for p, (a, b) in zip(pages, spans, strict=True)]
+        yield pd.DataFrame(rows, columns=["doc_id", "page_number", "start_line", "end_line"])
 
 
 def page_spans(docs: DataFrame, evidence: DataFrame) -> DataFrame:
     """(doc_id, page_number, start_line, end_line) of each page's text in its document's markdown.
 
     ``docs`` has doc_id and markdown, ``evidence`` doc_id, page_number and text_preview.
-    Normal forms and anchors are columns; only the walk over one document is a group.
+    Normal forms and anchors are columns. Anchors are gathered by document first, so each
+    document's lines are joined once and walked in their own row.
     """
     lines = F.transform(F.split("markdown", "\n"), T.match_form)
     anchors = F.filter(F.transform(F.split(F.coalesce("text_preview", F.lit("")), "\n"), T.match_form), lambda a: (F.length(a) >= 18) | (F.size(F.split(a, " ")) >= 3))
-    joined = evidence.join(docs.select("doc_id", lines.alias("lines")), "doc_id").select("doc_id", "page_number", anchors.alias("anchors"), "lines")
-    return joined.groupBy("doc_id").applyInPandas(_align, "doc_id long, page_number int, start_line int, end_line int")
+    pages = evidence.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", anchors.alias("anchors")))).alias("pages"))
+    return docs.select("doc_id", lines.alias("lines")).join(pages, "doc_id").mapInPandas(_spans, "doc_id long, page_number int, start_line int, end_line int")
 
 
 def joined_headings(text: str) -> str:
