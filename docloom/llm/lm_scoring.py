@@ -3,7 +3,7 @@
 Tokens are words and one end mark a text. The model predicts a token's class from
 hashed features - the word before, the word two before (skip) and both together - by a
 softmax over classes, and the token within its class by a softmax whose features are the
-classes of the two words before, hashed to ``CONTEXTS`` values each. Rare words form one
+classes of the two words before (or the start), ``CONTEXTS`` values each. Rare words form one
 class, in which a word's share follows its exact training count, so every word that the
 corpus holds is scored, and an unseen one too.
 
