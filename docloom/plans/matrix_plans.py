@@ -92,10 +92,11 @@ def top10_stable_order(spark, base):
     return M.relations(matrix_rows(spark, base), "sheet").select("sheet", "relation_id", F.row_number().over(w).alias("position"))
 
 
-@register("str18_table_cells", f"""WITH {_LINES}
-  SELECT doc_id, count(*) AS n_rows FROM lines WHERE starts_with(trim(line), '|') AND suffix(trim(line), '|') AND length(trim(line)) > 1 AND NOT regexp_matches(line, '^[|:\\-\\s]+$') GROUP BY 1""")
+@register("str18_table_cells", rf"""WITH {_LINES}, t AS (SELECT doc_id, i + 1 AS line_no, regexp_replace(line, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS x FROM lines WHERE contains(line, '|'))
+  SELECT doc_id, line_no, array_to_string(list_transform(string_split(substring(x, 2, length(x) - 2), '|'), lambda c: regexp_replace(c, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), ';') AS cells
+  FROM t WHERE starts_with(x, '|') AND suffix(x, '|') AND length(x) > 1 AND NOT regexp_matches(x, '^[|:\-\s]+$')""")
 def str18_table_cells(spark, base):
-    return M.table_rows(markdown(spark, base), "doc_id", "markdown").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return M.table_rows(markdown(spark, base), "doc_id", "markdown").select("doc_id", "line_no", F.array_join("cells", ";").alias("cells"))
 
 
 @register("win6_win7_dom5_page_alignment", None)
@@ -116,11 +117,11 @@ def win13_joined_headings(spark, base):
 
 
 @register("jsn1_path_metadata", """
-  SELECT event_id, nullif(regexp_extract('book.s' || user_id || '.' || event_type, '^(.*)\\.[^.]*$', 1), '') AS parent, 3 AS depth,
+  SELECT event_id, nullif(regexp_extract('book.s' || user_id || repeat('.x', event_id % 4) || '.' || event_type, '^(.*)\\.[^.]*$', 1), '') AS parent, 3 + event_id % 4 AS depth,
     CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'null' ELSE 'number' END AS value_type FROM events""")
 def jsn1_path_metadata(spark, base):
     e = table(spark, base, "events")
-    path = F.concat(F.lit("book.s"), "user_id", F.lit("."), "event_type")
+    path = F.concat(F.lit("book.s"), F.col("user_id").cast("string"), F.expr("repeat('.x', cast(event_id % 4 as int))"), F.lit("."), "event_type")
     k = F.get_json_object("props", "$.k")
     kind = F.when(k.isNull(), "null").when(k.try_cast("double").isNotNull(), "number").otherwise("string")
     return e.select("event_id", J.parent_path(path).alias("parent"), J.path_depth(path).alias("depth"), kind.alias("value_type"))
@@ -151,12 +152,19 @@ def jsn3_flt19_chunk_coercion(spark, base):
 
 
 @register("jsn4_schema_validation", """
-  SELECT count(*) FILTER (event_id % 5 <> 0) AS complete, count(*) FILTER (event_id % 5 = 0) AS fallback FROM events""")
+  SELECT event_id, event_id % 5 IN (1, 2) AS complete, CASE event_id % 5 WHEN 0 THEN NULL WHEN 4 THEN NULL ELSE CAST(event_id AS BIGINT) END AS k,
+    CASE event_id % 5 WHEN 1 THEN event_type WHEN 2 THEN event_type WHEN 4 THEN event_type ELSE 'unknown' END AS kind FROM events""")
 def jsn4_schema_validation(spark, base):
-    """Required fields present after a typed parse; malformed text falls back."""
-    e = table(spark, base, "events").withColumn("raw", F.when(F.col("event_id") % 5 == 0, F.lit("not json")).otherwise(F.col("props")))
-    ok = F.from_json("raw", "k long")["k"].isNotNull()
-    return e.agg(F.count_if(ok).alias("complete"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("fallback"))
+    """A typed parse with required fields: what is malformed, missing or of another type falls back to defaults."""
+    fields = F.struct(F.col("event_id").alias("k"), F.col("event_type").alias("kind"))
+    m = F.col("event_id") % 5
+    raw = (
+        F.when(m == 0, F.lit("not json")).when(m == 3, F.to_json(F.struct(F.col("event_id").alias("k"))))
+        .when(m == 4, F.to_json(F.struct(F.lit("text").alias("k"), F.col("event_type").alias("kind")))).otherwise(F.to_json(fields))
+    )
+    e = table(spark, base, "events").withColumn("v", F.from_json(raw, "k long, kind string"))
+    complete = F.coalesce(F.col("v.k").isNotNull() & F.col("v.kind").isNotNull(), F.lit(False))
+    return e.select("event_id", complete.alias("complete"), F.col("v.k").alias("k"), F.coalesce("v.kind", F.lit("unknown")).alias("kind"))
 
 
 @register("src9_page_ranges", """
@@ -206,9 +214,12 @@ def stm4_token_stream(spark, base):
     return c.select("conv_id", "turn", F.posexplode(F.concat(F.split("text", " "), F.array(F.lit("[complete]")))).alias("seq", "tok"))
 
 
-@register("map1_sampling", None)
+@register("map1_sampling", """
+  WITH o AS (SELECT o_orderkey, CASE left(o_orderpriority, 1) WHEN '1' THEN 'critical' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' ELSE 'low' END AS level, CAST('0x' || substring(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS place FROM orders)
+  SELECT o_orderkey, level FROM o WHERE place < CASE level WHEN 'medium' THEN 50 WHEN 'low' THEN 15 ELSE 100 END""")
 def map1_sampling(spark, base):
-    """Sampling by risk: rates by level, decided by a hash of the id, so a rerun takes the same rows."""
+    """Sampling by risk: rates by level, decided by a digest of the id, so a rerun takes the same rows."""
     level = F.when(F.col("o_orderpriority").startswith("1"), "critical").when(F.col("o_orderpriority").startswith("2"), "high").when(F.col("o_orderpriority").startswith("3"), "medium").otherwise("low")
-    rate = F.when(level.isin("critical", "high"), 1.0).when(level == "medium", 0.5).otherwise(0.15)
-    return table(spark, base, "orders").where(F.pmod(F.xxhash64("o_orderkey"), F.lit(100)) < rate * 100).select("o_orderkey", level.alias("level"))
+    rate = F.when(level.isin("critical", "high"), 100).when(level == "medium", 50).otherwise(15)
+    place = F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 8), 16, 10).cast("long") % 100
+    return table(spark, base, "orders").where(place < rate).select("o_orderkey", level.alias("level"))
