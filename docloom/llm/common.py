@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,6 +22,29 @@ def documents(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.parquet(f"{base.rstrip('/')}/documents.parquet")
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trimmed(run: Callable) -> Callable:
+    """``run`` over the batches of a task, then the memory that it freed goes back to the system.
+
+    Python workers outlive their tasks; without this each keeps the most it ever held.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return task
+
+
+def release() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def frequent(rows: DataFrame, most: int, key: str, n: str) -> pd.DataFrame:
     """The keys of the highest counts, at most ``most``: all of each count level or none.
 
@@ -68,7 +94,7 @@ def bloom(keys: DataFrame) -> np.ndarray:
         return pd.DataFrame({"range": pdf["range"].iloc[:1], "bits": [np.packbits(flags).tobytes()]})
 
     out = np.zeros(bits // 8, np.uint8)
-    for r in keys.mapInArrow(places, "range int, at int").groupBy("range").applyInPandas(fill, "range int, bits binary").collect():
+    for r in keys.mapInArrow(trimmed(places), "range int, at int").groupBy("range").applyInPandas(fill, "range int, bits binary").collect():
         out[r["range"] * width // 8 : (r["range"] + 1) * width // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
@@ -93,7 +119,7 @@ def split_by(df: DataFrame, key: Column, bits: np.ndarray) -> tuple[DataFrame, D
 
     df_names = df.columns
     keyed = df.withColumn(name, key)
-    return keyed.mapInArrow(run(True), df.schema), keyed.mapInArrow(run(False), df.schema)
+    return keyed.mapInArrow(trimmed(run(True)), df.schema), keyed.mapInArrow(trimmed(run(False)), df.schema)
 
 
 def remainder(column: str, modulus: int):

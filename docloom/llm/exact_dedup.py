@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import golomb
-from docloom.llm.common import SPACE_CLASS, bloom, shared, shares, split_by
+from docloom.llm.common import SPACE_CLASS, bloom, shared, shares, split_by, trimmed
 
 
 def normalised(text: str = "text") -> Column:
@@ -93,10 +93,10 @@ def _decode(batches):
 def suspects(prints: DataFrame) -> DataFrame:
     """Fingerprints that occur more than once, one row each."""
     owners = shares(prints)
-    blocks = shared(prints.select("sender", "fp").mapInArrow(_blocks(owners), "owner int, sender int, block binary, own binary"))
+    blocks = shared(prints.select("sender", "fp").mapInArrow(trimmed(_blocks(owners)), "owner int, sender int, block binary, own binary"))
     answers = blocks.groupBy("owner").applyInPandas(_answers, "owner int, sender int, twice binary")
     flagged = blocks.join(answers, ["owner", "sender"]).select("block", "own", "twice")
-    return flagged.mapInArrow(_decode, "fp long").distinct()
+    return flagged.mapInArrow(trimmed(_decode), "fp long").distinct()
 
 
 def _fingerprint(text: str) -> Column:

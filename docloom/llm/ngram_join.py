@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import golomb
-from docloom.llm.common import bloom, frequent, mix64, shared, shares, split_by, text_buffer, word_hashes
+from docloom.llm.common import bloom, frequent, mix64, shared, shares, split_by, text_buffer, trimmed, word_hashes
 
 WORDS, PERCENT = 4, 85
 #: Bits of a shingle key in the frequency count and in the candidate search; cut keys only add candidates.
@@ -170,7 +170,7 @@ def _frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def frequent_keys(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of the most frequent shingles and their document frequencies; at most FREQUENT."""
-    blocks = texts.select("text").mapInArrow(_frequency_blocks(shares(texts)), "owner int, keys binary, counts binary")
+    blocks = texts.select("text").mapInArrow(trimmed(_frequency_blocks(shares(texts))), "owner int, keys binary, counts binary")
     counted = shared(blocks.groupBy("owner").applyInPandas(_frequencies, "key long, df long"))
     found = frequent(counted, FREQUENT, "key", "df").sort_values("key")
     return found["key"].to_numpy(np.int64).astype(np.uint64), found["df"].to_numpy(np.int64)
@@ -353,7 +353,7 @@ def sieved(groups: DataFrame, signed: DataFrame) -> DataFrame:
     live = small.select("s1").distinct()
     bits = signed.where("n > 0").select("s1", "bits").join(live, "s1", "left_semi").groupBy("s1").agg(F.first("bits").alias("bits"))
     rows = small.join(bits, "s1").select("block", "s1", "n", "bits")
-    rows = rows.repartition(shares(groups), "block").sortWithinPartitions("block").mapInArrow(_sieve, "block long, s1 long, n long")
+    rows = rows.repartition(shares(groups), "block").sortWithinPartitions("block").mapInArrow(trimmed(_sieve), "block long, s1 long, n long")
     return rows.union(groups.join(large, "block", "left_semi").select("block", "s1", "n")).distinct()
 
 
@@ -502,7 +502,7 @@ def _row_key(id_col: str, text: str) -> Column:
 def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, row key, set size, 128-bit set hash and parity cells of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), _row_key(id_col, text).alias("row"))
-    return rows.mapInArrow(_signatures, f"doc_id long, row {_ROW}, n long, s1 long, s2 long, bits binary")
+    return rows.mapInArrow(trimmed(_signatures), f"doc_id long, row {_ROW}, n long, s1 long, s2 long, bits binary")
 
 
 def distinct_sets(signed: DataFrame) -> DataFrame:
@@ -517,17 +517,17 @@ def links(docs: DataFrame, signed: DataFrame, sets: DataFrame, id_col: str = "do
     rows = docs.select(_row_key(id_col, text).alias("row"), F.col(text).alias("text"))
     keys, df = frequent_keys(rows)
     held = spark.sparkContext.broadcast(((keys, df), keys[df > HOT]))
-    blocks = shared(rows.select("text").mapInArrow(_candidate_blocks(held, shares(rows)), "owner int, keys binary, counts binary, places binary, sets binary, sizes binary"))
+    blocks = shared(rows.select("text").mapInArrow(trimmed(_candidate_blocks(held, shares(rows))), "owner int, keys binary, counts binary, places binary, sets binary, sizes binary"))
     few = blocks.where("owner >= 0").groupBy("owner").applyInPandas(_groups, "block long, s1 long, n long")
-    hot = blocks.where("owner < 0").mapInArrow(_hot_rows, "block long, s1 long, n long")
+    hot = blocks.where("owner < 0").mapInArrow(trimmed(_hot_rows), "block long, s1 long, n long")
     groups = shared(few.union(hot).distinct())
     placed = placements(shared(sieved(groups, signed)))
     # equal rows share a key, so a set's blocks may come twice; they are made distinct where they meet
     asked = shared(sets.join(placed, "s1").select("s1", "node", "row", "blocks"))
     wanted, _ = split_by(rows, F.xxhash64("row"), bloom(asked.select(F.xxhash64("row"))))
     fetched = asked.join(wanted, "row").select("s1", "node", "blocks", "text")
-    tokens = fetched.mapInArrow(_tokens, "block long, node long, tokens array<bigint>")
-    return tokens.repartition(shares(rows), "block").sortWithinPartitions("block").mapInArrow(_verify, "a long, b long").distinct()
+    tokens = fetched.mapInArrow(trimmed(_tokens), "block long, node long, tokens array<bigint>")
+    return tokens.repartition(shares(rows), "block").sortWithinPartitions("block").mapInArrow(trimmed(_verify), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import shared, text_buffer
+from docloom.llm.common import shared, text_buffer, trimmed
 
 WINDOW = 4096
 END_ID = 2
@@ -134,7 +134,7 @@ def _tokenise(path: str, with_ids: bool):
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Each document's pieces of at most a window, with their ids if asked."""
     schema = _PIECES + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_tokenise(path, with_ids), schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(trimmed(_tokenise(path, with_ids)), schema)
 
 
 class CapacityTree:

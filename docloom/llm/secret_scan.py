@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import shared
+from docloom.llm.common import shared, trimmed
 
 KINDS = ("assign", "access", "hex", "format")
 _ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -232,7 +232,7 @@ def _labelled(batches):
 
 def train(docs: DataFrame, text: str = "text") -> dict[str, Automaton]:
     """Automata from the public formats and from at most SAMPLE distinct base matches a kind."""
-    values = docs.select(F.col(text).alias("text")).mapInArrow(_labelled, "kind string, value string").distinct()
+    values = docs.select(F.col(text).alias("text")).mapInArrow(trimmed(_labelled), "kind string, value string").distinct()
     values = shared(values.select("kind", "value", F.xxhash64("value").alias("h")))
     labelled = public_formats()
     for kind, *_ in BASE:
@@ -310,7 +310,7 @@ def redact_documents(docs: DataFrame, automata: dict[str, Automaton], text: str
                     b = b.set_column(k, length, _replaced(b.column(k), {row: len(value) for row, value in changed.items()}))
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def scan(docs: DataFrame, automata: dict[str, Automaton], id_col: str = "doc_id", text: str = "text", redacted: bool = False) -> DataFrame:
@@ -318,4 +318,4 @@ def scan(docs: DataFrame, automata: dict[str, Automaton], id_col: str = "doc_id"
     held = docs.sparkSession.sparkContext.broadcast(automata)
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + (", redacted string" if redacted else "")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_scan(held, redacted), schema)
+    return rows.mapInArrow(trimmed(_scan(held, redacted)), schema)
