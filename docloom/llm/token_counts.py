@@ -21,6 +21,7 @@ Texts are counted whole.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import defaultdict
 from itertools import repeat
 
@@ -174,9 +175,20 @@ def fitted_scores(docs: DataFrame, path: str, text: str = "text") -> dict[str, f
     return scores
 
 
-def _counts(shared_scores):
+#: This worker's trie, by the name of its scores; it outlives a task.
+_TRIES: dict[str, ForwardTrie] = {}
+
+
+def trie_of(name: str, scores: dict[str, float]) -> ForwardTrie:
+    if name not in _TRIES:
+        _TRIES.clear()
+        _TRIES[name] = ForwardTrie(scores)
+    return _TRIES[name]
+
+
+def _counts(shared_scores, name: str):
     def run(batches):
-        trie = ForwardTrie(shared_scores.value)
+        trie = trie_of(name, shared_scores.value)
         for b in batches:
             for doc_ids, texts in slices(b.column(0), b.column(1)):
                 words, tokens, score = trie.count(texts)
@@ -189,4 +201,4 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
     """doc_id, n_words, n_tokens and score (natural log) of every row, under ``scores`` or those fitted to ``docs``."""
     held = docs.sparkSession.sparkContext.broadcast(scores or fitted_scores(docs, path, text))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_counts(held), "doc_id long, n_words long, n_tokens long, score double")
+    return rows.mapInArrow(_counts(held, uuid.uuid4().hex), "doc_id long, n_words long, n_tokens long, score double")
