@@ -85,6 +85,16 @@ def op10_html_extraction(spark: SparkSession, base: str) -> DataFrame:
     return html_extract.main_text(spark.read.parquet(f"{base.rstrip('/')}/pages.parquet"))
 
 
+def op13_merkle_manifest(spark: SparkSession, base: str) -> DataFrame:
+    from docloom.llm import merkle_manifest as merkle
+    from docloom.llm.common import remainder
+
+    changed = (remainder("doc_id", 3) == 0) & F.col("doc_id").isNotNull()
+    proofs = merkle.prove(documents(spark, base), {"changed": merkle.changed_leaf(changed)})
+    out = merkle.verify(proofs, F.coalesce("changed", "leaf"))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
@@ -96,6 +106,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 def _quality_oracle() -> str:
@@ -123,7 +134,46 @@ def _quality_oracle() -> str:
           CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(tests)} AS kept FROM r"""
 
 
+def _crc32(value: str) -> str:
+    """DuckDB: unsigned crc32 of a text of ASCII characters, by its polynomial."""
+    step = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+    rounds = "list_reduce(list_prepend(xor(a, b), [CAST(i AS BIGINT) FOR i IN range(8)]), lambda c, k: " + step.format("c") + ")"
+    codes = f"[CAST(ascii(x) AS BIGINT) FOR x IN string_split({value}, '')]"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda a, b: {rounds}), 4294967295)"
+
+
+def _merkle_oracle(levels: int = 8, upper: int = 4) -> str:
+    """The manifest level by level, for up to 8**levels rows of a language and 8**upper languages."""
+    leaf = lambda text: "sha256(concat(" + ", ".join(f"coalesce(concat(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR), ':', CAST({c} AS VARCHAR)), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [f"""t AS MATERIALIZED (
+        SELECT coalesce(':' || lang, '-') AS g, doc_id, {leaf('text')} AS leaf,
+          CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS claimed FROM documents)""",
+        "a0 AS MATERIALIZED (SELECT g, leaf AS h, doc_id, claimed, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM t)"]
+    grown = lambda name, k: f"""{name}{k + 1} AS MATERIALIZED (
+        SELECT g, i // 8 AS i, CASE WHEN n = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, (n + 7) // 8 AS n FROM {name}{k} GROUP BY g, i // 8, n)"""
+    side = lambda name, k, op, own: f"coalesce((SELECT string_agg(s.h, '' ORDER BY s.i) FROM {name}{k} s WHERE s.g = {own}.g AND s.i // 8 = {own}.i // 8 AND s.i {op} {own}.i), '')"
+    parts += [grown("a", k) for k in range(levels)]
+    parts.append(f"u0 AS MATERIALIZED (SELECT '' AS g, g AS tree, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM a{levels})")
+    parts += [grown("u", k) for k in range(upper)]
+
+    def folded(name: str, count: int, first: str, keep: str) -> list[str]:
+        out = [first]
+        for k in range(count):
+            l, r, more = side(name, k, "<", "x"), side(name, k, ">", "x"), f"(SELECT max(n) FROM {name}{k} s WHERE s.g = x.g) > 1"
+            out.append(f"""{name}f{k + 1} AS MATERIALIZED (
+                SELECT {keep}, g, i // 8 AS i, CASE WHEN m THEN proof || l || r ELSE proof END AS proof, CASE WHEN m THEN sha256(l || f || r) ELSE f END AS f
+                FROM (SELECT x.*, {l} AS l, {r} AS r, {more} AS m FROM {name}f{k} x) y)""")
+        return out
+
+    parts += folded("a", levels, "af0 AS MATERIALIZED (SELECT doc_id, h AS leaf, g, i, '' AS proof, claimed AS f FROM a0)", "doc_id, leaf")
+    parts += folded("u", upper, f"uf0 AS MATERIALIZED (SELECT b.doc_id, b.leaf, u0.h AS subroot, u0.g, u0.i, b.proof, b.f FROM af{levels} b JOIN u0 ON u0.tree = b.g)", "doc_id, leaf, subroot")
+    return f"""WITH {", ".join(parts)}
+        SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.h AS verified FROM uf{upper}, u{upper} r"""
+
+
 ORACLES = {
+    "op13_merkle_manifest": _merkle_oracle(),
     "op9_quality_rules": _quality_oracle(),
     "op5_exact_dedup": r"""
         WITH t AS (
