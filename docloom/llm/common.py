@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -77,25 +79,39 @@ def bloom(keys: DataFrame) -> np.ndarray:
     """A Bloom filter of a column of longs, as packed bits; ``keys`` is read twice.
 
     It has BLOOM_BITS a key up to BLOOM_MOST bits in all, so the broadcast is bounded;
-    beyond, it lets more rows through and nothing is lost.
+    beyond, it lets more rows through and nothing is lost. Each task sends its own
+    bitmap in at most _RANGES parts; these are joined bit by bit in a tree whose groups
+    hold the root of the number of tasks.
     """
     n = keys.count()
     bits = min(max(1 << 16, 1 << (BLOOM_BITS * n).bit_length()), BLOOM_MOST)
-    width = bits // _RANGES
+    width = bits // _RANGES // 8
+    slots = math.isqrt(max(1, keys.rdd.getNumPartitions() - 1)) + 1
 
-    def places(batches):
+    def partial(batches):
+        flags = np.zeros(bits // 8, np.uint8)
         for b in batches:
             at = np.unique(_probes(b.column(0).to_numpy(zero_copy_only=False), bits))
-            yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32))], ["range", "at"])
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        flags = np.zeros(width, bool)
-        flags[pdf["at"].to_numpy()] = True
-        return pd.DataFrame({"range": pdf["range"].iloc[:1], "bits": [np.packbits(flags).tobytes()]})
+            if len(at):
+                place = at >> 3
+                start = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+                flags[place[start]] |= np.bitwise_or.reduceat((128 >> (at & 7)).astype(np.uint8), start)
+        used = [r for r in range(_RANGES) if flags[r * width : (r + 1) * width].any()]
+        parts = [zlib.compress(flags[r * width : (r + 1) * width].tobytes(), 1) for r in used]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(parts, pa.binary())], ["range", "bits"])
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(width, np.uint8)
+        for blob in pdf["bits"]:
+            flags |= np.frombuffer(zlib.decompress(blob), np.uint8)
+        return pd.DataFrame({"range": pdf["range"].iloc[:1], "bits": [zlib.compress(flags.tobytes(), 1)]})
 
     out = np.zeros(bits // 8, np.uint8)
-    for r in keys.mapInArrow(trimmed(places), "range int, at int").groupBy("range").applyInPandas(fill, "range int, bits binary").collect():
-        out[r["range"] * width // 8 : (r["range"] + 1) * width // 8] = np.frombuffer(r["bits"], np.uint8)
+    parts = keys.mapInArrow(trimmed(partial), "range int, bits binary").withColumn("slot", F.spark_partition_id() % slots)
+    for by in (("range", "slot"), ("range",)):
+        parts = parts.groupBy(*by).applyInPandas(join, "range int, bits binary")
+    for r in parts.collect():
+        out[r["range"] * width : (r["range"] + 1) * width] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return out
 
 
