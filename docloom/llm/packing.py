@@ -195,7 +195,7 @@ def pack(cut: DataFrame) -> DataFrame:
     """Place pieces into windows: adds sequence_id and offset. Only lengths go through the groups; ids are joined to their places."""
     cut = shared(cut.withColumn("_piece", F.monotonically_increasing_id()))
     groups = max(1, cut.count() // GROUP)
-    part = F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).alias("_part")
+    part = F.pmod(F.xxhash64("_piece"), F.lit(groups)).alias("_part")
     placed = cut.select("_piece", "doc_id", "start", "length", part).groupBy("_part").applyInPandas(_pack, "_piece long, offset long, sequence_id long")
     return cut.join(placed, "_piece").drop("_piece")
 
