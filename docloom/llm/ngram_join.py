@@ -56,24 +56,24 @@ HOT, CELLS = 1 << 14, 64
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
-def shingle_sets(texts: pa.Array):
-    """Yields (row, sorted distinct shingle hashes) for each text of a batch."""
+def shingle_sets(texts: pa.Array, size: int = WORDS):
+    """Yields (row, sorted distinct hashes of shingles of ``size`` words) for each text of a batch."""
     data, offs = text_buffer(texts)
     at, n = 0, len(offs) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + SLICE, "right")) - 1)
         words, first = word_hashes(data[offs[at] : offs[to]], offs[at : to + 1] - offs[at])
-        if len(words) >= WORDS:
-            m = len(words) - WORDS + 1
+        if len(words) >= size:
+            m = len(words) - size + 1
             mixed = words[:m] * _MULT[0]
-            for j in range(1, WORDS):
+            for j in range(1, size):
                 mixed += words[j : j + m] * _MULT[j]
             mixed = mix64(mixed)
         first = first.tolist()
         for k in range(to - at):
             a, b = first[k], first[k + 1]
-            if b - a >= WORDS:
-                own = np.sort(mixed[a : b - WORDS + 1])
+            if b - a >= size:
+                own = np.sort(mixed[a : b - size + 1])
                 keep = np.empty(len(own), bool)
                 keep[0] = True
                 np.not_equal(own[1:], own[:-1], out=keep[1:])
@@ -281,18 +281,18 @@ def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": np.repeat(name, length).view(np.int64), "s1": sets[at], "n": size[at]})
 
 
-def _may_link(n: np.ndarray, small: np.ndarray, large: np.ndarray, has_large: np.ndarray, k: int) -> np.ndarray:
+def _may_link(n: np.ndarray, small: np.ndarray, large: np.ndarray, has_large: np.ndarray, k: int, percent: int) -> np.ndarray:
     """Which sets may link with set ``k``: sizes and differing parities leave room for the overlap."""
     both = n + n[k]
-    room = both - 2 * -(-PERCENT * both // (100 + PERCENT))
-    ok = 100 * np.minimum(n, n[k]) >= PERCENT * np.maximum(n, n[k])
+    room = both - 2 * -(-percent * both // (100 + percent))
+    ok = 100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])
     ok &= np.bitwise_count(small ^ small[k]).sum(1) <= room
     if has_large[k]:
         ok[has_large] &= np.bitwise_count(large ^ large[np.searchsorted(np.flatnonzero(has_large), k)]).sum(1) <= room[has_large]
     return ok
 
 
-def _split_group(n: np.ndarray, bits: list[bytes]) -> np.ndarray:
+def _split_group(n: np.ndarray, bits: list[bytes], percent: int = PERCENT) -> np.ndarray:
     """Label of each set's component under ``_may_link``; -1 for sets that may link with none."""
     small = np.frombuffer(b"".join(b[:256] for b in bits), np.uint64).reshape(-1, 32)
     has_large = np.array([len(b) > 256 for b in bits])
@@ -305,7 +305,7 @@ def _split_group(n: np.ndarray, bits: list[bytes]) -> np.ndarray:
         queue, left[seed] = [seed], False
         while queue:
             k = queue.pop()
-            new = np.flatnonzero(_may_link(n, small, large, has_large, k) & left)
+            new = np.flatnonzero(_may_link(n, small, large, has_large, k, percent) & left)
             left[new] = False
             if len(new) or k != seed:
                 label[k] = label[new] = seed
@@ -313,13 +313,13 @@ def _split_group(n: np.ndarray, bits: list[bytes]) -> np.ndarray:
     return label
 
 
-def _sieve(batches):
+def _sieve(percent: int):
     """Rows come sorted by block: (block, s1, n, bits); groups lose sets that can link with none in them."""
 
     def solve(block, s1, n, bits):
         keys, first = np.unique(np.array(s1, np.int64), return_index=True)
         n = np.array(n, np.int64)[first]
-        label = _split_group(n, [bits[k] for k in first])
+        label = _split_group(n, [bits[k] for k in first], percent)
         name = mix64(np.array([block], np.int64).view(np.uint64))[0] + label.astype(np.uint64)
         kept = label >= 0
         return mix64(name[kept]).view(np.int64), keys[kept], n[kept]
@@ -328,32 +328,35 @@ def _sieve(batches):
         columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "s1", "n"])
 
-    now, held = None, ([], [], [])
-    for b in batches:
-        blocks, s1, n = (b.column(i).to_numpy() for i in range(3))
-        bits, found = b.column(3), []
-        edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-        for a, z in zip(edges[:-1], edges[1:], strict=True):
-            if z > a:
-                if blocks[a] != now:
-                    if len(held[0]) > 1:
-                        found.append(solve(now, *held))
-                    now, held = blocks[a], ([], [], [])
-                held[0].extend(s1[a:z].tolist())
-                held[1].extend(n[a:z].tolist())
-                held[2].extend(bits.slice(a, z - a).to_pylist())
-        yield rows(found)
-    yield rows([solve(now, *held)] if len(held[0]) > 1 else [])
-
-
-def sieved(groups: DataFrame, signed: DataFrame) -> DataFrame:
+    def run(batches):
+        now, held = None, ([], [], [])
+        for b in batches:
+            blocks, s1, n = (b.column(i).to_numpy() for i in range(3))
+            bits, found = b.column(3), []
+            edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                if z > a:
+                    if blocks[a] != now:
+                        if len(held[0]) > 1:
+                            found.append(solve(now, *held))
+                        now, held = blocks[a], ([], [], [])
+                    held[0].extend(s1[a:z].tolist())
+                    held[1].extend(n[a:z].tolist())
+                    held[2].extend(bits.slice(a, z - a).to_pylist())
+            yield rows(found)
+        yield rows([solve(now, *held)] if len(held[0]) > 1 else [])
+
+    return run
+
+
+def sieved(groups: DataFrame, signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Groups without the pairs that sizes and parities rule out; no linked pair is ever parted."""
     large = groups.groupBy("block").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SIEVED).select("block")
     small = groups.join(large, "block", "left_anti")
     live = small.select("s1").distinct()
     bits = signed.where("n > 0").select("s1", "bits").join(live, "s1", "left_semi").groupBy("s1").agg(F.first("bits").alias("bits"))
     rows = small.join(bits, "s1").select("block", "s1", "n", "bits")
-    rows = rows.repartition(shares(groups), "block").sortWithinPartitions("block").mapInArrow(trimmed(_sieve), "block long, s1 long, n long")
+    rows = rows.repartition(shares(groups), "block").sortWithinPartitions("block").mapInArrow(trimmed(_sieve(percent)), "block long, s1 long, n long")
     return rows.union(groups.join(large, "block", "left_semi").select("block", "s1", "n")).distinct()
 
 
@@ -417,18 +420,18 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def forest(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """A spanning forest of the links among ``sets``: (smaller id of the tree, id)."""
     n = np.array([len(s) for s in sets])
     if len(ids) == 2:
-        if 100 * n.min() < PERCENT * n.max():
+        if 100 * n.min() < percent * n.max():
             return []
         both = np.concatenate(sets)
         both.sort()
         c = int((both[1:] == both[:-1]).sum())
-        return [(int(ids.min()), int(ids.max()))] if 100 * c >= PERCENT * (int(n.sum()) - c) else []
+        return [(int(ids.min()), int(ids.max()))] if 100 * c >= percent * (int(n.sum()) - c) else []
     c = overlaps(sets)
-    linked = 100 * c >= PERCENT * (n[:, None] + n[None, :] - c)
+    linked = 100 * c >= percent * (n[:, None] + n[None, :] - c)
     label = ids.copy()
     while True:
         least = np.where(linked, label[None, :], np.iinfo(np.int64).max).min(1)
@@ -439,29 +442,32 @@ def forest(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(label, ids, strict=True) if a != b]
 
 
-def _verify(batches):
+def _verify(percent: int):
     """Rows come sorted by block: (block, node, tokens)."""
 
     def solve(ids, sets):
         ids, first = np.unique(np.array(ids, np.int64), return_index=True)
-        return forest(ids, [sets[k] for k in first]) if len(ids) > 1 else []
+        return forest(ids, [sets[k] for k in first], percent) if len(ids) > 1 else []
 
-    now, ids, sets = None, [], []
-    for b in batches:
-        blocks, reps, tokens = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
-        flat = tokens.values.to_numpy().view(np.uint64)
-        offs = tokens.offsets.to_numpy()
-        edges, found = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)], []
-        for a, z in zip(edges[:-1], edges[1:], strict=True):
-            if z > a:
-                if blocks[a] != now:
-                    found += solve(ids, sets) if len(ids) > 1 else []
-                    now, ids, sets = blocks[a], [], []
-                ids += reps[a:z].tolist()
-                sets += [flat[offs[k] : offs[k + 1]] for k in range(a, z)]
-        sets = [s.copy() for s in sets]  # the batch's buffer goes
-        yield _links(found)
-    yield _links(solve(ids, sets) if len(ids) > 1 else [])
+    def run(batches):
+        now, ids, sets = None, [], []
+        for b in batches:
+            blocks, reps, tokens = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+            flat = tokens.values.to_numpy().view(np.uint64)
+            offs = tokens.offsets.to_numpy()
+            edges, found = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)], []
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                if z > a:
+                    if blocks[a] != now:
+                        found += solve(ids, sets) if len(ids) > 1 else []
+                        now, ids, sets = blocks[a], [], []
+                    ids += reps[a:z].tolist()
+                    sets += [flat[offs[k] : offs[k + 1]] for k in range(a, z)]
+            sets = [s.copy() for s in sets]  # the batch's buffer goes
+            yield _links(found)
+        yield _links(solve(ids, sets) if len(ids) > 1 else [])
+
+    return run
 
 
 def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -469,18 +475,22 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _tokens(batches):
+def _tokens(words: int):
     """Each asked-for set's shingles once for each of its blocks; another text with its row key is left out."""
-    for b in batches:
-        s1, nodes, blocks, out, size = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_pylist(), [], 0
-        for k, own in shingle_sets(b.column(3)):
-            if len(own) and set_hash(own)[0] == s1[k]:
-                out += [(x, nodes[k], own) for x in blocks[k]]
-                size += len(own) * len(blocks[k])
-            if size > HELD:
-                yield _rows(out)
-                out, size = [], 0
-        yield _rows(out)
+
+    def run(batches):
+        for b in batches:
+            s1, nodes, blocks, out, size = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_pylist(), [], 0
+            for k, own in shingle_sets(b.column(3), words):
+                if len(own) and set_hash(own)[0] == s1[k]:
+                    out += [(x, nodes[k], own) for x in blocks[k]]
+                    size += len(own) * len(blocks[k])
+                if size > HELD:
+                    yield _rows(out)
+                    out, size = [], 0
+            yield _rows(out)
+
+    return run
 
 
 def _rows(out: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
@@ -511,23 +521,35 @@ def distinct_sets(signed: DataFrame) -> DataFrame:
     return shared(sets.withColumn("node", F.monotonically_increasing_id()))
 
 
-def links(docs: DataFrame, signed: DataFrame, sets: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Spanning links (a, b) between the nodes of distinct sets; may repeat."""
-    spark = docs.sparkSession
-    rows = docs.select(_row_key(id_col, text).alias("row"), F.col(text).alias("text"))
+def text_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    return docs.select(_row_key(id_col, text).alias("row"), F.col(text).alias("text"))
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """(block, s1, n): distinct groups of sets that share a shingle of their prefixes."""
     keys, df = frequent_keys(rows)
-    held = spark.sparkContext.broadcast(((keys, df), keys[df > HOT]))
+    held = rows.sparkSession.sparkContext.broadcast(((keys, df), keys[df > HOT]))
     blocks = shared(rows.select("text").mapInArrow(trimmed(_candidate_blocks(held, shares(rows))), "owner int, keys binary, counts binary, places binary, sets binary, sizes binary"))
     few = blocks.where("owner >= 0").groupBy("owner").applyInPandas(_groups, "block long, s1 long, n long")
     hot = blocks.where("owner < 0").mapInArrow(trimmed(_hot_rows), "block long, s1 long, n long")
-    groups = shared(few.union(hot).distinct())
-    placed = placements(shared(sieved(groups, signed)))
+    return shared(few.union(hot).distinct())
+
+
+def confirmed(rows: DataFrame, signed: DataFrame, sets: DataFrame, groups: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Spanning links (a, b) between the nodes of distinct sets that share a group, each by the whole sets; may repeat."""
+    placed = placements(shared(sieved(groups, signed, percent)))
     # equal rows share a key, so a set's blocks may come twice; they are made distinct where they meet
     asked = shared(sets.join(placed, "s1").select("s1", "node", "row", "blocks"))
     wanted, _ = split_by(rows, F.xxhash64("row"), bloom(asked.select(F.xxhash64("row"))))
     fetched = asked.join(wanted, "row").select("s1", "node", "blocks", "text")
-    tokens = fetched.mapInArrow(trimmed(_tokens), "block long, node long, tokens array<bigint>")
-    return tokens.repartition(shares(rows), "block").sortWithinPartitions("block").mapInArrow(trimmed(_verify), "a long, b long").distinct()
+    tokens = fetched.mapInArrow(trimmed(_tokens(words)), "block long, node long, tokens array<bigint>")
+    return tokens.repartition(shares(rows), "block").sortWithinPartitions("block").mapInArrow(trimmed(_verify(percent)), "a long, b long").distinct()
+
+
+def links(docs: DataFrame, signed: DataFrame, sets: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Spanning links (a, b) between the nodes of distinct sets; may repeat."""
+    rows = text_rows(docs, id_col, text)
+    return confirmed(rows, signed, sets, candidates(rows))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -548,15 +570,20 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
 
 
-def members(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, row key, n, and the least doc_id of its component, null where none has an id."""
-    signed = shared(signatures(docs, id_col, text))
-    sets = distinct_sets(signed)
-    found = components(links(docs, signed, sets, id_col, text))
+def grouped(signed: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """One row per signed row: doc_id, row key, n, and the least doc_id of its component, null where none has an id."""
+    found = components(found)
     named = shared(sets.join(found, sets["node"] == found["id"], "left").select("s1", "s2", "rep", F.coalesce("component", "node").alias("component")))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "component").select("s1", "s2", "component", "component_id")
-    return signed.drop("bits").join(named, ["s1", "s2"], "left")
+    return signed.select("doc_id", "row", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
+
+
+def members(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with their components; see ``grouped``."""
+    signed = shared(signatures(docs, id_col, text))
+    sets = distinct_sets(signed)
+    return grouped(signed, sets, links(docs, signed, sets, id_col, text))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -85,6 +85,12 @@ def op10_html_extraction(spark: SparkSession, base: str) -> DataFrame:
     return html_extract.main_text(spark.read.parquet(f"{base.rstrip('/')}/pages.parquet"))
 
 
+def op11_minhash_dedup(spark: SparkSession, base: str) -> DataFrame:
+    from docloom.llm import minhash_dedup
+
+    return minhash_dedup.classes(documents(spark, base))
+
+
 def op13_merkle_manifest(spark: SparkSession, base: str) -> DataFrame:
     from docloom.llm import merkle_manifest as merkle
     from docloom.llm.common import remainder
@@ -106,6 +112,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
+    "op11_minhash_dedup": op11_minhash_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
