@@ -91,6 +91,12 @@ def op11_minhash_dedup(spark: SparkSession, base: str) -> DataFrame:
     return minhash_dedup.classes(documents(spark, base))
 
 
+def op12_token_alignment(spark: SparkSession, base: str, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    from docloom.llm import token_alignment
+
+    return token_alignment.align(documents(spark, base), a_path or tokenizer("byte_bpe_50k.json"), b_path or tokenizer("piece_bpe_32k.model"))
+
+
 def op13_merkle_manifest(spark: SparkSession, base: str) -> DataFrame:
     from docloom.llm import merkle_manifest as merkle
     from docloom.llm.common import remainder
@@ -113,6 +119,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
     "op11_minhash_dedup": op11_minhash_dedup,
+    "op12_token_alignment": op12_token_alignment,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 

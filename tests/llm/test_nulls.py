@@ -3,7 +3,7 @@
 import public_tokenizers
 import pytest
 
-from docloom.llm import exact_dedup, html_extract, language_id, lm_scoring, ngram_join, packing, piece_encoding, quality_rules, secret_scan, token_counts
+from docloom.llm import exact_dedup, html_extract, language_id, lm_scoring, merkle_manifest, minhash_dedup, ngram_join, packing, piece_encoding, quality_rules, secret_scan, token_alignment, token_counts
 
 ROWS = [
     (None, None, None, None, "x"),
@@ -13,8 +13,9 @@ ROWS = [
     (2, "token = abcdef123456 hallo welt", None, None, None),
     (3, "", "de", "s", "x"),
 ]
+FIELDS = ("doc_id", "source", "lang", "kept", "text")
 SCHEMA = "doc_id long, text string, lang string, source string, kept string"
-WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+WORDS, PIECES, BYTES = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.json"))
 
 OPERATORS = {
     "lm_scoring": lambda d: lm_scoring.score(lm_scoring.folds(d), *lm_scoring.train(lm_scoring.folds(d).where("train"))),
@@ -28,6 +29,9 @@ OPERATORS = {
     "redact_documents": lambda d: secret_scan.redact_documents(d, secret_scan.train(d)),
     "token_counts": lambda d: token_counts.token_counts(d, PIECES),
     "quality_rules": quality_rules.apply_rules,
+    "minhash_dedup": minhash_dedup.classes,
+    "token_alignment": lambda d: token_alignment.align(d, BYTES, PIECES),
+    "merkle_manifest": lambda d: merkle_manifest.prove(d, fields=FIELDS),
     "html_extract": lambda d: html_extract.main_text(d, "doc_id", "lang", "text"),
 }
 
