@@ -3,37 +3,85 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 
 
-def _start(lines, anchors, floor: int, centre: int, radius: int) -> int:
+def containments(texts: list[str], anchors: list[str]) -> dict[str, set[str]]:
+    """For each anchor the texts that hold it or that it holds.
+
+    One automaton of the anchors is walked once over each text, and one of the texts
+    over each anchor, so the work follows the characters and the matches, not texts times anchors.
+    """
+    import ahocorasick
+
+    def automaton(words):
+        out = ahocorasick.Automaton()
+        for w in words:
+            out.add_word(w, w)
+        out.make_automaton()
+        return out
+
+    found: dict[str, set[str]] = {a: set() for a in anchors}
+    if texts and anchors:
+        holds = automaton(found)
+        for t in texts:
+            for _, a in holds.iter(t):
+                found[a].add(t)
+        held = automaton(texts)
+        for a in found:
+            found[a].update(t for _, t in held.iter(a))
+    return found
+
+
+def _scores(anchors: list[str], found: dict[str, set[str]]) -> Counter:
+    """How many of a page's anchors match each text."""
+    out: Counter = Counter()
+    for a in anchors:
+        out.update(dict.fromkeys(found[a], 1))
+    return out
+
+
+def _start(lines, score: Counter, floor: int, centre: int, radius: int) -> int:
     """The line that most anchors match, within the radius and not above the floor."""
     best = (0, 0, centre)
     for k in range(max(floor, centre - radius), min(len(lines), max(floor + 1, centre + radius))):
-        line = lines[k]
-        score = sum(a in line or line in a for a in anchors) if line else 0
-        if score:
-            best = min(best, (-score, abs(k - centre), k))
+        if s := score.get(lines[k]):
+            best = min(best, (-s, abs(k - centre), k))
     return best[2]
 
 
-def _align(lines: list, anchors_by_page: list) -> list[tuple[int, int]]:
-    """Forward-only anchors of a document's pages, then the lines up to the next anchor."""
-    pages = len(anchors_by_page)
-    n, floor, starts = len(lines), 0, []
+class Shape(NamedTuple):
+    """How wide a document's pages are searched and cut."""
+
+    radius: int
+    longest: int
+    least: int
+    backfill: int
+
+
+def shape(n: int, pages: int) -> Shape:
     per_page = max(1.0, n / pages)
-    radius = max(40, min(n, int(per_page * 2.2)))
     window = max(15, min(160, int(per_page * 1.5)))
     longest = max(20, min(window, int(per_page * 2.0)))
-    least = max(8, min(longest, int(per_page * 0.45)))
+    return Shape(max(40, min(n, int(per_page * 2.2))), longest, max(8, min(longest, int(per_page * 0.45))), max(3, min(24, int(per_page * 0.25))))
+
+
+def _align(lines: list[str], anchors_by_page: list[list[str]]) -> list[tuple[int, int]]:
+    """Forward-only anchors of a document's pages, then the lines up to the next anchor."""
+    pages = len(anchors_by_page)
+    n, floor, starts = len(lines), 0, []
+    form = shape(n, pages)
+    found = containments(list({x for x in lines if x}), list({a for own in anchors_by_page for a in own}))
     for k, anchors in enumerate(anchors_by_page, 1):
         centre = max(floor, min(int((k - 0.5) * n / pages), n - 1))
-        at = min(max(floor, _start(lines, list(anchors), floor, centre, radius)), n - 1)
+        at = min(max(floor, _start(lines, _scores(anchors, found), floor, centre, form.radius)), n - 1)
         if starts and at <= starts[-1]:
             at = min(n - 1, starts[-1] + 1)
         starts.append(at)
@@ -41,34 +89,84 @@ def _align(lines: list, anchors_by_page: list) -> list[tuple[int, int]]:
     ends = []
     for k, at in enumerate(starts):
         if k + 1 < pages:
-            after = starts[k + 1] if starts[k + 1] > at else min(n, at + least)
-            ends.append(min(after, at + longest))
+            after = starts[k + 1] if starts[k + 1] > at else min(n, at + form.least)
+            ends.append(min(after, at + form.longest))
         else:
             ends.append(n)
     return list(zip(starts, ends, strict=True))
 
 
+def _sections(raw: list[str], spans: list[tuple[int, int]], numbers: list[int]) -> list[str]:
+    """The text of each page's span; where it is blank or came before, the page's share of the document by position."""
+    n, pages, seen, out = len(raw), len(spans), set(), []
+    back, size = shape(n, pages).backfill, max(40, n // pages)
+    cut = lambda a, z: "\n".join(raw[a:z]).strip()
+    for (start, end), number in zip(spans, numbers, strict=True):
+        at = max(0, min((number - 1) * size, max(0, n - size)))
+        share = cut(at, at + size)
+        own = cut(start, end) or cut(max(0, start - back), end) or share
+        own = share if own in seen and share else own
+        seen.add(own)
+        out.append(own)
+    return out
+
+
 def _spans(batches):
-    """Rows (doc_id, lines, pages): one row for each page of each document."""
+    """Rows (doc_id, raw, lines, pages): one row for each page of each document."""
     for pdf in batches:
         rows = []
-        for doc_id, lines, pages in pdf.itertuples(index=False):
-            spans = _align(list(lines), [p["anchors"] for p in pages])
-            rows += [(doc_id, p["page_number"], a, b) for p, (a, b) in zip(pages, spans, strict=True)]
-        yield pd.DataFrame(rows, columns=["doc_id", "page_number", "start_line", "end_line"])
+        for doc_id, raw, lines, pages in pdf.itertuples(index=False):
+            spans, numbers = _align(list(lines), [list(p["anchors"]) for p in pages]), [p["page_number"] for p in pages]
+            sections = _sections(list(raw), spans, numbers)
+            rows += [(doc_id, number, *span, text) for number, span, text in zip(numbers, spans, sections, strict=True)]
+        yield pd.DataFrame(rows, columns=["doc_id", "page_number", "start_line", "end_line", "section"])
 
 
-def page_spans(docs: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(doc_id, page_number, start_line, end_line) of each page's text in its document's markdown.
+def page_anchors(preview: Column) -> Column:
+    """Lines of a page's preview in matching form that are long enough to find their place by."""
+    lines = F.transform(F.split(F.coalesce(preview, F.lit("")), "\n"), T.match_form)
+    return F.filter(lines, lambda a: (F.length(a) >= 18) | (F.size(F.split(a, " ")) >= 3))
+
+
+def _with_pages(docs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """doc_id, raw and matching lines of each document with its pages' anchors, one row a document."""
+    raw = F.split("markdown", "\n")
+    pages = evidence.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", page_anchors(F.col("text_preview")).alias("anchors")))).alias("pages"))
+    return docs.where("markdown is not null").select("doc_id", raw.alias("raw"), F.transform(raw, T.match_form).alias("lines")).join(pages, "doc_id")
+
+
+def page_sections(docs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(doc_id, page_number, start_line, end_line, section): each page's part of its document's markdown.
 
     ``docs`` has doc_id and markdown, ``evidence`` doc_id, page_number and text_preview.
     Normal forms and anchors are columns. Anchors are gathered by document first, so each
-    document's lines are joined once and walked in their own row.
+    document's lines are joined once and walked in their own row; a document without text
+    or without pages has no rows. Equal sections of one document do not repeat where the
+    page's share by position can stand in.
     """
-    lines = F.transform(F.split("markdown", "\n"), T.match_form)
-    anchors = F.filter(F.transform(F.split(F.coalesce("text_preview", F.lit("")), "\n"), T.match_form), lambda a: (F.length(a) >= 18) | (F.size(F.split(a, " ")) >= 3))
-    pages = evidence.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", anchors.alias("anchors")))).alias("pages"))
-    return docs.select("doc_id", lines.alias("lines")).join(pages, "doc_id").mapInPandas(_spans, "doc_id long, page_number int, start_line int, end_line int")
+    return _with_pages(docs, evidence).mapInPandas(_spans, "doc_id long, page_number int, start_line int, end_line int, section string")
+
+
+def page_spans(docs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(doc_id, page_number, start_line, end_line) of ``page_sections``."""
+    return page_sections(docs, evidence).drop("section")
+
+
+def _line_scores(batches):
+    for pdf in batches:
+        rows = []
+        for doc_id, lines, pages in pdf.itertuples(index=False):
+            own = [list(p["anchors"]) for p in pages]
+            found = containments(list({x for x in lines if x}), list({a for anchors in own for a in anchors}))
+            for page, anchors in zip(pages, own, strict=True):
+                score = _scores(anchors, found)
+                rows += [(doc_id, page["page_number"], k, score[x]) for k, x in enumerate(lines) if x in score]
+        yield pd.DataFrame(rows, columns=["doc_id", "page_number", "line", "score"])
+
+
+def anchor_scores(docs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(doc_id, page_number, line, score): how many anchors of each page a line of its document holds or is held in, where any does."""
+    return _with_pages(docs, evidence).drop("raw").mapInPandas(_line_scores, "doc_id long, page_number int, line int, score int")
 
 
 def joined_headings(text: str) -> str:

@@ -99,17 +99,6 @@ def str18_table_cells(spark, base):
     return M.table_rows(markdown(spark, base), "doc_id", "markdown").select("doc_id", "line_no", F.array_join("cells", ";").alias("cells"))
 
 
-@register("win6_win7_dom5_page_alignment", None)
-def win6_win7_dom5_page_alignment(spark, base):
-    """Each document's text cut in three pages by previews of its own lines."""
-    d = table(spark, base, "documents").select("doc_id", F.col("text").alias("markdown"))
-    n = F.size(F.split("markdown", "\n"))
-    pages = d.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page_number"), n.alias("n"), "markdown")
-    at = F.floor((F.col("page_number") - 1) * F.col("n") / 3).cast("int") + 1
-    evidence = pages.select("doc_id", "page_number", F.array_join(F.slice(F.split("markdown", "\n"), at, 2), "\n").alias("text_preview"))
-    return A.page_spans(d, evidence)
-
-
 @register("win13_joined_headings", None)
 def win13_joined_headings(spark, base):
     d = table(spark, base, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 < 2, F.concat(F.lit("## "), x)).when(i % 4 == 2, "").otherwise(x)), "\n").alias("markdown"))

@@ -25,7 +25,7 @@ def register(name: str, oracle: str | None = None):
     return put
 
 
-_MODULES = ("retrieval_plans", "relational_plans", "text_plans", "matrix_plans", "stream_plans", "chunk_plans", "review_plans")
+_MODULES = ("retrieval_plans", "relational_plans", "text_plans", "matrix_plans", "stream_plans", "chunk_plans", "review_plans", "page_plans")
 
 
 def _load() -> None:
