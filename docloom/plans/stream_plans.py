@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 
 from docloom.plans.registry import register
 from docloom.sources.tables import table
-from docloom.streaming import jobs
+from docloom.streaming import jobs, stateful
 
 
-def _stream(spark, base, name):
-    path = f"{base.rstrip('/')}/{name}.parquet"
-    # a table may be one file or a folder; the source wants a folder, so the file is named by a glob
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{base.rstrip('/')}/{name}.parq*")
+def _stream(spark, base, name, order="ts"):
+    """A table as a stream of four batches, so that state is carried from one to the next."""
+    return jobs.in_batches(table(spark, base, name), order, _name())
 
 
 def _name():
@@ -86,3 +85,47 @@ def stm9_subscription(spark, base):
     """What a subscriber gets: the snapshot of the history, then the live rows after it; none where the job is finished."""
     e = table(spark, base, "events").select("user_id", "event_id", (F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")).alias("past"))
     return jobs.subscription(e.where("past"), e.where("not past"), e.where("user_id % 10 = 0").select("user_id").distinct(), "user_id", "event_id").select("user_id", "event_id", "origin")
+
+
+_JOBS = """e AS (SELECT user_id AS job_id, event_id, ts, CASE WHEN event_type = 'error' AND event_id % 50 = 0 THEN 'error' WHEN event_type = 'signup' AND event_id % 20 = 0 THEN 'exit' ELSE 'progress' END AS ev,
+    event_id % 3 AS code, event_type FROM events)"""
+
+
+def _job_events(spark, base):
+    kind = F.when((F.col("event_type") == "error") & (F.col("event_id") % 50 == 0), "error").when((F.col("event_type") == "signup") & (F.col("event_id") % 20 == 0), "exit").otherwise("progress")
+    return table(spark, base, "events").select(
+        F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), "ts", kind.alias("event"), (F.col("event_id") % 3).alias("exit_code"), F.col("event_type").alias("message")
+    )
+
+
+@register("stm8_flt16_job_ends", f"""
+  WITH {_JOBS}, g AS (SELECT *, lag(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS before, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS after FROM e),
+  m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events),
+  found AS (
+    SELECT job_id, event_id, 0 AS o, 'timeout' AS outcome, NULL AS message, before + INTERVAL 2 DAY AS at_time FROM g WHERE ts > before + INTERVAL 2 DAY
+    UNION ALL SELECT job_id, event_id, 1, CASE WHEN ev = 'error' THEN 'monitor_error' WHEN code = 0 THEN 'complete' ELSE 'failed' END, event_type, ts FROM g WHERE ev <> 'progress'
+    UNION ALL SELECT job_id, event_id, 2, 'timeout', NULL, ts + INTERVAL 2 DAY FROM g, m WHERE after IS NULL AND ts + INTERVAL 2 DAY < mark)
+  SELECT job_id, outcome, message, at_time AS ended_at FROM found QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY event_id, o) = 1""")
+def stm8_flt16_job_ends(spark, base):
+    """Jobs that exit, fail, or fall silent for two days: timers of event time over four batches."""
+    name = _name()
+    stream = stateful.job_ends(jobs.in_batches(_job_events(spark, base), "ts", name), 2 * 86_400)
+    return jobs.run_to_end(stream, name, "append").select("job_id", "outcome", "message", F.col("at").cast("timestamp_ntz").alias("ended_at"))
+
+
+@register("stm9_stm1_replay_then_live", """
+  WITH e AS (SELECT user_id AS key, event_id AS seq, event_type AS event, event_type = 'error' AND event_id % 50 = 0 AS terminal, ts FROM events),
+  stop AS (SELECT key, min(seq) FILTER (terminal) AS stop, min(seq) FILTER (terminal AND ts < TIMESTAMP '2024-01-15') AS past_stop, max(seq) FILTER (ts < TIMESTAMP '2024-01-15') AS seen FROM e GROUP BY 1),
+  k AS (SELECT * FROM e JOIN stop USING (key) WHERE stop IS NULL OR seq <= stop),
+  s AS (SELECT key, seq, event FROM k WHERE ts < TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) <= 20)
+  SELECT key, seq, event, 'snapshot' AS origin FROM s UNION ALL
+  SELECT key, seq, event, 'live' FROM k WHERE past_stop IS NULL AND (seen IS NULL OR seq > seen)""")
+def stm9_stm1_replay_then_live(spark, base):
+    """A snapshot of the past, then four live batches that begin a day before the snapshot ends; finished keys stay silent."""
+    terminal = (F.col("event_type") == "error") & (F.col("event_id") % 50 == 0)
+    e = table(spark, base, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("event"), terminal.alias("terminal"), "ts")
+    day = lambda d: F.lit(f"2024-01-{d}").cast("timestamp_ntz")
+    past, name = e.where(F.col("ts") < day(15)).drop("ts"), _name()
+    live = jobs.run_to_end(stateful.live_after(past, jobs.in_batches(e.where(F.col("ts") >= day(14)), "ts", name)), name, "append")
+    shown = stateful.snapshot(past).select("key", "seq", "event")
+    return shown.withColumn("origin", F.lit("snapshot")).unionByName(live.withColumn("origin", F.lit("live")))

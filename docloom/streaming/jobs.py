@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom.sources.shared import shared_folder
 
+_PROVIDER, _ROCKS_DB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HISTORY = 20
 TERMINAL = ("complete", "error")
 PREFIX = "PIPELINE_EVENT "
@@ -27,6 +28,18 @@ def read(spark: SparkSession, folder: str, schema: str, files: int = 1) -> DataF
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
+def in_batches(rows: DataFrame, order: str, name: str, batches: int = 4) -> DataFrame:
+    """``rows`` as a stream of several batches, each a range of ``order``; the ranges are written one after another."""
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark)}/{name}_in"
+    cut = rows.select(F.col(order).cast("timestamp").cast("double").alias("t")).selectExpr(f"percentile_approx(t, array({', '.join(str(k / batches) for k in range(1, batches))})) AS p").first()["p"] or []
+    at = F.col(order).cast("timestamp").cast("double")
+    for k, (low, high) in enumerate(zip([None, *cut], [*cut, None], strict=True)):
+        part = rows.where((F.lit(True) if low is None else at >= low) & (F.lit(True) if high is None else at < high))
+        part.repartition(1).write.mode("overwrite").parquet(f"{folder}/batch={k}")
+    return read(spark, f"{folder}/batch=*", rows.schema)
+
+
 def _history(size: int):
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         """The newest events of a key after each batch; nothing passes a terminal event."""
@@ -94,26 +107,6 @@ def windowed_counts(events: DataFrame, time: str, kind: str, width: str = "1 day
     return stamped.groupBy(F.window("_t", width), kind).agg(F.count(F.lit(1)).alias("n"))
 
 
-def snapshot_batches(folder: str, compute):
-    """A foreachBatch body: keeps all events in ``folder`` and recomputes the touched answers' snapshots."""
-
-    def body(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/events/batch={batch_id}")
-        past = spark.read.option("basePath", f"{folder}/events").parquet(f"{folder}/events/batch=*")
-        touched = batch.select("answer_id").distinct()
-        compute(past.drop("batch").join(touched, "answer_id", "left_semi")).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/snapshots/version={batch_id}")
-
-    return body
-
-
-def latest_snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    """Each answer's newest snapshot."""
-    rows = spark.read.option("basePath", f"{folder}/snapshots").parquet(f"{folder}/snapshots/version=*")
-    newest = rows.groupBy("answer_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "answer_id"]), "version").alias("s"))
-    return newest.select("answer_id", "s.*").drop("batch", "version")
-
-
 def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """Drive a stream over what is there now into Parquet files in the shared folder, and read them.
 
@@ -122,12 +115,18 @@ def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """
     spark = stream.sparkSession
     folder = f"{shared_folder(spark)}/{name}"
+    before = spark.conf.get(_PROVIDER)
 
     def body(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
 
     spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/rows/batch=-1")
-    stream.writeStream.outputMode(mode).foreachBatch(body).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").start().awaitTermination()
+    spark.conf.set(_PROVIDER, _ROCKS_DB)  # timers and initial state need it
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(body).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").start()
+    finally:
+        spark.conf.set(_PROVIDER, before)
+    query.awaitTermination()
     rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
     if mode == "complete":
         last = rows.agg(F.max("batch")).first()[0]

@@ -223,14 +223,13 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert 1 <= out.count() < 4
 
 
-def test_snapshot_batches(spark, tmp_path):
-    src, folder = str(tmp_path / "src"), str(tmp_path / "out")
-    rows = [(1, "a", "down", "2024-01-01"), (2, "a", "down", "2024-01-02"), (3, "b", "up", "2024-01-03"), (4, "a", "up", "2024-01-04")]
-    schema = "id int, answer_id string, sentiment string, created_at string"
-    for r in rows:
-        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(src)
-    body = jobs.snapshot_batches(folder, FB.snapshots)
-    jobs.read(spark, src, schema).writeStream.foreachBatch(body).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
-    got = {r.answer_id: (r.feedback_count, r.negative_streak) for r in jobs.latest_snapshots(spark, folder).collect()}
-    want = {r.answer_id: (r.feedback_count, r.negative_streak) for r in FB.snapshots(spark.createDataFrame(rows, schema)).collect()}
-    assert got == want
+def test_snapshots_in_batches(spark, tmp_path):
+    """A streak that starts in one batch goes on in the next."""
+    rows = [(1, 1, "down", "2024-01-01"), (2, 1, "down", "2024-01-02"), (3, 2, "up", "2024-01-03"), (4, 1, "up", "2024-01-04"), (5, 1, "down", "2024-01-05")]
+    schema = "id long, answer_id long, sentiment string, created_at string"
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], schema).coalesce(1).write.parquet(str(tmp_path / f"src/b={k}"))
+    out = jobs.run_to_end(jobs.feedback_snapshots(jobs.read(spark, str(tmp_path / "src/b=*"), schema)), "snapshots_in_batches", "update")
+    newest = out.groupBy("answer_id").agg(F.max_by("negative_streak", "feedback_count").alias("s"), F.max("feedback_count").alias("n")).collect()
+    want = {str(r.answer_id): (r.feedback_count, r.negative_streak) for r in FB.snapshots(spark.createDataFrame(rows, schema)).collect()}
+    assert {str(r.answer_id): (r.n, r.s) for r in newest} == want == {"1": (4, 1), "2": (1, 0)}
