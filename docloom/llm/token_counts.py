@@ -34,8 +34,8 @@ from docloom.llm.common import SPACE_CLASS, shared
 from docloom.llm.packing import slices
 
 MARK = "▁"
-#: Nodes a worker's trie may have before it starts anew.
-NODES = 2_000_000
+#: Nodes, and distinct words, that a worker's trie may have before it starts anew (some 150 bytes each).
+NODES, ENDS = 600_000, 300_000
 #: Rounds of the fit, and what is added to each piece's count.
 ROUNDS, ADD = 2, 0.5
 
@@ -56,12 +56,14 @@ class ForwardTrie:
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        #: Scores of the pieces, and None for what is only the end of some piece: a search from the right stops beyond these.
+        self.tails: dict[str, float | None] = {p[k:]: None for p in scores for k in range(1, len(p))} | scores
         self.unknown = min(scores.values(), default=0.0) - 10
         self.clear()
 
     def clear(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
+        #: Node below a node by a character: one table for all, by node * 2**21 + character.
+        self.below: dict[int, int] = {}
         self.best, self.pieces, self.cut = [0.0], [0], [0]
         self.ends: dict[bytes, int] = {}
         self.end_pieces: list[int] = []
@@ -69,36 +71,34 @@ class ForwardTrie:
 
     def _grow(self, text: str, depth: int, path: list[int]) -> int:
         """A node for ``text[:depth]``; ``path`` holds the nodes of its prefixes."""
+        best, pieces, tails, c = self.best, self.pieces, self.tails, text[depth - 1]
         top, count, cut = -math.inf, 0, depth - 1
-        best, pieces, scores = self.best, self.pieces, self.scores
-        for start in range(max(0, depth - self.longest), depth):
-            s = scores.get(text[start:depth])
+        if c not in self.scores:
+            n = len(c.encode("utf-8", "surrogatepass"))
+            top, count = self.unknown * n + best[path[cut]], n + pieces[path[cut]]
+        for start in range(depth - 1, -1, -1):
+            s = tails.get(text[start:depth], 1.0)  # no logarithm of a share is above 0
             if s is None:
-                if start < depth - 1 or text[start] in scores:
-                    continue
-                n = len(text[start].encode("utf-8", "surrogatepass"))
-                s = self.unknown * n
-            else:
-                n = 1
+                continue
+            if s > 0:
+                break
             s += best[path[start]]
-            n += pieces[path[start]]
-            if s > top or s == top and n < count:
+            n = 1 + pieces[path[start]]
+            if s > top or s == top and n <= count:
                 top, count, cut = s, n, start
         best.append(top)
         pieces.append(count)
         self.cut.append(cut)
-        self.children.append({})
         return len(best) - 1
 
     def _walk(self, text: str) -> list[int]:
         """The nodes of all prefixes of ``text``, grown where they are new."""
         node, path = 0, [0]
         for depth, c in enumerate(text, 1):
-            below = self.children[node].get(c)
-            if below is None:
-                below = self._grow(text, depth, path)
-                self.children[node][c] = below
-            node = below
+            key = node << 21 | ord(c)
+            node = self.below.get(key)
+            if node is None:
+                node = self.below[key] = self._grow(text, depth, path)
             path.append(node)
         return path
 
@@ -125,7 +125,7 @@ class ForwardTrie:
             own = t.split()
             sizes[k] = len(own)
             words += own
-        if len(self.best) > NODES:
+        if len(self.best) > NODES or len(self.ends) > ENDS:
             self.clear()
         place = np.fromiter(map(self.ends.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(place < 0).tolist()
