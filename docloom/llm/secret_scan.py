@@ -3,10 +3,11 @@
 The base patterns are matched as stated in ``BASE``. Their matches in the corpus, with
 a few public credential formats, are the labelled credentials: for each format a
 prefix tree is built and its statistically compatible states are merged (ALERGIA, with
-Hoeffding's bound) into a probabilistic automaton. Every run of at
-least ``LEAST`` token characters is then scored by its likelihood under each automaton
-against a background of ordinary text, and becomes a ``format`` span above a threshold,
-unless a base span holds it whole.
+Hoeffding's bound) into a probabilistic automaton. Every run of at least ``LEAST`` token
+characters - the shortest value that a base pattern takes - is then scored by its likelihood under each automaton
+against a background of ordinary text. It becomes a ``format`` span where the evidence
+exceeds ``THRESHOLD`` bits a character and, as secrets are rare among words, ``PRIOR`` bits in all,
+unless a base span holds it whole. A worker remembers the verdicts on recent candidates.
 
 Scanning is one pass in Arrow batches: RE2 finds the texts that can hold a match at
 all, and only those are searched, one at a time; a batch of long texts needs no memory
@@ -46,7 +47,9 @@ BASE = (
 #: Bound on the labelled values a kind from which automata are fitted.
 SAMPLE = 500
 ALPHA, THRESHOLD = 0.02, 1.0
-LEAST = 16
+LEAST, PRIOR = 6, 24.0
+#: Verdicts that a worker remembers before it starts anew.
+KNOWN = 50_000
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}+")
 #: What a text with a base match, and one with a candidate, holds (RE2).
 _ANY_BASE = r"(?i:(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6})|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
@@ -152,11 +155,11 @@ class Automaton:
         self.states = len(red)
 
     def score(self, value: str) -> float:
-        """log2 probability of ``value``; symbols that a state lacks get a small share."""
+        """log2 probability of ``value``; none if a state lacks a symbol."""
         at, total = 0, 0.0
-        for i, (s, c) in enumerate(zip(symbols(value), value, strict=True)):
-            size = 1 if i < LITERAL else _CLASS.get(c, (c, 1))[1]
-            n = self.count[at].get(s, 0) if at is not None else 0
+        for i, c in enumerate(value):
+            s, size = (c, 1) if i < LITERAL else _CLASS.get(c, (c, 1))
+            n = self.count[at].get(s, 0)
             if not n:
                 return -math.inf
             total += math.log2(n / self.total[at] / size)
@@ -184,17 +187,38 @@ def fit(labelled: dict[str, list[str]], alpha: float = ALPHA) -> dict[str, Autom
 
 
 def likely(automata: dict[str, Automaton], value: str) -> bool:
-    """Whether some format explains ``value`` better than ordinary text, by THRESHOLD bits a character."""
-    best = max((a.score(value) for a in automata.values()), default=-math.inf)
-    return best - background(value) > THRESHOLD * len(value)
+    """Whether some format explains ``value`` better than ordinary text, by THRESHOLD bits a character and PRIOR in all."""
+    # every other automaton has no path for the first character
+    best = max((a.score(value) for a in automata.values() if value[0] in a.next[0]), default=-math.inf)
+    return best > -math.inf and best - background(value) > max(PRIOR, THRESHOLD * len(value))
 
 
-def spans(text: str, automata: dict[str, Automaton], with_base: bool = True) -> tuple[list, list]:
+class Formats:
+    """The automata, and the verdicts on recent candidates."""
+
+    def __init__(self, automata: dict[str, Automaton]):
+        self.automata, self.known = automata, {}
+
+    def hold(self, values: set[str]) -> set[str]:
+        """Those of ``values`` that some format explains."""
+        if len(self.known) > KNOWN:
+            self.known = {}
+        for v in values.difference(self.known):
+            self.known[v] = likely(self.automata, v)
+        return {v for v in values if self.known[v]}
+
+
+def spans(text: str, formats: Formats, with_base: bool = True) -> tuple[list, list]:
     """Base spans, and all spans; ``with_base`` false where the text is known to have none."""
     base = base_spans(text) if with_base else []
-    more = []
-    for m in _CANDIDATE.finditer(text):
-        if not any(s <= m.start() and m.end() <= e for s, _, e in base) and likely(automata, m.group()):
+    more, k, reach = [], 0, -1
+    held = formats.hold(set(_CANDIDATE.findall(text)))
+    for m in _CANDIDATE.finditer(text) if held else ():
+        # both lists ascend by start, so a base span holds the candidate if the furthest end so far does
+        while k < len(base) and base[k][0] <= m.start():
+            reach = max(reach, base[k][2])
+            k += 1
+        if m.end() > reach and m.group() in held:
             more.append((m.start(), KINDS.index("format"), m.end()))
     return base, sorted(base + more)
 
@@ -241,12 +265,12 @@ def train(docs: DataFrame, text: str = "text") -> dict[str, Automaton]:
     return fit(labelled)
 
 
-def _found(texts: pa.Array, automata: dict[str, Automaton]):
+def _found(texts: pa.Array, formats: Formats):
     """Yields (row, text, base spans, all spans) of the texts that have a span."""
     base, any_ = suspicious(texts)
     for k in np.flatnonzero(any_).tolist():
         text = texts[k].as_py()
-        own, every = spans(text, automata, bool(base[k]))
+        own, every = spans(text, formats, bool(base[k]))
         if every:
             yield k, text, own, every
 
@@ -260,14 +284,14 @@ def _replaced(array: pa.Array, changed: dict[int, object]) -> pa.Array:
 
 def _scan(shared_automata, keep_text: bool):
     def run(batches):
-        automata = shared_automata.value
+        formats = Formats(shared_automata.value)
         empty = hashlib.sha256(b"").hexdigest()
         label = lambda s: ",".join(f"{KINDS[k]}:{a}:{e}" for a, k, e in s)
         for b in batches:
             texts, n = b.column(1), b.num_rows
             counts = np.zeros((3, n), np.int64)
             digest, joined, redacted = [empty] * n, [""] * n, {}
-            for k, text, base, every in _found(texts, automata):
+            for k, text, base, every in _found(texts, formats):
                 for _, kind, _ in base:
                     counts[kind, k] += 1
                 digest[k], joined[k] = hashlib.sha256(label(base).encode()).hexdigest(), label(every)
@@ -300,9 +324,10 @@ def redact_documents(docs: DataFrame, automata: dict[str, Automaton], text: str
     at, names = docs.columns.index(text), docs.columns
 
     def run(batches):
+        formats = Formats(held.value)
         for b in batches:
             texts = b.column(at)
-            changed = {k: redact(value, every) for k, value, _, every in _found(texts, held.value)}
+            changed = {k: redact(value, every) for k, value, _, every in _found(texts, formats)}
             if changed:
                 b = b.set_column(at, text, _replaced(texts, changed))
                 if length in names:

@@ -83,3 +83,39 @@ def test_a_batch_of_long_texts_takes_little_memory():
     assert tracemalloc.get_traced_memory()[1] < 10 << 20 and pa.total_allocated_bytes() - before < 10 << 20
     tracemalloc.stop()
     assert sum(out.column("n_assign").to_pylist()) == 100
+
+
+@pytest.mark.parametrize("line", ["token=aB3dE5fG7hI9jK1l 0123456789abcdef01234567\n", "0123456789abcdef01234567\n", "ghp_aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW3xY5 "])
+def test_megabytes_of_secrets_take_seconds(line):
+    """Base spans and candidates are merged by one pass over both."""
+    import time
+
+    formats = secret_scan.Formats(secret_scan.fit(secret_scan.public_formats()))
+    text = line * (4_000_000 // len(line))
+    began = time.perf_counter()
+    base, every = secret_scan.spans(text, formats)
+    assert time.perf_counter() - began < 20 and len(every) >= text.count(line.strip()) and set(base) <= set(every)
+
+
+def test_candidates_in_base_spans_equal_plain_loops():
+    import random
+
+    rng, formats = random.Random(4), secret_scan.Formats(secret_scan.fit(secret_scan.public_formats()))
+    parts = ["token=", "f" * 30, "ghp_aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW3xY5", " ", "secret: ", "AKIA" + "A1B2C3D4E5F6G7H8", "word", ",", "-"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 20)))
+        base, every = secret_scan.spans(text, formats)
+        plain = [(m.start(), 3, m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{6,}", text) if not any(s <= m.start() and m.end() <= e for s, _, e in base) and secret_scan.likely(formats.automata, m.group())]
+        assert every == sorted(base + plain)
+
+
+def test_short_values_are_learned_and_scored():
+    """A format of ten characters, seen as labelled values, is found without its key; words and numbers are not."""
+    import random
+
+    rng = random.Random(1)
+    value = lambda: "Q7" + "".join(rng.choice("0123456789XYZ") for _ in range(8))
+    formats = secret_scan.Formats(secret_scan.fit({"corpus_assign": [value() for _ in range(300)]}))
+    found = [secret_scan.spans(f"see {value()} here", formats)[1] for _ in range(100)]
+    assert sum(f == [(4, 3, 14)] for f in found) > 95
+    assert secret_scan.spans("Quality internationalization 20240105 2024-01-05 Question ABCDEFGHIJ 1234567890", formats)[1] == []
