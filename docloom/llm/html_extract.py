@@ -5,16 +5,22 @@ an object: (host, branch, style) for the child sequences of each element, and (h
 branch, text) for the texts, each with its number of pages; pages of a host with the
 same content count once, so copies do not make a text common.
 
-Every branch of every page is scored by the tree of its host:
+Text elements of one parent (paragraphs, headings, list items, cells) are one branch of
+the tree, its flow: their amounts are no evidence against each other. Every branch of every
+page is scored by the tree of its host:
 
 * content: the informative words it holds, an average over the host's pages. A text's
   words count by 1 - log(n) / log(m) where n of m pages repeat it, which is 1 less the
   normalised entropy of its spread over the pages; branches add up to their ancestors.
 * presentation: the normalised entropy of its styles over the host's pages.
 * importance: content * (1 + presentation). A branch is set against the strongest of
-  its siblings by the logarithm of their ratio, within ``REACH``.
-* What HTML declares - article, navigation, forms, class names of adverts and
-  comments - is a prior in the same logarithmic scale (``PRIORS``), added to that.
+  its siblings by the logarithm of their ratio.
+* template: the logarithm of its informative share of words, 0 where no page repeats another.
+  Within an article - a declared one, or the parent of the host's richest flow - this alone
+  counts, against the share ``REPEATED``, as parts of an article may be short.
+* The sum of both, within ``REACH``, is the evidence. What HTML declares is a prior in the same
+  scale (``PRIORS``) that the evidence can always overrule. Menus, headers, footers, sidebars and
+  forms that only their tags declare have no prior: the tree decides, and their tag breaks ties.
 
 A branch below zero goes with all below it. Apart from that a text goes that too many
 pages of the host repeat, unless it is a text element of a declared article. Small hosts are smoothed as
@@ -35,6 +41,7 @@ of the branch at that depth; an empty table gives no rows; extra columns are ign
 from __future__ import annotations
 
 import html as markup
+import math
 import re
 from collections import defaultdict
 from functools import cache
@@ -68,16 +75,20 @@ KEPT_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figca
 
 #: How far the tree moves a branch, and the priors it starts from (natural logarithms of odds).
 REACH = 5.5
-PRIORS = {"main": 6.0, "text": 6.0, "open": 3.0, "outside": -3.0, "tag": -4.0, "name": -6.0}
-#: Smoothing of small hosts, and the importance below which a repeated text goes.
+PRIORS = {"main": 2.0, "open": 3.0, "outside": 0.0, "tag": 0.0, "name": -4.0}
+#: Smoothing of small hosts, and the importance below which a repeated text goes, and a part of an article without priors.
 PAGES, WORDS, REPEATED = 8, 5.0, 0.3
-DEPTH, LABEL = 32, 40
+DEPTH = 32
+#: The branch of an element's text elements.
+FLOW = "#"
 #: Judgements that may be broadcast, some ten megabytes.
 KNOWN = 100_000
 
 _OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)|<[!?]")
 _STOP = re.compile(r"=\s*([\"'])|>")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+#: A branch under one that its tag or name declares.
+_DECLARED = rf"!|/({'|'.join(sorted(NOISE_TAGS | {'header'}))})(\.[^/]*)?(/|$)"
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)")
 _PLAIN = re.compile(r"[^a-z]+")
 
@@ -147,7 +158,7 @@ def _named(attrs: str) -> tuple[str, bool]:
         words = _PLAIN.split(value)
         noise = noise or (value in NOISE_ROLES if m[1].lower() == "role" else not NOISE_WORDS.isdisjoint(words))
         label += words
-    return "-".join(filter(None, label))[:LABEL], noise
+    return "-".join(filter(None, label)), noise
 
 
 class Page:
@@ -217,8 +228,10 @@ class Page:
                 leaf = tag
                 self.styles.setdefault(path, []).append(tag)
             if depth < DEPTH and (tag in BLOCKS or noise != top.noise):
-                path, depth = f"{path}/{tag}" + f".{label}" * bool(label) + "!" * named, depth + 1
-                self.kinds.setdefault(path, (tag, "" if noise == top.noise else noise, top.main))
+                step = FLOW if tag in KEPT_LEAVES and not named else tag + f".{label}" * bool(label) + "!" * named
+                if step != FLOW or not path.endswith("/" + FLOW):
+                    path, depth = f"{path}/{step}", depth + 1
+                    self.kinds.setdefault(path, (tag, "" if noise == top.noise else noise, top.main and not noise))
             main = top.main or tag in MAIN_TAGS and not noise
             if main and not top.main:
                 self._main.add(path)
@@ -231,18 +244,20 @@ class Page:
         """The prior of each branch: what tags and names declare, before the host's tree is asked."""
         around = {p[:k] for p in self._main for k in range(1, len(p)) if p[k] == "/"} | self._main
         out = {}
-        for path, (tag, noise, inside) in self.kinds.items():
+        for path, (_, noise, inside) in self.kinds.items():
             if noise:
                 kind = noise
             elif path in around:
                 kind = "main"
-            elif self._main and not inside:
-                kind = "outside"
             else:
-                kind = "text" if inside or tag in KEPT_LEAVES or tag in ("html", "body") else "open"
+                kind = "open" if inside or not self._main else "outside"
             out[path] = PRIORS[kind]
         return out
 
+    def inside(self, path: str) -> bool:
+        """Whether a branch lies in a declared article and under nothing declared as noise."""
+        return self.kinds[path][2]
+
 
 def host(url: str | None) -> str:
     m = _HOST.match(url or "")
@@ -256,7 +271,8 @@ def _key(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
 
 
-#: One row for each feature of a page. kind 0: the page, 1: a branch with its style and prior, 2: a text with its words.
+#: One row for each feature of a page. kind 0: the page, 1: a branch with its style, prior and whether it lies in an
+#: article (kept), 2: a text with its words and whether an article keeps it.
 _FEATURES = "page long, host string, same long, path string, kind byte, key long, value double, kept boolean"
 
 
@@ -268,7 +284,7 @@ def _features(batches):
             priors = page.priors()
             same = _key(*(part for x in page.blocks if not x.noise for part in (x.path, x.text)))
             rows.append((page_id, h, same, "", 0, 0, 0.0, True))
-            rows += [(page_id, h, same, p, 1, _key(",".join(page.styles.get(p, ()))), v, True) for p, v in priors.items()]
+            rows += [(page_id, h, same, p, 1, _key(",".join(page.styles.get(p, ()))), v, page.inside(p)) for p, v in priors.items()]
             texts = {(x.path, _key(x.text)): (float(len(x.text.split())), x.kept) for x in page.blocks}
             rows += [(page_id, h, same, p, 2, k, *v) for (p, k), v in texts.items()]
         columns = zip(*rows, strict=True) if rows else ((),) * 8
@@ -298,30 +314,44 @@ def importance(tree: DataFrame) -> DataFrame:
     # everything is summed by branch before it meets the host's number of pages m, so a large host is no large group
     n = F.col("n").cast("double")
     sums = tree.where("kind > 0 and path <> ''").groupBy("host", "path", "kind").agg(
-        F.sum(n).alias("n"), F.sum(n * F.log(n)).alias("nl"), F.sum(n * F.col("value")).alias("nv"), F.sum(n * F.col("value") * F.log(n)).alias("nvl")
+        F.sum(n).alias("n"), F.sum(n * F.log(n)).alias("nl"), F.sum(n * F.col("value")).alias("nv"), F.sum(n * F.col("value") * F.log(n)).alias("nvl"), F.bool_and("kept").alias("kept")
     )
     m, smooth = F.col("m").cast("double"), F.log(F.col("m").cast("double") + PAGES)
     sums = sums.join(size, "host")
-    # words of the texts, each less by how evenly it is spread over the pages, in the mean page
-    texts = sums.where("kind = 2").select("host", "path", ((F.col("nv") - F.col("nvl") / smooth) / m).alias("words"))
+    # words of the texts in the mean page, and these each less by how evenly its text is spread over the pages
+    texts = sums.where("kind = 2").select("host", "path", ((F.col("nv") - F.col("nvl") / smooth) / m).alias("words"), (F.col("nv") / m).alias("total"))
+    # the richest flow's parent stands for an article where none is declared
+    flows = texts.where(F.col("path").endswith("/" + FLOW) & ~F.col("path").contains("!"))
+    richest = flows.groupBy("host").agg(F.max(F.struct("words", "path")).alias("f")).select("host", F.regexp_replace("f.path", FLOW + "$", "").alias("article"))
     steps = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))
-    content = texts.select("host", F.explode(above).alias("path"), "words").groupBy("host", "path").agg(F.sum("words").alias("words"))
+    content = texts.select("host", F.explode(above).alias("path"), "words", "total").groupBy("host", "path").agg(F.sum("words").alias("words"), F.sum("total").alias("total"))
     entropy = (F.col("n") * F.log(m) - F.col("nl")) / m
-    style = sums.where("kind = 1").select("host", "path", F.least(F.lit(1.0), entropy / smooth).alias("presentation"), (F.col("nv") / F.col("n")).alias("prior"))
-    whole = F.coalesce("words", F.lit(0.0)) * (1 + F.col("presentation")) + WORDS
+    style = sums.where("kind = 1").select("host", "path", F.least(F.lit(1.0), entropy / smooth).alias("presentation"), (F.col("nv") / F.col("n")).alias("prior"), "kept")
+    words, total = F.coalesce("words", F.lit(0.0)), F.coalesce("total", F.lit(0.0))
+    whole = words * (1 + F.col("presentation")) + WORDS
     parent = F.array_join(F.slice(steps, F.lit(1), F.size(steps) - 1), "/")
-    branch = style.join(content, ["host", "path"], "left").select("host", "path", parent.alias("parent"), "prior", whole.alias("whole"))
+    under = F.col("path").startswith(F.col("article")) & ~F.col("path").rlike(_DECLARED)
+    inside = F.col("kept") | F.coalesce(under, F.lit(False))
+    branch = style.join(content, ["host", "path"], "left").join(richest, "host", "left")
+    branch = branch.select("host", "path", parent.alias("parent"), "prior", whole.alias("whole"), F.log((words + 1) / (total + 1)).alias("template"), inside.alias("inside"))
     # the strongest sibling: the best of the parent's branches, or the second where the branch is the best itself
     top = branch.groupBy("host", "parent").agg(F.max(F.struct("whole", "path")).alias("best"))
     among = branch.join(top, ["host", "parent"])
     second = among.where("path <> best.path").groupBy("host", "parent").agg(F.max("whole").alias("second"))
     rival = F.when(F.col("path") == F.col("best.path"), F.coalesce("second", F.lit(WORDS))).otherwise(F.col("best.whole"))
-    evidence = F.greatest(F.lit(-REACH), F.least(F.lit(REACH), F.log(F.col("whole") / rival)))
+    beside = F.when(F.col("inside"), -math.log(REPEATED)).otherwise(F.log(F.col("whole") / rival))
+    evidence = F.greatest(F.lit(-REACH), F.least(F.lit(REACH), beside + F.col("template")))
     out = among.join(second, ["host", "parent"], "left").withColumn("evidence", evidence)
     return out.select("host", "path", "prior", "evidence", (F.col("prior") + F.col("evidence")).alias("score"))
 
 
+def low_branches(scored: DataFrame) -> DataFrame:
+    """The branches that go: those below zero, and at zero those that their tag declares."""
+    tag = F.regexp_extract("path", r"([a-z0-9-]+)[^/]*$", 1)
+    return scored.where((F.col("score") < 0) | (F.col("score") == 0) & tag.isin(*NOISE_TAGS, "header")).select("host", "path")
+
+
 def repeated(tree: DataFrame) -> DataFrame:
     """(host, path, key) of the texts that too many pages of their host repeat."""
     size = tree.where("kind = 0").groupBy("host").agg(F.sum("n").alias("m"))
@@ -377,7 +407,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
     """page_id, url, text and n_chars of every page."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
     tree = shared(style_tree(features(rows)))
-    branches = importance(tree).where("score < 0").select("host", "path", F.lit(None).cast("long").alias("key"))
+    branches = low_branches(importance(tree)).withColumn("key", F.lit(None).cast("long"))
     low = shared(branches.unionByName(repeated(tree)))
     if low.count() <= KNOWN:
         known: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
