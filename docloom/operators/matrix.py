@@ -56,6 +56,28 @@ def table_rows(docs: DataFrame, key: str, markdown: str) -> DataFrame:
     return rows.where(~is_separator(F.col("cells")))
 
 
+def stitched_rows(docs: DataFrame, key: str, markdown: str) -> DataFrame:
+    """Pipe rows of markdown with their first line numbers, rows over several lines joined, separators dropped.
+
+    A line that starts like a row and does not end like one opens a row; the next line that
+    ends in a pipe closes it, and all between belongs to it. Such a scan has two states,
+    and each line either sets one of them or changes nothing, so it is a segmented scan in columns: lines
+    after the last closing line form a segment, and the first opening line in it starts the row.
+    ``key`` names one document a row.
+    """
+    line = T.strip(F.col("line"))
+    pipes = F.length("x") - F.length(F.replace("x", F.lit("|")))
+    lines = docs.select(key, F.posexplode(F.split(markdown, "\n")).alias("pos", "line")).select(key, (F.col("pos") + 1).alias("line_no"), line.alias("x"))
+    lines = lines.withColumns({"closes": F.col("x").endswith("|"), "opens": F.col("x").startswith("|") & ~F.col("x").endswith("|") & (pipes >= 2)})
+    segment = F.coalesce(F.sum(F.col("closes").cast("int")).over(W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    lines = lines.withColumn("segment", segment)
+    first = F.min(F.when(F.col("opens"), F.col("line_no"))).over(W.partitionBy(key, "segment"))
+    joined = lines.withColumn("start", F.when(F.col("line_no") >= first, first).otherwise(F.col("line_no"))).where("x <> ''")
+    parts = joined.groupBy(key, "start").agg(F.array_sort(F.collect_list(F.struct("line_no", "x"))).alias("p"), F.count(F.lit(1)).alias("n_lines"))
+    rows = parts.select(key, F.col("start").alias("line_no"), "n_lines", cells_of(F.array_join("p.x", " ")).alias("cells")).where("cells is not null")
+    return rows.where(~is_separator(F.col("cells")))
+
+
 def bounds(rows: DataFrame, key: str) -> DataFrame:
     """Per key the first data line and the least marker column of its first data rows."""
     data = rows.where(is_data_row(F.col("cells")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import tables as B
 from docloom.functions import text as T
+from docloom.functions.labels import substituted
 from docloom.operators.chunks import ensure_citation
 
 # Statuses in which optimized output can be read, and be edited.
@@ -108,12 +109,10 @@ def with_visual_blocks(documents: DataFrame, pages: DataFrame, key: str) -> tupl
 def sanitised(chunks: DataFrame, labels: DataFrame, key: str, internal: str) -> DataFrame:
     """Chunks without internal lines, with ids replaced by labels, and with the output contract's defaults.
 
-    ``labels`` has key and a map of ids to labels; longer ids are replaced first.
+    ``labels`` has key and a map of ids to labels, see ``substituted``.
     """
     kept = F.array_join(F.filter(F.split("content", "\n"), lambda x: ~F.lower(x).rlike(internal)), "\n")
-    ordered = F.array_sort(F.map_entries("labels"), lambda a, b: F.length(b["key"]) - F.length(a["key"]))
-    word = lambda e: F.concat(F.lit(r"\b"), e["key"], F.lit(r"\b"))
-    named = lambda x: F.when(F.col("labels").isNull(), x).otherwise(F.aggregate(ordered, x, lambda t, e: F.regexp_replace(t, word(e), e["value"])))
+    named = lambda x: substituted(x, F.col("labels"))
     out = chunks.join(labels.select(key, "labels"), key, "left")
     contract = F.struct(F.coalesce("primary_source", F.lit("optimization_prep")).alias("primary_source"), F.lit(True).alias("json_first"))
     return out.withColumns({"content": named(kept), "heading": named(F.coalesce("heading", F.lit(""))), "source_type": F.lit("xlsx"), "contract": contract}).drop("labels", "primary_source")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.functions.labels import substituted
 from docloom.operators import alignment as A
+from docloom.operators import matrix as M
 from docloom.plans.registry import register
+from docloom.sources import artifacts as R
 from docloom.sources.tables import table
 
 
@@ -85,3 +88,88 @@ def dom5_page_sections(spark, base):
     """The markdown of each page, without a section that an earlier page has."""
     out = A.page_sections(markdown_lines(spark, base), previews(spark, base))
     return out.select("doc_id", "page_number", F.sha2("section", 256).alias("section_sha256"), F.length("section").alias("n_chars"))
+
+
+def _broken_rows(spark, base):
+    """Every line of a document as a row of a table, in six ways: whole, cut in two or three lines, never closed, a separator, plain."""
+    x_of = lambda x, i: (
+        F.when(i % 6 == 0, F.concat(F.lit("| a | "), x, F.lit(" |"))).when(i % 6 == 1, F.concat(F.lit(" | c | "), x))
+        .when(i % 6 == 2, F.concat(x, F.lit(" | e |"))).when(i % 6 == 3, F.when(F.col("doc_id") % 3 == 0, F.lit("|---|:-:|")).otherwise(F.concat(F.lit("| open | "), x)))
+        .when(i % 6 == 4, F.when(F.col("doc_id") % 2 == 0, F.lit("")).otherwise(x)).otherwise(F.concat(F.lit("end | "), F.lit(" | ")))
+    )
+    return table(spark, base, "documents").where("text is not null").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), x_of), "\n").alias("markdown"))
+
+
+_STRIP = _TRIM.format("line")
+
+
+@register("str18_stitched_rows", f"""
+  WITH l AS (
+    SELECT doc_id, i AS line_no, {_STRIP} AS x FROM (
+      SELECT doc_id, i, CASE (i - 1) % 6 WHEN 0 THEN '| a | ' || x || ' |' WHEN 1 THEN ' | c | ' || x WHEN 2 THEN x || ' | e |'
+          WHEN 3 THEN CASE WHEN doc_id % 3 = 0 THEN '|---|:-:|' ELSE '| open | ' || x END WHEN 4 THEN CASE WHEN doc_id % 2 = 0 THEN '' ELSE x END ELSE 'end |  | ' END AS line
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL))),
+  f AS (SELECT *, suffix(x, '|') AS closes, starts_with(x, '|') AND NOT suffix(x, '|') AND length(x) - length(replace(x, '|', '')) >= 2 AS opens FROM l),
+  g AS (SELECT *, coalesce(sum(CAST(closes AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM f),
+  h AS (SELECT *, min(line_no) FILTER (opens) OVER (PARTITION BY doc_id, seg) AS first FROM g),
+  r AS (SELECT doc_id, CASE WHEN line_no >= first THEN first ELSE line_no END AS start, string_agg(x, ' ' ORDER BY line_no) AS row_text, count(*) AS n_lines FROM h WHERE x <> '' GROUP BY 1, 2)
+  SELECT doc_id, CAST(start AS INTEGER) AS line_no, n_lines, array_to_string(list_transform(string_split(substring(row_text, 2, length(row_text) - 2), '|'), lambda c: {_TRIM.format('c')}), ';') AS cells
+  FROM r WHERE starts_with(row_text, '|') AND suffix(row_text, '|') AND length(row_text) > 1
+    AND NOT len(list_filter(string_split(substring(row_text, 2, length(row_text) - 2), '|'), lambda c: NOT regexp_matches({_TRIM.format('c')}, '^[:\\-\\s]+$'))) = 0""")
+def str18_stitched_rows(spark, base):
+    """Table rows that run over several lines, joined by a two-state scan."""
+    return M.stitched_rows(_broken_rows(spark, base), "doc_id", "markdown").select("doc_id", "line_no", "n_lines", F.array_join("cells", ";").alias("cells"))
+
+
+def _payloads(spark, base):
+    """Documents converted in ranges of eight lines, two lines a page; the second range of every 37th document fails."""
+    lines = F.split("text", "\n")
+    d = table(spark, base, "documents").where("text is not null").select("doc_id", lines.alias("ls"))
+    r = d.select("doc_id", "ls", F.explode(F.sequence(F.lit(0), F.floor((F.size("ls") - 1) / 8).cast("int"))).alias("range_no")).select("doc_id", "range_no", F.slice("ls", F.col("range_no") * 8 + 1, F.lit(8)).alias("ls"))
+    failed = (F.col("doc_id") % 37 == 0) & (F.col("range_no") == 1)
+    errors = F.when(F.col("range_no") % 2 == 1, F.array(F.lit("low contrast"))).otherwise(F.array().cast("array<string>"))
+    return r.select(
+        "doc_id", "range_no", F.when(failed, "failure").otherwise("success").alias("status"), (F.size("ls") * F.lit(0.5)).alias("processing_time"), F.ceil(F.size("ls") / 2).cast("int").alias("n_pages"),
+        F.array_join("ls", "\n").alias("markdown"), F.transform("ls", lambda x, i: F.struct((F.floor(i / 2) + 1).cast("int").alias("page"), x.alias("text"))).alias("elements"), errors.alias("errors"),
+    )
+
+
+_RANGES = f"""r AS (
+    SELECT doc_id, range_no, ls[range_no * 8 + 1:range_no * 8 + 8] AS ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(0, (len(string_split(text, chr(10))) - 1) // 8 + 1)) AS range_no FROM documents WHERE text IS NOT NULL)),
+  p AS (SELECT *, {_TRIM.format('array_to_string(ls, chr(10))')} AS body, (len(ls) + 1) // 2 AS pages FROM r),
+  bad AS (SELECT doc_id, bool_or((doc_id % 37 = 0 AND range_no = 1) OR body = '') AS bad FROM p GROUP BY 1),
+  o AS (SELECT *, CASE WHEN body = '' THEN 0 ELSE length(body) + 2 END AS chars FROM p),
+  w AS (SELECT *, coalesce(sum(pages) OVER b, 0) AS pages_before, coalesce(sum(len(ls)) OVER b, 0) AS items_before, coalesce(sum(chars) OVER b, 0) AS chars_before
+    FROM o WINDOW b AS (PARTITION BY doc_id ORDER BY range_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@register("src9_merged_elements", f"""WITH {_RANGES}
+  SELECT doc_id, CAST(items_before + j AS BIGINT) AS element, CAST(pages_before + (j + 1) // 2 AS BIGINT) AS page, sha256(ls[j]) AS text_sha256
+  FROM w JOIN bad USING (doc_id), LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS j) WHERE NOT bad""")
+def src9_merged_elements(spark, base):
+    """The items of all ranges of a document, pages and items numbered through."""
+    elements = R.merged_ranges(_payloads(spark, base), "doc_id", "range_no")[1]
+    return elements.select("doc_id", F.col("element").cast("long").alias("element"), F.col("page").cast("long").alias("page"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@register("src9_merged_parts", f"""WITH {_RANGES}
+  SELECT doc_id, 'success' AS status, CAST(pages_before + 1 AS BIGINT) AS first_page, CAST(pages_before + pages AS BIGINT) AS last_page, CAST(chars_before AS BIGINT) AS at_char, sha256(body) AS text_sha256, CAST(0 AS BIGINT) AS n_errors FROM w JOIN bad USING (doc_id) WHERE NOT bad
+  UNION ALL
+  SELECT doc_id, CASE WHEN any_value(bad) THEN 'failed' ELSE 'success' END, 1, CAST(sum(pages) AS BIGINT), CAST(greatest(0, sum(chars) - 2) AS BIGINT), '', CAST(count(*) FILTER (range_no % 2 = 1) AS BIGINT) FROM w JOIN bad USING (doc_id) GROUP BY 1""")
+def src9_merged_parts(spark, base):
+    """The parts of the merged markdown with their offsets, and each document's summary."""
+    parts, _, summary = R.merged_ranges(_payloads(spark, base), "doc_id", "range_no")
+    long = lambda c, name: F.col(c).cast("long").alias(name)
+    a = parts.select("doc_id", F.lit("success").alias("status"), long("first_page", "first_page"), long("last_page", "last_page"), long("offset", "at_char"), F.sha2("text", 256).alias("text_sha256"), F.lit(0).cast("long").alias("n_errors"))
+    b = summary.select("doc_id", "status", F.lit(1).cast("long").alias("first_page"), long("n_pages", "last_page"), long("n_chars", "at_char"), F.lit("").alias("text_sha256"), long("n_errors", "n_errors"))
+    return a.unionByName(b)
+
+
+@register("str20_label_substitution", r"""
+  WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS ws FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, array_to_string(list_transform(ws, lambda x: CASE WHEN regexp_matches(x, '^[a-eA-E][\p{L}\p{N}_]{4,}$') THEN '$5 \b(' || x || '\1' ELSE x END), '') AS text FROM w""")
+def str20_label_substitution(spark, base):
+    """Each document with its own map of hundreds of ids: all its words of five or more letters from a to e; labels full of pattern signs."""
+    ids = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: w.rlike(r"^[a-eA-E][\p{L}\p{N}_]{4,}$")))
+    labels = F.map_from_arrays(ids, F.transform(ids, lambda w: F.concat(F.lit("$5 \\b("), w, F.lit("\\1"))))
+    return table(spark, base, "documents").where("text is not null").select("doc_id", substituted(F.col("text"), labels).alias("text"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.functions.labels import substituted
 from docloom.operators import sections as S
 from docloom.plans.registry import register
 from docloom.sources.tables import table
@@ -239,11 +240,9 @@ def str33_version_from_name(spark, base):
 @register("str20_id_substitution", """
   SELECT l_orderkey, l_linenumber, 'cause Customer and cause_1 of Line ' || l_linenumber AS text FROM lineitem""")
 def str20_id_substitution(spark, base):
-    """Ids replaced by labels, longest first, at word bounds: a fold over the sorted id map."""
+    """Ids replaced by labels, longest first, at word bounds."""
     labels = F.create_map(F.lit("id_1"), F.lit("Customer"), F.lit("id_12"), F.concat(F.lit("Line "), F.col("l_linenumber")))
-    ordered = F.array_sort(F.map_entries(labels), lambda a, b: F.length(b["key"]) - F.length(a["key"]))
-    text = F.lit("cause id_1 and cause_1 of id_12")
-    done = F.aggregate(ordered, text, lambda t, e: F.regexp_replace(t, F.concat(F.lit(r"\b"), e["key"], F.lit(r"\b")), e["value"]))
+    done = substituted(F.lit("cause id_1 and cause_1 of id_12"), labels)
     return table(spark, base, "lineitem").select("l_orderkey", "l_linenumber", done.alias("text"))
 
 

@@ -28,6 +28,37 @@ def first_by_priority(candidates: DataFrame, key: str, order: list[str], kind: s
     return candidates.where(rank > 0).withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(rank, "path"))).where("rn = 1").drop("rn")
 
 
+def merged_ranges(payloads: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The results of a document's page ranges as one result: (parts, elements, summary).
+
+    ``payloads`` has key, order, status, processing_time, n_pages, markdown, elements (array of
+    page in the range and text) and errors. Page and element numbers and text offsets
+    are prefix sums over the ranges' counts, which alone pass the windows, so no row holds a
+    whole document: a part has its ``offset`` in the text whose parts are joined by a blank line.
+    A document with a failed range, or one without any text, fails as a whole and has only a summary.
+    """
+    text = F.coalesce(T.strip(F.col("markdown")), F.lit(""))
+    rows = payloads.withColumn("_text", text)
+    size = F.when(F.length("_text") > 0, F.length("_text") + 2).otherwise(0)
+    good = F.coalesce(F.lower("status") == "success", F.lit(False)) & (F.length("_text") > 0)
+    narrow = rows.select(
+        key, order, good.alias("good"), F.coalesce("processing_time", F.lit(0.0)).alias("time"), F.coalesce(F.size("errors"), F.lit(0)).alias("errors"),
+        F.coalesce("n_pages", F.lit(0)).alias("pages"), F.coalesce(F.size("elements"), F.lit(0)).alias("items"), size.alias("chars"),
+    )
+    summary = narrow.groupBy(key).agg(
+        F.when(F.bool_and("good"), "success").otherwise("failed").alias("status"), F.sum("time").alias("processing_time"), F.sum("errors").alias("n_errors"),
+        F.sum("pages").alias("n_pages"), F.sum("items").alias("n_elements"), F.greatest(F.lit(0), F.sum("chars") - 2).alias("n_chars"),
+    )
+    before = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(name) for c, name in (("pages", "_pages"), ("items", "_items"), ("chars", "offset"))]
+    placed = narrow.select(key, order, "pages", *sums).join(summary.where("status = 'success'").select(key), key, "left_semi")
+    own = rows.join(placed, [key, order])
+    parts = own.select(key, order, (F.col("_pages") + 1).alias("first_page"), (F.col("_pages") + F.col("pages")).alias("last_page"), "offset", F.col("_text").alias("text"))
+    items = own.select(key, "_pages", "_items", F.posexplode("elements").alias("pos", "e"))
+    elements = items.select(key, (F.col("_items") + F.col("pos") + 1).alias("element"), (F.col("_pages") + F.col("e.page")).alias("page"), F.col("e.text").alias("text"))
+    return parts, elements, summary
+
+
 def page_ranges(documents: DataFrame, pages: str, size: int = 4) -> DataFrame:
     """Conversion ranges of at most ``size`` pages."""
     first = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col(pages)), F.lit(size)))
