@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -76,6 +76,10 @@ class Pair:
         if len(self.b_bytes) > WIDTH:
             raise ValueError("the second vocabulary has too many ids")
         self.b_space = self.b.piece_to_id(_SPACE)
+        self.sizes = [np.fromiter(map(len, t), np.int64, len(t)) for t in (self.a_bytes, self.b_bytes)]
+        #: Each id in decimal with the sign that follows it in a group's text: inside a side, after side A, after side B.
+        self.n_ids = max(len(self.a_bytes), len(self.b_bytes))
+        self.marked = [b"%d%s" % (i, sign) for sign in (b",", b"|", b";") for i in range(self.n_ids)]
         if any(b" " in x.lstrip(b" ") or b"\n" in x[:-1] or x[1:].endswith(b"\n") for x in self.b_bytes):
             raise ValueError("a token of the second vocabulary spans words")
         self.reset()
@@ -107,40 +111,41 @@ class Pair:
                 b[k] = [self.b_space]
         return a, b
 
-    def aligned(self, chunk: bytes, a: list[int], b: list[int]) -> tuple[tuple[int, int, int], bytes | None, list[int]]:
-        """Counts of tokens and groups, the groups' text and the codes of all links of a chunk."""
-        parts_a, parts_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(parts_a) != chunk or b"".join(parts_b) != chunk:
-            return (0, 0, 0), None, []
-        links, groups, i, j, end_a, end_b, first_a, first_b = [], [], 0, 0, len(parts_a[0]), len(parts_b[0]), 0, 0
-        while True:
-            links.append(a[i] * WIDTH + b[j])
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            if step_a and step_b:
-                groups.append(",".join(map(str, a[first_a : i + 1])) + "|" + ",".join(map(str, b[first_b : j + 1])))
-                first_a, first_b = i + 1, j + 1
-                if first_a == len(a):
-                    return (len(a), len(b), len(groups)), ";".join(groups).encode(), links
-            if step_a:
-                i += 1
-                end_a += len(parts_a[i])
-            if step_b:
-                j += 1
-                end_b += len(parts_b[j])
-
     def _learn(self, new: list[bytes]) -> None:
-        counts, codes, sizes = [], [], []
-        for c, a, b in zip(new, *self._sides(new), strict=True):
-            count, groups, links = self.aligned(c, a, b)
-            counts.append(count)
-            self.groups.append(groups)
-            codes += links
-            sizes.append(len(links))
+        """Align new chunks, all at once.
+
+        The ends of the tokens of both sides, laid end to end, cut the bytes in stretches; each
+        stretch lies in one A and one B token and is one link, and ends of both sides close a group.
+        """
+        sides, n = self._sides(new), len(new)
+        sizes = np.fromiter(map(len, new), np.int64, n)
+        counts = [np.fromiter(map(len, x), np.int64, n) for x in sides]
+        ids = [np.fromiter(chain.from_iterable(x), np.int64, c.sum()) for x, c in zip(sides, counts, strict=True)]
+        surfaces, whole = (self.a_bytes, self.b_bytes), b"".join(new)
+        good = np.ones(n, bool)
+        if any(b"".join([t[i] for i in own.tolist()]) != whole for t, own in zip(surfaces, ids, strict=True)):
+            good[:] = [all(b"".join([t[i] for i in own]) == c for t, own in zip(surfaces, (a, b), strict=True)) for c, a, b in zip(new, *sides, strict=True)]
+            ids = [own[np.repeat(good, c)] for own, c in zip(ids, counts, strict=True)]
+            counts = [np.where(good, c, 0) for c in counts]
+        ends = [np.cumsum(t[own]) for t, own in zip(self.sizes, ids, strict=True)]
+        close = np.cumsum(np.where(good, sizes, 0))
+        cuts, both = np.union1d(*ends), np.intersect1d(*ends, assume_unique=True)
+        a, b = (own[np.searchsorted(e, cuts)] for own, e in zip(ids, ends, strict=True))
+        per = lambda points: np.diff(np.searchsorted(points, close, "right"), prepend=0)
+        # tokens in the order of the groups' text: of each group side A, then side B
+        key = np.concatenate([2 * np.searchsorted(both, e) + side for side, e in enumerate(ends)])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        last = np.append(key[1:] != key[:-1], True)[: len(key)]
+        mark = np.where(last, 1 + key % 2, 0)
+        parts = [self.marked[k] for k in (mark * self.n_ids + np.concatenate(ids)[order]).tolist()]
+        bounds = np.append(0, np.cumsum(counts[0] + counts[1])).tolist()
+        self.groups += [b"".join(parts[x:y])[:-1] if ok else None for x, y, ok in zip(bounds, bounds[1:], good.tolist(), strict=False)]
         at = len(self.index)
-        self.index.update(zip(new, range(at, at + len(new)), strict=True))
-        self.count = np.concatenate([self.count, np.array(counts, np.int64).reshape(-1, 3)])
-        self.codes = np.concatenate([self.codes, np.array(codes, np.int64)])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        self.index.update(zip(new, range(at, at + n), strict=True))
+        self.count = np.concatenate([self.count, np.stack([*counts, per(both)], 1)])
+        self.codes = np.concatenate([self.codes, a * WIDTH + b])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(per(cuts))])
 
     def align(self, texts: list[bytes]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         """For each text n_a, n_b, n_groups and the digest of its groups; link codes of all texts and their bounds."""
