@@ -95,22 +95,6 @@ def outline(pages: DataFrame, key: str, limit: int = 500) -> DataFrame:
     return pages.select(key, "page_number", F.substring("heading", 1, 60).alias("heading"), preview)
 
 
-# Log line patterns with their short forms; the first that matches wins.
-LOG_REWRITES = (
-    (r"(?i)^loading model\b.*", "Loading model"),
-    (r"(?i)^generating segment (\d+)\s*/\s*(\d+).*", "Segment $1 of $2"),
-    (r"(?i)^generation complete for\s+segment\s+(\d+)\s*/\s*(\d+).*", "Segment $1 of $2 done"),
-)
-
-
-def log_message(x: Column) -> Column:
-    out = None
-    for pattern, short in LOG_REWRITES:
-        new = F.regexp_replace(x, pattern, short)
-        out = F.when(x.rlike(pattern), new) if out is None else out.when(x.rlike(pattern), new)
-    return F.nullif(T.strip(out.otherwise(x)), F.lit(""))
-
-
 def sse_frames(x: Column) -> Column:
     """Events of a server-sent stream: (event, data) of each block that has data."""
     blocks = F.filter(F.split(x, r"\n\n"), lambda b: b.rlike(r"(?m)^data:"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.operators.selection import order_statistic
+
 STREAK_FLAG, NEGATIVE_FLAG = 3, 5
 
 
@@ -76,11 +78,10 @@ def validated(requests: DataFrame, messages: DataFrame, conversations: DataFrame
 
 
 def latency(samples: DataFrame, key: str, value: str) -> DataFrame:
-    """Mean, minimum, maximum and the value at rank round(0.95 n) per key."""
-    n = samples.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
-    ranked = samples.select(key, value, F.row_number().over(W.partitionBy(key).orderBy(value)).alias("rank")).join(n.select(key, "n"), key)
-    at = ranked.where(F.col("rank") == F.greatest(F.lit(1), F.bround(F.lit(0.95) * F.col("n")).cast("int"))).select(key, F.col(value).alias("p95"))
-    return n.join(at, key)
+    """Mean, minimum, maximum and the value at rank round(0.95 n) per key, however many samples a key has."""
+    n = samples.groupBy(key).agg(F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    rank = F.greatest(F.lit(1), F.bround(F.lit(0.95) * F.col("n")).cast("int"))
+    return n.join(order_statistic(samples, key, value, rank, "p95"), key)
 
 
 def moving_mean(samples: DataFrame, key: str, order: str, value: str, span: int = 20) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.functions.rewrites import LOG_RULES, log_line
 from docloom.operators import chunks as C
 from docloom.operators import lifecycle as L
 from docloom.operators import matrix as M
@@ -105,12 +108,32 @@ def str4_scope_normal_form(spark, base):
     return table(spark, base, "customer").select("c_mktsegment", T.scope_token(x).alias("scope")).distinct()
 
 
-@register("str30_log_messages", """
-  SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Loading model' WHEN 1 THEN 'Segment ' || user_id || ' of 200' ELSE event_type END AS message FROM events""")
+def _log_samples(value: str) -> list[str]:
+    """A line for each rule of the log, ``value`` in its open part."""
+    return [re.sub(r"\\(.)", r"\1", re.sub(r"\(\.\+\)|\.\*", "{0}", p.strip("^$"))).format(value) for p, _ in LOG_RULES]
+
+
+def _log_case() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    branch = lambda p, r: f"WHEN regexp_matches(t, {quote(p)}) THEN " + ("NULL" if r is None else f"regexp_replace(t, {quote(p)}, {quote(r)})")
+    return "CASE " + " ".join(branch(p, r) for p, r in LOG_RULES) + " ELSE t END"
+
+
+_LOG_VALUES = ", ".join("'" + x.replace("'", "''") + "'" for x in _log_samples("<v>"))
+
+
+@register("str30_log_messages", rf"""
+  WITH s AS (SELECT event_id, CASE WHEN event_id % 35 < {len(LOG_RULES)} THEN replace([{_LOG_VALUES}][event_id % 35 + 1], '<v>', CAST(user_id AS VARCHAR) || ' of ' || event_type) WHEN event_id % 35 = 30 THEN '=====' WHEN event_id % 35 = 31 THEN '  ' ELSE event_type || ' Load Model' END AS line FROM events),
+  r AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '🚀 * ' || line WHEN 1 THEN '  ' || replace(line, ' ', '   ') ELSE line END AS raw FROM s),
+  c AS (SELECT event_id, CASE WHEN trim(raw) <> '' THEN trim(regexp_replace(regexp_replace(trim(raw), '^(?:[^\p{{L}}\p{{N}}_\s]+\s*)+', ''), '\s+', ' ', 'g')) END AS t FROM r)
+  SELECT event_id, {_log_case()} AS message FROM c""")
 def str30_log_messages(spark, base):
-    m = F.col("event_id") % 3
-    raw = F.when(m == 0, F.lit("loading MODEL weights ...")).when(m == 1, F.concat(F.lit("Generating segment "), "user_id", F.lit(" / 200 (x)"))).otherwise(F.concat(F.lit(" "), "event_type"))
-    return table(spark, base, "events").select("event_id", C.log_message(raw).alias("message"))
+    """A line of each rule of the log, with leading signs and wide gaps, and lines of no rule."""
+    k, value = (F.col("event_id") % 35).cast("int"), F.concat(F.col("user_id").cast("string"), F.lit(" of "), "event_type")
+    sample = F.replace(F.get(F.array(*[F.lit(x) for x in _log_samples("<v>")]), k), F.lit("<v>"), value)
+    line = F.when(k < len(LOG_RULES), sample).when(k == 30, "=====").when(k == 31, "  ").otherwise(F.concat("event_type", F.lit(" Load Model")))
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("🚀 * "), line)).when(F.col("event_id") % 3 == 1, F.concat(F.lit("  "), F.replace(line, F.lit(" "), F.lit("   ")))).otherwise(line)
+    return table(spark, base, "events").select("event_id", log_line(raw).alias("message"))
 
 
 @register("stm5_sse_frames", """
