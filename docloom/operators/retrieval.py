@@ -1,10 +1,12 @@
 """Scoped hybrid retrieval: dense and lexical branches, weighted reciprocal-rank fusion.
 
 Every operator takes a table of queries and keeps ``query_id``, so many queries run in
-one plan. The query table may be of any size: it is broadcast in blocks of about
-MAX_QUERIES, and chunks are scanned in place once for each block. Top-k cuts are written
+one plan. The query table may be of any size: up to MAX_QUERIES (counted) it is broadcast and
+chunks are scored in place; beyond, blocks of about as many queries are dealt as rows and
+meet each part of the chunks in a group of its own, in one plan whatever their number. Top-k cuts are written
 so that Spark limits each task's rows before the shuffle; the three-tier search ranks
-narrow rows and fetches the payload of the hits by ``chunk_id``, which names one chunk.
+narrow rows and fetches the payload of the hits by ``chunk_id``, which names one chunk. Hybrid
+search writes its narrow pool once for both branches and fetches payloads after the fusion.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,12 +23,13 @@ from pyspark.sql import types as T_
 from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.functions import text as T
+from docloom.sources.shared import shared, shares
 
 POOL, RANK_CONSTANT, WEIGHT = 4, 60, 0.5
 RELAXED_FLOOR, RELAXED_DELTA = 0.45, 0.25
 TYPE_BOOST = 0.08
 SHARED = ("shared", "global", "cross-functional")
-#: Queries in one broadcast block, on average.
+#: Queries that are broadcast, or on average make a block.
 MAX_QUERIES = 4096
 #: Cells of a product that a task holds at once.
 CELLS = 1 << 22
@@ -58,40 +62,63 @@ def scope_condition(strict: bool = False, shared: Column | None = None) -> Colum
     return must & (F.col("q_workspace").isNull() | F.coalesce(own, F.lit(False)) | common)
 
 
-def _blocks(queries: DataFrame) -> list[DataFrame]:
-    """The query table in blocks of about MAX_QUERIES rows, by hash; one block if it fits."""
-    n = -(-queries.count() // MAX_QUERIES)
-    part = F.pmod(F.xxhash64(*queries.columns), F.lit(n))
-    return [queries.where(part == k) for k in range(n)] if n > 1 else [queries]
+def _products(ids: np.ndarray, unit: np.ndarray, own: pa.Table | pa.RecordBatch, at: int, floor: float):
+    """Yields tables of the rows of ``own``, but for the vector column, with the query and the score of each pair above the floor;
+    a slab of rows at a time."""
+    vectors = own.column(at)
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    valid = np.flatnonzero(sizes == unit.shape[1]) if len(ids) else np.zeros(0, np.int64)
+    step = max(1, CELLS // max(1, len(ids)))
+    for low in range(0, len(valid), step):
+        rows = valid[low : low + step]
+        flat = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+        score = np.round(_units(flat.astype(np.float64).reshape(len(rows), -1)) @ unit.T, 12)  # equal vectors tie whatever their place in a product
+        chunk, query = np.nonzero(score >= floor)
+        taken = own.take(pa.array(rows[chunk]))
+        yield [taken.column(k) for k in range(own.num_columns) if k != at], ids[query], score[chunk, query]
 
 
-def _similar(chunks: DataFrame, queries: DataFrame, floor: float) -> DataFrame:
-    """One block of queries: the products of unit vectors, a slab of chunks at a time."""
+def _matrix(vectors) -> np.ndarray:
+    """The vectors at length 1, as rows."""
+    return _units(np.array(vectors, np.float64).reshape(len(vectors), -1))
+
+
+def _in_place(chunks: DataFrame, queries: DataFrame, floor: float, schema: T_.StructType) -> DataFrame:
+    """Pairs with a query table that is small enough to be broadcast."""
     asked = queries.select("query_id", "q_vector").where("q_vector is not null").collect()
-    ids = np.array([r["query_id"] for r in asked])
-    unit = _units(np.array([r["q_vector"] for r in asked], np.float64).reshape(len(asked), -1))
-    held = chunks.sparkSession.sparkContext.broadcast((ids, unit))
-    at, names = chunks.columns.index("vector"), [c for c in chunks.columns if c != "vector"]
+    held = chunks.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in asked]), _matrix([r["q_vector"] for r in asked])))
+    at, kind = chunks.columns.index("vector"), to_arrow_type(queries.schema["query_id"].dataType)
 
     def run(batches):
         ids, unit = held.value
         for b in batches:
-            valid = np.flatnonzero(b.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == unit.shape[1]) if len(ids) else np.zeros(0, np.int64)
-            step = max(1, CELLS // max(1, len(ids)))
-            for low in range(0, len(valid), step):
-                rows = valid[low : low + step]
-                own = b.take(pa.array(rows))
-                vectors = own.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
-                score = np.round(_units(vectors) @ unit.T, 12)  # equal vectors tie whatever their place in a product
-                chunk, query = np.nonzero(score >= floor)
-                taken = own.take(pa.array(chunk))
-                columns = [taken.column(k) for k in range(b.num_columns) if k != at]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids[query]).cast(kind), pa.array(score[chunk, query])], [*names, "query_id", "score"])
+            for columns, query, score in _products(ids, unit, b, at, floor):
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(query).cast(kind), pa.array(score)], schema.names)
+
+    return chunks.mapInArrow(run, schema)
+
 
+def _dealt(chunks: DataFrame, queries: DataFrame, floor: float, schema: T_.StructType, blocks: int) -> DataFrame:
+    """Pairs with a query table of any size: a group for each block of queries and part of the chunks."""
+    parts = shares(chunks)
+    names, at = [c for c in chunks.columns if c != "vector"], len(chunks.columns) - 1
+    left = chunks.select(*names, "vector").withColumn("_part", F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int"))
+    left = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = queries.where("q_vector is not null").select("query_id", "q_vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_block"))
+    right = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     kind = to_arrow_type(queries.schema["query_id"].dataType)
-    fields = [chunks.schema[c] for c in names] + [queries.schema["query_id"], T_.StructField("score", T_.DoubleType())]
-    hits = chunks.mapInArrow(run, T_.StructType(fields))
-    return hits.join(F.broadcast(queries.drop("q_vector")), "query_id")
+    out = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
+
+    def run(own: pa.Table, asked: pa.Table) -> pa.Table:
+        found = []
+        if own.num_rows and asked.num_rows:
+            ids, unit = asked.column("query_id").to_numpy(), _matrix(asked.column("q_vector").to_pylist())
+            for columns, query, score in _products(ids, unit, own.select([*names, "vector"]), at, floor):
+                found.append(pa.Table.from_arrays([*columns, pa.array(query).cast(kind), pa.array(score)], names=schema.names).cast(out))
+        return pa.concat_tables(found) if found else out.empty_table()
+
+    return left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(run, schema)
 
 
 def _units(vectors: np.ndarray) -> np.ndarray:
@@ -101,12 +128,13 @@ def _units(vectors: np.ndarray) -> np.ndarray:
 
 
 def scored(chunks: DataFrame, queries: DataFrame, floor: float = -1.0) -> DataFrame:
-    """Chunks with the queries (one row a query_id) to which their similarity is at least ``floor``.
-
-    Blocks of queries are broadcast, chunks are scored in Arrow batches in place; only
-    pairs above the floor leave a task.
-    """
-    return reduce(DataFrame.unionAll, [_similar(chunks, q, floor) for q in _blocks(queries)])
+    """Chunks with the queries (one row a query_id) to which their similarity is at least ``floor``; only such pairs leave a task."""
+    fields = [chunks.schema[c] for c in chunks.columns if c != "vector"] + [queries.schema["query_id"], T_.StructField("score", T_.DoubleType())]
+    blocks = -(-queries.count() // MAX_QUERIES)
+    rest = queries.drop("q_vector")
+    if blocks <= 1:
+        return _in_place(chunks, queries, floor, T_.StructType(fields)).join(F.broadcast(rest), "query_id")
+    return _dealt(chunks, queries, floor, T_.StructType(fields), blocks).join(rest, "query_id")
 
 
 def _top(df: DataFrame, k: int, *order: Column, rank: str = "rank") -> DataFrame:
@@ -120,11 +148,12 @@ def dense(chunks: DataFrame, queries: DataFrame, k: int, threshold: float, stric
     return _top(hits, k, F.desc("score"), F.col("chunk_id"))
 
 
-def resilient(chunks: DataFrame, queries: DataFrame, k: int, threshold: float, strict: bool = False) -> DataFrame:
-    """Dense search in three tiers: as asked; with shared documents; with the relaxed threshold.
+def tiered(chunks: DataFrame, queries: DataFrame, k: int, threshold: float, strict: bool = False) -> DataFrame:
+    """The k best chunks of each query in three tiers: as asked; with shared documents; with the relaxed threshold.
 
     All tiers come from one scan: a hit's tier is the first that admits it, and a query
-    keeps its least tier with a hit. The last tier uses the asked shared flag again.
+    keeps its least tier with a hit. The last tier uses the asked shared flag again. Rows are narrow:
+    chunk_id, the query's columns but for its vector, score, tier and rank.
     """
     base = scored(chunks.select("chunk_id", "vector", "system", "workspace", "is_shared"), queries, min(threshold, relaxed_threshold(threshold)))
     asked, wide = scope_condition(strict), scope_condition(strict, F.lit(True))
@@ -137,8 +166,12 @@ def resilient(chunks: DataFrame, queries: DataFrame, k: int, threshold: float, s
     hits = base.withColumn("tier", tier).where("tier is not null")
     ranked = _top(hits, k, F.col("tier"), F.desc("score"), F.col("chunk_id"))
     least = F.min("tier").over(W.partitionBy("query_id"))
-    hits = ranked.withColumn("least", least).where("tier = least").drop("least", "system", "workspace", "is_shared")
-    return hits.join(chunks.drop("vector"), "chunk_id")
+    return ranked.withColumn("least", least).where("tier = least").drop("least", "system", "workspace", "is_shared")
+
+
+def resilient(chunks: DataFrame, queries: DataFrame, k: int, threshold: float, strict: bool = False) -> DataFrame:
+    """``tiered`` with the payload of the chunks."""
+    return tiered(chunks, queries, k, threshold, strict).join(chunks.drop("vector"), "chunk_id")
 
 
 def branch_norm(hits: DataFrame, raw: str) -> DataFrame:
@@ -153,16 +186,21 @@ def pool_of(chunks: DataFrame, queries: DataFrame, k: int, threshold: float, str
     return resilient(chunks, queries, POOL * k, threshold, strict)
 
 
+def _payload(hits: DataFrame) -> list[str]:
+    """The payload columns that ``hits`` has."""
+    return [c for c in PAYLOAD if c in hits.columns]
+
+
 def dense_of(pool: DataFrame, k: int) -> DataFrame:
     hits = branch_norm(pool.where(F.col("rank") <= k), "score")
-    return hits.select("query_id", "chunk_id", *PAYLOAD, F.lit("dense").alias("branch"), "rank", F.col("score").alias("score_raw"), "score_norm")
+    return hits.select("query_id", "chunk_id", *_payload(pool), F.lit("dense").alias("branch"), "rank", F.col("score").alias("score_raw"), "score_norm")
 
 
 def lexical_of(pool: DataFrame, k: int) -> DataFrame:
     text = F.concat_ws(" ", F.coalesce("document_title", F.lit("")), F.coalesce("section_heading", F.lit("")), F.coalesce("content", F.lit("")))
     hits = pool.drop("rank").withColumn("overlap", T.overlap_score(T.tokens(F.col("q_text")), text)).where("overlap > 0")
     hits = branch_norm(_top(hits, k, F.desc("overlap"), F.desc("score"), F.col("chunk_id")), "overlap")
-    return hits.select("query_id", "chunk_id", *PAYLOAD, F.lit("lexical").alias("branch"), "rank", F.col("overlap").alias("score_raw"), "score_norm")
+    return hits.select("query_id", "chunk_id", *_payload(pool), F.lit("lexical").alias("branch"), "rank", F.col("overlap").alias("score_raw"), "score_norm")
 
 
 def dense_branch(chunks: DataFrame, queries: DataFrame, k: int, threshold: float, strict: bool = False) -> DataFrame:
@@ -188,7 +226,7 @@ def fuse(branches: list[DataFrame], top_n: int, weights: dict[str, float] | None
         F.sum("part").alias("score_fused"),
         F.max("score_norm").alias("best_norm"),
         of("lexical", "rank"), of("dense", "rank"), of("lexical", "score_raw"), of("dense", "score_raw"), of("lexical", "part"), of("dense", "part"),
-        *[F.first(c).alias(c) for c in PAYLOAD],
+        *[F.first(c).alias(c) for c in _payload(rows)],
     )
     fused = _top(fused, top_n, F.desc("score_fused"), F.desc("best_norm"), F.col("chunk_id"), rank="rank_final")
     share = lambda name: F.round(F.coalesce(F.col(f"{name}_part") / F.col("score_fused"), F.lit(0.0)), 6).alias(f"{name}_share")
@@ -202,15 +240,20 @@ def single_branch(branch: DataFrame, top_n: int) -> DataFrame:
 
 def hybrid(chunks: DataFrame, queries: DataFrame, k: int, threshold: float, strict: bool = False, available=("lexical", "dense")) -> tuple[DataFrame | None, str | None]:
     """The fused result, or one branch, or none; with the reason of a fallback."""
-    make = {"lexical": lexical_of, "dense": dense_of}
-    pool = pool_of(chunks, queries, k, threshold, strict) if available else None
-    found = {b: make[b](pool, k) for b in ("lexical", "dense") if b in available}
-    if len(found) == 2:
-        return fuse([found["lexical"], found["dense"]], k), None
-    if not found:
+    if not available:
         return None, "both_unavailable"
-    (name, only), = found.items()
-    return single_branch(only, k), "dense_unavailable" if name == "lexical" else "lexical_unavailable"
+    pool, found = shared(tiered(chunks, queries, POOL * k, threshold, strict)), {}
+    if "lexical" in available:
+        text = ["document_title", "section_heading", "content"]
+        found["lexical"] = lexical_of(pool.join(chunks.select("chunk_id", *text), "chunk_id"), k).drop(*text)
+    if "dense" in available:
+        found["dense"] = dense_of(pool, k)
+    if len(found) == 2:
+        hits, reason = fuse([found["lexical"], found["dense"]], k), None
+    else:
+        (name, only), = found.items()
+        hits, reason = single_branch(only, k), "dense_unavailable" if name == "lexical" else "lexical_unavailable"
+    return hits.join(chunks.select("chunk_id", *_payload(chunks)), "chunk_id"), reason
 
 
 def citations(hits: DataFrame, rank: str = "rank_final") -> DataFrame:
