@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.sources.shared import shared
 
 WIDE, DEFAULT_BOUND, LABEL_LENGTH, SAMPLE_ROWS = 12, 6, 8, 15
 # Markers with their meaning, and legend words.
@@ -115,23 +116,31 @@ def causes(rows: DataFrame, key: str) -> DataFrame:
     return first.withColumn("cause_id", numbered("cause", n, 3))
 
 
-def relations(rows: DataFrame, key: str) -> DataFrame:
-    """One row a marker whose column has an effect, with cause and effect ids and meaning."""
+def _marks(rows: DataFrame, key: str) -> DataFrame:
+    """(key, row_line, the cause's cells, column, marker) of every marker of the data rows."""
     prefix = [F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(("cause_ref", "cause_tag", "cause_description"))]
     data = rows.where(is_data_row(F.col("cells")))
     marks = data.select(key, F.col("line_no").alias("row_line"), *prefix, F.posexplode("cells").alias("column", "cell"))
-    marks = marks.withColumn("marker", marker(F.col("cell"))).where("marker is not null")
+    return marks.withColumn("marker", marker(F.col("cell"))).where("marker is not null").drop("cell")
+
+
+def relations(rows: DataFrame, key: str) -> DataFrame:
+    """One row a marker whose column has an effect, with cause and effect ids and meaning."""
     meaning = F.create_map(*[F.lit(x) for m, s, _ in MARKERS for x in (m, s)])
-    out = marks.join(effects(rows, key).select(key, "column", "effect_id", "effect_label"), [key, "column"])
+    out = _marks(rows, key).join(effects(rows, key).select(key, "column", "effect_id", "effect_label"), [key, "column"])
     out = out.join(causes(rows, key).drop("line_no"), [key, "cause_ref", "cause_tag", "cause_description"])
     n = F.row_number().over(W.partitionBy(key).orderBy("row_line", "column"))
     return out.select(key, numbered("rel", n, 4).alias("relation_id"), "cause_id", "effect_id", "effect_label", "marker", meaning[F.col("marker")].alias("marker_semantic"), "row_line", "column")
 
 
 def summary(rows: DataFrame, key: str) -> DataFrame:
-    """Counts of causes, effects and relations per key."""
+    """Counts of causes, effects and relations per key; effects are found once, numbers are not given."""
+    found = shared(effects(rows, key).select(key, "column"))
+    first = [F.coalesce(F.get("cells", F.lit(i)), F.lit("")) for i in range(3)]
+    own = rows.where(is_data_row(F.col("cells"))).groupBy(key).agg(F.count_distinct(F.struct(*first)).alias("causes"))
     n = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    out = n(effects(rows, key), "effects").join(n(causes(rows, key), "causes"), key, "full").join(n(relations(rows, key), "relations"), key, "full")
+    related = _marks(rows, key).select(key, "column").join(found, [key, "column"])
+    out = n(found, "effects").join(own, key, "full").join(n(related, "relations"), key, "full")
     return out.fillna(0, ["effects", "causes", "relations"])
 
 

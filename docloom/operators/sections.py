@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -157,25 +158,11 @@ def unresolved(issues: DataFrame, metrics: DataFrame, key: str) -> DataFrame:
     return issues.join(metrics.select(key, *SETTLED_BY.values(), "hallucination_risk"), key, "left").where(~F.coalesce(done, F.lit(False))).select(issues.columns)
 
 
-def greedy_runs(sizes: Column, heads: Column, max_items: int = MAX_PAGES, target: int = TARGET_CHARS, least: int = LEAST_CHARS) -> Column:
-    """Run number of each item, from 1: a new run starts when the current one has
-    ``max_items``, would pass ``target``, or is at least ``least`` and a heading comes."""
-    items = F.arrays_zip(sizes.alias("size"), heads.alias("head"))
-    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        size = F.greatest(x["size"], F.lit(1)).cast("long")
-        cut = (a["n"] == 0) | (a["n"] >= max_items) | (a["chars"] + size > target) | (x["head"] & (a["chars"] >= least))
-        run = a["run"] + cut.cast("int")
-        return F.struct(run.alias("run"), F.when(cut, 1).otherwise(a["n"] + 1).alias("n"), F.when(cut, size).otherwise(a["chars"] + size).alias("chars"), F.concat(a["out"], F.array(run)).alias("out"))
-
-    return F.aggregate(items, start, step, lambda a: a["out"])
-
-
 def greedy_segments(rows: DataFrame, key: str, order: str, size: str, head: str, max_items: int = MAX_PAGES, target: int = TARGET_CHARS, least: int = LEAST_CHARS) -> DataFrame:
-    """``greedy_runs`` over groups of any size: ``key``, ``order`` and the number of the row's ``segment``.
+    """Greedy runs over groups of any size: ``key``, ``order`` and the number of the row's ``segment``, from 1.
 
-    Rows are range-partitioned by key and order, so a large group spans many tasks. A run
+    A new run starts when the current one has ``max_items``, would pass ``target``, or is at
+    least ``least`` and a heading comes. Rows are range-partitioned by key and order, so a large group spans many tasks. A run
     has at most ``max_items`` rows, so one of a part's first rows starts a run; each task
     folds its part once for each such start, the driver carries the state from part to
     part - a few numbers each - and a second fold numbers the rows.
@@ -259,21 +246,45 @@ def page_issues(evidence: DataFrame) -> DataFrame:
     return out.withColumn("confidence_score", F.greatest(F.lit(0.0), 1 - 0.15 * F.size("issues")))
 
 
+#: Tokens that the order of ``sharing`` knows as frequent, 16 bytes each.
+FREQUENT = 1 << 16
+
+
+def _ordered(held):
+    """Rows (key, hashes): the hashes by frequency, then by value."""
+
+    def run(batches):
+        often, count = held.value
+        for b in batches:
+            lists = b.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            df = np.zeros(len(flat), np.int64)
+            if len(often) and len(flat):
+                at = np.minimum(np.searchsorted(often, flat), len(often) - 1)
+                df = np.where(often[at] == flat, count[at], 0)
+            flat = flat[np.lexsort((flat, df, np.repeat(np.arange(len(sizes)), sizes)))]
+            offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], b.schema.names)
+
+    return run
+
+
 def sharing(a: DataFrame, b: DataFrame, key_a: str, key_b: str, tokens: str, least: int) -> DataFrame:
     """(key_a, key_b, shared) of the pairs with at least ``least`` common tokens; ``tokens`` are distinct.
 
-    With tokens in order of their frequency in ``b``, two lists that share that many share one
-    of the first n - least + 1 of each. Only those meet in the equi-join, so frequent tokens
-    make no pairs; candidates are then counted on their whole lists.
+    Tokens are 64-bit hashes, put in order of their frequency in ``b`` - the FREQUENT most frequent are
+    broadcast, any common order serves - and these lists are written once. Two lists that share that many
+    share one of the first n - least + 1 of each. Only those meet in the equi-join, so frequent
+    tokens make no pairs; candidates are then counted on their whole lists.
     """
-    df = b.select(F.explode(tokens).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-
-    def heads(rows: DataFrame, key: str) -> DataFrame:
-        long = rows.where(F.size(tokens) >= least).select(key, F.explode(tokens).alias("t")).join(df, "t", "left")
-        order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("order")
-        ordered = long.groupBy(key).agg(order)
-        return ordered.select(key, F.explode(F.slice("order", F.lit(1), F.size("order") - least + 1)).alias("o")).select(key, "o.t")
-
-    pairs = heads(a, key_a).join(heads(b, key_b), "t").select(key_a, key_b).distinct()
-    both = pairs.join(a.select(key_a, F.col(tokens).alias("_a")), key_a).join(b.select(key_b, F.col(tokens).alias("_b")), key_b)
+    hashed = lambda rows, key: rows.where(F.size(tokens) >= least).select(key, F.transform(tokens, lambda x: F.xxhash64(x)).alias("h"))
+    own, other = hashed(a, key_a), hashed(b, key_b)
+    counts = other.select(F.explode("h").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = sorted(counts.orderBy(F.desc("n"), "t").limit(FREQUENT).collect())
+    held = a.sparkSession.sparkContext.broadcast((np.array([r.t for r in often], np.int64), np.array([r.n for r in often], np.int64)))
+    own, other = (shared(x.mapInArrow(_ordered(held), x.schema)) for x in (own, other))
+    heads = lambda x: x.select(x.columns[0], F.explode(F.slice("h", F.lit(1), F.size("h") - least + 1)).alias("t"))
+    pairs = heads(own).join(heads(other), "t").select(key_a, key_b).distinct()
+    both = pairs.join(own.withColumnRenamed("h", "_a"), key_a).join(other.withColumnRenamed("h", "_b"), key_b)
     return both.select(key_a, key_b, F.size(F.array_intersect("_a", "_b")).cast("long").alias("shared")).where(F.col("shared") >= least)

@@ -310,13 +310,19 @@ def win9_sheet_sections(spark, base):
     return s.select("doc_id", F.col("heading").alias("sheet"), "start_line", "end_line", F.coalesce(F.lead("start_line").over(W.partitionBy("doc_id").orderBy("section_no")), F.lit(0)).alias("next_start"))
 
 
-@register("win5_cause_batches", None)
+@register("win5_cause_batches", """
+  WITH RECURSIVE r AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS i, greatest(1, CAST(trunc(l_quantity * 60) AS BIGINT)) AS size FROM lineitem),
+  f AS (
+    SELECT l_suppkey, CAST(0 AS BIGINT) AS i, 0 AS run, 0 AS n, CAST(0 AS BIGINT) AS chars FROM r GROUP BY 1
+    UNION ALL
+    SELECT f.l_suppkey, f.i + 1, CASE WHEN n = 0 OR n >= 6 OR chars + size > 7500 THEN run + 1 ELSE run END, CASE WHEN n = 0 OR n >= 6 OR chars + size > 7500 THEN 1 ELSE n + 1 END,
+      CASE WHEN n = 0 OR n >= 6 OR chars + size > 7500 THEN size ELSE chars + size END FROM f JOIN r ON r.l_suppkey = f.l_suppkey AND r.i = f.i + 1)
+  SELECT l_suppkey, max(run) AS batches, max(i) AS causes FROM f GROUP BY 1""")
 def win5_cause_batches(spark, base):
-    """Causes of an order in batches of at most six or 7,500 characters: the same fold with other limits."""
-    li = table(spark, base, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("o"), (F.col("l_quantity") * 60).cast("int").alias("size"))
-    g = li.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("o", "size"))).alias("p"))
-    runs = S.greedy_runs(F.col("p.size"), F.transform("p", lambda x: F.lit(False)), 6, 7_500, 1 << 30)
-    return g.select("l_suppkey", F.size(F.array_distinct(runs)).alias("batches"), F.size("p").alias("causes"))
+    """Causes of a supplier in batches of at most six or 7,500 characters; a large supplier spans many tasks."""
+    li = table(spark, base, "lineitem").select(F.col("l_suppkey").cast("string").alias("key"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("o"), (F.col("l_quantity") * 60).cast("int").alias("size"), F.lit(False).alias("head"))
+    runs = S.greedy_segments(li, "key", "o", "size", "head", 6, 7_500, 1 << 30)
+    return runs.groupBy(F.col("key").cast("long").alias("l_suppkey")).agg(F.max("segment").alias("batches"), F.count(F.lit(1)).alias("causes"))
 
 
 @register("src11_artifact_times", "SELECT o_custkey, min(o_orderdate) AS started, max(o_orderdate) AS completed FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docloom.functions.labels import substituted
@@ -9,6 +11,8 @@ from docloom.operators import alignment as A
 from docloom.operators import matrix as M
 from docloom.plans.registry import register
 from docloom.sources import artifacts as R
+from docloom.sources import images as I
+from docloom.sources.shared import shared_folder
 from docloom.sources.tables import table
 
 
@@ -173,3 +177,44 @@ def str20_label_substitution(spark, base):
     ids = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: w.rlike(r"^[a-eA-E][\p{L}\p{N}_]{4,}$")))
     labels = F.map_from_arrays(ids, F.transform(ids, lambda w: F.concat(F.lit("$5 \\b("), w, F.lit("\\1"))))
     return table(spark, base, "documents").where("text is not null").select("doc_id", substituted(F.col("text"), labels).alias("text"))
+
+
+def _with_images(spark, base):
+    """Documents in whose text every third line is followed by an image of its bytes; those of every seventh document are broken."""
+    data = lambda x: F.concat(F.base64(x.cast("binary")), F.when(F.col("doc_id") % 7 == 0, "!").otherwise(""))
+    kind = lambda i: F.when(i % 2 == 0, "png").otherwise("jpeg")
+    x_of = lambda x, i: F.when(i % 3 == 0, F.concat(x, F.lit("![a "), i.cast("string"), F.lit("](data:image/"), kind(i), F.lit(";base64,"), data(F.substring(x, 1, 45)), F.lit(") end"))).otherwise(x)
+    return table(spark, base, "documents").where("text is not null").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), x_of), "\n").alias("markdown"))
+
+
+_IMAGES = """l AS (SELECT doc_id, i - 1 AS i, x, base64(encode(substring(x, 1, 45))) AS b, CASE (i - 1) % 2 WHEN 0 THEN 'png' ELSE 'jpeg' END AS kind
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL))"""
+
+
+@register("str27_extracted_images", f"""WITH {_IMAGES}
+  SELECT doc_id, CAST(i // 3 + 1 AS INTEGER) AS image, 'image_' || (i // 3 + 1) || '.' || kind AS name, 'a ' || i AS alt, kind AS format, sha256(encode(substring(x, 1, 45))) AS sha256, CAST(strlen(substring(x, 1, 45)) AS INTEGER) AS n_bytes
+  FROM l WHERE i % 3 = 0 AND doc_id % 7 <> 0""")
+def str27_extracted_images(spark, base):
+    """The images that documents embed, numbered in their text, with the digests under which they are stored."""
+    return I.extracted(_with_images(spark, base), "markdown")[1].drop("bytes")
+
+
+@register("str27_image_links", f"""WITH {_IMAGES}
+  SELECT doc_id, sha256(string_agg(CASE WHEN i % 3 <> 0 THEN x WHEN doc_id % 7 = 0 THEN x || '![a ' || i || '](data:image/' || kind || ';base64,' || b || '!) end' ELSE x || '![a ' || i || '](image_' || (i // 3 + 1) || '.' || kind || ') end' END, chr(10) ORDER BY i)) AS text_sha256 FROM l GROUP BY 1""")
+def str27_image_links(spark, base):
+    """The markdown with links to files; links that cannot be decoded stay."""
+    return I.extracted(_with_images(spark, base), "markdown")[0].select("doc_id", F.sha2("markdown", 256).alias("text_sha256"))
+
+
+@register("str27_stored_images", f"""WITH {_IMAGES}
+  SELECT sha256(encode(substring(x, 1, 45))) AS sha256, min(kind) AS format, CAST(strlen(any_value(substring(x, 1, 45))) AS INTEGER) AS n_bytes FROM l WHERE i % 3 = 0 AND doc_id % 7 <> 0 AND doc_id % 2 = 0 GROUP BY 1
+  UNION ALL
+  SELECT sha256(encode(substring(x, 1, 45))), min(kind), CAST(strlen(any_value(substring(x, 1, 45))) AS INTEGER) FROM l WHERE i % 3 = 0 AND doc_id % 7 <> 0 AND doc_id % 2 = 1
+    AND substring(x, 1, 45) NOT IN (SELECT substring(x, 1, 45) FROM l WHERE i % 3 = 0 AND doc_id % 7 <> 0 AND doc_id % 2 = 0) GROUP BY 1""")
+def str27_stored_images(spark, base):
+    """A content-addressed store after two runs, of documents with even and with odd ids: each image is there once."""
+    folder = f"{shared_folder(spark)}/images_{uuid.uuid4().hex}"
+    docs = _with_images(spark, base)
+    for half in (0, 1):
+        I.store(I.extracted(docs.where(F.col("doc_id") % 2 == half), "markdown")[1], folder)
+    return I.stored(spark, folder).select("sha256", "format", F.octet_length("bytes").alias("n_bytes"))

@@ -13,6 +13,7 @@ from docloom.plans.text_plans import _LINES, markdown
 from docloom.sources import artifacts as R
 from docloom.sources.shared import shared_folder
 from docloom.sources.tables import table
+from docloom.sources.versions import VersionedTable, content_digest
 
 _S = r"[\s\p{Z}]"
 
@@ -279,3 +280,30 @@ def src6_src8_artifact_scan(spark, base):
     spark.createDataFrame([("{broken",)], "value string").write.text(f"{folder}/bad")
     found = R.scan(spark, folder, "part-*", "id long, n long")
     return found.select(F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@register("dom12_snk3_versions", """
+  WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+  v1 AS (SELECT doc_id, t FROM d WHERE doc_id % 2 = 0),
+  v2 AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN t || ' edited' ELSE t END AS t FROM d WHERE doc_id % 2 = 0 OR doc_id % 3 = 0),
+  v3 AS (SELECT * FROM v2 WHERE doc_id % 4 <> 0),
+  v5 AS (SELECT * FROM v1 UNION ALL SELECT doc_id, t FROM d WHERE doc_id % 7 = 0 AND doc_id % 2 = 1),
+  v6 AS (SELECT * FROM v5 WHERE doc_id % 5 <> 0 UNION ALL SELECT * FROM v3 WHERE doc_id % 5 = 0)
+  SELECT 1 AS version, doc_id, sha256(t) AS text_sha256 FROM v1 UNION ALL SELECT 2, doc_id, sha256(t) FROM v2 UNION ALL SELECT 3, doc_id, sha256(t) FROM v3
+  UNION ALL SELECT 4, doc_id, sha256(t) FROM v1 UNION ALL SELECT 5, doc_id, sha256(t) FROM v5 UNION ALL SELECT 6, doc_id, sha256(t) FROM v6""")
+def dom12_snk3_versions(spark, base):
+    """Six versions of a table: published, edited and added to, reduced, rolled back to the first, added to, and some documents restored as they were in the third."""
+    d = table(spark, base, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    t = VersionedTable(spark, f"{shared_folder(spark)}/versions_{uuid.uuid4().hex}", "doc_id")
+    t.publish(d.where("doc_id % 2 = 0"), remark="first")
+    edited = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    t.publish(d.where("doc_id % 10 = 0 or (doc_id % 3 = 0 and doc_id % 2 = 1)").select("doc_id", edited.alias("text")))
+    t.remove(d.where("doc_id % 4 = 0").select("doc_id"), d.schema)
+    t.rollback(1)
+    t.publish(d.where("doc_id % 7 = 0 and doc_id % 2 = 1"))
+    t.restore(d.where("doc_id % 5 = 0").select("doc_id"), 3)
+    of = lambda v: t.read(v).select(F.lit(v).alias("version"), "doc_id", content_digest("text").alias("text_sha256"))
+    out = of(1)
+    for v in range(2, 7):
+        out = out.unionByName(of(v))
+    return out

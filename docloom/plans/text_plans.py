@@ -9,6 +9,7 @@ from docloom.functions import text as T
 from docloom.functions.labels import substituted
 from docloom.operators import sections as S
 from docloom.plans.registry import register
+from docloom.sources.images import placeholders
 from docloom.sources.tables import table
 
 
@@ -221,7 +222,7 @@ def str21_table_markdown(spark, base):
   SELECT page_id, regexp_replace('![pic](data:image/png;base64,' || md5(url) || ') ' || url, '!\\[[^\\]]*\\]\\(data:image/[^)]*\\)', '[IMAGE]', 'g') AS x FROM pages""")
 def str27_embedded_images(spark, base):
     x = F.concat(F.lit("![pic](data:image/png;base64,"), F.md5("url"), F.lit(") "), F.col("url"))
-    return table(spark, base, "pages").select("page_id", F.regexp_replace(x, r"!\[[^\]]*\]\(data:image/[^)]*\)", "[IMAGE]").alias("x"))
+    return table(spark, base, "pages").select("page_id", placeholders(x).alias("x"))
 
 
 @register("str31_query_redaction", r"""

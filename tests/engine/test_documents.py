@@ -75,24 +75,6 @@ def test_confidence_penalty_and_gate(spark):
     assert S.gate(m.withColumn("citation_coverage", F.lit(1.0)).withColumn("critical_issues", F.lit(1))).first().decision == "rejected"
 
 
-def test_greedy_runs(spark):
-    def model(items):
-        runs, n, chars, run = [], 0, 0, 0
-        for size, head in items:
-            size = max(size, 1)
-            if n == 0 or n >= 4 or chars + size > 18_000 or (head and chars >= 6_000):
-                run, n, chars = run + 1, 0, 0
-            n, chars = n + 1, chars + size
-            runs.append(run)
-        return runs
-
-    rng = random.Random(2)
-    docs = [[(rng.randrange(0, 9000), rng.random() < 0.3) for _ in range(rng.randrange(1, 30))] for _ in range(60)]
-    df = spark.createDataFrame([(i, [s for s, _ in d], [h for _, h in d]) for i, d in enumerate(docs)], "i int, s array<int>, h array<boolean>")
-    for r in df.select("i", S.greedy_runs(F.col("s"), F.col("h")).alias("r")).collect():
-        assert list(r.r) == model(docs[r.i])
-
-
 def test_greedy_segments_of_large_groups(spark):
     rng = random.Random(3)
     rows = [(k, i, rng.randrange(0, 9000), rng.random() < 0.3) for k, n in (("a", 900), ("b", 3), ("c", 1), ("d", 250)) for i in range(n)]
