@@ -1,10 +1,12 @@
 """Token counts of texts under a unigram vocabulary, by dynamic programming over a trie.
 
-Words of a text (with the word mark put before them) are pre-tokens. A worker inserts
-each distinct one in a trie; a node holds the best forward score of its prefix - over
+Words of a text (with the word mark put before them) are pre-tokens. A worker inserts the
+distinct new ones of a slice in a trie, all words at once, one character deeper in each step; a
+node holds the best forward score of its prefix - over
 all ways to cut it in pieces, the highest sum of piece scores - and the pieces that
 this takes, so a prefix that many words share is scored once. Ends of words keep their
-counts, and a text's count is a sum of look-ups.
+counts, and a text's count is a sum of look-ups. Words of more than ``LONG`` characters are
+inserted one by one, by the same recurrence, as steps with few words do not pay.
 
 Piece scores are log shares fitted to the corpus, as a vocabulary of merges has ranks but
 no probabilities: Spark counts the distinct words of all texts, and ``ROUNDS`` rounds of
@@ -22,7 +24,6 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import defaultdict
 from itertools import repeat
 
 import numpy as np
@@ -34,8 +35,10 @@ from docloom.llm.common import SPACE_CLASS, shared
 from docloom.llm.packing import slices
 
 MARK = "▁"
-#: Nodes, and distinct words, that a worker's trie may have before it starts anew (some 150 bytes each).
-NODES, ENDS = 600_000, 300_000
+#: Nodes of long words, and distinct words, that a worker's trie may have before it starts anew (some 200 bytes each).
+NODES, ENDS = 300_000, 500_000
+#: Characters of the longest word that is inserted together with others, and words that are at a time.
+LONG, SLICE = 64, 1 << 15
 #: Rounds of the fit, and what is added to each piece's count.
 ROUNDS, ADD = 2, 0.5
 
@@ -51,6 +54,96 @@ def unigram_scores(path: str) -> dict[str, float]:
     return {sp.id_to_piece(i): -math.log(r + 1) - total for r, i in enumerate(own)}
 
 
+class Pieces:
+    """The vocabulary as a trie in sorted arrays, for many searches at once."""
+
+    def __init__(self, scores: dict[str, float]):
+        self.names, self.score = list(scores), np.array(list(scores.values()), np.float64)
+        below: dict[int, int] = {}
+        piece = [-1]
+        for k, name in enumerate(self.names):
+            node = 0
+            for c in name:
+                key = node << 21 | ord(c)
+                node = below.get(key)
+                if node is None:
+                    node = below[key] = len(piece)
+                    piece.append(-1)
+            piece[node] = k
+        self.piece = np.array(piece, np.int64)
+        keys = np.fromiter(below, np.int64, len(below))
+        order = np.argsort(keys)
+        self.keys, self.below = keys[order], np.fromiter(below.values(), np.int64, len(below))[order]
+        self.longest, self.unknown = max(map(len, scores), default=1), min(scores.values(), default=0.0) - 10
+
+    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The nodes below ``node`` by ``code``; -1 where there are none or ``node`` is -1."""
+        out = np.full(node.shape, -1, np.int64)
+        live = np.flatnonzero(node.ravel() >= 0)
+        if len(self.keys) and len(live):
+            key = node.ravel()[live] << 21 | np.broadcast_to(code, node.shape).ravel()[live]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out.ravel()[live] = np.where(self.keys[at] == key, self.below[at], -1)
+        return out
+
+
+class Forest:
+    """The trie of some words: by node its best score and pieces, the node where its last piece starts, and that piece."""
+
+    def __init__(self, words: list[str], pieces: Pieces):
+        texts = [MARK + w for w in words]
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        order = np.argsort(-size, kind="stable")  # words that end early are at the end
+        code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        first, size = (np.append(0, np.cumsum(size))[:-1])[order], size[order]
+        self.ends = np.zeros(len(texts), np.int64)
+        best, count, cut, last = ([np.zeros(1, kind)] for kind in (np.float64, np.int64, np.int64, np.int64))
+        # of the nodes of a depth: the vocabulary's nodes of all pieces that may end later, by the node where they start
+        state = np.zeros((1, 0), np.int64)
+        at_best, at_count, at_node = np.zeros((1, 0)), np.zeros((1, 0), np.int64), np.zeros((1, 0), np.int64)
+        here, base, known = np.zeros(len(texts), np.int64), 0, 1
+        for depth in range(int(size[0]) if len(size) else 0):
+            live = int(np.searchsorted(-size, -depth, "left"))
+            key, here = np.unique(here[:live] << 21 | code[first[:live] + depth], return_inverse=True)
+            above, c = key >> 21, key & (1 << 21) - 1
+            width = state.shape[0]
+            start = np.arange(width)[:, None]
+            joined = lambda new, old: np.concatenate([new, old], 1)[above, : pieces.longest]  # noqa: B023, E731
+            state = pieces.step(joined(np.zeros((width, 1), np.int64), state), c[:, None])
+            at_best, at_count, at_node = joined(best[-1][:, None], at_best), joined(count[-1][:, None], at_count), joined(base + start, at_node)
+            piece = np.where(state >= 0, pieces.piece[state], -1)
+            value = np.where(piece >= 0, pieces.score[piece] + at_best, -np.inf)
+            n = at_count + 1
+            alone = np.flatnonzero(piece[:, 0] < 0)  # characters that are no piece become bytes
+            octets = np.where(c[alone] < 0x80, 1, np.where(c[alone] < 0x800, 2, np.where(c[alone] < 0x10000, 3, 4)))
+            value[alone, 0], n[alone, 0] = pieces.unknown * octets + at_best[alone, 0], octets + at_count[alone, 0]
+            top = value.max(1)
+            n = np.where(value == top[:, None], n, np.iinfo(np.int64).max)
+            fewest = n.min(1)
+            pick = n.shape[1] - 1 - (n == fewest[:, None])[:, ::-1].argmax(1)  # of equals the longest piece
+            row = np.arange(len(key))
+            best.append(top)
+            count.append(fewest)
+            cut.append(at_node[row, pick])
+            last.append(piece[row, pick])
+            base, known = known, known + len(key)
+            done = int(np.searchsorted(-size, -depth - 1, "left"))
+            self.ends[order[done:live]] = base + here[done:live]
+            keep = (state >= 0).any(0)
+            wide = int(np.flatnonzero(keep)[-1]) + 1 if keep.any() else 0
+            state, at_best, at_count, at_node = (x[:, :wide] for x in (state, at_best, at_count, at_node))
+        self.best, self.count, self.cut, self.last = (np.concatenate(x) for x in (best, count, cut, last))
+
+    def add(self, total: np.ndarray, weight: np.ndarray) -> None:
+        """Add the words' weights to ``total`` at the pieces of their best cuts."""
+        node = self.ends
+        while len(node):
+            piece, known = self.last[node], self.last[node] >= 0
+            np.add.at(total, piece[known], weight[known])
+            node = self.cut[node]
+            node, weight = node[node > 0], weight[node > 0]
+
+
 class ForwardTrie:
     """Trie of pre-tokens with the best forward score and piece count of every prefix."""
 
@@ -59,6 +152,7 @@ class ForwardTrie:
         #: Scores of the pieces, and None for what is only the end of some piece: a search from the right stops beyond these.
         self.tails: dict[str, float | None] = {p[k:]: None for p in scores for k in range(1, len(p))} | scores
         self.unknown = min(scores.values(), default=0.0) - 10
+        self.vocabulary = Pieces(scores)
         self.clear()
 
     def clear(self) -> None:
@@ -112,11 +206,24 @@ class ForwardTrie:
             at = start
         return out[::-1]
 
-    def insert(self, word: bytes) -> None:
-        node = self._walk(MARK + word.decode("utf-8", "replace"))[-1]
-        self.ends[word] = len(self.end_pieces)
-        self.end_pieces.append(self.pieces[node])
-        self.end_scores.append(self.best[node])
+    def insert(self, words: list[bytes]) -> None:
+        """Insert new words and keep their counts and scores."""
+        short, long = [], []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            (short if len(text) < LONG else long).append((w, text))
+        for low in range(0, len(short), SLICE):
+            own = short[low : low + SLICE]
+            grown = Forest([t for _, t in own], self.vocabulary)
+            at = len(self.end_pieces)
+            self.ends.update(zip((w for w, _ in own), range(at, at + len(own)), strict=True))
+            self.end_pieces += grown.count[grown.ends].tolist()
+            self.end_scores += grown.best[grown.ends].tolist()
+        for w, text in long:
+            node = self._walk(MARK + text)[-1]
+            self.ends[w] = len(self.end_pieces)
+            self.end_pieces.append(self.pieces[node])
+            self.end_scores.append(self.best[node])
 
     def count(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words, tokens and score of each text."""
@@ -129,8 +236,7 @@ class ForwardTrie:
             self.clear()
         place = np.fromiter(map(self.ends.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(place < 0).tolist()
-        for w in {words[k] for k in new}:
-            self.insert(w)
+        self.insert(list({words[k]: None for k in new}))
         place[new] = [self.ends[words[k]] for k in new]
         tokens = np.append(0, np.cumsum(np.array(self.end_pieces, np.int64)[place] if len(place) else []))
         score = np.append(0.0, np.cumsum(np.array(self.end_scores)[place] if len(place) else []))
@@ -142,15 +248,24 @@ def _pieces(shared_scores):
     """Sums of the words' counts by piece, over a task's distinct words."""
 
     def run(batches):
-        trie, total = ForwardTrie(shared_scores.value), defaultdict(int)
+        trie = ForwardTrie(shared_scores.value)
+        names = trie.vocabulary.names
+        place, total = {p: k for k, p in enumerate(names)}, np.zeros(len(names), np.int64)
         for b in batches:
-            for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for piece in trie.cuts(word):
-                    total[piece] += n
+            words, n = b.column(0).to_pylist(), b.column(1).to_numpy()
+            short = np.fromiter((len(w) < LONG for w in words), bool, len(words))
+            few = np.flatnonzero(short)
+            for low in range(0, len(few), SLICE):
+                own = few[low : low + SLICE]
+                Forest([words[k] for k in own.tolist()], trie.vocabulary).add(total, n[own])
+            for k in np.flatnonzero(~short).tolist():
+                for piece in trie.cuts(words[k]):
+                    if piece in place:
+                        total[place[piece]] += n[k]
                 if len(trie.best) > NODES:
                     trie.clear()
-        known = [(p, n) for p, n in total.items() if p in shared_scores.value]
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in known], pa.string()), pa.array([n for _, n in known], pa.int64())], ["piece", "n"])
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in used.tolist()], pa.string()), pa.array(total[used])], ["piece", "n"])
 
     return run
 

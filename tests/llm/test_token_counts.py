@@ -89,3 +89,26 @@ def test_fit_equals_brute_force(spark):
         want = {p: math.log(counts.get(p, 0) + token_counts.ADD) - total for p in want}
     got = token_counts.fitted_scores(df, PATH)
     assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want)
+
+
+def test_words_together_equal_words_one_by_one():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(6)
+    words = list({"".join(rng.choice("abcdeß🙂 ▁thing.") for _ in range(rng.randrange(1, 63))) for _ in range(2000)})
+    trie = token_counts.ForwardTrie(SCORES)
+    grown, total = token_counts.Forest(words, trie.vocabulary), np.zeros(len(SCORES), np.int64)
+    grown.add(total, np.arange(len(words)))
+    want = np.zeros(len(SCORES), np.int64)
+    place = {p: k for k, p in enumerate(trie.vocabulary.names)}
+    for k, w in enumerate(words):
+        node = trie._walk(token_counts.MARK + w)[-1]
+        assert (grown.best[grown.ends[k]], grown.count[grown.ends[k]]) == (trie.best[node], trie.pieces[node])
+        for p in trie.cuts(w):
+            if p in place:
+                want[place[p]] += k
+    assert (total == want).all()
+    long = trie.count([("x" * 300 + " " + "y" * 10).encode()])
+    assert long[1][0] == sum(len(trie.cuts(w)) for w in ("x" * 300, "y" * 10))
