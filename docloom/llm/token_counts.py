@@ -87,6 +87,11 @@ class Pieces:
         return out
 
 
+def _with(values: np.ndarray, places: np.ndarray, new: np.ndarray) -> np.ndarray:
+    values[places] = new
+    return values
+
+
 class Forest:
     """The trie of some words: by node its best score and pieces, the node where its last piece starts, and that piece."""
 
@@ -98,40 +103,44 @@ class Forest:
         first, size = (np.append(0, np.cumsum(size))[:-1])[order], size[order]
         self.ends = np.zeros(len(texts), np.int64)
         best, count, cut, last = ([np.zeros(1, kind)] for kind in (np.float64, np.int64, np.int64, np.int64))
-        # of the nodes of a depth: the vocabulary's nodes of all pieces that may end later, by the node where they start
-        state = np.zeros((1, 0), np.int64)
-        at_best, at_count, at_node = np.zeros((1, 0)), np.zeros((1, 0), np.int64), np.zeros((1, 0), np.int64)
+        # pieces that may end later, those of a node together and the longest first: the vocabulary's node, and
+        # the score, count and node where the piece starts
+        number = np.zeros(1, np.int64)
+        state, at_best, at_count, at_node = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
         here, base, known = np.zeros(len(texts), np.int64), 0, 1
         for depth in range(int(size[0]) if len(size) else 0):
             live = int(np.searchsorted(-size, -depth, "left"))
             key, here = np.unique(here[:live] << 21 | code[first[:live] + depth], return_inverse=True)
             above, c = key >> 21, key & (1 << 21) - 1
-            width = state.shape[0]
-            start = np.arange(width)[:, None]
-            joined = lambda new, old: np.concatenate([new, old], 1)[above, : pieces.longest]  # noqa: B023, E731
-            state = pieces.step(joined(np.zeros((width, 1), np.int64), state), c[:, None])
-            at_best, at_count, at_node = joined(best[-1][:, None], at_best), joined(count[-1][:, None], at_count), joined(base + start, at_node)
+            # a node takes over its parent's open pieces, and one more starts at the parent
+            own = number[above] + 1
+            new = np.cumsum(own) - 1
+            row = np.repeat(np.arange(len(key)), own)
+            start = new + 1 - own
+            old = np.arange(len(row)) - start[row] + (np.cumsum(number) - number)[above][row]
+            old[new] = 0
+            taken = lambda fresh, held: _with(held[old] if len(held) else np.zeros(len(old), fresh.dtype), new, fresh)  # noqa: B023, E731
+            state = pieces.step(taken(np.zeros(len(key), np.int64), state), c[row])
+            at_best, at_count, at_node = taken(best[-1][above], at_best), taken(count[-1][above], at_count), taken(base + above, at_node)
             piece = np.where(state >= 0, pieces.piece[state], -1)
-            value = np.where(piece >= 0, pieces.score[piece] + at_best, -np.inf)
-            n = at_count + 1
-            alone = np.flatnonzero(piece[:, 0] < 0)  # characters that are no piece become bytes
-            octets = np.where(c[alone] < 0x80, 1, np.where(c[alone] < 0x800, 2, np.where(c[alone] < 0x10000, 3, 4)))
-            value[alone, 0], n[alone, 0] = pieces.unknown * octets + at_best[alone, 0], octets + at_count[alone, 0]
-            top = value.max(1)
-            n = np.where(value == top[:, None], n, np.iinfo(np.int64).max)
-            fewest = n.min(1)
-            pick = n.shape[1] - 1 - (n == fewest[:, None])[:, ::-1].argmax(1)  # of equals the longest piece
-            row = np.arange(len(key))
+            value, n = np.where(piece >= 0, pieces.score[piece] + at_best, -np.inf), at_count + 1
+            alone = new[piece[new] < 0]  # characters that are no piece become bytes
+            octets = 1 + (c[row[alone]] >= 0x80) + (c[row[alone]] >= 0x800) + (c[row[alone]] >= 0x10000)
+            value[alone], n[alone] = pieces.unknown * octets + at_best[alone], octets + at_count[alone]
+            top = np.maximum.reduceat(value, start)
+            n[value != top[row]] = np.iinfo(np.int64).max
+            fewest = np.minimum.reduceat(n, start)
+            pick = np.minimum.reduceat(np.where(n == fewest[row], np.arange(len(row)), len(row)), start)  # of equals the longest piece
             best.append(top)
             count.append(fewest)
-            cut.append(at_node[row, pick])
-            last.append(piece[row, pick])
+            cut.append(at_node[pick])
+            last.append(piece[pick])
             base, known = known, known + len(key)
             done = int(np.searchsorted(-size, -depth - 1, "left"))
             self.ends[order[done:live]] = base + here[done:live]
-            keep = (state >= 0).any(0)
-            wide = int(np.flatnonzero(keep)[-1]) + 1 if keep.any() else 0
-            state, at_best, at_count, at_node = (x[:, :wide] for x in (state, at_best, at_count, at_node))
+            keep = state >= 0
+            number = np.add.reduceat(keep.astype(np.int64), start)
+            state, at_best, at_count, at_node = (x[keep] for x in (state, at_best, at_count, at_node))
         self.best, self.count, self.cut, self.last = (np.concatenate(x) for x in (best, count, cut, last))
 
     def add(self, total: np.ndarray, weight: np.ndarray) -> None:
