@@ -99,7 +99,12 @@ def str18_table_cells(spark, base):
     return M.table_rows(markdown(spark, base), "doc_id", "markdown").select("doc_id", "line_no", F.array_join("cells", ";").alias("cells"))
 
 
-@register("win13_joined_headings", None)
+@register("win13_joined_headings", r"""
+  WITH l AS (SELECT doc_id, i - 1 AS i, x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+  h AS (
+    SELECT doc_id, i - i % 4 AS i, string_agg(CASE i % 4 WHEN 0 THEN regexp_replace('## ' || x, '\s+$', '') ELSE regexp_replace(regexp_replace(x, '^[#]+', ''), '^\s+|\s+$', '', 'g') END, ' / ' ORDER BY i) AS line FROM l WHERE i % 4 < 2 GROUP BY 1, 2
+    UNION ALL SELECT doc_id, i, CASE i % 4 WHEN 2 THEN '' ELSE x END FROM l WHERE i % 4 >= 2)
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS markdown FROM h GROUP BY 1""")
 def win13_joined_headings(spark, base):
     d = table(spark, base, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 < 2, F.concat(F.lit("## "), x)).when(i % 4 == 2, "").otherwise(x)), "\n").alias("markdown"))
     return A.with_joined_headings(d, "markdown")

@@ -208,7 +208,10 @@ def flt4_workspace_aliases(spark, base):
     return table(spark, base, "documents").select("source").distinct().select("source", aliases.alias("aliases"))
 
 
-@register("snk4_point_rows", None)
+@register("snk4_point_rows", _with(r"""
+  SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id,
+    document_id, lower(trim(system)) AS workspace, lower(trim(system)) IN ('shared', 'global', 'cross-functional') OR is_shared AS is_shared, CAST(page_number AS INTEGER) AS page_number
+  FROM (SELECT *, sha1('\x6b\xa7\xb8\x11\x9d\xad\x11\xd1\x80\xb4\x00\xc0\x4f\xd4\x30\xc8'::BLOB || encode(document_id || ':' || chunk_id)) AS h FROM chunks)"""))
 def snk4_point_rows(spark, base):
     """Point rows for publication: name-based id, normal workspace, shared flag, first page."""
     c = chunks(spark, base)

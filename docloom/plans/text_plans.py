@@ -114,18 +114,29 @@ def agg18_section_metadata(spark, base):
     )
 
 
-@register("win4_greedy_segments", None)
+_GREEDY = """r AS (
+    SELECT source || '/' || lang AS bundle, doc_id, text, row_number() OVER (PARTITION BY source || '/' || lang ORDER BY doc_id) AS i, greatest(1, coalesce(length(text), 0)) AS size, doc_id % 5 = 0 AS head FROM documents),
+  f AS (
+    SELECT bundle, CAST(0 AS BIGINT) AS i, 0 AS run, 0 AS n, CAST(0 AS BIGINT) AS chars FROM r GROUP BY 1
+    UNION ALL
+    SELECT bundle, i, CASE WHEN cut THEN run + 1 ELSE run END, CASE WHEN cut THEN 1 ELSE n + 1 END, CASE WHEN cut THEN size ELSE chars + size END FROM (
+      SELECT f.bundle, f.i + 1 AS i, run, n, chars, size, n = 0 OR n >= 4 OR chars + size > 18000 OR (head AND chars >= 6000) AS cut FROM f JOIN r ON r.bundle = f.bundle AND r.i = f.i + 1)),
+  segments AS (SELECT r.bundle, r.doc_id, r.text, CAST(run AS INTEGER) AS segment FROM r JOIN f ON f.bundle = r.bundle AND f.i = r.i)"""
+
+
+@register("win4_greedy_segments", f"WITH RECURSIVE {_GREEDY} SELECT bundle, doc_id, segment FROM segments")
 def win4_greedy_segments(spark, base):
     """Pages of a source and language, in id order, packed greedily into segments: a fold over each one's ordered sizes."""
     d = table(spark, base, "documents").select("lang", "source", "doc_id", F.length("text").alias("size"), (F.col("doc_id") % 5 == 0).alias("head"))
     return S.greedy_segments(d.withColumn("bundle", F.concat_ws("/", "source", "lang")), "bundle", "doc_id", "size", "head")
 
 
-@register("agg25_segment_rollup", None)
+@register("agg25_segment_rollup", f"""WITH RECURSIVE {_GREEDY}
+  SELECT bundle, segment, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS pages, CAST(length(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS INTEGER) AS chars, substring(min_by(text, doc_id), 1, 30) AS title FROM segments GROUP BY 1, 2""")
 def agg25_segment_rollup(spark, base):
     s = win4_greedy_segments(spark, base).join(table(spark, base, "documents").select("doc_id", "text"), "doc_id")
     g = s.groupBy("bundle", "segment").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("p"))
-    return g.select("bundle", "segment", F.col("p.doc_id").alias("pages"), F.length(F.array_join("p.text", "\n\n")).alias("chars"), F.substring(F.get("p.text", F.lit(0)), 1, 30).alias("title"))
+    return g.select("bundle", "segment", F.array_join(F.col("p.doc_id").cast("array<string>"), ",").alias("pages"), F.length(F.array_join("p.text", "\n\n")).alias("chars"), F.substring(F.get("p.text", F.lit(0)), 1, 30).alias("title"))
 
 
 @register("str5_conversation_title", r"""
