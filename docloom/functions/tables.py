@@ -99,17 +99,36 @@ def preceding(markdown: Column, at: Column, window: int = 200) -> Column:
 
 
 def caption(context: Column) -> Column:
-    """The text after ``Figure n`` on its line; null if there is none."""
-    return F.when(context.rlike(r"[Ff]igure\s+\d+"), F.trim(F.regexp_extract(context, r"[Ff]igure\s+\d+[:.]?\s*([^\n]*)", 1)))
+    """What follows ``Figure n`` on the first line that has it; null if none has."""
+    lines = F.transform(F.split(context, "\n"), T.collapse_spaces)
+    place = lambda x: F.regexp_instr(x, F.lit("[Ff]igure [0-9]"))
+    line = F.get(F.filter(lines, lambda x: place(x) > 0), F.lit(0))
+    behind = F.regexp_replace(F.substr(line, place(line) + len("figure ")), "^[0-9]+", "")
+    mark = F.substring(behind, 1, 1).isin(":", ".")
+    return F.trim(F.when(mark, F.substr(behind, F.lit(2))).otherwise(behind))
 
 
-_VISUAL = r"##\s+Additional\s+Visual\s+Elements\s*\(\s*Page\s*(\d+)\s*\)\s*"
+# Fixed value: the heading of an appended block of visual elements, before its page in brackets.
+VISUAL_HEADING = "Additional Visual Elements"
+_BREAK = "\x1e\x1f"
+
+
+def _visual_page(line: Column) -> Column:
+    """The page of a block's heading line, by its parts: two signs, the words, a number in brackets; null for other lines."""
+    words, number = F.substring_index(line, "(", 1), F.substring_index(line, "(", -1)
+    named = line.startswith("##") & (T.collapse_spaces(words) == f"## {VISUAL_HEADING}")
+    inner = T.strip(number)
+    closed = inner.endswith(")") & T.strip(F.substring(inner, 1, 4)).eqNullSafe("Page")
+    page = T.strip(F.substr(inner, F.lit(5), F.length(inner) - 5))
+    return F.when(named & closed & page.rlike("^[0-9]+$"), page.try_cast("int"))
 
 
 def visual_parts(markdown: Column) -> Column:
-    """``clean`` markdown, and ``blocks`` (page, text): the appended blocks of visual elements, each up to the next."""
-    parts = F.split(markdown, f"(?m)(?=^{_VISUAL}$)")
-    block = lambda x: x.rlike(rf"\A{_VISUAL}(?:\n|\z)|\A{_VISUAL}$")
-    page = lambda x: F.regexp_extract(x, _VISUAL, 1).cast("int")
-    blocks = F.transform(F.filter(parts, block), lambda x: F.struct(page(x).alias("page"), x.alias("text")))
-    return F.struct(F.array_join(F.filter(parts, lambda x: ~block(x)), "").alias("clean"), blocks.alias("blocks"))
+    """``clean`` markdown, and ``blocks`` (page, text): the appended blocks of visual elements, each up to the next.
+
+    Heading lines are marked by two control characters that texts do not hold, at which the text is cut.
+    """
+    marked = F.transform(F.split(markdown, "\n"), lambda x: F.when(_visual_page(x).isNotNull(), F.concat(F.lit(_BREAK), x)).otherwise(x))
+    parts = F.split(F.array_join(marked, "\n"), _BREAK)
+    blocks = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.struct(_visual_page(F.substring_index(x, "\n", 1)).alias("page"), x.alias("text")))
+    return F.struct(F.get(parts, F.lit(0)).alias("clean"), blocks.alias("blocks"))

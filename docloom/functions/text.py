@@ -103,14 +103,22 @@ def match_form(x: Column) -> Column:
     return F.lower(strip(F.regexp_replace(text, r"(?U)[^\w\s|%-]", "")))
 
 
+# What is asked of a section, by what its heading tells; {} is the page, the heading in lower case, or the heading.
+QUESTIONS = {
+    "page": "What is covered on page {}?",
+    "nothing": "What should you know from this section?",
+    "page heading": "What is covered on {}?",
+    "topic": "What does this section explain about {}?",
+}
+
+
 def heading_question(heading: Column, page: Column) -> Column:
     """A heading as a question; without one, a question about the page."""
-    text = F.regexp_replace(F.regexp_replace(F.coalesce(heading, F.lit("")), r"(?U)\s+", " "), r"^[ #:\-\t\n]+|[ #:\-\t\n]+$", "")
-    about_page = F.concat(F.lit("What is covered on page "), page.cast("string"), F.lit("?"))
-    return (
-        F.when((text == "") & (page > 0), about_page)
-        .when(text == "", F.lit("What should you know from this section?"))
-        .when(text.endswith("?"), text)
-        .when(text.rlike(r"(?iU)^Page\s+\d+$"), F.concat(F.lit("What is covered on "), F.lower(text), F.lit("?")))
-        .otherwise(F.concat(F.lit("What does this section explain about "), text, F.lit("?")))
-    )
+    name = F.btrim(collapse_spaces(F.coalesce(heading, F.lit(""))), F.lit(" #:-"))
+    words = F.split(F.lower(name), " ")
+    is_page = (F.size(words) == 2) & (F.get(words, F.lit(0)) == "page") & F.get(words, F.lit(1)).rlike(r"(?U)^\d+$")
+    empty = F.when(page > 0, "page").otherwise("nothing")
+    kind = F.when(name == "", empty).when(is_page, "page heading").otherwise("topic")
+    about = F.when(kind == "page", page.cast("string")).when(kind == "page heading", F.lower(name)).otherwise(name)
+    form = F.create_map(*[F.lit(x) for pair in QUESTIONS.items() for x in pair])[kind]
+    return F.when(name.endswith("?"), name).otherwise(F.replace(form, F.lit("{}"), F.coalesce(about, F.lit(""))))

@@ -32,7 +32,7 @@ def chunks(spark: SparkSession, base: str) -> DataFrame:
         F.lower("source").alias("workspace"),
         F.col("lang").alias("document_type"),
         (F.col("doc_id") % 7 == 0).alias("is_shared"),
-        F.substring("text", 1, 40).alias("section_heading"),
+        F.get(F.split("text", "\n"), F.lit(0)).alias("section_heading"),
         (F.col("doc_id") % 50 + 1).cast("int").alias("page_number"),
     )
 
@@ -55,7 +55,7 @@ _CTE = f"""
 chunks AS (
   SELECT CAST(doc_id AS VARCHAR) AS chunk_id, 'doc-' || doc_id AS document_id, 'Title ' || doc_id AS document_title, text AS content,
          embedding AS vector, upper(source) AS system, lower(source) AS workspace, lang AS document_type, doc_id % 7 = 0 AS is_shared,
-         substring(text, 1, 40) AS section_heading, doc_id % 50 + 1 AS page_number
+         string_split(text, chr(10))[1] AS section_heading, doc_id % 50 + 1 AS page_number
   FROM documents JOIN embeddings ON doc_id = vec_id),
 queries AS (
   SELECT vec_id AS query_id, embedding AS q_vector,

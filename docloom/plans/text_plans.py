@@ -16,11 +16,11 @@ from docloom.sources.tables import table
 def markdown(spark, base):
     """Each document as markdown: its lines become headings, cited text, table rows, bullets and figures in turn."""
     x_of = lambda x, i: (
-        F.when(i % 6 == 0, F.concat(F.lit("## "), F.substring(x, 1, 40), F.when(F.col("doc_id") % 3 == 0, "?").otherwise("")))
+        F.when(i % 6 == 0, F.concat(F.lit("## "), x, F.when(F.col("doc_id") % 3 == 0, "?").otherwise("")))
         .when(i % 6 == 1, F.concat(x, F.lit(" [Source: D, Page "), i.cast("string"), F.lit("]")))
-        .when(i % 6 == 2, F.lit("| Tag | Value |")).when(i % 6 == 3, F.lit("|---|---|"))
-        .when(i % 6 == 4, F.concat(F.when(F.col("doc_id") % 2 == 0, "- ").otherwise(""), F.regexp_replace(F.substring(x, 1, 60), "[-*] ", "")))
-        .otherwise(F.concat(F.lit("!["), F.regexp_replace(F.substring(x, 1, 20), r"[\]\[]", ""), F.lit("](img.png)")))
+        .when(i % 6 == 2, F.concat(F.lit("| Tag | "), x, F.lit(" |"))).when(i % 6 == 3, F.concat(F.lit("|---|---| "), x))
+        .when(i % 6 == 4, F.concat(F.when(F.col("doc_id") % 2 == 0, "- ").otherwise(""), F.regexp_replace(x, "[-*] ", "")))
+        .otherwise(F.concat(F.lit("!["), F.regexp_replace(x, r"[\]\[]", ""), F.lit("](img.png)")))
     )
     d = table(spark, base, "documents")
     return d.select("doc_id", F.concat(F.lit("Doc "), "doc_id").alias("title"), F.array_join(F.transform(F.split("text", "\n"), x_of), "\n").alias("markdown"))
@@ -28,10 +28,10 @@ def markdown(spark, base):
 
 _LINES = r"""lines AS (
   SELECT doc_id, i - 1 AS i, CASE (i - 1) % 6
-      WHEN 0 THEN '## ' || substring(x, 1, 40) || CASE WHEN doc_id % 3 = 0 THEN '?' ELSE '' END
-      WHEN 1 THEN x || ' [Source: D, Page ' || (i - 1) || ']' WHEN 2 THEN '| Tag | Value |' WHEN 3 THEN '|---|---|'
-      WHEN 4 THEN CASE WHEN doc_id % 2 = 0 THEN '- ' ELSE '' END || regexp_replace(substring(x, 1, 60), '[-*] ', '', 'g')
-      ELSE '![' || regexp_replace(substring(x, 1, 20), '[\]\[]', '', 'g') || '](img.png)' END AS line
+      WHEN 0 THEN '## ' || x || CASE WHEN doc_id % 3 = 0 THEN '?' ELSE '' END
+      WHEN 1 THEN x || ' [Source: D, Page ' || (i - 1) || ']' WHEN 2 THEN '| Tag | ' || x || ' |' WHEN 3 THEN '|---|---| ' || x
+      WHEN 4 THEN CASE WHEN doc_id % 2 = 0 THEN '- ' ELSE '' END || regexp_replace(x, '[-*] ', '', 'g')
+      ELSE '![' || regexp_replace(x, '[\]\[]', '', 'g') || '](img.png)' END AS line
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
 marked AS (SELECT *, regexp_matches(line, '^##[ \t]+[^ \t\r\n]') AS head FROM lines),
 numbered AS (SELECT *, CAST(sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS section_no FROM marked),
