@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.operators.numbering import numbered_rows
 from docloom.sources.shared import shared
 
 WIDE, DEFAULT_BOUND, LABEL_LENGTH, SAMPLE_ROWS = 12, 6, 8, 15
@@ -166,3 +167,42 @@ def bullets(relations: DataFrame, key: str) -> DataFrame:
     line = F.concat(F.lit("- "), "marker", F.lit(": "), "effect_label")
     g = relations.withColumn("l", line).groupBy(key, "cause_id").agg(F.array_sort(F.collect_list(F.struct("row_line", "column", "l"))).alias("x"))
     return g.select(key, "cause_id", F.array_join("x.l", "\n").alias("markdown"))
+
+
+#: Effects that a cause's chunk lists.
+LISTED = 3
+
+
+def relation_chunks(rows: DataFrame, key: str) -> DataFrame:
+    """(key, chunk_no, chunk_id, chunk_type, heading, content): a question, a fact and its relations' edges of each cause.
+
+    ``chunk_no`` runs through all sheets, causes in order of their ids, a question and a fact before the edges.
+    """
+    rel, own = shared(relations(rows, key)), causes(rows, key)
+    line = F.concat(F.lit("  - Effect `"), "effect_label", F.lit("` ["), "marker", F.lit(": "), F.replace("marker_semantic", F.lit("_"), F.lit(" ")), F.lit("]"))
+    k = F.row_number().over(W.partitionBy(key, "cause_id").orderBy("relation_id"))
+    listed = rel.withColumns({"_k": k, "_line": line}).groupBy(key, "cause_id").agg(
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("_k") <= LISTED, F.struct("_k", "_line")))).alias("x")
+    )
+    label = F.coalesce(T.blank_to_null(F.col("cause_tag")), T.blank_to_null(F.col("cause_ref")), F.col("cause_id"))
+    c = own.join(listed, [key, "cause_id"], "left").withColumns({"label": label, "n": F.coalesce("n", F.lit(0)), "effects": F.coalesce("x._line", F.array().cast("array<string>"))})
+    given = lambda name, x, quote="": F.when(T.blank_to_null(x).isNotNull(), F.concat(F.lit(f"- {name}: {quote}"), x, F.lit(quote)))
+    more = F.when(F.col("n") > LISTED, F.concat(F.lit("  - ... and "), (F.col("n") - LISTED).cast("string"), F.lit(" more effect(s).")))
+    question = F.concat_ws(
+        "\n", F.concat(F.lit("- Cause `"), "cause_id", F.lit("` has "), F.col("n").cast("string"), F.lit(" mapped effect relation(s).")), given("Reference", F.col("cause_ref"), "`"),
+        given("Description", F.col("cause_description")), F.when(F.col("n") > 0, "- Mapped effects:"), F.array_join("effects", "\n"), more,
+    )
+    fact = F.concat_ws("\n", F.concat(F.lit("- Cause ID: `"), "cause_id", F.lit("`")), given("Cause tag", F.col("cause_tag"), "`"), given("Cause reference", F.col("cause_ref"), "`"), given("Description", F.col("cause_description")))
+    sheet = F.col(key).cast("string")
+    both = c.select(key, "cause_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("part"), F.lit("question_heading_chunk").alias("chunk_type"), F.concat(F.lit("What does cause "), "label", F.lit(" indicate on "), sheet, F.lit("?")).alias("heading"), question.alias("content")),
+        F.struct(F.lit(1).alias("part"), F.lit("row_fact_chunk").alias("chunk_type"), F.concat(F.lit("What fact is recorded for cause "), "label", F.lit("?")).alias("heading"), fact.alias("content")),
+    )).alias("p")).select(key, "cause_id", "p.part", F.lit("").alias("relation_id"), "p.chunk_type", "p.heading", "p.content")
+    told = F.concat(F.lit("- Cause `"), "cause_id", F.lit("` triggers effect `"), "effect_id", F.lit("`.\n- Marker: `"), "marker", F.lit("` ("), "marker_semantic", F.lit(")."))
+    edges = rel.join(c.select(key, "cause_id", "label"), [key, "cause_id"]).select(
+        key, "cause_id", F.lit(2).alias("part"), "relation_id", F.lit("relation_edge_chunk").alias("chunk_type"), F.concat(F.lit("How does "), "label", F.lit(" affect "), "effect_label", F.lit("?")).alias("heading"), told.alias("content")
+    )
+    out = numbered_rows(both.unionByName(edges), [key, "cause_id", "part", "relation_id"], "chunk_no")
+    stem = F.when(F.col("part") == 0, "question_heading_").otherwise("row_fact_")
+    name = F.when(F.col("part") == 2, F.concat(F.lit("relation_edge_"), "relation_id")).otherwise(F.concat(stem, F.lpad(F.col("chunk_no").cast("string"), F.greatest(F.lit(4), F.length(F.col("chunk_no").cast("string"))), F.lit("0"))))
+    return out.select(key, "chunk_no", name.alias("chunk_id"), "chunk_type", "heading", "content")

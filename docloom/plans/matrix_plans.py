@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import json_repair as J
 from docloom.operators import alignment as A
+from docloom.operators import answers as N
 from docloom.operators import matrix as M
 from docloom.plans.registry import register
 from docloom.plans.text_plans import _LINES, markdown
@@ -217,3 +218,59 @@ def map1_sampling(spark, base):
     rate = F.when(level.isin("critical", "high"), 100).when(level == "medium", 50).otherwise(15)
     place = F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 8), 16, 10).cast("long") % 100
     return table(spark, base, "orders").where(place < rate).select("o_orderkey", level.alias("level"))
+
+
+@register("dom2_relation_chunks", f"""WITH {_M},
+  listed AS (SELECT sheet, cause_id, count(*) AS n, string_agg('  - Effect `' || effect_label || '` [' || marker || ': ' || replace(marker_semantic, '_', ' ') || ']', chr(10) ORDER BY relation_id) FILTER (k <= 3) AS x
+    FROM (SELECT *, row_number() OVER (PARTITION BY sheet, cause_id ORDER BY relation_id) AS k FROM relations) GROUP BY 1, 2),
+  c AS (SELECT sheet, c, cause_id, coalesce(n, 0) AS n, x FROM causes LEFT JOIN listed USING (sheet, cause_id)),
+  chunks AS (
+    SELECT sheet, cause_id, 0 AS part, '' AS relation_id, 'question_heading_chunk' AS chunk_type, 'What does cause TAG-' || c || ' indicate on ' || sheet || '?' AS heading,
+      '- Cause `' || cause_id || '` has ' || n || ' mapped effect relation(s).' || chr(10) || '- Reference: `R' || c || '`' || chr(10) || '- Description: Cause number ' || c
+        || CASE WHEN n > 0 THEN chr(10) || '- Mapped effects:' ELSE '' END || chr(10) || coalesce(x, '') || CASE WHEN n > 3 THEN chr(10) || '  - ... and ' || (n - 3) || ' more effect(s).' ELSE '' END AS content FROM c
+    UNION ALL SELECT sheet, cause_id, 1, '', 'row_fact_chunk', 'What fact is recorded for cause TAG-' || c || '?',
+      '- Cause ID: `' || cause_id || '`' || chr(10) || '- Cause tag: `TAG-' || c || '`' || chr(10) || '- Cause reference: `R' || c || '`' || chr(10) || '- Description: Cause number ' || c FROM c
+    UNION ALL SELECT r.sheet, r.cause_id, 2, relation_id, 'relation_edge_chunk', 'How does TAG-' || c || ' affect ' || effect_label || '?',
+      '- Cause `' || r.cause_id || '` triggers effect `' || effect_id || '`.' || chr(10) || '- Marker: `' || marker || '` (' || marker_semantic || ').' FROM relations r JOIN c ON c.sheet = r.sheet AND c.cause_id = r.cause_id),
+  k AS (SELECT *, row_number() OVER (ORDER BY sheet, cause_id, part, relation_id) AS chunk_no FROM chunks)
+  SELECT sheet, chunk_no, CASE part WHEN 2 THEN 'relation_edge_' || relation_id ELSE CASE part WHEN 0 THEN 'question_heading_' ELSE 'row_fact_' END || lpad(CAST(chunk_no AS VARCHAR), CAST(greatest(4, length(CAST(chunk_no AS VARCHAR))) AS INTEGER), '0') END AS chunk_id,
+    chunk_type, heading, content FROM k""")
+def dom2_relation_chunks(spark, base):
+    """Questions, facts and edges of all sheets, numbered through."""
+    return M.relation_chunks(matrix_rows(spark, base), "sheet")
+
+
+@register("map1_risk_sampling", """
+  WITH s AS (
+    SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'Safety notes' WHEN 1 THEN 'Overview' WHEN 2 THEN 'Product Specifications' WHEN 3 THEN role WHEN 4 THEN NULL ELSE 'Summary of tables' END AS heading,
+      CASE WHEN conv_id % 5 = 0 THEN text || ' see SPECIFICATION' ELSE text END AS content, conv_id % 7 = 0 AS has_tables FROM conversations),
+  r AS (SELECT conv_id, turn, CASE WHEN regexp_matches(lower(coalesce(heading, '')), 'safety|warning|critical|specification') THEN 'critical' WHEN has_tables OR contains(lower(coalesce(content, '')), 'specification') THEN 'high'
+      WHEN regexp_matches(lower(coalesce(heading, '')), 'introduction|overview|summary') THEN 'low' ELSE 'medium' END AS risk_level, CAST('0x' || substring(md5(conv_id || chr(31) || turn), 1, 8) AS BIGINT) % 100 AS place FROM s)
+  SELECT conv_id, turn, risk_level, place < CASE risk_level WHEN 'medium' THEN 50 WHEN 'low' THEN 15 ELSE 100 END AS sampled FROM r""")
+def map1_risk_sampling(spark, base):
+    """Sections classified by heading, tables and content, and drawn at the rate of their risk."""
+    heads = F.array(*[F.lit(x) for x in ("Safety notes", "Overview", "Product Specifications")], F.col("role"), F.lit(None).cast("string"), F.lit("Summary of tables"))
+    c = table(spark, base, "conversations").withColumn("heading", F.get(heads, (F.col("turn") % 6).cast("int")))
+    content = F.when(F.col("conv_id") % 5 == 0, F.concat("text", F.lit(" see SPECIFICATION"))).otherwise(F.col("text"))
+    return N.sampled(c.withColumn("risk_level", N.risk_level(F.col("heading"), content, F.col("conv_id") % 7 == 0)), ["conv_id", "turn"]).select("conv_id", "turn", "risk_level", "sampled")
+
+
+@register("stm4_answer_events", """
+  WITH t AS (
+    SELECT conv_id, turn, text, CASE WHEN conv_id % 4 = 0 THEN [] ELSE ['cite-1', 'cite-2'] END AS citations, CASE WHEN (conv_id + turn) % 11 = 0 THEN 'model lost' END AS error,
+      CASE WHEN conv_id % 3 = 0 THEN ['', ' '] ELSE string_split(text, ' ') END AS tokens FROM conversations WHERE role = 'assistant'),
+  e AS (
+    SELECT conv_id, turn, list_concat(list_transform(tokens, lambda x: {'event': 'token', 'payload': x}), [{'event': 'error', 'payload': error}]) AS ev FROM t WHERE error IS NOT NULL
+    UNION ALL SELECT conv_id, turn, [{'event': 'token', 'payload': 'Nothing was found.'}, {'event': 'complete', 'payload': CAST(NULL AS VARCHAR)}] FROM t WHERE error IS NULL AND len(citations) = 0
+    UNION ALL SELECT conv_id, turn, list_concat(list_transform(tokens, lambda x: {'event': 'token', 'payload': x}), CASE WHEN trim(array_to_string(tokens, '')) = '' AND text <> '' THEN [{'event': 'token', 'payload': text}] ELSE [] END,
+      list_transform(citations, lambda x: {'event': 'citation', 'payload': x}), [{'event': 'complete', 'payload': CAST(NULL AS VARCHAR)}]) FROM t WHERE error IS NULL AND len(citations) > 0)
+  SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS seq, ev[i].event AS event, coalesce(ev[i].payload, '') AS payload FROM e, LATERAL (SELECT unnest(range(1, len(ev) + 1)) AS i)""")
+def stm4_answer_events(spark, base):
+    """Answers as a client sees them: tokens, the whole text where a stream was blank, citations, the end; no context; errors."""
+    c = table(spark, base, "conversations").where("role = 'assistant'")
+    none = F.array().cast("array<string>")
+    turns = c.select(
+        "conv_id", "turn", F.col("text").alias("whole"), F.when(F.col("conv_id") % 4 == 0, none).otherwise(F.array(F.lit("cite-1"), F.lit("cite-2"))).alias("citations"),
+        F.when((F.col("conv_id") + F.col("turn")) % 11 == 0, "model lost").alias("error"), F.when(F.col("conv_id") % 3 == 0, F.array(F.lit(""), F.lit(" "))).otherwise(F.split("text", " ")).alias("tokens"),
+    )
+    return N.answer_events(turns, ["conv_id", "turn"], "Nothing was found.").withColumn("payload", F.coalesce("payload", F.lit("")))
