@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.labels import substituted
 from docloom.operators import alignment as A
+from docloom.operators import figures as G
 from docloom.operators import matrix as M
 from docloom.plans.registry import register
 from docloom.sources import artifacts as R
@@ -218,3 +219,68 @@ def str27_stored_images(spark, base):
     for half in (0, 1):
         I.store(I.extracted(docs.where(F.col("doc_id") % 2 == half), "markdown")[1], folder)
     return I.stored(spark, folder).select("sha256", "format", F.octet_length("bytes").alias("n_bytes"))
+
+
+def _with_figures(spark, base):
+    """Every line of a document in turn a linked image, a described figure with wide gaps, and plain."""
+    clean = lambda x: F.regexp_replace(x, r"[\[\]()*]", "")
+    x_of = lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("!["), clean(x), F.lit("](f"), i.cast("string"), F.lit(".png)"))).when(i % 3 == 1, F.concat(F.lit("**[Figure "), i.cast("string"), F.lit(":  "), F.replace(clean(x), F.lit(" "), F.lit("  ")), F.lit("]**"))).otherwise(x)
+    return table(spark, base, "documents").where("text is not null").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), x_of), "\n").alias("markdown"))
+
+
+@register("set4_extracted_figures", r"""
+  WITH l AS (SELECT doc_id, i - 1 AS i, regexp_replace(x, '[\[\]()*]', '', 'g') AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)),
+  u AS (SELECT doc_id, i, 0 AS k, 'linked' AS kind, '' AS caption, c AS description, 'f' || i || '.png' AS path FROM l WHERE i % 3 = 0
+    UNION ALL SELECT doc_id, i, 1, 'described', 'Figure ' || i, regexp_replace(regexp_replace(c, '[\s\p{Z}]+', ' ', 'g'), '^ | $', '', 'g'), '' FROM l WHERE i % 3 = 1)
+  SELECT doc_id, printf('figure_%03d', row_number() OVER (PARTITION BY doc_id ORDER BY k, i)) AS figure_id, kind, caption, description, path FROM u""")
+def set4_extracted_figures(spark, base):
+    """Linked images and described figures of each document under running numbers."""
+    out = G.figures(_with_figures(spark, base), "doc_id", "markdown")
+    return out.select("doc_id", "figure_id", "kind", *[F.coalesce(c, F.lit("")).alias(c) for c in ("caption", "description", "path")])
+
+
+@register("str32_inserted_descriptions", """
+  WITH l AS (SELECT doc_id, i - 1 AS i, x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)),
+  m AS (SELECT doc_id, string_agg(CASE WHEN i % 4 = 0 AND doc_id % 3 <> 0 THEN '<!-- Page ' || (i // 4 + 1) || ' -->' || chr(10) || x ELSE x END, chr(10) ORDER BY i) AS md, max(i) // 4 + 1 AS last, count(*) AS n FROM l GROUP BY 1),
+  s AS (SELECT doc_id, x, chr(10) || chr(10) || '### Visual Elements' || chr(10) || chr(10) || '**Figure on page 1**' || chr(10) || chr(10) || '$1 ' || x || chr(10) || chr(10) || '**T**' || chr(10) || chr(10) || chr(10) || chr(10) AS sec FROM l WHERE i = 0)
+  SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN md || chr(10) || chr(10) || '## Additional Visual Elements (Page 1)' || chr(10) || sec
+    WHEN last > 1 THEN substring(md, 1, instr(md, '<!-- Page 2 -->') - 1) || sec || chr(10) || substring(md, instr(md, '<!-- Page 2 -->'))
+    ELSE '<!-- Page 1 -->' || sec || substring(md, 16) END) AS text_sha256 FROM m JOIN s USING (doc_id)""")
+def str32_inserted_descriptions(spark, base):
+    """Two descriptions of the first page: before the second page's marker, behind the only one, or at the end where there is none."""
+    x_of = lambda x, i: F.when((i % 4 == 0) & (F.col("doc_id") % 3 != 0), F.concat(F.lit("<!-- Page "), (F.floor(i / 4) + 1).cast("string"), F.lit(" -->\n"), x)).otherwise(x)
+    d = table(spark, base, "documents").where("text is not null")
+    docs = d.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), x_of), "\n").alias("markdown"))
+    own = F.array(F.struct(F.lit(1).alias("place"), F.lit(None).cast("string").alias("title"), F.concat(F.lit("$1 "), F.get(F.split("text", "\n"), F.lit(0))).alias("description")), F.struct(F.lit(2).alias("place"), F.lit("T").alias("title"), F.lit(None).cast("string").alias("description")))
+    told = d.select("doc_id", F.lit(1).alias("page"), F.explode(own).alias("e")).select("doc_id", "page", "e.*")
+    return G.with_descriptions(docs, told, "doc_id", "markdown").select("doc_id", F.sha2("markdown", 256).alias("text_sha256"))
+
+
+@register("jsn5_review_fields", """
+  SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_type WHEN event_id % 4 = 1 THEN json_extract_string(props, '$.k') WHEN event_id % 4 = 2 THEN 'u' || user_id ELSE '' END AS device FROM events""")
+def jsn5_review_fields(spark, base):
+    """A device by the required fields, then by two fields of the payload; blank ones are passed over."""
+    e, m = table(spark, base, "events"), F.col("event_id") % 4
+    text = lambda x: F.concat(F.lit(' "'), x, F.lit(' "'))
+    raw = (
+        F.when(m == 0, F.concat(F.lit('{"required_fields": {"device": " ", "tag":'), text(F.col("event_type")), F.lit('}, "device": "no"}')))
+        .when(m == 1, F.concat(F.lit('{"required_fields": {"device": null}, "device": '), F.get_json_object("props", "$.k"), F.lit("}")))
+        .when(m == 2, F.concat(F.lit('{"required_fields": [], "name":'), text(F.concat(F.lit("u"), "user_id")), F.lit("}"))).otherwise(F.lit('{"x": 1}'))
+    )
+    return e.select("event_id", G.review_field(raw, ["device", "tag"], ["device", "name"]).alias("device"))
+
+
+@register("dt2_current_artifacts", """
+  WITH t AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS TIMESTAMP) AS d, CASE o_custkey % 5 WHEN 0 THEN NULL ELSE TIMESTAMP '1995-01-01' + INTERVAL 1 DAY * (o_custkey % 700) END AS started FROM orders),
+  c AS (SELECT *, CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN d WHEN 2 THEN d - INTERVAL 2 HOUR WHEN 3 THEN d WHEN 4 THEN d + INTERVAL 90 MINUTE WHEN 5 THEN NULL ELSE d END AS completed FROM t)
+  SELECT o_orderkey, started IS NULL OR coalesce(completed >= started, false) AS current FROM c""")
+def dt2_current_artifacts(spark, base):
+    """Artifacts of the run that is going on, by ISO times with and without offsets, dates, and texts that are none."""
+    k, d = F.col("o_orderkey") % 7, F.col("o_orderdate").cast("timestamp")
+    iso = lambda t, tail="": F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(tail))
+    raw = (
+        F.when(k == 0, "not a date").when(k == 1, iso(d)).when(k == 2, iso(d, "+02:00")).when(k == 3, F.date_format(d, "yyyy-MM-dd")).when(k == 4, F.replace(iso(d + F.expr("INTERVAL 90 MINUTES"), ".000Z"), F.lit("T"), F.lit(" "))).when(k == 5, "2024-13-45T00:00:00")
+        .otherwise(iso(d, "Z"))
+    )
+    started = F.when(F.col("o_custkey") % 5 != 0, F.lit("1995-01-01").cast("timestamp") + F.make_dt_interval((F.col("o_custkey") % 700).cast("int")))
+    return table(spark, base, "orders").select("o_orderkey", G.of_current_run(G.iso_time(raw), started).alias("current"))
