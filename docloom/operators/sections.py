@@ -274,11 +274,12 @@ def sharing(a: DataFrame, b: DataFrame, key_a: str, key_b: str, tokens: str, lea
     """(key_a, key_b, shared) of the pairs with at least ``least`` common tokens; ``tokens`` are distinct.
 
     Tokens are 64-bit hashes, put in order of their frequency in ``b`` - the FREQUENT most frequent are
-    broadcast, any common order serves - and these lists are written once. Two lists that share that many
+    broadcast, any common order serves. Two lists that share that many
     share one of the first n - least + 1 of each. Only those meet in the equi-join, so frequent
     tokens make no pairs; candidates are then counted on their whole lists.
     """
-    hashed = lambda rows, key: rows.where(F.size(tokens) >= least).select(key, F.transform(tokens, lambda x: F.xxhash64(x)).alias("h"))
+    # written before they are filtered and counted, so that texts are cut in tokens once
+    hashed = lambda rows, key: shared(rows.select(key, F.transform(tokens, lambda x: F.xxhash64(x)).alias("h"))).where(F.size("h") >= least)
     own, other = hashed(a, key_a), hashed(b, key_b)
     counts = other.select(F.explode("h").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     often = sorted(counts.orderBy(F.desc("n"), "t").limit(FREQUENT).collect())
