@@ -182,7 +182,8 @@ def str20_label_substitution(spark, base):
 
 def _with_images(spark, base):
     """Documents in whose text every third line is followed by an image of its bytes; those of every seventh document are broken."""
-    data = lambda x: F.concat(F.base64(x.cast("binary")), F.when(F.col("doc_id") % 7 == 0, "!").otherwise(""))
+    plain = lambda b: F.replace(F.base64(b), F.lit("\r\n"), F.lit(""))  # noqa: E731  (Spark breaks the line after 76 characters, a data URI has none)
+    data = lambda x: F.concat(plain(x.cast("binary")), F.when(F.col("doc_id") % 7 == 0, "!").otherwise(""))
     kind = lambda i: F.when(i % 2 == 0, "png").otherwise("jpeg")
     x_of = lambda x, i: F.when(i % 3 == 0, F.concat(x, F.lit("![a "), i.cast("string"), F.lit("](data:image/"), kind(i), F.lit(";base64,"), data(F.substring(x, 1, 45)), F.lit(") end"))).otherwise(x)
     return table(spark, base, "documents").where("text is not null").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), x_of), "\n").alias("markdown"))

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+from docloom.plans import page_plans
 from docloom.sources import images as I
 
 
@@ -49,3 +50,15 @@ def test_each_content_is_stored_once(spark, tmp_path):
     want = {hashlib.sha256(raw).hexdigest(): raw for t in texts for _, raw in plain(t)[1]}
     assert len(got) == len(want) and dict(got) == want
     assert all(len(list(d.glob("*.parquet"))) == 1 for d in (tmp_path / "images").iterdir() if d.is_dir())
+
+
+def test_links_of_many_bytes_have_no_line_break(spark, tmp_path):
+    """45 characters of two bytes each are 120 characters of base64; a broken link of theirs stays as SQL writes it."""
+    lines = ["é" * 60, "ab", "c", "ñ" * 45 + "x"]
+    spark.createDataFrame([(k, "\n".join(lines)) for k in (7, 8)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text_sha256 for r in page_plans.str27_image_links(spark, str(tmp_path)).collect()}
+    whole = lambda i, x: f"{x}![a {i}](data:image/{('png', 'jpeg')[i % 2]};base64,{base64.b64encode(x[:45].encode()).decode()}!) end"
+    file = lambda i, x: f"{x}![a {i}](image_{i // 3 + 1}.{('png', 'jpeg')[i % 2]}) end"
+    for doc, link in ((7, whole), (8, file)):
+        text = "\n".join(link(i, x) if i % 3 == 0 else x for i, x in enumerate(lines))
+        assert got[doc] == hashlib.sha256(text.encode()).hexdigest()
