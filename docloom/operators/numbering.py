@@ -21,3 +21,13 @@ def numbered_rows(rows: DataFrame, order: list[str], name: str, start: int = 1)
     first = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_m")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
     k = F.row_number().over(W.partitionBy("_part").orderBy(*keys))
     return cut.withColumn("_k", k).join(first, "_part").withColumn(name, F.col("_before") + F.col("_k") + (start - 1)).drop("_part", "_k", "_before")
+
+
+def running_total(rows: DataFrame, order: str, n: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, the sum of ``n`` over the rows before by ``order``; range parts and their sums, as in ``numbered_rows``."""
+    key = F.col(order).asc_nulls_first()
+    cut = shared(rows.repartitionByRange(shares(rows), key).withColumn("_part", F.spark_partition_id()))
+    above = F.sum("_s").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    first = cut.groupBy("_part").agg(F.sum(n).alias("_s")).select("_part", F.coalesce(above, F.lit(0)).alias("_above"))
+    inside = F.coalesce(F.sum(n).over(W.partitionBy("_part").orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return cut.withColumn("_inside", inside).join(first, "_part").withColumn(name, F.col("_above") + F.col("_inside")).drop("_part", "_inside", "_above")

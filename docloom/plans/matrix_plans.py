@@ -12,7 +12,6 @@ from docloom.operators import matrix as M
 from docloom.plans.registry import register
 from docloom.plans.text_plans import _LINES, markdown
 from docloom.sources import artifacts as R
-from docloom.sources.shared import shared
 from docloom.sources.tables import table
 
 COLUMNS = 14
@@ -27,11 +26,11 @@ def matrix_rows(spark, base):
         F.concat(F.lit("R"), F.col("l_partkey") % 40), F.concat(F.lit("TAG-"), F.col("l_partkey") % 40), F.concat(F.lit("Cause number "), F.col("l_partkey") % 40),
         F.lit("note"), F.lit("12"), F.col("l_linestatus"), *mark,
     )
-    data = li.select(F.col("l_suppkey").alias("sheet"), (n + 3).alias("line_no"), cells.alias("cells"))
-    sheets = li.select(F.col("l_suppkey").alias("sheet")).distinct()
+    own = li.select(F.col("l_suppkey").alias("sheet"), n.alias("n"), "l_partkey", "l_linestatus")
     labels = [F.lit("") for _ in range(6)] + [F.concat(F.lit(f"Effect valve {j} of "), "sheet") if j != 3 else F.lit("short") for j in range(8)]
-    header = sheets.select("sheet", F.lit(2).alias("line_no"), F.array(*labels).alias("cells"))
-    return shared(header.unionByName(data))  # the operators read their rows several times
+    row = lambda line, x: F.struct(line.cast("int").alias("line_no"), x.alias("cells"))
+    data = row(F.col("n") + 3, cells)
+    return own.select("sheet", F.inline(F.when(F.col("n") == 1, F.array(row(F.lit(2), F.array(*labels)), data)).otherwise(F.array(data))))
 
 
 _M = f"""base AS (
@@ -75,7 +74,7 @@ def set3_matrix_entities(spark, base):
 
 @register("dom4_jn7_review_bullets", f"WITH {_M} SELECT sheet, cause_id, string_agg('- ' || marker || ': ' || effect_label, chr(10) ORDER BY row_line, \"column\") AS markdown FROM relations GROUP BY 1, 2")
 def dom4_jn7_review_bullets(spark, base):
-    return M.bullets(M.relations(matrix_rows(spark, base), "sheet"), "sheet")
+    return M.bullets(matrix_rows(spark, base), "sheet")
 
 
 @register("flt20_jn10_segment_entries", f"""WITH {_M}, e AS (SELECT sheet, relation_id, row_line % 10 AS page_number FROM relations)
@@ -84,7 +83,7 @@ def flt20_jn10_segment_entries(spark, base):
     r = M.relations(matrix_rows(spark, base), "sheet")
     e = r.select(F.col("sheet").alias("k"), F.lit("all").alias("book"), F.col("sheet").cast("string").alias("sheet"), "relation_id", (F.col("row_line") % 10).alias("page_number"), F.concat(F.lit("S"), F.col("sheet") % 10, F.lit(".rows")).alias("path_ref"))
     s = spark.sql("SELECT * FROM VALUES ('all', 0, array(0, 2), array('none')), ('all', 1, array(1, 3), array('none')), ('all', 9, array(-1), array('S0')) AS t(book, segment_id, pages, sheets)")
-    return M.in_segment(e, s, "book").select(F.col("k").alias("sheet"), "relation_id", "segment_id").distinct()
+    return M.in_segment(e, s, "book").select(F.col("k").alias("sheet"), "relation_id", "segment_id")
 
 
 @register("top10_stable_order", f"WITH {_M} SELECT sheet, relation_id, row_number() OVER (PARTITION BY sheet ORDER BY marker, row_line, \"column\", relation_id) AS position FROM relations")
