@@ -3,6 +3,7 @@
 import random
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,3 +216,11 @@ def test_snapshots_in_batches(spark, tmp_path):
     newest = out.groupBy("answer_id").agg(F.max_by("negative_streak", "feedback_count").alias("s"), F.max("feedback_count").alias("n")).collect()
     want = {str(r.answer_id): (r.feedback_count, r.negative_streak) for r in FB.snapshots(spark.createDataFrame(rows, schema)).collect()}
     assert {str(r.answer_id): (r.n, r.s) for r in newest} == want == {"1": (4, 1), "2": (1, 0)}
+
+
+def test_joined_headings_take_one_text_at_a_time(spark):
+    """An Arrow batch is read text by text; nulls and many rows come back in place."""
+    df = spark.range(300).selectExpr("id", "CASE WHEN id % 7 = 0 THEN NULL ELSE concat('## A', id, '\n\n## B\nx') END AS m")
+    out = A.with_joined_headings(df, "m")
+    assert A.headings_arrow(pa.array(["## A\n## B", None, ""])).to_pylist() == ["## A / B", None, ""]
+    assert {r.id: r.m for r in out.collect()} == {k: None if k % 7 == 0 else f"\n## A{k} / B\nx" for k in range(300)}
