@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from docloom.llm import language_id
 from docloom.llm.queries import op2_language_id
@@ -87,3 +88,24 @@ def test_rejection_is_calibrated(spark, base):
     noise = [(k, "".join(rng.choice("qwxzjkvbpfgh  ") for _ in range(300))) for k in range(50)]
     out = language_id.predict(spark.createDataFrame(noise, "doc_id long, text string"), models).collect()
     assert all(r.rejected for r in out)
+
+
+def test_models_beyond_the_broadcast_give_the_same_results(spark, base, monkeypatch):
+    """A small bound on the broadcast n-grams changes no prediction, score or rejection."""
+    docs = spark.read.parquet(f"{base}/documents.parquet").where("doc_id < 300")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "12 34"), (-4, "ыъ qqq zzxj"), (-4, "ыъ qqq zzxj")], "doc_id long, text string")
+    asked = docs.select("doc_id", "text").unionByName(odd)
+
+    def results():
+        models = language_id.train(language_id.training_rows(docs))
+        kept = language_id.keep_identified(docs.withColumn("lang", F.lit(None).cast("string")), models)
+        return models, sorted(language_id.predict(asked, models).collect()), sorted((r.doc_id, r.lang) for r in kept.collect())
+
+    whole, want, want_kept = results()
+    monkeypatch.setattr(language_id, "ENTRIES", 2000)
+    cut, found, found_kept = results()
+    assert whole.tables is None and len(cut.grams) < 2000 < len(whole.grams)
+    assert np.allclose(cut.entropy, whole.entropy, rtol=1e-6) and np.allclose(cut.slack, whole.slack, atol=1e-4)
+    assert len(found) == 305 and found_kept == want_kept
+    for a, b in zip(found, want, strict=True):
+        assert (a.doc_id, a.lang_pred, a.rejected) == (b.doc_id, b.lang_pred, b.rejected) and abs(a.score - b.score) < 1e-5
