@@ -83,3 +83,64 @@ def test_whole_query_set(spark, base):
 
     ids = {r.vec_id for r in spark.read.parquet(f"{base}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
     assert len(ids) > 5 and {r.query_id for r in registry.queries()["ret_hybrid_topk"](spark, base).collect()} == ids
+
+
+def _random_case(spark, n=600, queries=40):
+    import random
+
+    rng = random.Random(7)
+    vectors = [[rng.choice((-1.0, 0.5, 1.0)) for _ in range(6)] for _ in range(n)]
+    rows = [(str(i), "u", vectors[i], rng.choice(["A", "B", None]), rng.choice(["a", "shared", None]), rng.choice([True, False, None])) for i in range(n)]
+    c = spark.createDataFrame(rows, "chunk_id string, document_id string, vector array<double>, system string, workspace string, is_shared boolean").repartition(3)
+    c = c.withColumns({x: F.lit("word") for x in ("document_title", "content", "document_type", "section_heading")}).withColumn("page_number", F.lit(1))
+    asked = [(i, "word", vectors[i], rng.choice([None, None, [], ["a"]]), rng.choice([None, None, "A", "b"]), rng.choice([True, False])) for i in range(queries)]
+    return c, spark.createDataFrame(asked, "query_id int, q_text string, q_vector array<double>, q_systems array<string>, q_workspace string, q_shared boolean")
+
+
+@pytest.mark.parametrize("most", [1 << 15, 7])
+def test_a_task_passes_on_its_best_only(spark, monkeypatch, most):
+    """Many ties and scopes: the same hits as from all pairs, though a task collects few rows."""
+    monkeypatch.setattr(R, "MAX_QUERIES", most)
+    c, q = _random_case(spark)
+    narrow = c.select("chunk_id", "vector", *R.SCOPE)
+    want = R._top(R.scored(narrow, q, 0.3).where(R.scope_condition()), 5, F.desc("score"), F.col("chunk_id"))
+    got = lambda hits, *more: sorted((r.query_id, r.rank, r.chunk_id, *(r[m] for m in more)) for r in hits.collect())
+    assert got(R.dense(c, q, 5, 0.3)) == got(want)
+    every = R.tiered(c, q, 600, 0.5)
+    assert got(R.tiered(c, q, 5, 0.5), "tier") == got(every.where("rank <= 5"), "tier")
+    pairs, kept = R.scored(narrow, q.where("q_systems is null and q_workspace is null"), 0.3), R.scored(narrow, q.where("q_systems is null and q_workspace is null"), 0.3, 5)
+    per_task = kept.groupBy(F.spark_partition_id(), "query_id").count().agg(F.max("count")).first()[0] if most > 40 else 5
+    assert per_task <= 5 and kept.count() < pairs.count() / 2
+
+
+def test_held_rows_stay_bounded(spark):
+    """The best are kept as rows come in, whatever the bounds on what is held."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(5000, 8)).round(1)
+    own = pa.table({"chunk_id": [str(i) for i in range(5000)], "vector": pa.array(vectors.tolist(), pa.list_(pa.float32()))})
+    asked = R._Asked(pa.table({"query_id": list(range(50)), "q_vector": vectors[:50].tolist(), "_free": [True] * 50}))
+
+    def best(held, most):
+        old, (R.HELD, R.MOST_HELD) = (R.HELD, R.MOST_HELD), (held, most)
+        try:
+            tables = list(R._pairs(asked, 0.2, own.to_batches(max_chunksize=100), 1, 20, "chunk_id"))
+        finally:
+            R.HELD, R.MOST_HELD = old
+        rows = sorted((q, -s, c) for t in tables for c, q, s in zip(*(t.column(n).to_pylist() for n in ("chunk_id", "_query", "score")), strict=True))
+        return sum(t.num_rows for t in tables), [[r for r in rows if r[0] == q][:20] for q in range(50)]
+
+    n, whole = best(1 << 30, 1 << 30)
+    assert n == 1000 and best(2000, 1 << 30) == (n, whole) and best(500, 100)[1] == whole
+
+
+def test_overlap_reads_a_text_once(spark):
+    """The text's tokens are cut once a row, not once for each query term and filter; repeated terms count each."""
+    q = query(spark, None, True).withColumn("q_text", F.lit("Word word other the"))
+    c = chunks(spark).withColumn("content", F.when(F.col("chunk_id") == "2", F.lit("nothing")).otherwise(F.lit("other words"))).withColumn("document_title", F.lit("")).withColumn("section_heading", F.when(F.col("chunk_id") == "1", F.lit("WORD")))
+    hits = R.lexical_branch(c, q, 5, 0.1)
+    assert sorted((r.chunk_id, r["rank"], r.score_raw, r.score_norm) for r in hits.collect()) == [("1", 1, 0.75, 1.0), ("3", 2, 0.25, 0.0)]
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(concat_ws") == 1 and "array_contains(array_intersect" not in plan
