@@ -24,11 +24,16 @@ def document_summaries(docs: DataFrame, users: DataFrame) -> DataFrame:
     return out.withColumn("review_progress_percent", F.when(F.col("total_sections") > 0, F.round(share, 2)).otherwise(F.lit(0)).cast("double"))
 
 
-def section_summaries(sections: DataFrame, docs: DataFrame, users: DataFrame) -> DataFrame:
-    """Sections with their document, reviewer and a preview of 200 characters."""
+def section_summaries(sections: DataFrame, docs: DataFrame, users: DataFrame, content: Column | None = None) -> DataFrame:
+    """Sections with their document, reviewer and a preview of 200 characters.
+
+    ``content`` is the text as an expression of the columns of ``sections``, by default
+    the column of that name. An expression is evaluated after the joins, so these move and sort its inputs, not texts.
+    """
+    content = F.col("content") if content is None else content
     d = docs.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"), F.col("status").alias("document_status"))
     out = sections.join(d, "document_id").join(_people(users, "reviewed"), F.col("reviewed_by") == F.col("_reviewed"), "left").drop("_reviewed")
-    return out.withColumns({"content_preview": F.substring("content", 1, 200), "content_length": F.length("content")})
+    return out.withColumns({"content_preview": F.substring(content, 1, 200), "content_length": F.length(content)})
 
 
 def conversation_summaries(conversations: DataFrame, users: DataFrame, messages: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from docloom.operators import feedback as FB
 from docloom.operators import lifecycle as L
 from docloom.operators import views as V
 from docloom.plans.registry import register
-from docloom.plans.workflow import CHATS, DOCS, FEEDBACK, NOW, SECTIONS, USERS, chats, feedback, messages, sections, users, workflow_documents
+from docloom.plans.workflow import CHATS, DOCS, FEEDBACK, NOW, SECTIONS, USERS, chats, feedback, messages, section_text, sections, users, workflow_documents
 from docloom.sources.tables import table
 
 
@@ -44,7 +44,7 @@ def prj1_jn1_document_summaries(spark, base):
   SELECT document_id, section_number, title AS document_title, d.status AS document_status, u.username AS reviewed_by_username, left(content, 200) AS content_preview, length(content) AS content_length
   FROM sections s JOIN docs d ON document_id = d.id LEFT JOIN users u ON reviewed_by = u.id""")
 def prj2_jn2_section_summaries(spark, base):
-    out = V.section_summaries(sections(spark, base), workflow_documents(spark, base), users(spark, base))
+    out = V.section_summaries(sections(spark, base, text=False), workflow_documents(spark, base), users(spark, base), section_text())
     return out.select("document_id", "section_number", "document_title", "document_status", "reviewed_by_username", "content_preview", "content_length")
 
 

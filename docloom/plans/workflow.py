@@ -66,13 +66,19 @@ DOCS = f"""docs AS (
 USERS = "users AS (SELECT c_custkey AS id, c_name AS username, c_mktsegment || ' ' || c_custkey AS full_name FROM customer)"
 
 
-def sections(spark, base):
+def section_text():
+    """A section's text from the columns of its line."""
+    return F.concat_ws(" ", F.lit("Part"), "l_partkey", "l_returnflag", F.repeat(F.lit("x"), (F.col("l_quantity") * 8).cast("int")))
+
+
+def sections(spark, base, text=True):
+    """Sections with their text, or with the columns that ``section_text`` makes it from."""
     li = table(spark, base, "lineitem")
     return li.select(
         F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("section_number"),
         F.when(F.col("l_returnflag") == "R", F.col("l_suppkey")).alias("reviewed_by"),
         F.when(F.col("l_linestatus") == "O", "pending").when(F.col("l_returnflag") == "R", "approved").otherwise("in-review").alias("status"),
-        F.concat_ws(" ", F.lit("Part"), "l_partkey", "l_returnflag", F.repeat(F.lit("x"), (F.col("l_quantity") * 8).cast("int"))).alias("content"),
+        *([section_text().alias("content")] if text else ["l_partkey", "l_returnflag", "l_quantity"]),
     )
 
 

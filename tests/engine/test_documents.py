@@ -224,3 +224,12 @@ def test_joined_headings_take_one_text_at_a_time(spark):
     out = A.with_joined_headings(df, "m")
     assert A.headings_arrow(pa.array(["## A\n## B", None, ""])).to_pylist() == ["## A / B", None, ""]
     assert {r.id: r.m for r in out.collect()} == {k: None if k % 7 == 0 else f"\n## A{k} / B\nx" for k in range(300)}
+
+
+def test_section_texts_stay_out_of_the_joins(spark, base):
+    """The exchanges of the section summaries carry the inputs of a text, not the text."""
+    from docloom.plans import registry
+
+    plan = registry.queries()["prj2_jn2_section_summaries"](spark, base)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins, texts = ([k for k, line in enumerate(plan) if word in line] for word in ("Join", "repeat(x"))
+    assert len(joins) == 2 and texts and max(texts) < min(joins)
